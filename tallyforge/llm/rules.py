@@ -28,7 +28,7 @@ WINDOW = 8
 RULES: dict[str, str] = {
     "too_short": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-    "symbol_heavy": "10 * n_symbols > 4 * n_words",
+    "symbol_heavy": "10 * n_symbols > 3 * n_words",
     "shouting": "2 * n_upper > word_chars",
     "repeated_lines": "2 * n_dup_lines > n_lines",
     "long_words": "word_chars > 40 * n_words",
