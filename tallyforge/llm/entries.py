@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import rules
+from tallyforge.llm import rules, simhash
 
 QUERIES = {
     "op2_quality_rules": rules.op2,
     "rules_ablation": rules.rule_ablation,
+    "op7_simhash": simhash.op7,
 }
 
 SQL = {
