@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import rules, simhash
+from tallyforge.llm import pii, rules, simhash
 
 QUERIES = {
     "op2_quality_rules": rules.op2,
     "rules_ablation": rules.rule_ablation,
+    "op6_pii": pii.op6,
     "op7_simhash": simhash.op7,
 }
 
