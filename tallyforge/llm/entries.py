@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import pii, rules, simhash
+from tallyforge.llm import mixing, pii, rules, simhash
 
 QUERIES = {
     "op2_quality_rules": rules.op2,
     "rules_ablation": rules.rule_ablation,
+    "op4_mixing": mixing.op4,
     "op6_pii": pii.op6,
     "op7_simhash": simhash.op7,
 }
@@ -14,4 +15,5 @@ QUERIES = {
 SQL = {
     "op2_quality_rules": rules.OP2_SQL,
     "rules_ablation": rules.ABLATION_SQL,
+    "op4_mixing": mixing.OP4_SQL,
 }
