@@ -285,7 +285,7 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text"))
     # The candidates are computed twice: once for the classifier's counts over the whole
     # table, once beside the text, which spares a join that would shuffle every text.
-    model = train(saved(candidates(keyed.select(F.lit(0).alias("_k"), "text"), "_k", "text").where(F.size("spans") > 0), "pii-candidates"))
+    model = train(saved(candidates(keyed.select(F.lit(0).alias("_k"), "text"), "_k", "text"), "pii-candidates"))
     found = candidates(keyed.withColumn("_all", F.struct("_row", "text")), "_all", "text")
     accepted = F.filter("spans", lambda s: s.kind.isin(*BASE) | (_score(s, model) >= threshold))
     ordered = F.sort_array(F.transform(accepted, lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))

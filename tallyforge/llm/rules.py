@@ -151,8 +151,11 @@ def keep(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """``docs`` (columns of ``documents``) without the rows that the policy rejects."""
     columns = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text"))
-    judged = apply_policy(ledger(whole, "_row", "text"), policy)
-    return judged.where("kept").select(*[F.col("_row")[c].alias(c) for c in columns])
+    # A filter is pushed below projections by substituting their expressions, each as often
+    # as it is named, which would repeat the whole ledger many times over. It is not pushed
+    # below a column that numbers rows.
+    judged = apply_policy(ledger(whole, "_row", "text"), policy).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where("kept AND _place >= 0").select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
