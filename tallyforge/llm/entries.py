@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import mixing, packing, pii, rules, simhash
+from tallyforge.llm import mixing, packing, pii, rules, simhash, store
 
 QUERIES = {
     "op2_quality_rules": rules.op2,
     "rules_ablation": rules.rule_ablation,
     "op3_packing": packing.op3,
     "op4_mixing": mixing.op4,
+    "op5_store": store.op5,
     "op6_pii": pii.op6,
     "op7_simhash": simhash.op7,
 }
