@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import mixing, packing, pii, rules, simhash, store
+from tallyforge.llm import embeddings, mixing, packing, pii, rules, simhash, store
 
 QUERIES = {
     "op2_quality_rules": rules.op2,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_store": store.op5,
     "op6_pii": pii.op6,
     "op7_simhash": simhash.op7,
+    "op9_embeddings": embeddings.op9,
 }
 
 SQL = {
