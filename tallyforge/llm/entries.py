@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import embeddings, mixing, packing, pii, rules, simhash, store
+from tallyforge.llm import embeddings, grades, language, mixing, packing, pages, pii, rules, simhash, store
 
 QUERIES = {
+    "op1_grades": grades.op1,
     "op2_quality_rules": rules.op2,
     "rules_ablation": rules.rule_ablation,
     "op3_packing": packing.op3,
@@ -12,7 +13,9 @@ QUERIES = {
     "op5_store": store.op5,
     "op6_pii": pii.op6,
     "op7_simhash": simhash.op7,
+    "op8_language": language.op8,
     "op9_embeddings": embeddings.op9,
+    "op10_pages": pages.op10,
 }
 
 SQL = {
