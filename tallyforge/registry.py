@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tallyforge.plans import catalog, stream_catalog
+
+QUERIES = catalog.QUERIES | stream_catalog.QUERIES
+SQL = catalog.SQL | stream_catalog.SQL

@@ -1,0 +1,165 @@
+"""Session logs of two providers as usage events, and a registry for more providers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import columns as C
+from tallyforge.schema import COUNTERS, UNKNOWN, complete
+from tallyforge.sources.lines import carry_forward, prefilter, read_lines
+
+CLAUDE_LINE = (
+    "type string, timestamp string, cwd string, message struct<id string, model string, usage struct<"
+    "input_tokens string, output_tokens string, cache_creation_input_tokens string, cache_read_input_tokens string>>"
+)
+CODEX_LINE = (
+    "type string, timestamp string, payload struct<type string, id string, cwd string, model string, info struct<"
+    "last_token_usage struct<input_tokens string, output_tokens string, cached_input_tokens string, reasoning_output_tokens string>>>"
+)
+SYNTHETIC = "<synthetic>"
+CLAUDE_FILE = rf"/projects/.*(?:/{C.UUID}|/{C.UUID}/subagents/agent-[^/]+)\.jsonl$"
+CODEX_FILE = r"/sessions/.*\.jsonl$"
+
+
+def _count(value: Column) -> Column:
+    """A counter as text: absent is 0, whole and not negative is its value, else null."""
+    return F.when(value.isNull(), F.lit(0)).when(value.rlike(r"^\d{1,18}$"), value.try_cast("long")).cast("long")
+
+
+def _valid(names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+
+
+def parse_claude(lines: DataFrame) -> DataFrame:
+    """Events of lines (value, source_file, line_no, ingest_seq): assistant lines with usage.
+    A line is dropped if its model is synthetic, its time or one of its counters invalid."""
+    rows = prefilter(lines, ['"assistant"']).withColumn("j", F.from_json("value", CLAUDE_LINE))
+    rows = rows.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull())
+    stamp, name = F.col("j.timestamp"), F.col("j.message.id")
+    named = rows.select(
+        F.lit("claude_code").alias("provider"),
+        # An absent id is no identity: such an event stands for itself.
+        F.when(F.coalesce(name, F.lit("")) == "", C.event_key(F.col("source_file"), stamp)).otherwise(name).alias("message_id"),
+        C.event_key(F.coalesce(name, F.lit("")), stamp).alias("event_key"),
+        C.iso_to_ms(stamp).alias("ts_ms"),
+        F.coalesce(F.nullif("j.message.model", F.lit("")), F.lit(UNKNOWN)).alias("model"),
+        C.session_id(F.col("source_file"), F.lit("claude_code")).alias("session_id"),
+        C.project_of(F.col("source_file")).alias("project"),
+        "source_file",
+        *[_count(F.col(f"j.message.usage.{c}")).alias(c) for c in COUNTERS],
+        "line_no",
+        "ingest_seq",
+    )
+    return complete(named.where(F.col("model") != SYNTHETIC).where(_valid(("ts_ms", *COUNTERS))))
+
+
+def parse_codex(lines: DataFrame, compat: bool = False) -> DataFrame:
+    """Events of lines (value, source_file, line_no, ingest_seq): token counts with the model,
+    session and folder of the latest context lines before them in their file.
+
+    An event's identity is session and time; with ``compat`` the session alone."""
+    needles = ['"token_count"', '"turn_context"', '"session_meta"']
+    rows = prefilter(lines, needles).withColumn("j", F.from_json("value", CODEX_LINE))
+    kind = F.col("j.type")
+    rows = rows.withColumns(
+        {
+            "ctx_model": F.when(kind == "turn_context", F.col("j.payload.model")),
+            "ctx_session": F.when(kind == "session_meta", F.col("j.payload.id")),
+            "ctx_cwd": F.when(kind == "session_meta", F.col("j.payload.cwd")),
+        }
+    )
+    rows = carry_forward(rows, ["ctx_model", "ctx_session", "ctx_cwd"])
+    rows = rows.where((kind == "event_msg") & (F.col("j.payload.type") == "token_count"))
+    return codex_events(rows, compat)
+
+
+def codex_events(rows: DataFrame, compat: bool = False) -> DataFrame:
+    """Events of token-count rows that carry their context (ctx_model, ctx_session, ctx_cwd)."""
+    use, stamp = "j.payload.info.last_token_usage", F.col("j.timestamp")
+    from_path = C.session_id(F.col("source_file"), F.lit("codex"))
+    session = F.coalesce(F.nullif("ctx_session", F.lit("")), from_path, F.lit(UNKNOWN))
+    key = C.event_key(session, stamp)
+    slots = {
+        "input_tokens": "input_tokens",
+        "output_tokens": "output_tokens",
+        "cache_creation_input_tokens": "reasoning_output_tokens",
+        "cache_read_input_tokens": "cached_input_tokens",
+    }
+    named = rows.where(F.col(f"{use}.input_tokens").isNotNull()).select(
+        F.lit("codex").alias("provider"),
+        (session if compat else key).alias("message_id"),
+        key.alias("event_key"),
+        C.iso_to_ms(stamp).alias("ts_ms"),
+        F.coalesce("ctx_model", F.lit(UNKNOWN)).alias("model"),
+        session.alias("session_id"),
+        F.coalesce("ctx_cwd", C.project_of(F.col("source_file"))).alias("project"),
+        "source_file",
+        *[_count(F.col(f"{use}.{source}")).alias(slot) for slot, source in slots.items()],
+        "line_no",
+        "ingest_seq",
+    )
+    return complete(named.where(_valid(("ts_ms", *COUNTERS))))
+
+
+def parse_quarantine(lines: DataFrame) -> DataFrame:
+    """Lines whose time does not parse; they become no event and can be kept aside."""
+    stamp = F.get_json_object("value", "$.timestamp")
+    return lines.where(C.iso_to_ms(F.coalesce(stamp, F.lit(""))).isNull())
+
+
+@dataclass(frozen=True)
+class ProviderSpec:
+    """A provider: which files are its logs, how lines become events, what its total is."""
+
+    name: str
+    file_pattern: str
+    needles: tuple[str, ...]
+    parse: Callable[[DataFrame], DataFrame]
+
+
+PROVIDERS: dict[str, ProviderSpec] = {
+    "claude_code": ProviderSpec("claude_code", CLAUDE_FILE, ('"assistant"',), parse_claude),
+    "codex": ProviderSpec("codex", CODEX_FILE, ('"token_count"', '"turn_context"', '"session_meta"'), parse_codex),
+}
+
+
+def owner(path: Column, specs: Mapping[str, ProviderSpec] = PROVIDERS) -> Column:
+    """Name of the provider whose file pattern a path matches, or null."""
+    return F.coalesce(*[F.when(path.rlike(s.file_pattern), F.lit(s.name)) for s in specs.values()])
+
+
+def read_provider(spark: SparkSession, root: str, spec: ProviderSpec, modified_after: str | None = None) -> DataFrame:
+    lines = read_lines(spark, root, spec.needles, modified_after).where(F.col("source_file").rlike(spec.file_pattern))
+    return spec.parse(lines.withColumn("ingest_seq", F.unix_millis("modified")))
+
+
+def read_claude_logs(spark: SparkSession, root: str) -> DataFrame:
+    return read_provider(spark, root, PROVIDERS["claude_code"])
+
+
+def read_codex_logs(spark: SparkSession, root: str) -> DataFrame:
+    return read_provider(spark, root, PROVIDERS["codex"])
+
+
+def read_logs(spark: SparkSession, roots: Mapping[str, str], specs: Mapping[str, ProviderSpec] = PROVIDERS) -> DataFrame:
+    """Events of several providers, by provider name and root folder."""
+    return reduce(DataFrame.unionByName, [read_provider(spark, root, specs[name]) for name, root in roots.items()])
+
+
+def session_files(spark: SparkSession, root: str, provider: str) -> DataFrame:
+    """(session_id, parent, agents): each session's file and the files of its sub-agents.
+    Only names, sizes and times are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+    found = files.select("path", "length", "modificationTime").where(F.col("path").rlike(PROVIDERS[provider].file_pattern))
+    agent = F.col("path").contains("/subagents/")
+    return found.groupBy(C.session_id(F.col("path"), F.lit(provider)).alias("session_id")).agg(
+        F.min(F.when(~agent, F.col("path"))).alias("parent"),
+        F.sort_array(F.collect_list(F.when(agent, F.col("path")))).alias("agents"),
+        F.sum("length").alias("bytes"),
+        F.max("modificationTime").alias("modified"),
+    )
