@@ -45,7 +45,9 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
     Only the days that the new rows or the rows they replace fall on are rewritten, by
     dynamic partition overwrite from a copy made first, so a failed write can be repeated."""
     stored = read_events(spark, path)
-    fresh = only_new(batch, stored)
+    # Versions that a later line of the batch replaces are dropped first: they are not in
+    # the table, and would count as new each time their file is parsed again.
+    fresh = only_new(latest(batch), stored)
     staged = f"{path.rstrip('/')}-staging"
     fresh.write.mode("overwrite").parquet(f"{staged}/fresh")
     fresh = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/fresh")

@@ -1,0 +1,137 @@
+import json
+
+from pyspark.sql import functions as F
+
+from tallyforge.operators.usage import usage
+from tallyforge.plans import ingest
+from tallyforge.sinks import post_batch, report_document, to_ndjson
+from tallyforge.sources import lines, logs
+from tallyforge.sources.pricing import parse_pricing
+from tallyforge.sources.prometheus import parse_prometheus
+from tallyforge.streaming import live
+
+A, B = "0198aaaa-bbbb-4ccc-8ddd-eeeeffff0001", "0198aaaa-bbbb-4ccc-8ddd-eeeeffff0002"
+
+
+def claude(mid, n, model="m-1", at="2026-03-08T12:00:00Z", **use):
+    return json.dumps({"type": "assistant", "message": {"id": mid, "model": model, "usage": {"input_tokens": n, "output_tokens": 14, **use}}, "timestamp": at})
+
+
+def write(path, *rows, end="\n"):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(rows) + end)
+
+
+def test_claude_files(spark, tmp_path):
+    base = tmp_path / "projects" / "-home-me"
+    write(base / f"{A}.jsonl", claude("msg_1", 3, cache_creation_input_tokens=5139, cache_read_input_tokens=9631), json.dumps({"type": "user", "text": "\"assistant\""}), "not json",
+          claude("msg_2", 1, model="<synthetic>"), claude("msg_3", -1), claude("msg_4", 1.5), claude("msg_5", 1, at="soon"), claude("msg_6", 2, model=None), '{"type":"assistant","mess', end="")
+    write(base / A / "subagents" / "agent-77.jsonl", claude("msg_7", 4, model="m-2"))
+    write(base / "notes.jsonl", claude("msg_8", 9))
+    rows = {r.message_id: r for r in logs.read_claude_logs(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"msg_1", "msg_6", "msg_7"}
+    one = rows["msg_1"]
+    assert (one.input_tokens, one.output_tokens, one.cache_creation_input_tokens, one.cache_read_input_tokens, one.event_key) == (3, 14, 5139, 9631, "msg_1:2026-03-08T12:00:00Z")
+    assert rows["msg_6"].model == "unknown" and rows["msg_7"].session_id == A and one.project == "-home-me" and rows["msg_7"].cache_read_input_tokens == 0
+    files = logs.session_files(spark, str(tmp_path), "claude_code").collect()
+    assert len(files) == 1 and files[0].session_id == A and len(files[0].agents) == 1
+    bad = logs.parse_quarantine(lines.read_lines(spark, str(tmp_path), ['"assistant"']))
+    assert bad.where(F.col("value").contains("msg_5")).count() == 1
+
+
+def codex(kind, at="2026-03-11T15:36:16.626Z", **payload):
+    return json.dumps({"type": kind, "timestamp": at, "payload": payload})
+
+
+def count(n, at):
+    return codex("event_msg", at, type="token_count", info={"last_token_usage": {"input_tokens": n, "cached_input_tokens": 15104, "output_tokens": 82, "reasoning_output_tokens": 0}})
+
+
+def test_codex_files(spark, tmp_path):
+    write(tmp_path / "sessions" / "2026" / f"rollout-2026-03-12T00-35-10-{B}.jsonl", count(1, "2026-03-11T15:36:15Z"), codex("session_meta", id=B, cwd="/home/me"), codex("turn_context", model="g-5"),
+          count(15262, "2026-03-11T15:36:16.626Z"), codex("event_msg", type="token_count", info=None), codex("turn_context", model="g-6"), count(2, "2026-03-11T15:36:17Z"))
+    rows = sorted(logs.read_codex_logs(spark, str(tmp_path)).collect(), key=lambda r: r.line_no)
+    assert [(r.line_no, r.model, r.session_id, r.input_tokens) for r in rows] == [(1, "unknown", B, 1), (4, "g-5", B, 15262), (7, "g-6", B, 2)]
+    assert (rows[1].cache_creation_input_tokens, rows[1].cache_read_input_tokens, rows[1].project) == (0, 15104, "/home/me")
+    with_compat = logs.parse_codex(lines.read_lines(spark, str(tmp_path)).withColumn("ingest_seq", F.lit(0).cast("long")), compat=True)
+    assert {r.message_id for r in with_compat.collect()} == {B}
+    owned = spark.createDataFrame([(f"/x/projects/p/{A}.jsonl",), ("/x/sessions/r.jsonl",), ("/x/y",)], "p string").select(logs.owner(F.col("p"))).collect()
+    assert [r[0] for r in owned] == ["claude_code", "codex", None]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    write(tmp_path / "big.jsonl", *[str(i) * 20 for i in range(3000)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = lines.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.value == str(r.line_no - 1) * 20 for r in rows) and len(rows) == 3000
+
+
+def test_torn_lines(spark):
+    frame = spark.createDataFrame([('{"a": 1}',), ('{"a": 1',), ("[1]",), ("",), (None,)], "value string")
+    assert [r.value for r in lines.drop_torn(frame).collect()] == ['{"a": 1}']
+
+
+def test_rebuild_then_ingest(spark, tmp_path):
+    file, table = tmp_path / "logs" / "projects" / "p" / f"{A}.jsonl", str(tmp_path / "table")
+    write(file, claude("m1", 8), claude("m2", 1), claude("m2", 2))
+    roots = {"claude_code": str(tmp_path / "logs")}
+    summary = ingest.rebuild(spark, roots, table).first()
+    assert (summary.input_tokens, summary.event_count) == (10, 2)
+    assert ingest.ingest_changed(spark, roots, table, "2020-01-01T00:00:00") == 0
+    write(file, claude("m1", 8), claude("m2", 2), claude("m2", 5, at="2026-03-09T12:00:00Z"), claude("m3", 7))
+    assert ingest.ingest_changed(spark, roots, table, "2020-01-01T00:00:00") == 2
+    rows = {r.message_id: (r.input_tokens, str(r.event_date)) for r in ingest.read_events(spark, table).collect()}
+    assert rows == {"m1": (8, "2026-03-08"), "m2": (5, "2026-03-09"), "m3": (7, "2026-03-08")}
+    assert ingest.ingest_changed(spark, roots, table, "2020-01-01T00:00:00") == 0
+    ingest.retain_table(spark, table, 1773100800000 + 86_400_000, 2)  # 2026-03-11
+    assert [r.message_id for r in ingest.read_events(spark, table).collect()] == ["m2"]
+
+
+def test_pricing_rules(spark):
+    def entry(vendor, i, o):
+        return {"litellm_provider": vendor, "input_cost_per_token": i, "output_cost_per_token": o, "extra": [1]}
+
+    doc = {"x/m1": entry("openai", 9e-6, 9e-6), "m1": entry("anthropic", 1e-6, 2e-6), "b/m2": entry("gemini", 3e-6, 3e-6), "a/m2": entry("gemini", 4e-6, 4e-6),
+           "m3": entry("azure", 1e-6, 1e-6), "m4": entry("openai", 0, 0), "m5": entry("openai", None, 1e-6), "m6": entry("openai", 0, 1e-6)}
+    found = {r.model: r.input_cost_per_token for r in parse_pricing(spark.createDataFrame([(json.dumps(doc),)], "value string")).collect()}
+    assert found == {"m1": 1e-6, "m2": 4e-6, "m6": 0.0}
+
+
+def test_prometheus_forms(spark):
+    body = {"data": {"result": [
+        {"metric": {"model": "a", "type": "output"}, "value": [1, "2.6"]}, {"metric": {"model": "a"}, "values": [[1, "5"], [2, "7"]]},
+        {"metric": {"type": "other"}, "value": [1, "4"]}, {"metric": {"model": "a", "__any_metric__": "cost"}, "value": [1, "0.25"]}, {"metric": {"model": "a"}, "value": [1, "bad"]},
+    ]}}
+    rows = {r.model: tuple(r)[1:] for r in parse_prometheus(spark.createDataFrame([(json.dumps(body),)], "value string")).collect()}
+    assert rows == {"a": (7, 3, 0, 0, 0.25), "(total)": (4, 0, 0, 0, None)}
+
+
+def test_live_files(spark, tmp_path):
+    write(tmp_path / "in" / "projects" / "p" / f"{A}.jsonl", claude("m1", 8), claude("m1", 9), "torn")
+    stream = live.stream_usage(spark, str(tmp_path / "in"), logs.PROVIDERS["claude_code"])
+    sinks = [lambda df, e: df.write.mode("overwrite").parquet(str(tmp_path / f"a{e}")), lambda df, e: to_ndjson(df).write.mode("overwrite").text(str(tmp_path / f"b{e}"))]
+    live.fan_out(stream, sinks, str(tmp_path / "ck"), availableNow=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "a0")).count() == 2
+    assert {json.loads(r.value)["input_tokens"] for r in spark.read.text(str(tmp_path / "b0")).collect()} == {8, 9}
+
+
+def test_post_and_report(spark, data, tmp_path):
+    from tallyforge.schema import from_events
+
+    out = str(tmp_path)
+
+    def send(payload):
+        record = json.loads(payload)
+        if record["model"] == "view":
+            raise OSError("refused")
+        (tmp_path / record["model"]).write_text(payload)
+
+    summary = usage(from_events(spark.read.parquet(f"{data}/events.parquet")), by=["provider", "model"])
+    post_batch(summary, send)
+    assert {p.name for p in tmp_path.iterdir()} == {r.model for r in summary.collect()} - {"view"} and out
+    documents = {r.provider: json.loads(r.document) for r in report_document(summary, {"type": "total"}).collect()}
+    counts = [x["event_count"] for x in documents["codex"]["providers"]["codex"]]
+    assert documents["codex"]["information"] == {"type": "total"} and counts == sorted(counts, reverse=True)
