@@ -41,22 +41,22 @@ from tallyforge.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 END_ID = 1
 ROLL = 16
-#: A cut where the low bits of the rolling hash are zero: one place in 256.
-CUT_MASK = np.uint64(255 << 40)
-LEAST, MOST = 64, 2048
+#: A cut where the low bits of the rolling hash are zero: one place in 512.
+CUT_MASK = np.uint64(511 << 40)
+LEAST, MOST = 64, 4096
 ID_BYTES = 16
 STAGED = "doc_id long, n_tokens long, tie long, chunk_ids binary, chunk_id binary, n_ids int, payload binary"
 
 
 def _rolled(ids: np.ndarray) -> np.ndarray:
-    """Polynomial hash of the last ROLL ids at each place, modulo 2^64."""
+    """Rolling hash at each place: mixed values of the last ROLL ids, summed modulo 2^64
+    (a running sum less the one ROLL places before) and mixed once more."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    out, factor = np.zeros(len(ids), dtype=np.uint64), np.uint64(1)
-    for back in range(min(ROLL, len(ids))):
-        out[back:] += mixed[: len(ids) - back] * factor
-        factor *= np.uint64(0xD6E8FEB86659FD93)
-    return out
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    total = np.cumsum(mixed, dtype=np.uint64)
+    total[ROLL:] -= total[:-ROLL].copy()
+    return total * np.uint64(0xD6E8FEB86659FD93)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -76,8 +76,8 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def chunk_id(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=ID_BYTES).digest()
+def chunk_id(ids: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(ids, digest_size=ID_BYTES).digest()
 
 
 def _staged(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
@@ -89,16 +89,18 @@ def _staged(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, start, names = np.append(encode(text), np.uint32(END_ID)), 0, []
+                ids, start, names = np.append(encode(text), np.uint32(END_ID)).astype("<u4"), 0, []
+                wide, narrow = memoryview(ids.tobytes()), None
                 for end in cuts(ids):
-                    part = ids[start:end]
-                    name, start = chunk_id(part), end
+                    name = chunk_id(wide[4 * start : 4 * end])
                     names.append(name)
                     if name not in sent:
                         if len(sent) > 500_000:
                             sent.clear()
                         sent.add(name)
-                        rows.append((None, None, None, None, name, len(part), part.astype("<u2").tobytes()))
+                        narrow = narrow or ids.astype("<u2").tobytes()
+                        rows.append((None, None, None, None, name, end - start, narrow[2 * start : 2 * end]))
+                    start = end
                 joined = b"".join(names)
                 rows.append((doc, len(ids), zlib.crc32(joined), joined, None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
@@ -186,11 +188,11 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, sizes, crcs = batch.column(0).to_pylist(), [], []
         for name, payload in zip(names, batch.column(1).to_pylist()):
-            ids = np.frombuffer(payload, dtype="<u2").astype("<u4")
+            ids = np.frombuffer(payload, dtype="<u2").astype("<u4").tobytes()
             if chunk_id(ids) != name:
                 raise ValueError(f"stored chunk {name.hex()} does not hold its ids")
-            sizes.append(len(ids))
-            crcs.append(zlib.crc32(ids.tobytes()))
+            sizes.append(len(ids) // 4)
+            crcs.append(zlib.crc32(ids))
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["chunk_id", "n", "crc"])
 
 

@@ -124,7 +124,10 @@ class Encoder:
     def _ids(self, text: str) -> list[bytes]:
         bare, spaced, slow = self.bare.often.get, self.spaced.often.get, self._chunk
         if self.lower:  # words never hold white space here, and normalisation does not cross it
-            return [bare(w) or slow(w, False) for w in re.split(r"[ \t\n\r]+", text) if w]
+            # str.split takes four control characters for white space that the vocabulary does not
+            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+            words = [w for w in re.split(r"[ \t\n\r]+", text) if w] if odd else text.split()
+            return [bare(w) or slow(w, False) for w in words]
         if _has_runs(text):
             return [self._by_library(w) for w in _CUT.split(text) if w]
         out = []
