@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import saved, table
 
 GRADES = 3
 SIZE = 1 << 16
@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE) -> Model:
     for r in counts:
         share = F.when(F.col("grade") == r.grade, int(per_grade * 1_000_000 / r.n)).otherwise(share)
     picked = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id")
+    # About GRADES x per_grade rows of two numbers, whatever the corpus: broadcast, so that
+    # no text is shuffled to find the sample's.
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(saved(picked, "graded-sample")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
