@@ -208,9 +208,9 @@ def sessions_list(u):
     return U.sessions(u, since=SINCE, until=UNTIL)
 
 
-@with_sql("DISTINCT session_id FROM u WHERE starts_with(session_id, 's2') AND contains(project, '4')")
+@with_sql("DISTINCT session_id FROM u WHERE starts_with(session_id, 's1') AND contains(project, '1')")
 def sessions_by_project(u):
-    return U.sessions(u, prefix="s2", project="4")
+    return U.sessions(u, prefix="s1", project="1")
 
 
 @with_sql("DISTINCT project FROM u WHERE provider = 'codex'")

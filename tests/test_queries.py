@@ -50,6 +50,7 @@ def test_time_filter_reaches_the_scan(spark, tmp_path):
 
     path = str(tmp_path / "events")
     write_events(from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")), path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     plan = usage(read_events(spark, path), since="20240105", until="20240106", where={"model": "click"}, provider="codex")._jdf.queryExecution().toString()
     scan = plan[plan.index("== Physical Plan ==") :]
     filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", scan)
