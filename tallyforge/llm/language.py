@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import saved, table
 
 UNKNOWN = "und"
 #: Bits of a hashed n-gram.
@@ -134,6 +134,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = learned(docs)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     shares = counts.select("lang", (F.lit(per_language * 1_000_000.0) / F.col("n")).cast("long").alias("share"))
+    # One row per language, written, so that Spark knows its size and joins it without
+    # shuffling texts while it is small.
+    shares = saved(shares, "language-shares")
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
     picked = rows.join(shares, "lang").where(hashed < F.col("share")).select("doc_id", "lang", "text")
     sample = sorted((r.doc_id, r.lang, r.text) for r in picked.collect())
