@@ -34,7 +34,15 @@ def message_id(key: Column) -> Column:
 
 
 def _stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def _above_subagents(path: Column) -> Column:
+    """The folder that holds a file's ``subagents`` folder, or the empty string. By cutting
+    at slashes: a pattern would be tried at every place of the path."""
+    last = F.substring_index(path, "/", -3)
+    folder = F.substring_index(F.substring_index(last, "/", 2), "/", -1)
+    return F.when(folder == "subagents", F.substring_index(last, "/", 1)).otherwise("")
 
 
 def session_id(path: Column, provider: Column) -> Column:
@@ -42,7 +50,7 @@ def session_id(path: Column, provider: Column) -> Column:
     their stem, of which codex files use the UUID at the end."""
     stem = _stem(path)
     trailing = F.regexp_extract(stem, rf"({UUID})$", 1)
-    above = F.regexp_extract(path, r"([^/]+)/subagents/[^/]*$", 1)
+    above = _above_subagents(path)
     codex = F.when(trailing != "", trailing).otherwise(stem)
     return F.when(provider == "codex", codex).when(above != "", above).otherwise(stem)
 
@@ -128,7 +136,7 @@ def short_id(text: Column) -> Column:
 
 def source_label(path: Column) -> Column:
     """First eight letters of the file's stem; for a sub-agent, of session and agent."""
-    above = F.regexp_extract(path, r"([^/]+)/subagents/[^/]*$", 1)
+    above = _above_subagents(path)
     agent = F.regexp_replace(_stem(path), "^agent-", "")
     return F.when(above != "", F.concat(short_id(above), F.lit("/"), short_id(agent))).otherwise(short_id(_stem(path)))
 

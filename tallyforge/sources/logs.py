@@ -35,10 +35,16 @@ def _valid(names: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
 
 
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """``j``: each line as a struct, parsed once. As a plain column it would be parsed again
+    for every filter and field that is pushed below it; filters stay above a generator."""
+    return lines.withColumn("j", F.explode(F.array(F.from_json("value", schema))))
+
+
 def parse_claude(lines: DataFrame) -> DataFrame:
     """Events of lines (value, source_file, line_no, ingest_seq): assistant lines with usage.
     A line is dropped if its model is synthetic, its time or one of its counters invalid."""
-    rows = prefilter(lines, ['"assistant"']).withColumn("j", F.from_json("value", CLAUDE_LINE))
+    rows = _parsed(prefilter(lines, ['"assistant"']), CLAUDE_LINE)
     rows = rows.where((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull())
     stamp, name = F.col("j.timestamp"), F.col("j.message.id")
     named = rows.select(
@@ -64,7 +70,7 @@ def parse_codex(lines: DataFrame, compat: bool = False) -> DataFrame:
 
     An event's identity is session and time; with ``compat`` the session alone."""
     needles = ['"token_count"', '"turn_context"', '"session_meta"']
-    rows = prefilter(lines, needles).withColumn("j", F.from_json("value", CODEX_LINE))
+    rows = _parsed(prefilter(lines, needles), CODEX_LINE)
     kind = F.col("j.type")
     rows = rows.withColumns(
         {
