@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.times import stamp, wall
 from tallyforge.schema import COUNTERS, UNKNOWN
 
-DAY_MS = 86_400_000
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 #: Names of the counters in a type filter.
@@ -102,23 +102,24 @@ def bucket_label(bucket: Column, step_s: int, tz: str | None = None) -> Column:
     """UTC date and time of a bucket; from a day up and with a zone, the local date of its start."""
     ts = F.timestamp_millis(bucket)
     if step_s >= 86_400 and tz:
-        return F.date_format(F.from_utc_timestamp(ts, tz), "yyyy-MM-dd'T00:00:00'")
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.concat(F.to_date(wall(ts, tz)).cast("string"), F.lit("T00:00:00"))
+    return stamp(wall(ts))
 
 
 def calendar_bucket(ts: Column, unit: str, tz: str = "UTC", week_start: int = 0) -> Column:
     """Calendar bucket of local time; ``week_start`` counts from Monday = 0. Weeks are
     numbered within the year of their first day, seven days each from 1 January."""
-    local = F.from_utc_timestamp(ts, tz)
+    local = wall(ts, tz)
     if unit == "week":
         day = F.to_date(local)
         first = F.date_sub(day, F.pmod(F.weekday(day) - week_start, F.lit(7)))
         week = F.floor((F.dayofyear(first) - 1) / 7) + 1
         return F.concat(F.year(first).cast("string"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))
-    formats = {"hour": "yyyy-MM-dd'T'HH:'00'", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
-    if unit not in formats:
+    length = {"hour": 13, "day": 10, "month": 7, "year": 4}.get(unit)
+    if length is None:
         raise ValueError(f"unknown calendar unit: {unit}")
-    return F.date_format(local, formats[unit])
+    label = F.substring(stamp(local), 1, length)
+    return F.concat(label, F.lit(":00")) if unit == "hour" else label
 
 
 def group_key(names: Sequence[str], bucket: Column | None = None) -> Column:
@@ -127,7 +128,7 @@ def group_key(names: Sequence[str], bucket: Column | None = None) -> Column:
 
 
 def local_time(ts: Column, tz: str = "UTC") -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, tz), "yyyy-MM-dd'T'HH:mm:ss")
+    return stamp(wall(ts, tz))
 
 
 def short_id(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import DAY_MS, token_array, total_tokens
+from tallyforge.functions.columns import token_array, total_tokens
+from tallyforge.functions.times import DAY_MS, utc_date
 from tallyforge.operators.usage import page_after
 from tallyforge.schema import COUNTERS
 
@@ -20,7 +21,7 @@ def retain(df: DataFrame, now_ms: int, days: int, time: str = "ts_ms") -> DataFr
         return df
     least = now_ms - days * DAY_MS
     kept = df.where(F.col(time) >= least)
-    return kept.where(F.col("event_date") >= F.to_date(F.timestamp_millis(F.lit(least)))) if "event_date" in df.columns else kept
+    return kept.where(F.col("event_date") >= utc_date(F.lit(least))) if "event_date" in df.columns else kept
 
 
 def build_rollup(df: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def replicate(df: DataFrame, n: int, shift_days: int = 30, jitter_ms: int = HOUR
     fresh = F.when(F.col("_k") == 0, F.col("message_id")).otherwise(F.concat_ws("-", "message_id", "_k"))
     out = copies.withColumns({"ts_ms": moved, "message_id": fresh})
     ts: Column = F.timestamp_millis("ts_ms")
-    return out.withColumns({"ts": ts, "event_date": F.to_date(ts)}).drop("_k")
+    return out.withColumns({"ts": ts, "event_date": utc_date(F.col("ts_ms"))}).drop("_k")
 
 
 def export_rows(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.functions.arguments import time_ms
+from tallyforge.functions.times import utc_date
 from tallyforge.operators.pricing import with_cost
 from tallyforge.schema import COUNTERS, DIMENSIONS, UNKNOWN
 
@@ -48,9 +49,9 @@ def _condition(key: str, value: str | Match) -> Column:
 def between_ms(df: DataFrame, since: int | None, until: int | None) -> DataFrame:
     """Both ends inclusive. Days are filtered too, so that date partitions are pruned."""
     if since is not None:
-        df = df.where((F.col("ts_ms") >= since) & (F.col("event_date") >= F.to_date(F.timestamp_millis(F.lit(since)))))
+        df = df.where((F.col("ts_ms") >= since) & (F.col("event_date") >= utc_date(F.lit(since))))
     if until is not None:
-        df = df.where((F.col("ts_ms") <= until) & (F.col("event_date") <= F.to_date(F.timestamp_millis(F.lit(until)))))
+        df = df.where((F.col("ts_ms") <= until) & (F.col("event_date") <= utc_date(F.lit(until))))
     return df
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.functions.times import DAY_MS
 from tallyforge.operators import dedup, lifecycle, pricing, usage as U
 from tallyforge.schema import COUNTERS, from_events
 from tallyforge.sinks import report_document, to_ndjson
@@ -195,7 +196,7 @@ def time_range_bucket(u):
     return U.usage(u, since=SINCE, until=UNTIL, bucket=86_400)
 
 
-@with_sql(f"model, {ALL_SQL} FROM u WHERE ts_ms BETWEEN {SINCE_MS - 7 * C.DAY_MS} AND {UNTIL_MS - 7 * C.DAY_MS} GROUP BY model")
+@with_sql(f"model, {ALL_SQL} FROM u WHERE ts_ms BETWEEN {SINCE_MS - 7 * DAY_MS} AND {UNTIL_MS - 7 * DAY_MS} GROUP BY model")
 def offset_7d(u):
     return U.usage(u, since=SINCE, until=UNTIL, offset=7 * 86_400)
 
@@ -529,7 +530,7 @@ def prometheus_import(u):
 NOW_MS = 1_706_659_200_000  # 2024-01-31
 
 
-@with_sql(f"message_id, ts_ms FROM u WHERE ts_ms >= {NOW_MS - 10 * C.DAY_MS}")
+@with_sql(f"message_id, ts_ms FROM u WHERE ts_ms >= {NOW_MS - 10 * DAY_MS}")
 def retention(u):
     return lifecycle.retain(u, NOW_MS, 10).select("message_id", "ts_ms")
 
@@ -544,7 +545,7 @@ def usage_from_rollup(u):
     return lifecycle.usage_from_rollup(lifecycle.build_rollup(u), 86_400)
 
 
-@with_sql(f"ts_ms // 3600000 * 3600000 AS hour_ms, model, {ALL_SQL} FROM u WHERE ts_ms // 3600000 * 3600000 >= {NOW_MS - 20 * C.DAY_MS} GROUP BY ALL")
+@with_sql(f"ts_ms // 3600000 * 3600000 AS hour_ms, model, {ALL_SQL} FROM u WHERE ts_ms // 3600000 * 3600000 >= {NOW_MS - 20 * DAY_MS} GROUP BY ALL")
 def rollup_retention(u):
     kept = lifecycle.retain(lifecycle.build_rollup(u), NOW_MS, 20, time="hour_ms")
     return kept.groupBy("hour_ms", "model").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "event_count")])

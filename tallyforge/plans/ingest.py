@@ -17,12 +17,15 @@ from tallyforge.sources.logs import PROVIDERS, ProviderSpec, read_logs, read_pro
 PARTITIONS = ("provider", "event_date")
 
 
+def _ordered(df: DataFrame) -> DataFrame:
+    spread = df.repartition(*PARTITIONS, F.pmod(F.xxhash64("message_id"), F.lit(8)))
+    return spread.sortWithinPartitions(*PARTITIONS, "ts_ms", "message_id")
+
+
 def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by provider and day, sorted by time and id within files. Rows of a day are
     dealt to tasks by day and a part of the message id, so a busy day is not one task."""
-    spread = df.repartition(*PARTITIONS, F.pmod(F.xxhash64("message_id"), F.lit(8)))
-    ordered = spread.sortWithinPartitions(*PARTITIONS, "ts_ms", "message_id")
-    writer = ordered.write.mode(mode).partitionBy(*PARTITIONS)
+    writer = _ordered(df).write.mode(mode).partitionBy(*PARTITIONS)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "static")
     writer.parquet(path)
@@ -67,8 +70,7 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
         rest.unionByName(merged).write.mode("overwrite").parquet(f"{staged}/whole")
         write_events(spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/whole"), path)
     else:
-        ordered = merged.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts_ms", "message_id")
-        ordered.write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
+        _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
     return count
 
 

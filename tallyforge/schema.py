@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.functions.times import stamp, utc_date, wall
+
 COUNTERS = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
 DIMENSIONS = ("model", "session_id", "project")
 PROVIDERS = ("claude_code", "codex")
@@ -55,7 +57,8 @@ def from_events(events: DataFrame) -> DataFrame:
 def complete(named: DataFrame) -> DataFrame:
     """Add the derived columns and put all in the canonical order and types."""
     ts = F.timestamp_millis("ts_ms")
-    full = named.withColumns({"ts": ts, "event_date": F.to_date(ts)})
+    full = named.withColumns({"ts": ts, "event_date": utc_date(F.col("ts_ms"))})
     if "event_key" not in named.columns:
-        full = full.withColumn("event_key", F.concat_ws(":", "message_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))
+        millis = F.lpad(F.pmod("ts_ms", F.lit(1000)).cast("string"), 3, "0")
+        full = full.withColumn("event_key", F.concat_ws(":", "message_id", F.concat(stamp(wall(ts)), F.lit("."), millis, F.lit("Z"))))
     return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in USAGE_EVENTS.fields])

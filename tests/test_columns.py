@@ -78,3 +78,25 @@ def test_times(spark):
             time_ms(bad)
     with pytest.raises(ValueError, match="ambiguous"):
         time_ms("2026-11-01T01:30:00", "America/New_York")
+
+
+def test_labels_and_days_do_not_depend_on_the_session_zone(spark):
+    from tallyforge.functions.times import utc_date
+    from tallyforge.operators.usage import between_ms
+
+    hours = spark.range(0, 24 * 400, 7).select((F.col("id") * 3_600_000 + 1_700_000_000_123).alias("ts_ms"))
+    ts = F.timestamp_millis("ts_ms")
+    units = [C.calendar_bucket(ts, u, "America/New_York", 6).alias(u) for u in ("hour", "day", "week", "month", "year")]
+    labels = [C.bucket_label(F.col("ts_ms"), 3_600).alias("label"), C.bucket_label(F.col("ts_ms"), 86_400, "Asia/Seoul").alias("date")]
+    shown = hours.select("ts_ms", utc_date(F.col("ts_ms")).cast("string").alias("event_date"), C.local_time(ts, "Asia/Seoul").alias("local"), *units, *labels)
+    expected, since = sorted(shown.collect()), 1_710_000_000_000
+    later = between_ms(shown, since, None).count()
+    first = expected[0]
+    assert (first.event_date, first.local, first.hour, first.label, first.date) == ("2023-11-14", "2023-11-15T07:13:20", "2023-11-14T17:00", "2023-11-14T22:13:20", "2023-11-15T00:00:00")
+    try:
+        for zone in ("America/New_York", "Asia/Seoul"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(shown.collect()) == expected
+            assert between_ms(shown, since, None).count() == later == sum(r.ts_ms >= since for r in expected)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
