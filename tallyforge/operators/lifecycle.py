@@ -45,7 +45,7 @@ def replicate(df: DataFrame, n: int, shift_days: int = 30, jitter_ms: int = HOUR
     """n copies of each event, each ``shift_days`` later with a hashed jitter and a fresh id."""
     copies = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     jitter = F.pmod(F.xxhash64("message_id", "_k"), F.lit(2 * jitter_ms + 1)) - jitter_ms
-    moved = F.col("ts_ms") + F.col("_k") * shift_days * DAY_MS + F.when(F.col("_k") == 0, 0).otherwise(jitter)
+    moved = F.col("ts_ms") + F.col("_k") * F.lit(shift_days * DAY_MS).cast("long") + F.when(F.col("_k") == 0, 0).otherwise(jitter)
     fresh = F.when(F.col("_k") == 0, F.col("message_id")).otherwise(F.concat_ws("-", "message_id", "_k"))
     out = copies.withColumns({"ts_ms": moved, "message_id": fresh})
     ts: Column = F.timestamp_millis("ts_ms")

@@ -5,21 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, root: str, needles: Sequence[str] = (), modified_after: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, needles: Sequence[str] = (), modified_after: str | None = None, numbered: bool = True) -> DataFrame:
     """(value, source_file, modified, line_no) of every ``*.jsonl`` below ``root``. Lines
-    without any of the needles are dropped before JSON is parsed; their numbers stay."""
+    without any of the needles are dropped before JSON is parsed; their numbers stay.
+
+    Without ``numbered``, ``line_no`` is a place that grows along the file, made while it is
+    read: no line is shuffled to be numbered."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    lines = with_line_no(reader.text(root).select("value", "_metadata.*"))
+    text = reader.text(root).select("value", "_metadata.*")
+    lines = with_line_no(text) if numbered else text.withColumn("line_no", _place())
     lines = lines.select("value", F.col("file_path").alias("source_file"), F.col("file_modification_time").alias("modified"), "line_no")
     return prefilter(lines, needles)
 
 
+def _place() -> Column:
+    """A number that grows along a file: the start of the split, then the row in the task.
+
+    Splits of a file start at least 2^13 bytes apart, and a task numbers its rows below 2^33,
+    so the two can be added with the start moved by 20 bits."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.col("file_block_start"), 20) + row
+
+
 def with_line_no(df: DataFrame) -> DataFrame:
     """``line_no`` from 1 within each file: splits in order of their start, rows of a split
     in order of reading. A file's lines meet in one task; session logs are small."""

@@ -120,17 +120,19 @@ def parse_quarantine(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ProviderSpec:
-    """A provider: which files are its logs, how lines become events, what its total is."""
+    """A provider: which files are its logs, how lines become events, and whether they need
+    line numbers from 1 rather than places that grow along the file."""
 
     name: str
     file_pattern: str
     needles: tuple[str, ...]
     parse: Callable[[DataFrame], DataFrame]
+    numbered: bool = False
 
 
 PROVIDERS: dict[str, ProviderSpec] = {
     "claude_code": ProviderSpec("claude_code", CLAUDE_FILE, ('"assistant"',), parse_claude),
-    "codex": ProviderSpec("codex", CODEX_FILE, ('"token_count"', '"turn_context"', '"session_meta"'), parse_codex),
+    "codex": ProviderSpec("codex", CODEX_FILE, ('"token_count"', '"turn_context"', '"session_meta"'), parse_codex, numbered=True),
 }
 
 
@@ -140,7 +142,7 @@ def owner(path: Column, specs: Mapping[str, ProviderSpec] = PROVIDERS) -> Column
 
 
 def read_provider(spark: SparkSession, root: str, spec: ProviderSpec, modified_after: str | None = None) -> DataFrame:
-    lines = read_lines(spark, root, spec.needles, modified_after).where(F.col("source_file").rlike(spec.file_pattern))
+    lines = read_lines(spark, root, spec.needles, modified_after, spec.numbered).where(F.col("source_file").rlike(spec.file_pattern))
     return spec.parse(lines.withColumn("ingest_seq", F.unix_millis("modified")))
 
 

@@ -69,6 +69,23 @@ def test_line_numbers_over_splits(spark, tmp_path):
     assert all(r.value == str(r.line_no - 1) * 20 for r in rows) and len(rows) == 3000
 
 
+def test_places_grow_along_files(spark, tmp_path):
+    write(tmp_path / "big.jsonl", *[str(i) * 20 for i in range(3000)])
+    for k in range(40):
+        write(tmp_path / f"small{k}.jsonl", *[str(i) * 20 for i in range(30)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        frame = lines.read_lines(spark, str(tmp_path), numbered=False)
+        rows, plan = frame.collect(), frame._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "Exchange" not in plan
+    for file in {r.source_file for r in rows}:
+        own = sorted((r.line_no, r.value) for r in rows if r.source_file == file)
+        assert [v for _, v in own] == [str(i) * 20 for i in range(len(own))] and len({n for n, _ in own}) == len(own)
+    assert len(rows) == 3000 + 40 * 30
+
+
 def test_torn_lines(spark):
     frame = spark.createDataFrame([('{"a": 1}',), ('{"a": 1',), ("[1]",), ("",), (None,)], "value string")
     assert [r.value for r in lines.drop_torn(frame).collect()] == ['{"a": 1}']

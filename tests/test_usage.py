@@ -83,3 +83,5 @@ def test_retention_and_export(few, spark):
     with pytest.raises(ValueError):
         lifecycle.usage_from_rollup(lifecycle.build_rollup(few), 90)
     assert lifecycle.replicate(few, 4).select("message_id").distinct().count() == 12
+    apart = lifecycle.replicate(few, 4, jitter_ms=0).groupBy(F.substring_index("message_id", "-", 1)).agg((F.max("ts_ms") - F.min("ts_ms")).alias("ms"))
+    assert {r.ms for r in apart.collect()} == {3 * 30 * day}
