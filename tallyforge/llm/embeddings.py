@@ -2,18 +2,23 @@
 
 Exact copies are one class first. The index is fitted on a bounded sample: coarse
 centroids (spherical k-means) and, for the residuals, one codebook per subspace. Every
-class is indexed: its list, its probes (the nearest lists), its residual codes and the
-length of what the codes leave out.
-
-A class queries the lists it probes. An asymmetric distance comes from table look-ups per
-subspace; it is off by no more than the length left out (Cauchy-Schwarz), so pruning with
-that margin loses nothing, and what remains is reranked by the exact cosine in double
-precision. Recall depends on the probes alone and is measured against brute force in the
-tests. A pair that only one side's probes find is credited to both.
-
-Work units are tiles (list, block of members, slice of queries) of bounded size, so a list
-that holds a third of all vectors is spread over many tasks. A unit reports sums of links
-per vector and a spanning forest, never all pairs of a group.
+class is indexed: its list (the nearest centroid), its angle to that centroid, its residual
+codes and the length of what the codes leave out.
+
+A class queries every list that two exact bounds leave open, however many these are: a link
+turns by at most the angle of the least cosine, so (1) the query's angle to the list's
+centroid is within that of the angles of the list's members, and (2) the query lies no
+further than that behind the plane that parts the list from any centroid nearer to the
+query. An asymmetric distance comes from table look-ups per subspace; it is off by no more
+than the length left out (Cauchy-Schwarz), so pruning with that margin loses nothing, and
+what remains is reranked by the exact cosine in double precision. No link is lost at any
+size. Lists have an order and a class queries its own list and earlier ones only, so each
+pair is seen once and credited to both.
+
+Neighbouring lists are put together into cells of about a tile. Work units are tiles (cell,
+block of members, slice of queries) of bounded size, so a list that holds a third of all
+vectors is spread over many tasks. A unit reports sums of links per vector and a spanning
+forest, never all pairs of a group.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components links
 with nothing; vectors shorter than the longest are padded with zeros; rows without an id
@@ -40,7 +45,8 @@ LEAST_COSINE = 0.95
 SAMPLE = 20_000
 PER_LIST = 256
 MOST_LISTS = 1024
-PROBES = 16
+#: Nearest centroids of a query whose planes are tried against each list.
+PLANES = 8
 SUBSPACES = 8
 CODES = 256
 #: Members and queries in a tile at most, as aimed at.
@@ -107,18 +113,39 @@ class Index:
         wide[:, : self.dim] = x
         return wide.reshape(len(x), SUBSPACES, self.width)
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probes (nearest first, so the first is the list), codes, length left out."""
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector and the angle to its centroid."""
         near = x @ self.coarse.T
-        probes = np.argsort(-near, axis=1, kind="stable")[:, :PROBES]
-        residual = self._padded(x - self.coarse[probes[:, 0]])
+        home = np.argmax(near, axis=1)
+        return home, np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, angle to its centroid, codes, length left out."""
+        home, angle = self.home(x)
+        residual = self._padded(x - self.coarse[home])
         codes = np.empty((len(x), SUBSPACES), dtype=np.uint8)
         left = np.zeros(len(x))
         for m, book in enumerate(self.books):
             part = residual[:, m]
             codes[:, m] = np.argmax(part @ book.T - 0.5 * (book**2).sum(axis=1), axis=1)
             left += ((part - book[codes[:, m]]) ** 2).sum(axis=1)
-        return probes, codes, np.sqrt(left)
+        return home, angle, codes, np.sqrt(left)
+
+    def reach(self, x: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``lists``, with members at angles low to high, may hold a link of each
+        vector, and the vectors' angles to their centroids."""
+        turn = np.arccos(np.clip(least, -1, 1)) + 1e-6
+        near = x @ self.coarse.T
+        at = near[:, lists]
+        angle = np.arccos(np.clip(at, -1, 1))
+        open_ = (angle <= high + turn) & (angle >= low - turn)
+        squares = (self.coarse**2).sum(axis=1)
+        gaps = np.sqrt(np.maximum(squares[:, None] + squares[lists] - 2 * self.coarse @ self.coarse[lists].T, 0))
+        behind = np.sin(min(turn, np.pi / 2)) * gaps + 1e-6
+        planes = min(PLANES, len(self.coarse))
+        for by in np.argpartition(-near, planes - 1, axis=1)[:, :planes].T:
+            open_ &= near[np.arange(len(x)), by][:, None] - at <= behind[by]
+        return open_, angle
 
     def estimates(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric estimates of the cosines of queries with coded members of one list."""
@@ -129,34 +156,79 @@ class Index:
         return out
 
 
-INDEXED = "rep long, n long, vec binary, home int, probes array<int>, codes binary, left double"
+INDEXED = "rep long, n long, vec binary, home int, angle double, codes binary, left double, cells array<int>"
+
+
+class Lists:
+    """Sizes and angles of the lists, their order, and the cells that they are put into."""
+
+    def __init__(self, index: Index, sizes: list, tile: int):
+        """``sizes`` has (list, members, least angle, largest angle) of every list in use."""
+        self.used = np.array([r[0] for r in sizes], dtype=np.int64)
+        count = np.array([r[1] for r in sizes], dtype=np.int64)
+        near = index.coarse[self.used]
+        centres = _kmeans(near, max(1, min(len(near), -(-int(count.sum()) // tile))), spherical=True)
+        order = np.lexsort((self.used, np.argmax(near @ centres.T, axis=1)))
+        self.used, count = self.used[order], count[order]
+        self.low, self.high = (np.array([r[c] for r in sizes])[order] for c in (2, 3))
+        self.rank = np.full(len(index.coarse), -1)
+        self.rank[self.used] = np.arange(len(order))
+        self.cell = np.zeros(len(order), dtype=np.int64)
+        held = cell = 0
+        for k, members in enumerate(count):
+            if held and held + members > tile:
+                held, cell = 0, cell + 1
+            self.cell[k] = cell
+            held += members
+
+
+def _homes(classes: DataFrame, index: Index) -> list:
+    """(list, members, least angle, largest angle) of every list in use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                home, angle = index.home(np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(batch.num_rows, -1))
+                yield pa.record_batch([pa.array(home.astype(np.int32)), pa.array(angle)], names=["home", "angle"])
+
+    found = classes.select("vec").mapInArrow(run, "home int, angle double")
+    return found.groupBy("home").agg(F.count("*"), F.min("angle"), F.max("angle")).collect()
+
+
+def _indexed(classes: DataFrame, index: Index, lists: Lists, least: float) -> DataFrame:
+    """The classes' places in the index and the cells that each one queries."""
 
+    def cells(x: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        found = []
+        for at in range(0, len(x), 1024):
+            open_, _ = index.reach(x[at : at + 1024], lists.used, lists.low, lists.high, least)
+            open_ &= np.arange(len(lists.used)) <= lists.rank[home[at : at + 1024]][:, None]
+            found += [np.unique(lists.cell[row]).astype(np.int32) for row in open_]
+        return found
 
-def _indexed(classes: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(batch.num_rows, -1)
-            probes, codes, left = index.place(x)
+            home, angle, codes, left = index.place(x)
             yield pa.record_batch(
-                [batch.column("rep"), batch.column("n"), batch.column("vec"), pa.array(probes[:, 0].astype(np.int32)),
-                 pa.array(probes.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left)],
+                [batch.column("rep"), batch.column("n"), batch.column("vec"), pa.array(home.astype(np.int32)), pa.array(angle),
+                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(left), pa.array(cells(x, home), pa.list_(pa.int32()))],
                 names=[f.split()[0] for f in INDEXED.split(", ")],
             )
 
     return classes.select("rep", "n", "vec").mapInArrow(run, INDEXED)
 
 
-def _search(index: Index, least: float):
+def _search(index: Index, lists: Lists, least: float):
     """Links between the queries and the members of one tile: rows (a, b, n) - the links of
     vector a to add (b null), or a link of the spanning forest (n null)."""
+    turn = np.arccos(np.clip(least, -1, 1)) + 1e-6
 
     def columns(rows: pa.Table) -> tuple:
         vec = np.frombuffer(b"".join(rows.column("vec").to_pylist())).reshape(rows.num_rows, index.dim)
-        rep, n, home = (rows.column(c).to_numpy() for c in ("rep", "n", "home"))
-        probes = np.array(rows.column("probes").to_pylist(), dtype=np.int32).reshape(rows.num_rows, -1)
-        return vec, rep, n, home, probes
+        return vec, *(rows.column(c).to_numpy() for c in ("rep", "n", "home"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         kinds = [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]
@@ -164,37 +236,47 @@ def _search(index: Index, least: float):
         members, queries = rows.filter(pa.array(member)), rows.filter(pa.array(~member))
         if not members.num_rows or not queries.num_rows:
             return pa.schema(kinds).empty_table()
-        of = key[0].as_py()
-        v, v_rep, v_n, v_home, v_probes = columns(members)
-        q, q_rep, q_n, q_home, _ = columns(queries)
+        members = members.sort_by([("home", "ascending"), ("angle", "ascending")])
+        v, v_rep, v_n, v_home = columns(members)
+        q, q_rep, q_n, q_home = columns(queries)
+        angle = members.column("angle").to_numpy()
         codes = np.frombuffer(b"".join(members.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, SUBSPACES)
         bound = least - 1e-9 - members.column("left").to_numpy()
         q_links, v_links = np.zeros(len(q), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
-        tree_a, tree_b = [], []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            near = index.estimates(part, of, codes) >= bound
-            if near.mean() > 0.05:  # dense: all exact cosines of the block at once
-                i, j = np.nonzero(near & (part @ v.T >= least))
-            else:
-                i, j = np.nonzero(near)
-                exact = np.einsum("ij,ij->i", part[i], v[j]) >= least
-                i, j = i[exact], j[exact]
-            i = i + at
-            other = q_rep[i] != v_rep[j]
-            i, j = i[other], j[other]
-            np.add.at(q_links, i, v_n[j])
-            # Whether v as a query finds q too; if not, this is the only place that sees the link.
-            both = np.zeros(len(i), dtype=bool)
-            for p in range(v_probes.shape[1]):
-                both |= v_probes[j, p] == q_home[i]
-            np.add.at(v_links, j[~both], q_n[i[~both]])
-            low = _forest(len(q) + len(v), i, j + len(q))
-            moved = np.flatnonzero(low != np.arange(len(low)))
-            names = np.concatenate((q_rep, v_rep))
-            tree_a.append(names[moved])
-            tree_b.append(names[low[moved]])
-        a, b = np.concatenate(tree_a), np.concatenate(tree_b)
+        names = np.concatenate((q_rep, v_rep))
+        tree_a, tree_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        starts = np.append(np.flatnonzero(np.append(True, v_home[1:] != v_home[:-1])), len(v))
+        of = v_home[starts[:-1]]
+        open_, turned = index.reach(q, of, angle[starts[:-1]], angle[starts[1:] - 1], least)
+        open_ &= lists.rank[of] <= lists.rank[q_home][:, None]
+        for k, (first, end) in enumerate(zip(starts, starts[1:])):
+            for lo in range(first, end, 256):  # members at like angles
+                hi = min(lo + 256, end)
+                asks = np.flatnonzero(open_[:, k] & (turned[:, k] <= angle[hi - 1] + turn) & (turned[:, k] >= angle[lo] - turn))
+                for at in range(0, len(asks), 1024):
+                    some = asks[at : at + 1024]
+                    near = index.estimates(q[some], of[k], codes[lo:hi]) >= bound[lo:hi]
+                    if near.mean() > 0.05:  # dense: all exact cosines of the block at once
+                        i, j = np.nonzero(near & (q[some] @ v[lo:hi].T >= least))
+                    else:
+                        i, j = np.nonzero(near)
+                        exact = np.einsum("ij,ij->i", q[some[i]], v[lo + j]) >= least
+                        i, j = i[exact], j[exact]
+                    # In one list both ask; the larger id's question counts.
+                    once = (q_home[some[i]] != of[k]) | (q_rep[some[i]] > v_rep[lo + j])
+                    i, j = i[once], j[once]
+                    if not len(i):
+                        continue
+                    np.add.at(q_links, some[i], v_n[lo + j])
+                    np.add.at(v_links, lo + j, q_n[some[i]])
+                    low = _forest(len(some) + hi - lo, i, j + len(some))
+                    moved = np.flatnonzero(low != np.arange(len(low)))
+                    nodes = np.concatenate((some, len(q) + np.arange(lo, hi)))
+                    tree_a.append(nodes[moved])
+                    tree_b.append(nodes[low[moved]])
+        low = _forest(len(names), np.concatenate(tree_a), np.concatenate(tree_b))
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        a, b = names[moved], names[low[moved]]
         q_has, v_has = np.flatnonzero(q_links), np.flatnonzero(v_links)
         sums = np.concatenate((q_rep[q_has], v_rep[v_has]))
         made = pa.table({
@@ -231,13 +313,15 @@ def links(vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) ->
     index = fit(classes, count, max(1, dim or 1))
     if index is None:
         return made.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    indexed = saved(_indexed(classes, index), "vector-index")
-    # At most MOST_LISTS rows each: how many blocks of members and slices of queries a list has.
-    asks = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("q"))
-    holds = indexed.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("m"))
+    lists = Lists(index, _homes(classes, index), tile)
+    cell_of = F.element_at(F.array(*[F.lit(int(lists.cell[r]) if r >= 0 else -1) for r in lists.rank]), F.col("home") + 1)
+    indexed = saved(_indexed(classes, index, lists, least).withColumn("own", cell_of), "vector-index")
+    # At most MOST_LISTS rows each: how many blocks of members and slices of queries a cell has.
+    asks = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
+    holds = indexed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("m"))
     sizes = saved(
-        holds.join(asks, "list", "left").select("list", F.ceil(F.col("m") / tile).cast("int").alias("blocks"), F.ceil(F.col("q") / tile).cast("int").alias("slices")),
-        "vector-lists",
+        holds.join(asks, "cell").select("cell", F.ceil(F.col("m") / tile).cast("int").alias("blocks"), F.ceil(F.col("q") / tile).cast("int").alias("slices")),
+        "vector-cells",
     )
     sizes = F.broadcast(sizes)
     part = F.xxhash64("rep", F.lit(SEED))
@@ -245,11 +329,12 @@ def links(vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) ->
     def spread(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    members = indexed.withColumn("list", F.col("home")).join(sizes, "list").withColumn("block", F.pmod(part, "blocks").cast("int")).withColumn("slice", spread("slices")).withColumn("member", F.lit(True))
-    queries = indexed.withColumn("list", F.explode("probes")).join(sizes, "list").withColumn("slice", F.pmod(part, "slices").cast("int")).withColumn("block", spread("blocks")).withColumn("member", F.lit(False))
-    columns = ["list", "block", "slice", "member", "rep", "n", "vec", "home", "probes", "codes", "left"]
-    tiles = members.select(columns).unionByName(queries.select(columns))
-    found = saved(tiles.groupBy("list", "block", "slice").applyInArrow(_search(index, least), "a long, b long, n long"), "vector-links")
+    members = indexed.withColumn("cell", F.col("own")).join(sizes, "cell").withColumn("block", F.pmod(part, "blocks").cast("int")).withColumn("slice", spread("slices")).withColumn("member", F.lit(True))
+    queries = indexed.withColumn("cell", F.explode("cells")).join(sizes, "cell").withColumn("slice", F.pmod(part, "slices").cast("int")).withColumn("block", spread("blocks")).withColumn("member", F.lit(False))
+    shared = ["cell", "block", "slice", "member", "rep", "n", "vec", "home"]
+    # Queries carry no codes.
+    tiles = members.select(*shared, "angle", "codes", "left").unionByName(queries.select(shared), allowMissingColumns=True)
+    found = saved(tiles.groupBy("cell", "block", "slice").applyInArrow(_search(index, lists, least), "a long, b long, n long"), "vector-links")
     sums = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     named = components(found.where("b IS NOT NULL").select("a", "b"), "vector-components")
     of_class = (

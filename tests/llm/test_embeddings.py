@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tallyforge.llm import embeddings
 
@@ -40,6 +42,23 @@ def test_recall_over_many_lists(spark):
     assert (got <= n).all() and got.sum() >= 0.97 * n.sum()
 
 
+def test_near_copies_cut_into_many_lists(spark, tmp_path):
+    """A third of 40,000 vectors are near copies, so their links lie across dozens of lists."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40_000, 64))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=x[::3].shape) * 0.02
+    x = x.astype(np.float32)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": vectors}), tmp_path / "x.parquet")
+    got = embeddings.links(spark.read.parquet(str(tmp_path / "x.parquet"))).toPandas().sort_values("vec_id")
+    unit = x.astype(np.float64)
+    unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    n = np.concatenate([(unit[at : at + 2000] @ unit.T >= 0.95).sum(axis=1) - 1 for at in range(0, len(x), 2000)])
+    assert n[::3].mean() > 10_000 and (got.n_links.to_numpy() == n).all()
+    low = np.where(n[::3] > 0, 0, np.arange(0, len(x), 3))
+    assert (got.component_id.to_numpy()[::3] == low).all()
+
+
 def test_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, None, 1), (4, [0.0, 0.0], 1), (5, [1.0, None], 1), (6, [nan, 1.0], 1),
