@@ -3,8 +3,9 @@
 A page's markup is scanned once into lines: the visible text blocks in page order. Pages
 are paired with the page of nearest URL path within their host, the two pages' lines are
 aligned by longest common subsequence, and lines that both share are template text and are
-deleted. A pair that shares nearly all its text is a copy and shows nothing, so the next
-nearest page is used.
+deleted. A pair that shares most of its text may be copies, or pages of a long template, so
+the walk goes on past a run of such pages, whatever its length, to the page that shares less;
+only a pair that leaves one page nearly nothing of its own is taken as copies and shows nothing.
 
 An exact check follows, by the element that a line stands in. Lines in elements that are
 never article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import saved, table
 
 BLOCK = 256
-#: Share of the shorter page's characters from which a pair counts as copies.
+#: Share of the shorter page's characters from which a page further on is compared too.
 COPY = 0.8
-#: Neighbours in path order that are tried on each side.
-NEAR = 3
+#: Characters of its own that a copy has at most (a date, a counter).
+OWN = 40
 
 # Fixed lists of markup.
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|audio|video|canvas"
@@ -187,20 +188,51 @@ def _shared_prefix(a: str, b: str) -> int:
 
 def difference(rows: list[tuple[str, list[str], list[int]]]) -> list[set[int]]:
     """For each (path, lines, zones) the places of lines that its nearest page, not a copy,
-    shares. Whether a pair are copies is judged without the lines that are never article text."""
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    shares. Whether a pair are copies is judged without the lines that are never article text.
+
+    On each side a page is compared with its neighbour and, where these share most text, with
+    the neighbour's own partner, which lies past the run of copies that both are in; the one
+    that shares less is the page's partner. So a run costs two comparisons a page."""
+    order = sorted((i for i in range(len(rows)) if rows[i][1]), key=lambda i: rows[i][0])
+    place = {i: at for at, i in enumerate(order)}
     out: list[set[int]] = [set() for _ in rows]
     weights = [[0 if zone == BOILER else len(line) for line, zone in zip(lines, zones)] for _, lines, zones in rows]
     totals = [sum(w) for w in weights]
+
+    def compare(i: int, k: int) -> tuple[float, bool, int, list[int]]:
+        """Share of the shorter page, whether the two are copies, the other page, places in i."""
+        same = common(rows[i][1], rows[k][1])
+        shared, least = sum(weights[i][n] for n in same), min(totals[i], totals[k])
+        share = shared / max(1, least)
+        return share, share >= COPY and least - shared <= OWN, k, same
+
+    def walk(order: list[int]) -> dict[int, tuple | None]:
+        found: dict[int, tuple | None] = {}
+        before = None
+        for i in order:
+            best = None
+            if before is not None and rows[i][1:] == rows[before][1:]:
+                best = found[before]
+            elif before is not None:
+                best, past = compare(i, before), found[before]
+                if best[0] >= COPY and past:
+                    best = min(best, compare(i, past[2]), key=lambda x: x[0])
+            found[i] = best
+            before = i
+        return found
+
+    left, right = walk(order), walk(order[::-1])
     for at, i in enumerate(order):
-        path, lines, _ = rows[i]
-        around = [k for k in range(max(0, at - NEAR), min(len(order), at + NEAR + 1)) if k != at]
-        around.sort(key=lambda k: (-_shared_prefix(path, rows[order[k]][0]), abs(k - at), k))
-        for k in around:
-            same = common(lines, rows[order[k]][1])
-            if sum(weights[i][n] for n in same) < COPY * max(1, min(totals[i], totals[order[k]])):
-                out[i] = set(same)
-                break
+        sides = [x for x in (left[i], right[i]) if x]
+        if not sides:
+            continue
+        path = rows[i][0]
+        _, copy, _, same = min(sides, key=lambda x: (x[0] if x[0] >= COPY else 0, -_shared_prefix(path, rows[x[2]][0]), abs(place[x[2]] - at), x[2]))
+        if not copy:
+            out[i] = set(same)
+        elif len(sides) == 2 and left[i][1] and right[i][1] and not compare(left[i][2], right[i][2])[1]:
+            # Two different pages hold all of this one, or it holds both: only what all three share.
+            out[i] = set(left[i][3]) & set(right[i][3])
     return out
 
 

@@ -89,3 +89,36 @@ def test_odd_markup():
     assert pages.blocks("a < b <3 <p class=\"x>y\">c</p> <script>unclosed") == (["a < b <3", "c"], [pages.UNMARKED] * 2, False)
     assert pages.blocks("<article>" * 3000 + "x")[0] == ["x"]
     assert pages.blocks("<a " + "\"'" * 5000)[0] in ([], ["<a " + "\"'" * 5000])
+
+
+def page_lines(path, *lines):
+    return path, list(lines), [pages.UNMARKED] * len(lines)
+
+
+def left_lines(rows):
+    return [[x for n, x in enumerate(row[1]) if n not in gone] for row, gone in zip(rows, pages.difference(rows))]
+
+
+TEMPLATE = [f"template line {i} that every page of the site carries" for i in range(30)]
+
+
+def test_a_long_template_goes_from_short_stories():
+    stories = [f"story {i}: " + f"what happened on day {i} " * 4 for i in range(12)]
+    assert left_lines([page_lines(f"h/{i:02}", *TEMPLATE, x) for i, x in enumerate(stories)]) == [[x] for x in stories]
+
+
+def test_a_page_of_the_template_alone_is_left_empty():
+    stories = [f"story {i}: " + f"what happened on day {i} " * 4 for i in range(3)]
+    rows = [page_lines(f"h/{i}", *TEMPLATE, *([stories[i]] if i != 1 else [])) for i in range(3)]
+    assert left_lines(rows) == [[stories[0]], [], [stories[2]]]
+
+
+def test_runs_of_copies_are_walked_past():
+    story = [f"part {i} of a story crawled again and again" for i in range(30)]
+    rows = [page_lines("h/a", *TEMPLATE[:4], "another text " * 9)]
+    rows += [page_lines("h/b", *TEMPLATE[:4], *story, f"seen {i}") for i in range(500)]
+    rows += [page_lines("h/c", *TEMPLATE[:4], *story)] * 500
+    found = left_lines(rows)
+    assert found[0] == ["another text " * 9] and all(x[:30] == story and len(x) <= 31 for x in found[1:])
+    alone = rows[1:]
+    assert left_lines(alone) == [row[1] for row in alone]
