@@ -13,13 +13,16 @@ comments, by tag, role, class or id) go also where they differ between the pages
 page marks its article (or main) element, the lines inside it stay, shared ones too (two
 articles that quote one passage), and lines outside go. Elsewhere differencing decides.
 
-Pages are grouped by host. Hosts of more than BLOCK pages are cut: folders of more than
-BLOCK pages by hash into blocks of about BLOCK, the other folders by hash of the folder,
-so that a host, a folder or a URL with a third of all pages is spread over many tasks. Only
-groups beyond BLOCK are listed in a table, which is at most 1/BLOCK of the pages.
+Pages are grouped by host. Hosts of more than BLOCK pages are cut into ranges of at most
+BLOCK pages in the order of path and page_id, so that nearest URLs stay together, and a
+host, a folder or a URL with a third of all pages is spread over many tasks. A block also
+sees, without giving rows for them, the NEAR pages next to it on each side, the first page
+of blocks 2, 4, 8, ... further on and back, and the first and last pages of the host, so
+that no page is alone unless its host has one page and a run of copies that fills blocks is
+walked past. Only the blocks' limits (two keys for BLOCK pages) are gathered at the driver.
 
 Defined cases: null or empty html gives the empty text; null urls count as one host; a
-page alone in its block has no lines deleted as shared; repeated rows stay, and as copies
+page alone on its host has no lines deleted as shared; repeated rows stay, and as copies
 of one another do not delete their text; null ids pass through; an empty table gives no
 rows; further columns are not read.
 """
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import html as references
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,6 +42,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import saved, table
 
 BLOCK = 256
+#: Pages next to a block, on each side, that it sees.
+NEAR = 3
 #: Share of the shorter page's characters from which a page further on is compared too.
 COPY = 0.8
 #: Characters of its own that a copy has at most (a date, a counter).
@@ -241,53 +246,131 @@ def article(lines: list[str], zones: list[int], marked: bool, shared: set[int])
     return "\n\n".join(x for n, (x, zone) in enumerate(zip(lines, zones)) if (zone == MAIN if marked else zone == UNMARKED and n not in shared))
 
 
-PARSED = "host string, folder string, part long, page_id long, url string, path string, lines array<string>, zones binary, marked boolean"
+PARSED = "host string, folder string, part long, page_id long, url string, path string, lines array<string>, zones binary, marked boolean, own boolean"
+#: The order of a host's pages; equal keys are rows that are alike.
+KEY = ("host", "path", "order_id", "order_tie")
+
+
+class Ranges:
+    """The blocks of large hosts: from the keys that start them, and those of their edges."""
+
+    def __init__(self, limits: list):
+        """``limits`` has (key, key of the first page past the head, key of the tail's first page) by block."""
+        limits = sorted(limits, key=lambda x: x[0])
+        self.starts, self.heads, self.tails = ([x[c] for x in limits] for c in range(3))
+        self.hosts: dict[str, tuple[int, int]] = {}
+        for k, (host, *_) in enumerate(self.starts):
+            self.hosts[host] = (self.hosts.get(host, (k, k))[0], k)
+
+    def block(self, key: tuple) -> int:
+        return bisect_right(self.starts, key) - 1 if key[0] in self.hosts else -1
+
+    def seen_by(self, key: tuple, block: int) -> set[int]:
+        """The other blocks that see the page."""
+        if block < 0:
+            return set()
+        first, last = self.hosts[key[0]]
+        found: set[int] = set()
+        if key == self.starts[block]:
+            found.update(block + way * 2**k for way in (-1, 1) for k in range((last - first).bit_length()))
+            if block == first:
+                found.update(range(first, last + 1))
+        if self.heads[block] is None or key < self.heads[block]:
+            found.add(block - 1)
+        if key >= self.tails[block]:
+            found.add(block + 1)
+            if block == last:
+                found.update(range(first, last + 1))
+        return {k for k in found if first <= k <= last and k != block}
+
+
+def _limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Limits of blocks over sorted keys: rows start, head, tail, each a key as a list."""
+    made: list[tuple] = []
+    block: list[tuple] = []
+    columns = pa.struct([("host", pa.string()), ("path", pa.string()), ("order_id", pa.int64()), ("order_tie", pa.int64())])
+
+    def close() -> None:
+        if block:
+            made.append((block[0], block[NEAR] if len(block) > NEAR else None, block[max(0, len(block) - NEAR)]))
+            block.clear()
 
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in PARSED.split(", ")]
     for batch in batches:
-        found = [blocks(source or "") for source in batch.column("html").to_pylist()]
-        columns = [batch.column(c) for c in names[:6]]
-        columns += [pa.array([x[0] for x in found], pa.list_(pa.string())), pa.array([bytes(x[1]) for x in found], pa.binary()), pa.array([x[2] for x in found], pa.bool_())]
-        yield pa.record_batch(columns, names=names)
+        for key in zip(*(batch.column(c).to_pylist() for c in KEY)):
+            if block and (key[0] != block[0][0] or len(block) >= BLOCK and key != block[-1]):
+                close()
+            # Of rows that are alike only one counts: no limit can lie between them.
+            if not block or key != block[-1]:
+                block.append(key)
+    close()
+    if made:
+        yield pa.record_batch([pa.array([x and dict(zip(KEY, x)) for x in column], columns) for column in zip(*made)], names=["start", "head", "tail"])
+
+
+def _keyed(web: DataFrame) -> DataFrame:
+    place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
+    return web.select(
+        F.col("page_id").cast("long"), "url", F.lower(F.substring_index(place, "/", 1)).alias("host"), place.alias("path"), "html",
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("order_id"), F.xxhash64("url", "html").alias("order_tie"),
+    )
+
+
+def ranges(web: DataFrame) -> Ranges:
+    """The blocks that the large hosts of ``web`` are cut into."""
+    rows = _keyed(web)
+    hosts = saved(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("host"), "pages-hosts")
+    keys = rows.select(*KEY).join(hosts, "host", "left_semi")
+    key = "struct<host: string, path: string, order_id: bigint, order_tie: bigint>"
+    # Each range of the shuffle ends a block; a short one sees its neighbours.
+    found = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(_limits, f"start {key}, head {key}, tail {key}")
+    return Ranges([tuple(x and tuple(x) for x in row) for row in found.collect()])
+
+
+def _placed(cuts: Ranges):
+    """Rows of ``_keyed`` with their block, and copies for the other blocks that see them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, parts, own = [], [], []
+            for n, key in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY))):
+                block = cuts.block(key)
+                seen = sorted(cuts.seen_by(key, block))
+                take += [n] * (1 + len(seen))
+                parts += [block, *seen]
+                own += [True, *[False] * len(seen)]
+            found = [blocks(source or "") for source in batch.column("html").to_pylist()]
+            lines = pa.array([x[0] for x in found], pa.list_(pa.string()))
+            zones, marked = pa.array([bytes(x[1]) for x in found], pa.binary()), pa.array([x[2] for x in found], pa.bool_())
+            at = pa.array(take, pa.int64())
+            columns = [batch.column("host").take(at), pa.array([""] * len(take), pa.string()), pa.array(parts, pa.int64())]
+            columns += [x.take(at) for x in (batch.column("page_id"), batch.column("url"), batch.column("path"), lines, zones, marked)]
+            yield pa.record_batch([*columns, pa.array(own, pa.bool_())], names=[f.split()[0] for f in PARSED.split(", ")])
+
+    return run
 
 
 def _differenced(rows: pa.Table) -> pa.Table:
-    paths, lines, zones, marked = (rows.column(c).to_pylist() for c in ("path", "lines", "zones", "marked"))
+    rows = rows.sort_by([("path", "ascending"), ("page_id", "ascending")])
+    paths, lines, zones, marked, own = (rows.column(c).to_pylist() for c in ("path", "lines", "zones", "marked", "own"))
     pages = list(zip(paths, lines, map(list, zones)))
-    texts = [article(own, at, sure, shared) for (_, own, at), sure, shared in zip(pages, marked, difference(pages))]
-    return pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    texts = [article(mine, at, sure, shared) for (_, mine, at), sure, shared in zip(pages, marked, difference(pages))]
+    made = pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    return made.filter(pa.array(own, pa.bool_()))
+
+
+def parsed(web: DataFrame) -> DataFrame:
+    """The lines of every page, in its block (``own``) and in those that see it."""
+    return _keyed(web).mapInArrow(_placed(ranges(web)), PARSED)
 
 
 def blocked(web: DataFrame) -> DataFrame:
-    """``web`` with host, path and the (host, folder, part) in which a page is paired."""
-    place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    rows = web.select(
-        F.col("page_id").cast("long"), "url", F.lower(F.substring_index(place, "/", 1)).alias("host"),
-        F.regexp_replace(place, "[^/]*/?$", "").alias("in_folder"), place.alias("path"), "html",
-    )
-    folders = saved(rows.groupBy("host", "in_folder").agg(F.count("*").alias("n")), "pages-folders")
-    large = F.col("n") > BLOCK
-    parts = F.ceil(F.col("n") / BLOCK).cast("long")
-    hosts = folders.groupBy("host").agg(F.sum("n").alias("n")).where(large).select("host", parts.alias("host_parts"))
-    crowded = folders.where(large).select("host", "in_folder", parts.alias("folder_parts"))
-    # Written, so that Spark broadcasts them only if the files are small.
-    known = rows.join(saved(hosts, "pages-hosts"), "host", "left").join(saved(crowded, "pages-crowded"), ["host", "in_folder"], "left")
-    return known.select(
-        "host",
-        F.when(F.col("folder_parts").isNotNull(), F.col("in_folder")).otherwise("").alias("folder"),
-        F.when(F.col("folder_parts").isNotNull(), F.pmod(F.xxhash64("path", "page_id"), "folder_parts"))
-        .when(F.col("host_parts").isNotNull(), F.pmod(F.xxhash64("in_folder"), "host_parts"))
-        .otherwise(-1).alias("part"),
-        "page_id", "url", "path", "html",
-    )
+    """The pages of ``web`` with the (host, folder, part) in which they are paired."""
+    return parsed(web).where("own").drop("own")
 
 
 def main_texts(web: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row (page_id, url, html)."""
-    parsed = blocked(web).mapInArrow(_parse, PARSED)
-    return parsed.groupBy("host", "folder", "part").applyInArrow(_differenced, "page_id long, url string, text string")
+    return parsed(web).groupBy("host", "folder", "part").applyInArrow(_differenced, "page_id long, url string, text string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,26 @@ def test_runs_of_copies_are_walked_past():
     assert found[0] == ["another text " * 9] and all(x[:30] == story and len(x) <= 31 for x in found[1:])
     alone = rows[1:]
     assert left_lines(alone) == [row[1] for row in alone]
+
+
+def test_large_hosts_are_cut_in_path_order_and_blocks_see_their_neighbours(spark):
+    def page(i, section):
+        return f"<div>Site</div><div>Section {section}</div><p>story {i} as told on its own page<p>more of {i}"
+
+    rows = [(i, f"http://big.example/news/{i:05}", page(i, i // 2)) for i in range(3000)]
+    rows += [(5000 + i, f"http://big.example/x{i}/only", page(5000 + i, 9999)) for i in range(4)]
+    rows += [(6000 + i, f"http://run.example/a/{i:04}", page(1, 1)) for i in range(1500)]
+    rows += [(9000, "http://run.example/b", page(9000, 1))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    groups = {}
+    for r in pages.blocked(frame).where("host = 'big.example'").select("part", "path").collect():
+        groups.setdefault(r.part, []).append(r.path)
+    ends = sorted((min(x), max(x)) for x in groups.values())
+    assert len(ends) > 10 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    found = {r.page_id: r.text for r in pages.main_texts(frame).collect()}
+    assert len(found) == len(rows)
+    # Sections of two pages each: the nearest URL is the only page that shares the section's line.
+    own = {i: f"story {i} as told on its own page\n\nmore of {i}" for i in (*range(3000), *range(5000, 5004), 9000)}
+    assert all(found[i].endswith(own[i]) and "Site" not in found[i] for i in own if i != 9000)
+    assert sum(found[i] == own[i] for i in range(3000)) >= 1500 and all(found[i] == own[i] for i in range(5001, 5004))
+    assert all(found[6000 + i] == own[1] for i in range(1500)) and found[9000] == own[9000]
