@@ -10,7 +10,7 @@ only a pair that leaves one page nearly nothing of its own is taken as copies an
 An exact check follows, by the element that a line stands in. Lines in elements that are
 never article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments, by tag, role, class or id) go also where they differ between the pages. Where a
-page marks its article (or main) element, the lines inside it stay, shared ones too (two
+page marks its article (or main) element, and this holds most of the other text, the lines inside it stay, shared ones too (two
 articles that quote one passage), and lines outside go. Elsewhere differencing decides.
 
 Pages are grouped by host. Hosts of more than BLOCK pages are cut into ranges of at most
@@ -54,6 +54,8 @@ RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|au
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements whose ids inside an article name its parts.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -91,6 +93,8 @@ def _zone(tag: str, attrs: str, outer: int) -> int:
             if name.lower() == "role":
                 if words in BOILER_ROLES:
                     return BOILER
+            elif outer == MAIN and name.lower() == "id" and tag in TITLED:
+                continue  # an anchor of the article's own
             elif tag not in ("html", "body", *MAIN_TAGS) and not BOILER_NAMES.isdisjoint(re.split(r"[\s_-]+", words)):
                 return BOILER
         if _HIDDEN.search(attrs):
@@ -155,6 +159,11 @@ def blocks(html: str) -> tuple[list[str], list[int], bool]:
         stack.append((tag, inner))
         zone = inner
     flush()
+    if marked:
+        # A teaser card or an empty element is no article: it holds most of the other text.
+        inside, outside = (sum(len(x) for x, at in zip(lines, zones) if at == wanted) for wanted in (MAIN, UNMARKED))
+        if inside <= outside:
+            zones, marked = [UNMARKED if at == MAIN else at for at in zones], False
     return lines, zones, marked
 
 

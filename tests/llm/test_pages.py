@@ -145,3 +145,14 @@ def test_large_hosts_are_cut_in_path_order_and_blocks_see_their_neighbours(spark
     assert all(found[i].endswith(own[i]) and "Site" not in found[i] for i in own if i != 9000)
     assert sum(found[i] == own[i] for i in range(3000)) >= 1500 and all(found[i] == own[i] for i in range(5001, 5004))
     assert all(found[6000 + i] == own[1] for i in range(1500)) and found[9000] == own[9000]
+
+
+def test_a_teaser_is_no_article_and_sections_keep_their_names():
+    story = "<p>The story stands outside of any article element.<p>It is long."
+    for teaser in ("<article><p>Read this too</article>", "<main></main>"):
+        lines, zones, marked = pages.blocks(f"<nav>go</nav>{teaser}<div>{story}</div>")
+        assert not marked and pages.MAIN not in zones and zones[0] == pages.BOILER
+        assert "The story stands outside of any article element." in pages.article(lines, zones, marked, set())
+    inside = '<h2 id="related">Related work</h2><section id="discussion"><p>We discuss</section>'
+    lines, zones, marked = pages.blocks(f'<article><p>One{inside}<section class="comments">says</section></article><section id="comments">x</section>')
+    assert pages.article(lines, zones, marked, set()) == "One\n\nRelated work\n\nWe discuss"
