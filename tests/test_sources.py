@@ -135,6 +135,19 @@ def test_live_files(spark, tmp_path):
     assert {json.loads(r.value)["input_tokens"] for r in spark.read.text(str(tmp_path / "b0")).collect()} == {8, 9}
 
 
+def test_live_latest_keeps_the_last_line(spark, tmp_path):
+    # The same messages over and over: a file's last snapshot of each wins, whatever its time.
+    rows = [claude(f"m{i % 7}", i, at=f"2026-03-08T12:00:{59 - i // 7:02}Z") for i in range(7 * 50)]
+    write(tmp_path / "in" / "projects" / "p" / f"{A}.jsonl", *rows)
+    stream = live.stream_usage(spark, str(tmp_path / "in"), logs.PROVIDERS["claude_code"])
+    live.fan_out(stream, [lambda df, e: df.write.mode("overwrite").parquet(str(tmp_path / f"a{e}"))], str(tmp_path / "ck0"), availableNow=True).awaitTermination()
+    placed = spark.read.parquet(str(tmp_path / "a0")).orderBy("line_no").collect()
+    assert [r.input_tokens for r in placed] == list(range(350)) and len({r.line_no for r in placed}) == 350
+    live.stream_latest(stream.repartition(4, "input_tokens"), str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True).awaitTermination()
+    found = {r.message_id: r.input_tokens for r in live.current(spark, str(tmp_path / "out")).collect()}
+    assert found == {f"m{i}": 343 + i for i in range(7)}
+
+
 def test_post_and_report(spark, data, tmp_path):
     from tallyforge.schema import from_events
 
