@@ -23,6 +23,7 @@ columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,19 +56,23 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         encode, task, made = encoder(path, False).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
-                n = len(ids)
-                for start in range(0, n, WINDOW):
-                    piece, marks = ids[start : start + WINDOW].tobytes(), b""
-                    if n - start < WINDOW:
-                        at, crc, so_far = [], 0, 0
-                        for end in range(4 * GRAIN, len(piece), 4 * GRAIN):
-                            crc, so_far = zlib.crc32(piece[so_far:end], crc), end
-                            at.append(crc)
-                        marks = np.array(at, dtype="<u4").tobytes()
-                    rows.append(((task << 40) + made, doc, n, start, len(piece) // 4, zlib.crc32(piece), marks))
-                    made += 1
+            docs = batch.column(0).to_pylist()
+            for first, ids, ends in encode(batch.column(1), END_ID):
+                raw, begin = memoryview(ids.astype("<u4").tobytes()), 0
+                for doc, end in zip(docs[first:], ends.tolist()):
+                    n = end - begin
+                    for start in range(0, n, WINDOW):
+                        piece, marks = raw[4 * (begin + start) : 4 * min(begin + start + WINDOW, end)], b""
+                        crc = so_far = 0
+                        if n - start < WINDOW:
+                            at = []
+                            for stop in range(4 * GRAIN, len(piece), 4 * GRAIN):
+                                crc, so_far = zlib.crc32(piece[so_far:stop], crc), stop
+                                at.append(crc)
+                            marks = array("I", at).tobytes()
+                        rows.append(((task << 40) + made, doc, n, start, len(piece) // 4, zlib.crc32(piece[so_far:], crc), marks))
+                        made += 1
+                    begin = end
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64()] * 6 + [pa.binary()]
             names = [f.split()[0] for f in PIECES.split(", ")]
