@@ -9,7 +9,7 @@ Layout of a store folder (Parquet, written by Spark's committers):
   part, doc_id, row (its place in the part), start within the part, n_tokens and the ids
   of its chunks in order.
 - ``manifest``: one row per part - its rows, its ids, the ids of all parts before it, and
-  the Merkle root over the leaves of its documents.
+  the Merkle root over its documents (id, number of ids, chunk ids), which ``read`` checks.
 
 A rolling hash over the last ROLL ids cuts a document's ids where its low bits are zero,
 so equal passages give equal chunks wherever they stand. Each chunk is stored once.
@@ -35,36 +35,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import new_path, table
+from tallyforge.llm.common import new_path, spread_join, table
 from tallyforge.llm.packing import shifted
 from tallyforge.llm.tokens import WORD_BPE, encoder, tokenizer_path
+from tallyforge.scratch import remove
 
 END_ID = 1
 ROLL = 16
 #: A cut where the low bits of the rolling hash are zero: one place in 512.
 CUT_MASK = np.uint64(511 << 40)
 LEAST, MOST = 64, 4096
+#: Children of a node of the Merkle trees.
+FAN = 256
 ID_BYTES = 16
 STAGED = "doc_id long, n_tokens long, tie long, chunk_ids binary, chunk_id binary, n_ids int, payload binary"
 
 
-def _rolled(ids: np.ndarray) -> np.ndarray:
-    """Rolling hash at each place: mixed values of the last ROLL ids, summed modulo 2^64
-    (a running sum less the one ROLL places before) and mixed once more."""
+def places(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash allows a cut: mixed values of the last ROLL ids, summed modulo
+    2^64 (a running sum less the one ROLL places before) and mixed once more. Chunks have at
+    least LEAST ids, more than ROLL, so texts may stand one after the other in ``ids``."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     total = np.cumsum(mixed, dtype=np.uint64)
     total[ROLL:] -= total[:-ROLL].copy()
-    return total * np.uint64(0xD6E8FEB86659FD93)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return np.flatnonzero((total & CUT_MASK) == 0) + 1
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids; chunks have LEAST to MOST ids but the last."""
-    n, ends, start = len(ids), [], 0
-    with np.errstate(over="ignore"):
-        places = np.flatnonzero((_rolled(ids) & CUT_MASK) == 0) + 1
-    for place in [*places.tolist(), n]:
+def cuts(begin: int, n: int, allowed: list[int]) -> list[int]:
+    """Ends of the chunks of one document's ids, which start at ``begin``, given the places
+    where a cut is allowed; chunks have LEAST to MOST ids but the last."""
+    ends, start, n = [], begin, begin + n
+    for place in [*allowed, n]:
         while place - start > MOST:
             start += MOST
             ends.append(start)
@@ -88,21 +92,28 @@ def _staged(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
         encode, sent = encoder(path, True).encode, set()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, start, names = np.append(encode(text), np.uint32(END_ID)).astype("<u4"), 0, []
-                wide, narrow = memoryview(ids.tobytes()), None
-                for end in cuts(ids):
-                    name = chunk_id(wide[4 * start : 4 * end])
-                    names.append(name)
-                    if name not in sent:
-                        if len(sent) > 500_000:
-                            sent.clear()
-                        sent.add(name)
-                        narrow = narrow or ids.astype("<u2").tobytes()
-                        rows.append((None, None, None, None, name, end - start, narrow[2 * start : 2 * end]))
-                    start = end
-                joined = b"".join(names)
-                rows.append((doc, len(ids), zlib.crc32(joined), joined, None, None, None))
+            docs = batch.column(0).to_pylist()
+            for first, ids, ends in encode(batch.column(1), END_ID):
+                if len(ids) and ids.max() >= 1 << 16:
+                    raise ValueError("the store keeps ids of 16 bits; this vocabulary has larger ones")
+                wide, narrow = memoryview(ids.astype("<u4").tobytes()), memoryview(ids.astype("<u2").tobytes())
+                at, begin = places(ids), 0
+                limits = np.searchsorted(at, ends).tolist()
+                at, low = at.tolist(), 0
+                for doc, end, high in zip(docs[first:], ends.tolist(), limits):
+                    names, start = [], begin
+                    for stop in cuts(begin, end - begin, at[low:high]):
+                        name = chunk_id(wide[4 * start : 4 * stop])
+                        names.append(name)
+                        if name not in sent:
+                            if len(sent) > 500_000:
+                                sent.clear()
+                            sent.add(name)
+                            rows.append((None, None, None, None, name, stop - start, bytes(narrow[2 * start : 2 * stop])))
+                        start = stop
+                    joined = b"".join(names)
+                    rows.append((doc, end - begin, zlib.crc32(joined), joined, None, None, None))
+                    begin, low = end, high
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in STAGED.split(", ")])
@@ -110,45 +121,25 @@ def _staged(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, STAGED)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merkle root, rows and ids of each part from its recipes, in order. A node over two
-    children hashes both; equal-sized subtrees are merged as they come, so only one node
-    for each level is held."""
-    state: dict[int, list] = {}
-
-    def done(part: int) -> tuple:
-        rows, ids, nodes = state.pop(part)
-        root = b""
-        for _, node in reversed(nodes):
-            root = hashlib.sha256(node + root).digest()
-        return part, rows, ids, root
-
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [[]] * 4
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "rows", "ids", "root"])
-
-    for batch in batches:
-        found = []
-        for part, doc, n, names in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "chunk_ids"))):
-            if part not in state:
-                found += [done(p) for p in list(state)]
-                state[part] = [0, 0, []]
-            kept = state[part]
-            kept[0] += 1
-            kept[1] += n
-            node = (1, hashlib.sha256(f"{doc}:{n}:".encode() + names).digest())
-            while kept[2] and kept[2][-1][0] == node[0]:
-                size, left = kept[2].pop()
-                node = (2 * size, hashlib.sha256(left + node[1]).digest())
-            kept[2].append(node)
-        yield out(found)
-    yield out([done(p) for p in list(state)])
-
-
 def _manifest(recipes: DataFrame) -> DataFrame:
-    dealt = recipes.repartition("part").sortWithinPartitions("part", "row")
-    return dealt.select("part", "doc_id", "n_tokens", "chunk_ids").mapInArrow(_roots, "part int, rows long, ids long, root binary")
+    """(part, rows, ids, root) of each part: the Merkle root over its documents in order, with
+    up to FAN children to a node. Only hashes are shuffled, and no group holds more than FAN of
+    them but the roots of parts beyond FAN^3 documents."""
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    leaf = F.sha2(F.concat_ws(":", doc, "n_tokens", F.hex("chunk_ids")).cast("binary"), 256)
+    nodes = recipes.select("part", F.col("row").cast("long").alias("at"), leaf.alias("node"), F.lit(1).cast("long").alias("rows"), F.col("n_tokens").alias("ids"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x.node), "")
+    sums = [F.sha2(joined.cast("binary"), 256).alias("node"), F.sum("rows").alias("rows"), F.sum("ids").alias("ids")]
+    for _ in range(2):
+        nodes = nodes.groupBy("part", F.floor(F.col("at") / FAN).alias("above")).agg(*sums).withColumnRenamed("above", "at")
+    return nodes.groupBy("part").agg(*sums).select("part", "rows", "ids", F.col("node").alias("root"))
+
+
+def _placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with the ids ``before`` each part: one row per part, that is per task of the
+    range partitioning, far fewer than documents."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -170,17 +161,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
         "n_tokens", "chunk_ids",
     )
     recipes.write.parquet(f"{folder}/recipes")
-    # One row per part: far fewer than documents, one per task of the range partitioning.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    made = _manifest(spark.read.parquet(f"{folder}/recipes"))
-    made.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
+    _placed(_manifest(spark.read.parquet(f"{folder}/recipes"))).write.parquet(f"{folder}/manifest")
     for spare in ("staging", "ordered"):
-        _remove(spark, f"{folder}/{spare}")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, f"{folder}/{spare}")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +202,16 @@ def _references(recipes: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store.
+
+    The recipes must give the roots of the manifest first: a recipe that was changed, moved or
+    lost, or a changed manifest, is an error here. Chunks prove themselves while they are read."""
+    bad = [r.part for r in verify(spark, folder).orderBy("part").take(5)]
+    if bad:
+        raise ValueError(f"recipes do not give the manifest's roots in parts {bad} of {folder}")
     recipes, manifest = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/manifest")
     stored = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "payload").mapInArrow(_checked, "chunk_id binary, n long, crc long")
-    found = _references(recipes).join(stored, "chunk_id")
+    found = spread_join(_references(recipes), stored, "chunk_id", "store-chunks", "inner")
     whole = found.groupBy("part", "row").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("chunks"))
     sums = whole.mapInArrow(_combined, "part int, row int, n long, crc long")
     light = recipes.select("part", "row", "doc_id", "start", "n_tokens")
@@ -233,10 +222,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts whose recipes do not give the manifest's root, rows or ids; empty if all hold."""
-    now = _manifest(spark.read.parquet(f"{folder}/recipes"))
-    listed = spark.read.parquet(f"{folder}/manifest").drop("before")
-    return listed.exceptAll(now).unionByName(now.exceptAll(listed)).select("part").distinct()
+    """(part) whose recipes do not give the manifest's root, rows, ids or place; empty if all hold."""
+    now = _placed(_manifest(spark.read.parquet(f"{folder}/recipes")))
+    listed = spark.read.parquet(f"{folder}/manifest")
+    both = listed.select("part", F.struct("rows", "ids", "root", "before").alias("then")).join(
+        now.select("part", F.struct("rows", "ids", "root", "before").alias("now")), "part", "full"
+    )
+    return both.where(~F.col("then").eqNullSafe(F.col("now"))).select("part")
 
 
 def reconstruct(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import store
+from tallyforge.llm import common, store
 from tallyforge.llm.common import new_path
 from tallyforge.llm.tokens import WORD_BPE, tokenizer_path
 
@@ -12,7 +13,6 @@ from tallyforge.llm.tokens import WORD_BPE, tokenizer_path
 def slow_rows(texts):
     """texts: [(doc_id, text)] in ascending order."""
     whole, start, out = Tokenizer.from_file(tokenizer_path(WORD_BPE)), 0, []
-    whole.encode_special_tokens = True
     for doc, text in texts:
         ids = np.array([*(whole.encode(text, add_special_tokens=False).ids if text else []), 1], dtype="<u4")
         out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -53,6 +53,60 @@ def test_a_changed_chunk_is_found(spark):
         spark.read.parquet(f"{folder}/bad/chunks").select("chunk_id", "payload").mapInArrow(store._checked, "chunk_id binary, n long, crc long").collect()
 
 
+@pytest.fixture(scope="module")
+def tampered(spark):
+    """A store, and a way to copy it with one of its tables changed."""
+    long = " ".join(f"word{i % 977} other{i}" for i in range(3_000))
+    folder = new_path(spark, "store-test")
+    store.write(spark.createDataFrame([(i, f"{i} {long[i * 50 :]}") for i in range(6)], "doc_id long, text string"), folder)
+
+    def change(name, how):
+        other = new_path(spark, "store-test")
+        for part in ("chunks", "recipes", "manifest"):
+            rows = spark.read.parquet(f"{folder}/{part}")
+            (how(rows) if part == name else rows).write.parquet(f"{other}/{part}")
+        return other
+
+    return change
+
+
+SWAPPED = "CASE WHEN doc_id = 3 THEN concat(substr(chunk_ids, 17, 16), substr(chunk_ids, 1, 16), substr(chunk_ids, 33)) ELSE chunk_ids END"
+LOST = "CASE WHEN doc_id = 2 THEN substr(chunk_ids, 17) ELSE chunk_ids END"
+
+
+@pytest.mark.parametrize(
+    ("name", "how"),
+    [
+        ("recipes", lambda x: x.withColumn("chunk_ids", F.expr(SWAPPED))),
+        ("recipes", lambda x: x.withColumn("chunk_ids", F.expr(LOST))),
+        ("recipes", lambda x: x.where("doc_id <> 5")),
+        ("recipes", lambda x: x.withColumn("doc_id", F.col("doc_id") + 1)),
+        ("manifest", lambda x: x.withColumn("before", F.col("before") + 1)),
+        ("manifest", lambda x: x.withColumn("root", F.reverse("root"))),
+        ("manifest", lambda x: x.where("part < 0")),
+    ],
+    ids=["swapped", "dropped chunk", "dropped document", "renamed", "moved", "root", "no part"],
+)
+def test_a_changed_store_is_not_read(spark, tampered, name, how):
+    with pytest.raises(ValueError, match="manifest's roots"):
+        store.read(spark, tampered(name, how))
+
+
+def test_a_lost_chunk_is_an_error(spark, tampered):
+    folder = tampered("chunks", lambda x: x.orderBy("chunk_id").offset(1))
+    with pytest.raises(Exception, match="chunks are missing"):
+        store.read(spark, folder).collect()
+
+
+def test_a_chunk_that_many_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    shared = " ".join(f"word{i % 977} other{i}" for i in range(1_500))
+    texts = [(i, f"{i} {shared}" if i % 3 == 0 else f"own words {i}") for i in range(120)]
+    folder = new_path(spark, "store-test")
+    store.write(spark.createDataFrame(texts, "doc_id long, text string"), folder)
+    assert sorted(map(tuple, store.read(spark, folder).collect())) == slow_rows(texts)
+
+
 def test_empty_table(spark):
     folder = new_path(spark, "store-test")
     store.write(spark.createDataFrame([], "doc_id long, text string"), folder)
@@ -62,6 +116,9 @@ def test_empty_table(spark):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(2, 49_000, 20_000).astype(np.uint32)
-    ends, moved = store.cuts(ids), store.cuts(np.append(np.uint32(7), ids))
+    longer = np.append(np.uint32(7), ids)
+    ends, moved = (store.cuts(0, len(x), store.places(x).tolist()) for x in (ids, longer))
+    behind = store.cuts(1, len(ids), store.places(longer).tolist())  # the same ids, behind another text
+    assert [e - 1 for e in behind] == ends
     assert ends[-1] == 20_000 and np.diff([0, *ends]).max() <= store.MOST
     assert len({e + 1 for e in ends} & set(moved)) > 0.8 * len(ends)
