@@ -6,15 +6,17 @@ differ in at most RADIUS bits are linked; a document's class is its connected co
 How every link is found without comparing all pairs: equal fingerprints are one class
 first. The 64 bits are cut into six blocks; two fingerprints within four bits agree on at
 least two whole blocks, so both meet in one of the 15 groups keyed by a pair of blocks.
-Inside a group, tiles of fingerprints are compared whole with numpy exclusive-or and bit
-counts. A group larger than one tile is cut by population count, each pair of tiles
-becomes a unit of work of its own, and pairs of tiles whose population counts differ by
-more than the radius are never formed (bits that differ are at least that difference).
+Inside a group, tiles of fingerprints are compared with numpy exclusive-or and bit counts, in
+the order of their population counts: blocks whose counts differ by more than the radius are
+skipped (bits that differ are at least that difference). A group larger than one tile is cut by
+population count, each pair of tiles becomes a unit of work of its own, and pairs of tiles whose
+counts differ by more than the radius are never formed.
 A tile comparison reports a spanning forest of its links, never all pairs of a group.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a
-text of under four words is one shingle; rows with a null id take part, and a class's id
-is the smallest non-null id; repeated rows share a class; an empty table gives no rows.
+text of under four words is one shingle; rows with a null id take part and link others, and
+a class's id is the smallest non-null id (null if it has none); repeated rows share a class;
+an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import saved, spread_join, table
 from tallyforge.llm.components import components
 
 SEED = 42
@@ -57,16 +61,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) with the fingerprint as a signed bigint."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: str | None = None) -> DataFrame:
+    """(id, fp) with the fingerprint as a signed bigint, and a carried column as ``place``."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(carried).alias("place")] if carried else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            columns = [batch.column("doc_id"), pa.array(found.view(np.int64)), *([batch.column("place")] if carried else [])]
+            yield pa.record_batch(columns, names=["doc_id", "fp", *(["place"] if carried else [])])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *(f for f in ids.schema.fields if f.name == "place")])
+    return ids.mapInArrow(run, schema)
 
 
 def _masks() -> list[int]:
@@ -93,13 +99,20 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tile_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a and b within the radius, reduced to a spanning forest by blocks."""
+    """Index pairs of a and b within the radius, reduced to a spanning forest by blocks. Both
+    are taken in the order of their population counts, and a block meets only the others whose
+    counts are within the radius of its own."""
     none = np.empty(0, dtype=np.int64)
     n, out_i, out_j = len(a) + len(b), [none], [none]
+    by_a, by_b = (np.argsort(np.bitwise_count(x), kind="stable") for x in (a, b))
+    sorted_b = b[by_b]
+    counts_a, counts_b = np.bitwise_count(a[by_a]).astype(np.int64), np.bitwise_count(sorted_b).astype(np.int64)
     for at in range(0, len(a), 256):
-        rows = a[at : at + 256]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ b[None, :]) <= RADIUS)
-        low = _forest(n, i + at, j + len(a))
+        block = by_a[at : at + 256]
+        lo = np.searchsorted(counts_b, counts_a[at] - RADIUS, side="left")
+        hi = np.searchsorted(counts_b, counts_a[at + len(block) - 1] + RADIUS, side="right")
+        i, j = np.nonzero(np.bitwise_count(a[block][:, None] ^ sorted_b[None, lo:hi]) <= RADIUS)
+        low = _forest(n, block[i], by_b[lo + j] + len(a))
         moved = np.flatnonzero(low != np.arange(n))
         out_i.append(moved)
         out_j.append(low[moved])
@@ -132,7 +145,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, end = starts[g], starts[g + 1]
             if unit[2][at] == unit[3][at]:  # a tile with itself
                 for lo in range(at, end, TILE):
-                    for lo2 in range(lo, end, TILE):
+                    for lo2 in range(lo, end, TILE):  # the other order says the same
                         a, b = np.arange(lo, min(lo + TILE, end)), np.arange(lo2, min(lo2 + TILE, end))
                         i, j = _tile_links(fp[a], fp[b])
                         both = np.concatenate((a, b))
@@ -199,27 +212,58 @@ def _units(reps: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def cluster(prints: DataFrame, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) for rows (doc_id, fp). Saves ``prints`` once."""
-    prints = saved(prints, "simhash-prints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    units = _units(classes.where("rep IS NOT NULL"), tile)
+def _named(prints: DataFrame, tile: int) -> DataFrame:
+    """(fp, first, component) of each fingerprint of rows (fp, order): its first row by
+    ``order``, and the smallest fingerprint that links lead to."""
+    classes = saved(prints.groupBy("fp").agg(F.min("order").alias("first")), "simhash-classes")
+    units = _units(classes.select("fp", F.col("fp").alias("rep")), tile)
     dealt = units.repartition("band", "key", "ta", "tb").sortWithinPartitions("band", "key", "ta", "tb")
     found = components(dealt.mapInArrow(_compare, "a long, b long"), "simhash-links")
-    named = classes.join(found, classes.rep == found.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(found, classes.fp == found.node, "left")
+    return saved(named.select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-named")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (columns of ``documents``) with one row of each class: its smallest id.
-
-    Rows without an id can't be told apart and stay."""
-    clustered = cluster(fingerprints(docs))
-    kept = clustered.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+def cluster(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """(doc_id, fp, component_id) for rows (doc_id, fp). Saves ``prints`` once."""
+    prints = saved(prints, "simhash-prints")
+    named = _named(prints.select("fp", F.col("doc_id").alias("order")), tile)
+    ids = saved(named.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-ids")
+    of_class = spread_join(named.select("fp", "component"), ids, "component", "simhash-components").select("fp", "component_id")
+    return spread_join(prints, of_class, "fp", "simhash-classes").select("doc_id", "fp", "component_id")
+
+
+def _place(docs: DataFrame) -> Column:
+    """The file, and the row in it, that each row of a table was read from."""
+    at = docs.metadataColumn("_metadata")
+    path = at["file_path"]
+    return F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("check"), at["row_index"].alias("row")).alias("_place")
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is read from Parquet files, else a copy that is."""
+    try:
+        docs.select(_place(docs))
+    except AnalysisException:
+        return saved(docs, "simhash-docs")
+    return docs
+
+
+def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """``docs`` (columns of ``documents``) with one row of each class: the one of the smallest
+    id; of rows with that id, the smallest fingerprint's; of those, one row. Rows without an id
+    come after all others, so a class of such rows keeps one.
+
+    A row is known by its file and its number there, so different texts under one id are told
+    apart. Texts are shuffled once, to meet the list of the rows that stay; a table that is not
+    read from Parquet files is written first."""
+    docs = _stored(docs)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("place"))
+    rows = docs.select("doc_id", "text", _place(docs))
+    prints = saved(fingerprints(rows, carried="_place"), "simhash-prints")
+    named = _named(prints.select("fp", order.alias("order")), tile)
+    kept = saved(named.groupBy("component").agg(F.min("first").alias("first")).select("first.place.*"), "simhash-kept")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _place(docs)).select("_row", "_place.*")
+    return whole.join(kept, ["file", "check", "row"], "left_semi").select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

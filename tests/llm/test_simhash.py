@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyforge.llm import simhash
+from tallyforge.llm import common, simhash
 from tallyforge.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,7 +75,7 @@ def test_odd_rows(spark):
     assert len(clustered) == 8 and by[1] == by[2] == by[3] == {1} and by[4] == by[5] == by[None] == {4}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6"]
     assert simhash.cluster(simhash.fingerprints(docs.where("false"))).count() == 0
 
 
@@ -85,6 +85,37 @@ def test_clashing_columns(spark):
     assert [tuple(r) for r in kept] == [(1, "a b c d e", 7, 8)]
 
 
+def test_rows_without_an_id_link_others(spark):
+    rows = simhash.cluster(spark.createDataFrame([(1, 0), (None, 0x0F), (2, 0xFF), (None, -1)], "doc_id long, fp long")).collect()
+    assert {(r.doc_id, r.fp): r.component_id for r in rows} == {(1, 0): 1, (None, 0x0F): 1, (2, 0xFF): 1, (None, -1): None}
+
+
+def test_texts_under_one_id_are_told_apart(spark, tmp_path):
+    """Of rows (7, x), (7, y), (8, y), (null, z): y's class has ids 7 and 8 and keeps 7."""
+    texts = {k: " ".join(f"{k}{i % 977} other{i}" for i in range(300)) for k in "xyz"}
+    rows = [(7, texts["x"], 1), (7, texts["y"], 2), (8, texts["y"], 3), (None, texts["z"], 4), (None, texts["z"], 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, _place long").write.parquet(str(tmp_path / "docs"))
+    kept = simhash.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert sorted((r.doc_id or 0, r.text[0], r._place) for r in kept) == [(0, "z", 4), (7, "x", 1), (7, "y", 2)]
+
+
+def test_a_third_of_all_rows_on_one_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rng = np.random.default_rng(7)
+    prints = {d: 5 if d % 3 == 0 else int(rng.integers(0, 1 << 62)) ^ d % 2 for d in range(300)}
+    rows = simhash.cluster(spark.createDataFrame(list(prints.items()), "doc_id long, fp long")).collect()
+    assert len(rows) == 300 and {r.doc_id: r.component_id for r in rows} == slow_classes(prints)
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """Two stars of hundreds of links, joined by a path, whose centres are not their least nodes."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    pairs = [(1000, i) for i in range(1, 300)] + [(2000, i) for i in range(400, 700)] + [(1000, 900), (900, 2000), (5000, 5001)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert len(found) == 299 + 300 + 3 + 2
+    assert all(c == (5000 if n >= 5000 else 1) for n, c in found.items())
+
+
 def test_components_of_a_path(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert components(links).where("component <> 0").count() == 0
