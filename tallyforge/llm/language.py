@@ -5,18 +5,20 @@ one-versus-one linear support vector machines whose votes separate related langu
 Features are hashed byte n-grams of the lower-cased letters of the whole text, scaled to
 unit length and made where they are used; no feature table is shuffled.
 
-The models are fitted on a bounded, documented sample: about PER_LANGUAGE labelled texts
-of each language, picked by hash of the id over all of them.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows are
-judged one by one, so repeated rows get equal answers; a null id is never held out and is
-not learned from; without labelled rows every text with letters is ``und``; languages
-outside FAMILIES form a family of their own; further columns are not read.
+The models are fitted on a bounded, documented sample: the PER_LANGUAGE labelled texts of each
+language with the least hashes, over all of them; the family classifier uses at most
+FAMILY_ROWS of these. What reaches the driver are their hashed counts, at most
+2^BITS numbers a text, never texts.
+
+Defined cases: a null text, or one without a letter (Unicode categories L*), is ``und`` with
+score 0; rows are judged one by one, so repeated rows get equal answers; a null id is never
+held out and is not learned from; without labelled rows every text with letters is ``und``;
+languages that tie are taken by margin, then by name; languages outside FAMILIES form a family
+of their own; further columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import least_hashed, likely_least, saved, table
 
 UNKNOWN = "und"
 #: Bits of a hashed n-gram.
 BITS = 13
-#: Labelled texts of a language that its models are fitted on, about.
-PER_LANGUAGE = 600
+#: Labelled texts of a language that its models are fitted on, and of all languages that the
+#: family classifier is fitted on, at most.
+PER_LANGUAGE, FAMILY_ROWS = 600, 6_000
 #: Share of 4 whose ids are held out of learning, by crc32.
 HELD_OUT = 2
 
@@ -43,7 +46,6 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk"),
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -80,26 +82,46 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, c: float = 20.0) -> np.
     return w
 
 
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class Model:
     """Weight vectors as columns of one table: families first, then pairs of languages."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
+    def __init__(self, samples: list[tuple[str, np.ndarray, np.ndarray]]):
+        """``samples`` has (language, buckets in use, their counts) of each text."""
+        by_lang: dict[str, list[int]] = {}
+        for n, (lang, _, _) in enumerate(samples):
+            by_lang.setdefault(lang, []).append(n)
+        self.langs = sorted(by_lang)
         self.families = sorted({family(x) for x in self.langs})
         self.pairs = [(a, b) for f in self.families for i, a in enumerate(self.of(f)) for b in self.of(f)[i + 1 :]]
-        rows = np.array([_scaled(counts(t)) for t in texts], dtype=np.float32).reshape(len(texts), 1 << BITS)
-        own, named = np.array([family(x) for x in langs]), np.array(langs)
-        columns = [_svm(rows, np.where(own == f, 1.0, -1.0)) for f in self.families if len(self.families) > 1]
+
+        def rows(langs: list[str], each: int) -> tuple[np.ndarray, np.ndarray]:
+            """Scaled rows of ``each`` texts of each language at most, and their languages."""
+            taken = [n for lang in langs for n in by_lang[lang][:each]]
+            dense = np.zeros((len(taken), 1 << BITS), dtype=np.float32)
+            for row, n in zip(dense, taken):
+                row[samples[n][1]] = samples[n][2]
+                row /= max(1e-9, float(np.sqrt(row @ row)))
+            return dense, np.array([samples[n][0] for n in taken])
+
+        columns = []
+        if len(self.families) > 1:
+            x, named = rows(self.langs, max(1, FAMILY_ROWS // len(self.langs)))
+            own = np.array([family(lang) for lang in named])
+            columns += [_svm(x, np.where(own == f, 1.0, -1.0)) for f in self.families]
         for a, b in self.pairs:
-            either = (named == a) | (named == b)
-            columns.append(_svm(rows[either], np.where(named[either] == a, 1.0, -1.0)))
+            x, named = rows([a, b], len(samples))
+            columns.append(_svm(x, np.where(named == a, 1.0, -1.0)))
         self.weights = np.array(columns, dtype=np.float32).reshape(-1, 1 << BITS)
 
     def of(self, name: str) -> list[str]:
         return [x for x in self.langs if family(x) == name]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not _has_letter(text):
             return UNKNOWN, 0.0
         margins = self.weights @ _scaled(counts(text))
         n = len(self.families) if len(self.families) > 1 else 0
@@ -129,18 +151,26 @@ def _held_out() -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` texts of each language, taken by hash of the id at the
-    share that the counts of all labelled rows give."""
+    """Fit on the ``per_language`` texts of each language with the least hashes."""
     rows = learned(docs)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    shares = counts.select("lang", (F.lit(per_language * 1_000_000.0) / F.col("n")).cast("long").alias("share"))
     # One row per language, written, so that Spark knows its size and joins it without
     # shuffling texts while it is small.
-    shares = saved(shares, "language-shares")
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
-    picked = rows.join(shares, "lang").where(hashed < F.col("share")).select("doc_id", "lang", "text")
-    sample = sorted((r.doc_id, r.lang, r.text) for r in picked.collect())
-    return Model([t for _, _, t in sample], [x for _, x, _ in sample])
+    hashed = rows.select("lang", "text", F.xxhash64("doc_id", F.lit(8)).alias("h"))
+    totals = saved(hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "language-counts")
+    # The least hash itself always passes: rows of one id have one hash.
+    likely = likely_least(F.col("h"), per_language, F.col("n")) | (F.col("h") == F.col("least"))
+    near = hashed.join(totals, "lang").where(likely).select("lang", "h", F.xxhash64("text").alias("tie"), "text")
+    picked = least_hashed(near, "lang", per_language, "h", "tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts(t) for t in batch.column("text").to_pylist()]
+            at = [np.flatnonzero(c) for c in found]
+            columns = [pa.array([x.astype("<u2").tobytes() for x in at], pa.binary()), pa.array([c[x].astype("<u4").tobytes() for c, x in zip(found, at)], pa.binary())]
+            yield pa.record_batch([batch.column("lang"), batch.column("h"), batch.column("tie"), *columns], names=["lang", "h", "tie", "at", "count"])
+
+    sample = sorted(picked.mapInArrow(run, "lang string, h long, tie long, at binary, count binary").collect())
+    return Model([(r.lang, np.frombuffer(r.at, dtype="<u2"), np.frombuffer(r["count"], dtype="<u4")) for r in sample])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
