@@ -1,5 +1,12 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter, defaultdict
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from tallyforge.llm import pii
 
@@ -46,6 +53,7 @@ def check(rows, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), (r.doc_id, base, r.spans)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in base) for k in BASE]
         assert r.spans.split(",")[: len(base)] == (base or r.spans.split(",")[:0])
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
 
 
 def test_base_spans_equal_brute_force(spark, data, tmp_path):
@@ -84,3 +92,137 @@ def test_reliabilities_learn_from_agreement():
     histogram = [("k", (1, 1, 1, 1), 900), ("k", (0, 0, 1, 0), 400), ("k", (1, None, 0, 1), 50)]
     q = pii.reliabilities(histogram)
     assert q["k", (1, 1, 1, 1)] > 0.9 and q["k", (0, 0, 1, 0)] < 0.1 and q["k", (1, None, 0, 1)] > 0.5
+
+
+def test_running_aggregates_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(-9, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 63, 64, 65, 4097, 40_000])]
+    df = spark.createDataFrame(rows, "i int, x array<int>")
+    found = df.select("i", "x", F.expr(pii._running("x", "0", pii.SUM)).alias("s"), F.expr(pii._running("x", "-99", pii.MOST)).alias("m")).collect()
+    for r in found:
+        assert r.s == [0, *accumulate(r.x)][: len(r.x)]
+        assert r.m == [-99, *accumulate(r.x, max)][: len(r.x)]
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(4)
+
+    def some(kind, n):
+        starts = [rng.randint(0, 3000) for _ in range(n)]
+        return [(kind, a, a + rng.randint(1, 12), "v", "", "") for a in starts]
+
+    rows = [(i, some("a", n), some("b", m)) for i, (n, m) in enumerate([(0, 5), (5, 0), (1, 1), (90, 90), (400, 30), (30, 400)])]
+    df = spark.createDataFrame(rows, f"i int, a {pii.SPAN}, b {pii.SPAN}")
+    for r in df.select("i", "a", "b", pii._clear_of("a", "b").alias("out")).collect():
+        want = [(x.start, x.end) for x in r.a if not any(y.start < x.end and x.start < y.end for y in r.b)]
+        assert sorted((x.start, x.end) for x in r.out) == sorted(want)
+
+
+def test_texts_of_many_matches_take_linear_time(spark):
+    numbers = " ".join(str(i % 90 + 10) for i in range(350_000))  # 1 MB of numbers
+    hosts = "; ".join(f"10.0.{i % 250}.{i % 199}; 078-05-{i % 9000 + 1000}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, numbers, None, None, None), (2, hosts, None, None, None), (3, "\u00e9" + hosts, None, None, None)], SCHEMA)
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.candidates(docs).select("doc_id", F.size("spans").alias("n"), F.get("spans", F.lit(39_999)).alias("last")).collect()}
+    assert rows[1].n == 0 or rows[1].last is None
+    assert rows[2].n == rows[3].n == 40_000 and rows[3].last.end == rows[2].last.end + 1
+    out = {r.doc_id: r.text for r in pii.redact(docs.where("doc_id > 1")).collect()}
+    assert out[2] == "; ".join(["<IP>; <NATIONAL_ID>"] * 20_000) and out[3] == "\u00e9" + out[2]
+    assert time.time() - began < 90
+
+
+NAMES = ["Anna Berg", "Maria Lopez", "James Cole", "Pierre Duval", "Hans Vogel", "Carlos Ruiz"]
+OTHERS = ["Oxford Street", "Baker Street", "Madison Square", "Vienna University", "Penrose Theorem", "Hill Library"]
+
+
+def planted(n, seed=8):
+    """Texts with spans that are personal data and others that only look so: (text, true, false)."""
+    rng = random.Random(seed)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    key = lambda: "".join(rng.choice("ABCDEFGHJKabcdefghjk23456789") for _ in range(28)) + "aB7x2"
+    out = []
+    for _ in range(n):
+        day = f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}."
+        yes = [("bearer ", key()), ("", f"Dr. {rng.choice(NAMES)}"), ("", f"account no {rng.randint(10**7, 10**9)}"), ("she was born on ", f"{day}{rng.randint(1940, 2005)}"), ("password ", key())]
+        no = [("commit ", hexes(40)), ("", f"Dr {rng.choice(OTHERS)}"), ("", f"order no {rng.randint(10**7, 10**9)}"), ("it was updated on ", f"{day}20{rng.randint(15, 24)}"), ("file ", hexes(32))]
+        parts, spans = ["Some plain words come first"], ([], [])
+        for k, (lead, value) in [(0, x) for x in rng.sample(yes, 2)] + [(1, x) for x in rng.sample(no, 2)]:
+            at = len(". ".join(parts)) + 2 + len(lead)
+            parts.append(f"{lead}{value} and so on")
+            spans[k].append((at, at + len(value)))
+        out.append((". ".join(parts), *spans))
+    return out
+
+
+def test_added_spans_on_planted_texts(spark):
+    """Votes conflict on the decoys; precision and recall of what the method adds."""
+    texts = planted(400)
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    taken = {r.doc_id: {(s.start, s.end) for s in r.spans} for r in pii.detect(docs).collect()}
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans} for r in pii.candidates(docs).collect()}
+    true = {(i, x) for i, (_, yes, _) in enumerate(texts) for x in yes}
+    decoys = {(i, x) for i, (_, _, no) in enumerate(texts) for x in no}
+    seen = {(i, x) for i, xs in found.items() for x in xs}
+    kept = {(i, x) for i, xs in taken.items() for x in xs}
+    assert len(decoys & seen) > 0.95 * len(decoys)  # decoys are candidates: the method has to reject them
+    assert len(true & kept) >= 0.95 * len(true), len(true & kept) / len(true)
+    assert len(true & kept) >= 0.95 * len(kept), len(true & kept) / len(kept)
+
+
+def slow_method(rows):
+    """rows: one (kind, votes, features) for each candidate. EM and naive Bayes over single
+    candidates, without a histogram; the probability of each."""
+    q = []
+    for _, votes, _ in rows:
+        cast = [v for v in votes if v is not None]
+        q.append((sum(cast) + 1) / (len(cast) + 2))
+    by = defaultdict(list)
+    for n, (kind, _, _) in enumerate(rows):
+        by[kind].append(n)
+    for _ in range(pii.ROUNDS):
+        for own in by.values():
+            prior = (sum(q[n] for n in own) + 2) / (len(own) + 4)
+            rates = []
+            for i in range(len(pii.LABELERS)):
+                cast = [n for n in own if rows[n][1][i] is not None]
+                yes = (sum(q[n] * rows[n][1][i] for n in cast) + 4) / (sum(q[n] for n in cast) + 5)
+                no = (sum((1 - q[n]) * (1 - rows[n][1][i]) for n in cast) + 4) / (sum(1 - q[n] for n in cast) + 5)
+                rates.append((yes, no))
+            for n in own:
+                odds = math.log(prior / (1 - prior))
+                for v, (yes, no) in zip(rows[n][1], rates):
+                    if v is not None:
+                        odds += math.log(yes / (1 - no)) if v else math.log((1 - yes) / no)
+                q[n] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    out = [0.0] * len(rows)
+    for own in by.values():
+        yes, no = sum(q[n] for n in own), sum(1 - q[n] for n in own)
+        soft = [Counter(), Counter()]
+        for n in own:
+            for f in rows[n][2].items():
+                soft[0][f] += q[n]
+                soft[1][f] += 1 - q[n]
+        values = Counter(name for name, _ in soft[0])
+        for n in own:
+            odds = math.log((yes + 1) / (no + 1))
+            for f in rows[n][2].items():
+                k = values[f[0]]
+                odds += math.log((soft[0][f] + 1) / (yes + k) * (no + k) / (soft[1][f] + 1))
+            out[n] = 1 / (1 + math.exp(-odds))
+    return out
+
+
+def test_method_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, (t, _, _) in enumerate(planted(60))], "doc_id long, text string"))
+    found = pii.candidates(docs)
+    model = pii.train(found)
+    span = F.col("span")
+    each = found.select(F.explode("spans").alias("span")).select(
+        span.kind.alias("kind"), F.array(*pii.votes(span).values()).alias("votes"),
+        F.struct(*[f.alias(n) for n, f in pii.features(span).items()]).alias("features"), pii._score(span, model).alias("score"),
+    )
+    rows = each.collect()
+    slow = slow_method([(r.kind, tuple(r.votes), r.features.asDict()) for r in rows])
+    assert len(rows) > 200 and len({r.kind for r in rows}) >= 8
+    assert all(abs(r.score - want) < 1e-6 for r, want in zip(rows, slow))
