@@ -33,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import saved, spread_join, table
 from tallyforge.llm.components import components
 from tallyforge.llm.simhash import _forest
 
@@ -54,30 +56,56 @@ TILE = 4096
 SEED = 9
 
 
-def _unit(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of length 1 in double precision, padded to dim, and which of them are valid."""
-    out, ok = np.zeros((len(rows), dim)), np.zeros(len(rows), dtype=bool)
-    for i, row in enumerate(rows):
-        if row is None or any(x is None for x in row):
-            continue
-        v = np.asarray(row, dtype=np.float64)
-        most = np.abs(v).max() if len(v) and np.isfinite(v).all() else 0.0
-        if most > 0:
-            v = v / most  # no square overflows or vanishes
-            out[i, : len(v)] = v / np.sqrt(v @ v)
-            ok[i] = True
-    return out + 0.0, ok
+def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in double precision, padded to dim with zeros, and which of them are whole: no null
+    and no component that is null or not finite."""
+    n = len(column)
+    flat = column.flatten()
+    if column.null_count == 0 and flat.null_count == 0 and len(flat) == n * dim and pc.all(pc.equal(pc.list_value_length(column), dim)).as_py():
+        x = flat.to_numpy().astype(np.float64).reshape(n, dim)
+        ok = np.isfinite(x).all(axis=1)
+    else:
+        x, ok = np.zeros((n, dim)), np.zeros(n, dtype=bool)
+        for i, row in enumerate(column.to_pylist()):
+            if row is not None and None not in row:
+                x[i, : len(row)] = row
+                ok[i] = np.isfinite(x[i]).all()
+    x[~ok] = 0
+    return x, ok
 
 
-def _vectors(rows: DataFrame, dim: int) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros stay."""
+    most = np.abs(x).max(axis=1, keepdims=True) if x.size else np.ones((len(x), 1))
+    x = x / np.where(most > 0, most, 1)  # no square overflows or vanishes
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1) + 0.0
+
+
+class Packed:
+    """Vectors as bytes: in the precision in which they came, half the size for floats; at unit
+    length in double precision when they are read."""
+
+    def __init__(self, dim: int, single: bool):
+        self.dim, self.kind = dim, "<f4" if single else "<f8"
+
+    def bytes_of(self, x: np.ndarray) -> list[bytes]:
+        return [row.tobytes() for row in x.astype(self.kind)]
+
+    def units(self, column: pa.Array) -> np.ndarray:
+        return _unit(np.frombuffer(b"".join(column.to_pylist()), dtype=self.kind).astype(np.float64).reshape(len(column), self.dim))
+
+
+def _vectors(rows: DataFrame, form: Packed) -> DataFrame:
     """(vec_id, key, vec): key is null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (units, ok) = batch.column(0), _unit(batch.column(1).to_pylist(), dim)
-            ok &= ~np.asarray(ids.is_null())
-            raw = [u.tobytes() if good else None for u, good in zip(units, ok)]
-            keys = [hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw]
+            ids, (x, ok) = batch.column(0), _dense(batch.column(1), form.dim)
+            units = _unit(x)
+            ok &= x.any(axis=1) & ~np.asarray(ids.is_null())
+            raw = [r if good else None for r, good in zip(form.bytes_of(x), ok)]
+            keys = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if good else None for u, good in zip(units, ok)]
             yield pa.record_batch([ids, pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "vec"])
 
     return rows.mapInArrow(run, "vec_id long, key binary, vec binary")
@@ -182,20 +210,20 @@ class Lists:
             held += members
 
 
-def _homes(classes: DataFrame, index: Index) -> list:
+def _homes(classes: DataFrame, index: Index, form: Packed) -> list:
     """(list, members, least angle, largest angle) of every list in use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                home, angle = index.home(np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(batch.num_rows, -1))
+                home, angle = index.home(form.units(batch.column("vec")))
                 yield pa.record_batch([pa.array(home.astype(np.int32)), pa.array(angle)], names=["home", "angle"])
 
     found = classes.select("vec").mapInArrow(run, "home int, angle double")
     return found.groupBy("home").agg(F.count("*"), F.min("angle"), F.max("angle")).collect()
 
 
-def _indexed(classes: DataFrame, index: Index, lists: Lists, least: float) -> DataFrame:
+def _indexed(classes: DataFrame, index: Index, lists: Lists, form: Packed, least: float) -> DataFrame:
     """The classes' places in the index and the cells that each one queries."""
 
     def cells(x: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
@@ -210,7 +238,7 @@ def _indexed(classes: DataFrame, index: Index, lists: Lists, least: float) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(batch.num_rows, -1)
+            x = form.units(batch.column("vec"))
             home, angle, codes, left = index.place(x)
             yield pa.record_batch(
                 [batch.column("rep"), batch.column("n"), batch.column("vec"), pa.array(home.astype(np.int32)), pa.array(angle),
@@ -221,14 +249,13 @@ def _indexed(classes: DataFrame, index: Index, lists: Lists, least: float) -> Da
     return classes.select("rep", "n", "vec").mapInArrow(run, INDEXED)
 
 
-def _search(index: Index, lists: Lists, least: float):
+def _search(index: Index, lists: Lists, form: Packed, least: float):
     """Links between the queries and the members of one tile: rows (a, b, n) - the links of
     vector a to add (b null), or a link of the spanning forest (n null)."""
     turn = np.arccos(np.clip(least, -1, 1)) + 1e-6
 
     def columns(rows: pa.Table) -> tuple:
-        vec = np.frombuffer(b"".join(rows.column("vec").to_pylist())).reshape(rows.num_rows, index.dim)
-        return vec, *(rows.column(c).to_numpy() for c in ("rep", "n", "home"))
+        return form.units(rows.column("vec")), *(rows.column(c).to_numpy() for c in ("rep", "n", "home"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         kinds = [("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]
@@ -289,14 +316,17 @@ def _search(index: Index, lists: Lists, least: float):
     return run
 
 
-def fit(classes: DataFrame, count: int, dim: int) -> Index | None:
-    """An index over ``count`` classes, fitted on at most about SAMPLE of them."""
-    share = min(1.0, SAMPLE / max(1, count))
-    picked = classes.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else classes
+def fit(classes: DataFrame, count: int, form: Packed) -> Index | None:
+    """An index over ``count`` classes, fitted on the SAMPLE of them with the least hashes, about;
+    None if there are no classes."""
+    if not count:
+        return None
+    share = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(min(1.0, SAMPLE / count))  # never rounds to nothing
+    picked = classes.where(F.xxhash64("rep", F.lit(SEED)).cast("double") <= share)
     rows = sorted(picked.select("rep", "vec").limit(2 * SAMPLE).collect())
     if not rows:
-        return None
-    sample = np.frombuffer(b"".join(bytes(r.vec) for r in rows)).reshape(len(rows), dim)
+        raise RuntimeError("no vector was picked to fit the index on")
+    sample = form.units(pa.array([bytes(r.vec) for r in rows], pa.binary()))
     return Index(sample, max(1, min(MOST_LISTS, count // PER_LIST)))
 
 
@@ -304,18 +334,20 @@ def links(vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) ->
     """(vec_id, n_links, component_id, kept) for rows (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
     dim = rows.agg(F.max(F.size("embedding"))).first()[0]
-    made = saved(_vectors(rows, max(1, dim or 1)), "vectors")
+    element = getattr(rows.schema["embedding"].dataType, "elementType", None)
+    form = Packed(max(1, dim or 1), isinstance(element, T.FloatType))
+    made = saved(_vectors(rows, form), "vectors")
     valid = made.where("key IS NOT NULL")
     classes = saved(
         valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vector-classes"
     )
     count = classes.count()
-    index = fit(classes, count, max(1, dim or 1))
+    index = fit(classes, count, form)
     if index is None:
         return made.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    lists = Lists(index, _homes(classes, index), tile)
+    lists = Lists(index, _homes(classes, index, form), tile)
     cell_of = F.element_at(F.array(*[F.lit(int(lists.cell[r]) if r >= 0 else -1) for r in lists.rank]), F.col("home") + 1)
-    indexed = saved(_indexed(classes, index, lists, least).withColumn("own", cell_of), "vector-index")
+    indexed = saved(_indexed(classes, index, lists, form, least).withColumn("own", cell_of), "vector-index")
     # At most MOST_LISTS rows each: how many blocks of members and slices of queries a cell has.
     asks = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
     holds = indexed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("m"))
@@ -334,14 +366,14 @@ def links(vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) ->
     shared = ["cell", "block", "slice", "member", "rep", "n", "vec", "home"]
     # Queries carry no codes.
     tiles = members.select(*shared, "angle", "codes", "left").unionByName(queries.select(shared), allowMissingColumns=True)
-    found = saved(tiles.groupBy("cell", "block", "slice").applyInArrow(_search(index, lists, least), "a long, b long, n long"), "vector-links")
+    found = saved(tiles.groupBy("cell", "block", "slice").applyInArrow(_search(index, lists, form, least), "a long, b long, n long"), "vector-links")
     sums = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     named = components(found.where("b IS NOT NULL").select("a", "b"), "vector-components")
     of_class = (
         classes.select("key", "rep", "n").join(sums, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
         .select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = made.select("vec_id", "key").join(of_class, "key", "left")
+    out = spread_join(made.select("vec_id", "key"), of_class, "key", "vector-classes")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -1,8 +1,9 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from tallyforge.llm import embeddings
+from tallyforge.llm import common, embeddings
 
 
 def brute(ids, x, least=0.95):
@@ -69,3 +70,32 @@ def test_odd_rows(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 11)]
     assert out == sorted(map(str, [*linked, *alone, (None, 0, None, False)]))
     assert embeddings.links(frame.where("false")).count() == 0
+
+
+def test_a_vector_at_the_bound(spark):
+    """A cosine of 0.95 as double precision gives it links; the next double below does not."""
+    at = 0.95
+    rows = [(1, [1.0, 0.0]), (2, [at, (1 - at * at) ** 0.5]), (3, [at - 1e-9, -((1 - (at - 1e-9) ** 2) ** 0.5)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array([v for _, v in rows])
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    got = {r.vec_id: r.n_links for r in embeddings.links(frame).collect()}
+    assert got[3] == 0 and got[2] == int(unit[0] @ unit[1] >= 0.95) == got[1]
+
+
+def test_a_third_of_all_rows_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[::3] = x[0]
+    rows = [(i, None if i % 30 == 1 else v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in embeddings.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == 300 and all(got[i].n_links == 99 and got[i].component_id == 0 for i in range(0, 300, 3))
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(1, 300, 30))
+
+
+def test_an_index_that_picked_nothing_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SAMPLE", 0)
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="no vector was picked"):
+        embeddings.links(frame)
