@@ -13,7 +13,7 @@ rows is summed before its shuffle and joined through a table of known size.
 Defined cases: null text counts zero characters; a source without characters, or of
 weight zero, has rate zero unless all its texts are empty, when it has rate one; null
 sources form one source; equal ids get equal counts; null ids hash as the empty string;
-an empty table stays empty; further columns are carried along.
+an empty table stays empty; further columns are carried along, but for one named ``_mix``.
 """
 
 from __future__ import annotations
@@ -21,13 +21,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import saved, spread_join, table
 
 SEED = 42
 #: Largest mean that is inverted at once; a larger one is a sum of equal parts.
 LARGEST = 256.0
 
 
+#: Sources whose rates are broadcast at most; a row has 24 numbers and a few for each unit of the
+#: rate, 512 at most.
+BROADCAST_SOURCES = 50_000
+
+
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null")).alias("_source")
+
+
 def _uniform(*parts: Column | str) -> Column:
     """52 hashed bits as a double in [0, 1)."""
     bits = F.conv(F.substr(F.md5(F.concat_ws(":", *parts).cast("binary")), F.lit(1), F.lit(13)), 16, 10)
@@ -81,23 +90,30 @@ def _count(seed: int, id_text: Column) -> Column:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """The copies in a global random order: columns of ``docs`` and a struct ``_mix`` of
-    rate, copies, copy (from 1) and shuffle_key."""
-    columns = docs.columns
-    texts = docs.select("source", F.col("text"))
-    known = rates(texts, weights, alpha)
-    # One row per source, written, so that Spark broadcasts it only if the file is small.
-    known = saved(known.select(F.col("source").alias("_source"), F.struct("rate", "parts", "cdf").alias("_rates")), "mix-rates")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    joined = rows.join(known, F.col("_row.source").eqNullSafe(F.col("_source")), "left")
+def _copies(docs: DataFrame, weights: dict[str, float] | None, alpha: float, seed: int, id_col: str) -> DataFrame:
+    """The copies in a global random order: (_row, _n, _copy, _key, _rates)."""
+    known = rates(docs.select("source", "text"), weights, alpha)
+    # One row per source; a null source has a key of its own.
+    known = saved(known.select(_source_key(F.col("source")), F.struct("rate", "parts", "cdf").alias("_rates")), "mix-rates")
+    rows = docs.select(_source_key(F.col("source")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    if known.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(known), "_source", "left")
+    else:
+        # Hot sources, of which there are few at any size, are broadcast, so that their texts stay
+        # where they are; the texts of the others are shuffled.
+        joined = spread_join(rows, known, "_source", "mix-sources")
     ids = F.coalesce(F.col("_row")[id_col].cast("string"), F.lit(""))
     counted = joined.withColumn("_n", _count(seed, ids)).where("_n > 0")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     keyed = copies.withColumn("_key", _hashed(F.lit(f"{seed}s"), F.col("_copy").cast("string"), ids))
-    dealt = keyed.repartition("_key").sortWithinPartitions("_key", "_copy")
-    return dealt.select(
-        *[F.col("_row")[c].alias(c) for c in columns],
+    return keyed.repartition("_key").sortWithinPartitions("_key", "_copy")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """The copies in a global random order: columns of ``docs`` and a struct ``_mix`` of
+    rate, copies, copy (from 1) and shuffle_key. A column of ``docs`` named ``_mix`` is left out."""
+    return _copies(docs, weights, alpha, seed, id_col).select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c != "_mix"],
         F.struct(
             F.round(F.col("_rates.rate"), 6).alias("rate"), F.col("_n").cast("long").alias("copies"),
             F.col("_copy").cast("long").alias("copy"), F.col("_key").alias("shuffle_key"),
@@ -106,8 +122,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mixed table with the columns of ``docs`` alone."""
-    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed table with the columns of ``docs``, all of them."""
+    return _copies(docs, None, 0.5, SEED, "doc_id").select("_row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

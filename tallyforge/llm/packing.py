@@ -43,8 +43,8 @@ END_ID = 0
 GRAIN = 16
 BUCKET = 8192
 
-PIECES = "bucket_key long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, marks binary"
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "bucket_key long, row_id long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, marks binary"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long"
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,14 +53,15 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or tokenizer_path(BYTE_BPE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, made = encoder(path, False).encode, TaskContext.get().partitionId(), 0
+        encode, task, made = encoder(path, False).encode, TaskContext.get().partitionId() << 40, 0
+        row_id = task - 1
         for batch in batches:
             rows: list[tuple] = []
             docs = batch.column(0).to_pylist()
             for first, ids, ends in encode(batch.column(1), END_ID):
                 raw, begin = memoryview(ids.astype("<u4").tobytes()), 0
                 for doc, end in zip(docs[first:], ends.tolist()):
-                    n = end - begin
+                    n, row_id = end - begin, row_id + 1
                     for start in range(0, n, WINDOW):
                         piece, marks = raw[4 * (begin + start) : 4 * min(begin + start + WINDOW, end)], b""
                         crc = so_far = 0
@@ -70,11 +71,11 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                                 crc, so_far = zlib.crc32(piece[so_far:stop], crc), stop
                                 at.append(crc)
                             marks = array("I", at).tobytes()
-                        rows.append(((task << 40) + made, doc, n, start, len(piece) // 4, zlib.crc32(piece[so_far:], crc), marks))
+                        rows.append((task + made, row_id, doc, n, start, len(piece) // 4, zlib.crc32(piece[so_far:], crc), marks))
                         made += 1
                     begin = end
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 8
+            kinds = [pa.int64()] * 7 + [pa.binary()]
             names = [f.split()[0] for f in PIECES.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -167,8 +168,8 @@ def pack(lengths: list[int], cut_ok: bool = True) -> list[list[tuple[int, int, i
 def _pack_bucket(key: tuple, rows: pa.Table) -> pa.Table:
     bucket, out = key[0].as_py() << 32, []
     rows = rows.sort_by("bucket_key")
-    names = ("doc_id", "doc_tokens", "start", "length", "ids_crc32", "marks")
-    doc, tokens, start, length, crc, marks = (rows.column(c).to_pylist() for c in names)
+    names = ("row_id", "doc_id", "doc_tokens", "start", "length", "ids_crc32", "marks")
+    row, doc, tokens, start, length, crc, marks = (rows.column(c).to_pylist() for c in names)
     full = [i for i, n in enumerate(length) if n == WINDOW]
     rest = [i for i, n in enumerate(length) if n < WINDOW]
     windows = [[(i, 0, WINDOW)] for i in full]
@@ -183,7 +184,7 @@ def _pack_bucket(key: tuple, rows: pa.Table) -> pa.Table:
         offset = 0
         for i, a, b in window:
             own = upto(i, b) if a == 0 else upto(i, b) ^ shifted(upto(i, a), 4 * (b - a))
-            out.append((doc[i], start[i] + a, b - a, own, tokens[i], bucket + w, offset))
+            out.append((doc[i], start[i] + a, b - a, own, tokens[i], bucket + w, offset, row[i]))
             offset += b - a
     columns = list(zip(*out))
     fields = [f.split()[0] for f in PACKED.split(", ")]
@@ -191,7 +192,8 @@ def _pack_bucket(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per piece: its place in its document and in its sequence."""
+    """One row per piece: its place in its document and in its sequence; ``row_id`` tells rows of
+    one id, such as copies, apart."""
     cut = saved(pieces(docs, path), "packing-pieces")
     buckets = max(1, -(-cut.count() // BUCKET))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("bucket_key"), F.lit(buckets)))

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing
+from tallyforge.llm import common, mixing
 
 SCHEMA = "doc_id long, source string, text string, copy long"
 
@@ -45,3 +45,20 @@ def test_same_counts_however_partitioned(spark):
     one = mixing.mix(docs.coalesce(1)).select("doc_id", "_mix.copy", "_mix.shuffle_key")
     many = mixing.mix(docs.repartition(7)).select("doc_id", "_mix.copy", "_mix.shuffle_key")
     assert sorted(one.collect()) == sorted(many.collect())
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "s", "some text", 5, 6, 7) for i in range(50)], "doc_id long, source string, text string, _mix int, _row int, _source int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", "text", "_row", "_source", "_mix"] and out.select("_mix.copy").count() > 0
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == docs.columns and {(r._mix, r._row, r._source) for r in kept.collect()} == {(5, 6, 7)}
+
+
+def test_many_sources_and_a_hot_one(spark, monkeypatch):
+    """Beyond the broadcast bound the rows are the same, a source with a third of them included."""
+    docs = spark.createDataFrame([(i, None if i % 50 == 1 else "hot" if i % 3 == 0 else f"s{i % 97}", f"text {i}") for i in range(900)], "doc_id long, source string, text string")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want

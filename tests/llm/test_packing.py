@@ -106,6 +106,7 @@ def test_odd_rows(spark):
     rows = packing.packed(docs).collect()
     counts = Counter(r.doc_id for r in rows)
     assert counts[1] == counts[2] == counts[None] == 1 and counts[3] == 2
+    assert len({r.row_id for r in rows}) == len({(r.row_id, r.doc_id) for r in rows}) == 8 - 1
     verify(packing.packed(docs.where("doc_id > 3")).collect(), {4: "y " * 40_000, 5: "a <|endoftext|> b"})
     assert packing.packed(docs.where("false")).count() == 0
 
