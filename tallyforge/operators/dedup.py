@@ -13,22 +13,19 @@ def latest(df: DataFrame, horizon_h: int | None = None, keys: Sequence[str] = ("
     """One event per message: within a file the last line wins, across files the latest
     ingest, then the latest time, then the greater file name.
 
-    Both steps are aggregations that combine before their shuffle. With ``horizon_h`` an
-    event more than that many hours after the one before it starts a new row, as if the
-    id had been forgotten meanwhile."""
+    Rows are shuffled once, by message; the last line of each file and then the best file are
+    found by sorting there, which spills. With ``horizon_h`` an event more than that many hours
+    after the one before it starts a new row, as if the id had been forgotten meanwhile."""
     if horizon_h is not None:
         order = Window.partitionBy(*keys).orderBy("ts_ms", "ingest_seq", "line_no")
         new = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > horizon_h * 3_600_000, F.lit(True))
         runs = df.withColumn("_new", new.cast("int"))
         return latest(runs.withColumn("_run", F.sum("_new").over(order)), None, (*keys, "_run")).drop("_new", "_run")
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    in_file = df.groupBy(*keys, "source_file").agg(
-        F.max_by(whole, F.struct("ingest_seq", "line_no")).alias("row")
-    )
-    best = in_file.groupBy(*keys).agg(
-        F.max_by("row", F.struct("row.ingest_seq", "row.ts_ms", "source_file")).alias("row")
-    )
-    return best.select("row.*")
+    dealt = df.repartition(*keys)
+    in_file = Window.partitionBy(*keys, "source_file").orderBy(F.desc("ingest_seq"), F.desc("line_no"))
+    last = dealt.withColumn("_n", F.row_number().over(in_file)).where("_n = 1")
+    best = Window.partitionBy(*keys).orderBy(F.desc("ingest_seq"), F.desc("ts_ms"), F.desc("source_file"))
+    return last.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def last_per_id(df: DataFrame, keys: Sequence[str] = ("provider", "message_id")) -> DataFrame:

@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.times import DAY_MS
 from tallyforge.operators.dedup import latest, only_new
 from tallyforge.operators.lifecycle import retain
 from tallyforge.operators.usage import usage
 from tallyforge.schema import USAGE_EVENTS
+from tallyforge.scratch import remove
 from tallyforge.sources.logs import PROVIDERS, ProviderSpec, read_logs, read_provider
 
 PARTITIONS = ("provider", "event_date")
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    spread = df.repartition(*PARTITIONS, F.pmod(F.xxhash64("message_id"), F.lit(8)))
-    return spread.sortWithinPartitions(*PARTITIONS, "ts_ms", "message_id")
+    # Rebalanced by day: a day makes one file, a busy one as many tasks and files as its size
+    # needs, once the sizes are known.
+    return df.hint("rebalance", *[F.col(p) for p in PARTITIONS]).sortWithinPartitions(*PARTITIONS, "ts_ms", "message_id")
 
 
 def write_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by provider and day, sorted by time and id within files. Rows of a day are
-    dealt to tasks by day and a part of the message id, so a busy day is not one task."""
+    """Parquet by provider and day, sorted by time and id within files."""
     writer = _ordered(df).write.mode(mode).partitionBy(*PARTITIONS)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "static")
@@ -42,50 +45,86 @@ def rebuild(spark: SparkSession, roots: Mapping[str, str], path: str, specs: Map
     return usage(read_events(spark, path))
 
 
-def ingest(spark: SparkSession, batch: DataFrame, path: str) -> int:
+def _days_of(days: list) -> Column:
+    """Whether a row lies on one of some (provider, day): as a filter that prunes partitions."""
+    by_provider: dict[str, list] = {}
+    for provider, day in days:
+        by_provider.setdefault(provider, []).append(day)
+    return reduce(lambda a, b: a | b, [(F.col("provider") == p) & F.col("event_date").isin(list(found)) for p, found in by_provider.items()])
+
+
+def _partition_path(path: str, provider: str, day: date) -> str:
+    return f"{path.rstrip('/')}/provider={provider}/event_date={day}"
+
+
+def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None = None) -> int:
     """Upsert a batch of parsed events into the table; returns how many rows were new.
 
-    Only the days that the new rows or the rows they replace fall on are rewritten, by
-    dynamic partition overwrite from a copy made first, so a failed write can be repeated."""
+    An event that was stored before has the batch's time, so it is looked for on the batch's days
+    alone. Earlier versions of the batch's messages may lie on any day: their keys alone are read,
+    of all days, or of the days within ``horizon_days`` of the batch's, if messages are known not
+    to change later. Only the days that new rows or the rows they replace fall on are read whole
+    and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
+    be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
+    the driver, a few bytes for each day."""
+    staged = f"{path.rstrip('/')}-staging"
     stored = read_events(spark, path)
     # Versions that a later line of the batch replaces are dropped first: they are not in
     # the table, and would count as new each time their file is parsed again.
-    fresh = only_new(latest(batch), stored)
-    staged = f"{path.rstrip('/')}-staging"
-    fresh.write.mode("overwrite").parquet(f"{staged}/fresh")
+    latest(batch).write.mode("overwrite").parquet(f"{staged}/batch")
+    batch = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/batch")
+    own = [tuple(r) for r in batch.select(*PARTITIONS).distinct().collect()]
+    if not own:
+        return 0
+    only_new(batch, stored.where(_days_of(own))).write.mode("overwrite").parquet(f"{staged}/fresh")
     fresh = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/fresh")
     count = fresh.count()
     if not count:
         return 0
+    near = stored
+    if horizon_days is not None:
+        dates, reach = [day for _, day in own], timedelta(days=horizon_days)
+        near = stored.where(F.col("event_date").between(min(dates) - reach, max(dates) + reach))
     ids = fresh.select("provider", "message_id").distinct()
-    days = fresh.select(*PARTITIONS).unionByName(stored.join(ids, ["provider", "message_id"], "left_semi").select(*PARTITIONS)).distinct()
-    touched = stored.join(days, list(PARTITIONS), "left_semi")
-    merged = latest(touched.unionByName(fresh))
+    replaced = near.select(*PARTITIONS, "message_id").join(ids, ["provider", "message_id"], "left_semi")
+    days = [tuple(r) for r in fresh.select(*PARTITIONS).unionByName(replaced.select(*PARTITIONS)).distinct().collect()]
+    merged = latest(stored.where(_days_of(days)).unionByName(fresh))
     merged.write.mode("overwrite").parquet(f"{staged}/merged")
     merged = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/merged")
-    rest = stored.join(days, list(PARTITIONS), "left_anti")
-    emptied = days.join(merged.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_anti").limit(1).count()
-    if emptied:
-        # Rare: a whole day moved. The table is written anew beside the old one's rows.
-        rest.unionByName(merged).write.mode("overwrite").parquet(f"{staged}/whole")
-        write_events(spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/whole"), path)
-    else:
-        _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
+    _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
+    left = {tuple(r) for r in merged.select(*PARTITIONS).distinct().collect()}
+    for provider, day in set(days) - left:
+        remove(spark, _partition_path(path, provider, day))
     return count
 
 
-def ingest_changed(spark: SparkSession, roots: Mapping[str, str], path: str, since: str, specs: Mapping[str, ProviderSpec] = PROVIDERS) -> int:
+def ingest_changed(
+    spark: SparkSession, roots: Mapping[str, str], path: str, since: str, specs: Mapping[str, ProviderSpec] = PROVIDERS, horizon_days: int | None = None
+) -> int:
     """Ingest the files changed after ``since`` (local time of the session, as for Spark's
     ``modifiedAfter``). A changed file is parsed whole and its known events are left out,
     so appended, compacted and rewritten files need no special case and a repeat is harmless."""
     batches = [read_provider(spark, root, specs[name], modified_after=since) for name, root in roots.items()]
-    return ingest(spark, reduce(DataFrame.unionByName, batches), path)
+    return ingest(spark, reduce(DataFrame.unionByName, batches), path, horizon_days)
 
 
 def retain_table(spark: SparkSession, path: str, now_ms: int, days: int) -> None:
-    """Apply retention to the table: a kept copy is made, then written back."""
+    """Apply retention to the table: folders of days before the boundary's day are removed, and
+    the boundary's day is rewritten from a copy made first."""
     if not days:
         return
+    boundary = datetime.fromtimestamp((now_ms - days * DAY_MS) / 1000, timezone.utc).date()
     staged = f"{path.rstrip('/')}-staging/retained"
-    retain(read_events(spark, path), now_ms, days).write.mode("overwrite").parquet(staged)
-    write_events(spark.read.schema(USAGE_EVENTS).parquet(staged), path)
+    on_boundary = read_events(spark, path).where(F.col("event_date") == F.lit(boundary))
+    retain(on_boundary, now_ms, days).write.mode("overwrite").parquet(staged)
+    kept = spark.read.schema(USAGE_EVENTS).parquet(staged)
+    _ordered(kept).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
+    left = {r.provider for r in kept.select("provider").distinct().collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/provider=*/event_date=*")
+    for found in files.globStatus(pattern):
+        folder = found.getPath()
+        provider, day = (folder.getParent().getName().split("=", 1)[1], date.fromisoformat(folder.getName().split("=", 1)[1]))
+        if day < boundary or day == boundary and provider not in left:
+            files.delete(folder, True)

@@ -122,7 +122,7 @@ def test_prometheus_forms(spark):
         {"metric": {"model": "a", "type": "output"}, "value": [1, "2.6"]}, {"metric": {"model": "a"}, "values": [[1, "5"], [2, "7"]]},
         {"metric": {"type": "other"}, "value": [1, "4"]}, {"metric": {"model": "a", "__any_metric__": "cost"}, "value": [1, "0.25"]}, {"metric": {"model": "a"}, "value": [1, "bad"]},
     ]}}
-    rows = {r.model: tuple(r)[1:] for r in parse_prometheus(spark.createDataFrame([(json.dumps(body),)], "value string")).collect()}
+    rows = {r.model: tuple(r)[1:] for r in parse_prometheus(spark.createDataFrame([(json.dumps(body),)], "value string"), "__any_metric__").collect()}
     assert rows == {"a": (7, 3, 0, 0, 0.25), "(total)": (4, 0, 0, 0, None)}
 
 
@@ -165,3 +165,58 @@ def test_post_and_report(spark, data, tmp_path):
     documents = {r.provider: json.loads(r.document) for r in report_document(summary, {"type": "total"}).collect()}
     counts = [x["event_count"] for x in documents["codex"]["providers"]["codex"]]
     assert documents["codex"]["information"] == {"type": "total"} and counts == sorted(counts, reverse=True)
+
+
+def test_latest_shuffles_once(spark, data):
+    from tallyforge.operators.dedup import latest
+    from tallyforge.schema import from_events
+
+    plan = latest(from_events(spark.read.parquet(f"{data}/events.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+def test_ingest_reads_only_the_days_it_needs(spark, data, tmp_path):
+    """Rows of untouched days are neither read whole nor rewritten; a day whose last row moved
+    away loses its folder."""
+    from tallyforge.schema import from_events
+
+    u, table = from_events(spark.read.parquet(f"{data}/events.parquet")), str(tmp_path / "t")
+    day = u.selectExpr("min(event_date) d").first().d
+    ingest.write_events(u.where("message_id <> '0'"), table)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    one = u.where((F.col("event_date") == F.lit(day)) & (F.col("message_id") != "0")).orderBy("message_id").limit(1)
+    later = one.withColumns({"ts_ms": F.col("ts_ms") + 86_400_000, "event_date": F.date_add("event_date", 1), "ingest_seq": F.lit(9).cast("long"), "event_key": F.lit("k")})
+    assert ingest.ingest(spark, later, table, horizon_days=3) == 1
+    changed = {str(p.parent.name) for p in (tmp_path / "t").rglob("*.parquet") if before.get(p) != p.stat().st_mtime_ns}
+    assert changed == {f"event_date={day}", f"event_date={day.replace(day=day.day + 1)}"}
+    assert ingest.read_events(spark, table).count() == u.where("message_id <> '0'").count()
+    lone = u.where("message_id = '5'").withColumns({c: F.expr(f"{c} - interval 400 days") for c in ("event_date",)})
+    lone = lone.withColumn("message_id", F.lit("lone"))
+    ingest.ingest(spark, lone, table)
+    old = lone.first().event_date
+    assert list((tmp_path / "t").glob(f"provider=*/event_date={old}"))
+    assert ingest.ingest(spark, lone.withColumns({"event_date": F.date_add("event_date", 1), "event_key": F.lit("k2"), "ingest_seq": F.lit(9).cast("long")}), table) == 1
+    assert not list((tmp_path / "t").glob(f"provider=*/event_date={old}")) and ingest.read_events(spark, table).where("message_id = 'lone'").count() == 1
+    plan = ingest.read_events(spark, table).where(ingest._days_of([("codex", day)]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_a_busy_day_makes_more_files(spark, data, tmp_path):
+    from tallyforge.schema import from_events
+
+    u = from_events(spark.read.parquet(f"{data}/events.parquet")).where("provider = 'codex'")
+    busy = u.crossJoin(spark.range(60)).withColumn("message_id", F.concat_ws("-", "message_id", "id")).drop("id").withColumn("event_date", F.lit("2024-01-01").cast("date"))
+    quiet = u.limit(60).withColumn("event_date", F.date_add(F.lit("2024-01-02").cast("date"), (F.col("message_id").cast("int") % 18 / 3).cast("int")))
+    busy.unionByName(quiet).repartition(8).write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60k")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ingest.write_events(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    days = sorted(d.name for d in (tmp_path / "t").glob("provider=codex/event_date=*"))
+    busy_files, *quiet_files = (len(list((tmp_path / "t" / "provider=codex" / d).glob("*.parquet"))) for d in days)
+    assert busy_files >= 3 and len(quiet_files) == 6 and quiet_files.count(1) >= 4  # a day may share the busy one's part
