@@ -172,16 +172,22 @@ def normalize_times(df: DataFrame, name: str, tz: str = "UTC", is_until: bool =
     RFC 3339, or ISO without a zone; local forms are in ``tz``. Null for anything else."""
     text = F.trim(F.col(name))
 
-    def local(stamp: Column, pattern: str) -> Column:
-        return F.unix_millis(F.to_utc_timestamp(F.try_to_timestamp(stamp, F.lit(pattern)), tz))
+    def local(*parts: Column | str) -> Column:
+        """Milliseconds of a local time, whatever the session's zone is."""
+        at = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).try_cast("timestamp_ntz")
+        utc = at if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), at)
+        return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), utc)
 
-    end = F.lit("235959" if is_until else "000000")
+    def cut(start: int, length: int = 2) -> Column:
+        return F.substring(text, start, length)
+
+    day = (cut(1, 4), "-", cut(5), "-", cut(7))
     return df.withColumn(
         out,
-        F.when(text.rlike(r"^\d{8}$"), local(F.concat(text, end), "yyyyMMddHHmmss"))
-        .when(text.rlike(r"^\d{14}$"), local(text, "yyyyMMddHHmmss"))
+        F.when(text.rlike(r"^\d{8}$"), local(*day, " 23:59:59" if is_until else " 00:00:00"))
+        .when(text.rlike(r"^\d{14}$"), local(*day, " ", cut(9), ":", cut(11), ":", cut(13)))
         .when(text.rlike(r"^\d{13}$"), text.try_cast("long"))
         .when(text.rlike(r"^\d{1,12}$"), text.try_cast("long") * 1000)
         .when(text.rlike(ISO), F.unix_millis(F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{1,6})\d*", "$1"))))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), local(text, "yyyy-MM-dd'T'HH:mm:ss")),
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), local(text)),
     )

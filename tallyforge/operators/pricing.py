@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import PRICES, event_cost
-
-#: Rows of a price list that is broadcast at most; a longer one is joined by shuffle.
-BROADCAST_ROWS = 50_000
+from tallyforge.scratch import saved
 
 
 def with_prices(df: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Left join by exact model name. The list is broadcast only after its rows, fetched up
-    to one over the bound, were counted."""
-    prices = pricing.select("model", *PRICES.values())
-    small = prices.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(prices) if small else prices, "model", "left")
+    """Left join by exact model name. The list is written once, so that its own steps run once and
+    Spark broadcasts it only if its size, known from the files, is small."""
+    return df.join(saved(pricing.select("model", *PRICES.values()), "prices"), "model", "left")
 
 
 def with_cost(df: DataFrame, pricing: DataFrame) -> DataFrame:
-    """``df`` (model and counters) with ``cost``; null where the model has no price."""
-    return with_prices(df, pricing).withColumn("cost", event_cost()).drop(*PRICES.values())
+    """``df`` (model and counters) with ``cost``; null where the model has no price. A positive
+    cost that a row already has (of an import) stays."""
+    cost = event_cost()
+    if "cost" in df.columns:
+        cost = F.when(F.col("cost") > 0, F.col("cost")).otherwise(cost)
+    return with_prices(df, pricing).withColumn("cost", cost).drop(*PRICES.values())

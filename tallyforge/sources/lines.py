@@ -48,7 +48,8 @@ def prefilter(df: DataFrame, needles: Sequence[str]) -> DataFrame:
 
 
 def drop_torn(df: DataFrame) -> DataFrame:
-    """Without lines that are not one complete JSON object, such as a torn last line."""
+    """Without lines that are not one complete JSON object, such as a torn last line. The log
+    parsers drop them by themselves; this is for lines that are kept as text."""
     return df.where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
 
 

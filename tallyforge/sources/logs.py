@@ -36,9 +36,11 @@ def _valid(names: tuple[str, ...]) -> Column:
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
-    """``j``: each line as a struct, parsed once. As a plain column it would be parsed again
-    for every filter and field that is pushed below it; filters stay above a generator."""
-    return lines.withColumn("j", F.explode(F.array(F.from_json("value", schema))))
+    """``j``: each line as a struct, parsed once; lines that are not one complete object are
+    dropped. As a plain column it would be parsed again for every filter and field that is pushed
+    below it; filters stay above a generator."""
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return lines.withColumn("j", F.explode(F.array(parsed))).where("j._bad IS NULL")
 
 
 def parse_claude(lines: DataFrame) -> DataFrame:

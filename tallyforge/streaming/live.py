@@ -49,11 +49,12 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     )
 
 
-def stream_usage(spark: SparkSession, folder: str, spec: ProviderSpec, files_per_trigger: int = 100) -> DataFrame:
-    """Events of files arriving in a folder, for providers whose lines stand alone. Lines
-    whose time does not parse are no events; ``parse_quarantine`` gives them to another sink."""
+def stream_usage(spark: SparkSession, folder: str, spec: ProviderSpec, files_per_trigger: int = 100, ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """Events of files arriving in a folder. Where lines take context from lines before them
+    (``spec.numbered``), each file's context is state, for ``ttl_ms``. Lines whose time does not
+    parse are no events; ``parse_quarantine`` gives them to another sink."""
     lines = stream_lines(spark, folder, files_per_trigger).where(F.col("source_file").rlike(spec.file_pattern))
-    return spec.parse(lines)
+    return stream_with_state(lines, ttl_ms) if spec.numbered else spec.parse(lines)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -61,7 +62,8 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(USAGE_EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-CARRIED = "value string, source_file string, line_no long, ingest_seq long, ctx_model string, ctx_session string, ctx_cwd string"
+USED = ("input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens")
+CARRIED = "source_file string, line_no long, ingest_seq long, stamp string, " + "".join(f"{u} string, " for u in USED) + "ctx_model string, ctx_session string, ctx_cwd string"
 STATE = "model string, session string, cwd string, last_line long"
 
 
@@ -70,12 +72,17 @@ def stream_with_state(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFram
     model, session and folder of each file are state, so they outlive the micro-batch.
     A file's state is dropped after ``ttl_ms`` without lines, a day unless said otherwise.
     Such a query always has a next batch, so one that is to end (``availableNow``) has no
-    limit (None)."""
+    limit (None).
+
+    The lines of one file in one micro-batch are held in a task to put them in order, as short
+    columns without their text; fewer files for each trigger bound that."""
     needles = ['"token_count"', '"turn_context"', '"session_meta"']
     rows = prefilter(lines, needles).withColumn("j", F.from_json("value", CODEX_LINE))
     kind = F.col("j.type")
+    counts = (kind == "event_msg") & (F.col("j.payload.type") == "token_count")
     marked = rows.select(
-        "value", "source_file", "line_no", "ingest_seq",
+        "source_file", "line_no", "ingest_seq", F.when(counts, F.col("j.timestamp")).alias("stamp"),
+        *[F.when(counts, F.col(f"j.payload.info.last_token_usage.{u}")).alias(u) for u in USED],
         F.when(kind == "turn_context", F.col("j.payload.model")).alias("ctx_model"),
         F.when(kind == "session_meta", F.col("j.payload.id")).alias("ctx_session"),
         F.when(kind == "session_meta", F.col("j.payload.cwd")).alias("ctx_cwd"),
@@ -102,8 +109,8 @@ def stream_with_state(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFram
 
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     carried = marked.groupBy("source_file").applyInPandasWithState(carry, CARRIED, STATE, "append", timeout)
-    again = carried.withColumn("j", F.from_json("value", CODEX_LINE))
-    return codex_events(again.where((F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count")))
+    used = F.struct(F.struct(F.struct(*USED).alias("last_token_usage")).alias("info"))
+    return codex_events(carried.where("stamp IS NOT NULL").withColumn("j", F.struct(F.col("stamp").alias("timestamp"), used.alias("payload"))))
 
 
 def stream_buckets(stream: DataFrame, step_s: int, by: Sequence[str] = ("model",), watermark: str = "1 day") -> DataFrame:

@@ -100,3 +100,17 @@ def test_labels_and_days_do_not_depend_on_the_session_zone(spark):
             assert between_ms(shown, since, None).count() == later == sum(r.ts_ms >= since for r in expected)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    texts = ["20240105", "20240105001640", "1704380400000", "2024-01-05T00:00:00+09:00", "2024-01-05T00:00:00", "20241399", "2024-01-05T25:00:00", ""]
+    want = [1704380400000, 1704381400000, 1704380400000, 1704380400000, 1704380400000, None, None, None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for zone in ("UTC", "America/New_York", "Asia/Seoul"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r.ts_ms for r in C.normalize_times(frame, "t", "Asia/Seoul").orderBy("i").collect()] == want, zone
+            ends = C.normalize_times(frame.limit(1), "t", "Asia/Seoul", is_until=True).first()
+            assert ends.ts_ms == 1704380400000 + 86_399_000
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
