@@ -456,16 +456,16 @@ def claude_lines(u: DataFrame) -> DataFrame:
     number = F.col("message_id").cast("long")
     values = F.array(
         good, F.when(number % 5 == 0, line("user", F.col("model"))), F.when(number % 7 == 0, line("assistant", F.lit(logs.SYNTHETIC))),
-        F.when(number % 11 == 0, F.substring(good, 1, 60)), F.when(number % 13 == 0, F.replace(good, F.lit('"input_tokens":'), F.lit('"input_tokens":-'))),
+        F.when(number % 11 == 0, F.substring(good, 1, 60)), F.when(number % 13 == 0, F.replace(good, F.lit('"input_tokens":'), F.lit('"input_tokens":-1'))),
     )
     file = F.concat(F.lit("/logs/projects/"), "project", F.lit("/"), "session_id", F.lit(".jsonl"))
     rows = u.select(F.explode(F.array_compact(values)).alias("value"), file.alias("source_file"), "line_no", "ingest_seq")
     return rows
 
 
-@with_sql(f"message_id, message_id || ':' || strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_key, ts_ms, model, session_id, project, {COUNTERS_SQL} FROM u WHERE input_tokens > 0")
+@with_sql(f"message_id, message_id || ':' || strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS event_key, ts_ms, model, session_id, project, {COUNTERS_SQL} FROM u")
 def parse_claude_roundtrip(u):
-    return logs.parse_claude(L.drop_torn(claude_lines(u.where("input_tokens > 0")))).select("message_id", "event_key", "ts_ms", "model", "session_id", "project", *COUNTERS)
+    return logs.parse_claude(claude_lines(u)).select("message_id", "event_key", "ts_ms", "model", "session_id", "project", *COUNTERS)
 
 
 def codex_lines(u: DataFrame) -> DataFrame:
@@ -510,7 +510,7 @@ def prometheus_import(u):
     types = ["input", *prometheus.TYPES]
 
     def series(kind: str | None, value: Column, ranged: bool) -> Column:
-        pairs = [("model", label)] + ([("type", F.lit(kind))] if kind else [("__usage_metric__", F.lit("cost"))])
+        pairs = [("model", label)] + ([("type", F.lit(kind))] if kind else [(prometheus.METRIC_LABEL, F.lit("cost"))])
         metric = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e.value.isNotNull()))
         sample = F.array(F.lit("1704067200"), value.cast("string"))
         old = F.array(F.lit("1704060000"), F.lit("1"))
@@ -577,6 +577,95 @@ def ndjson_rows(u):
     return to_ndjson(u.select("message_id", "model", "input_tokens")).withColumn("message_id", F.get_json_object("value", "$.message_id"))
 
 
-@with_sql(None)
+_RANKED = "row_number() OVER (PARTITION BY provider ORDER BY period) - 1"
+
+
+@with_sql(
+    f", m AS (SELECT provider, {_period_sql(_DAYS)} AS period, model, {ALL_SQL} FROM u GROUP BY ALL), d AS (SELECT provider, period, {_RANKED} AS period_at FROM m GROUP BY provider, period) "
+    f"SELECT provider, period, period_at, row_number() OVER (PARTITION BY provider, period ORDER BY event_count DESC, model) - 1 AS at, model, {COUNTERS_SQL}, event_count, "
+    f"CASE WHEN provider = 'codex' THEN input_tokens + output_tokens ELSE {' + '.join(COUNTERS)} END AS total_tokens, 'usage' AS source FROM m JOIN d USING (provider, period)"
+)
 def report_documents(u):
-    return report_document(U.usage(u, bucket=86_400, by=["provider", "model"]))
+    """The JSON documents, read again: each entry with its place in the document."""
+    entry = f"model string, {', '.join(f'{c} long' for c in COUNTERS)}, event_count long, total_tokens long"
+    schema = f"information map<string,string>, providers map<string,array<struct<period string, usage_per_models array<struct<{entry}>>>>>"
+    made = report_document(U.usage(u, bucket=86_400, by=["provider", "model"]))
+    parsed = made.select("provider", F.from_json("document", schema).alias("d"))
+    periods = parsed.select("provider", F.col("d.information")["source"].alias("source"), F.posexplode(F.col("d.providers")[F.col("provider")]).alias("period_at", "p"))
+    entries = periods.select("provider", "source", "p.period", F.col("period_at").cast("long"), F.posexplode("p.usage_per_models").alias("at", "e"))
+    return entries.select("provider", "period", "period_at", F.col("at").cast("long"), "e.*", "source")
+
+
+# Order, keys and labels for display
+
+
+@with_sql(f"model, {ALL_SQL} FROM u GROUP BY model ORDER BY event_count DESC, model LIMIT 3")
+def summary_top(u):
+    return U.sort_summary(U.usage(u)).limit(3)
+
+
+@with_sql(f"{_DAYS} AS bucket_ms, {_period_sql(_DAYS)} AS period, model, {ALL_SQL} FROM u GROUP BY {_DAYS}, model ORDER BY period, event_count DESC, model LIMIT 12")
+def grouped_top(u):
+    return U.sort_grouped(U.usage(u, bucket=86_400)).limit(12)
+
+
+@with_sql(f"{_period_sql(_DAYS)} || '|' || project || '|' || model AS key, {ALL_SQL} FROM u GROUP BY ALL")
+def group_keys(u):
+    rows = U.usage(u, bucket=86_400, by=["project", "model"])
+    return rows.select(C.group_key(["project", "model"], F.col("period")).alias("key"), *COUNTERS, "event_count")
+
+
+@with_sql(f"{_DAYS} AS bucket_ms, strftime(epoch_ms({_DAYS}) + INTERVAL 9 HOUR, '%Y-%m-%d') || 'T00:00:00' AS period, model, {ALL_SQL} FROM u GROUP BY {_DAYS}, model")
+def report_daily_tz(u):
+    return U.report(u, "daily", tz=SEOUL)
+
+
+@with_sql(
+    "message_id, CASE WHEN event_id % 7 = 0 THEN '-' WHEN event_id % 2 = 0 THEN printf('$%.2f', (input_tokens + 1) / 100.0) ELSE printf('$%.4f', (event_id % 99) / 10000.0) END AS shown FROM u"
+)
+def cost_labels(u):
+    number = F.col("message_id").cast("long")
+    cost = F.when(number % 7 == 0, F.lit(None)).when(number % 2 == 0, (F.col("input_tokens") + 1) / 100.0).otherwise((number % 99) / 10000.0)
+    return u.select("message_id", C.fmt_cost(cost).alias("shown"))
+
+
+@with_sql(
+    f"CASE WHEN event_id % 3 = 0 THEN 'codex' WHEN event_id % 3 = 1 THEN 'claude_code' END AS owner, count(*) AS n, min(message_id) AS least FROM u GROUP BY ALL"
+)
+def owner_of_file(u):
+    number, file = F.col("message_id").cast("long"), F.concat(F.lit("0198aaaa-bbbb-4ccc-8ddd-"), F.lpad("message_id", 12, "0"))
+    path = (
+        F.when(number % 3 == 0, F.concat(F.lit("/home/me/.codex/sessions/2026/rollout-"), file, F.lit(".jsonl")))
+        .when(number % 3 == 1, F.concat(F.lit("/home/me/.claude/projects/p/"), F.when(number % 2 == 0, F.concat(file, F.lit("/subagents/agent-x"))).otherwise(file), F.lit(".jsonl")))
+        .otherwise(F.concat(F.lit("/home/me/.claude/projects/p/notes-"), "message_id", F.lit(".jsonl")))
+    )
+    return u.select(logs.owner(path).alias("owner"), "message_id").groupBy("owner").agg(F.count("*").alias("n"), F.min("message_id").alias("least"))
+
+
+@with_sql("message_id, event_id * 2 + 1 AS line, '{\"id\":' || event_id || '}' AS value FROM u WHERE event_id % 4 <> 0")
+def drop_torn(u):
+    """Text lines of which every fourth is torn."""
+    number = F.col("message_id").cast("long")
+    value = F.concat(F.lit('{"id":'), "message_id", F.when(number % 4 == 0, "").otherwise("}"))
+    return L.drop_torn(u.select("message_id", (number * 2 + 1).alias("line"), value.alias("value")))
+
+
+@with_sql(
+    "message_id, ts_ms FROM u UNION ALL SELECT message_id, ts_ms + 172800000 FROM u WHERE event_id % 4 = 0 UNION ALL SELECT message_id, ts_ms + 3 * 86400000 FROM u WHERE false"
+)
+def dedup_horizon(u):
+    """Every fourth message comes again after two days, and before that within the hour: with a
+    horizon of a day the first is a new row and the second is not."""
+    number = F.col("message_id").cast("long")
+    early = u.withColumns({"ts_ms": F.col("ts_ms") - 3_600_000, "line_no": F.col("line_no") * 3}).where(number % 8 == 0)
+    late = u.withColumns({"ts_ms": F.col("ts_ms") + 2 * DAY_MS, "line_no": F.col("line_no") * 3 + 2}).where(number % 4 == 0)
+    now = u.withColumn("line_no", F.col("line_no") * 3 + 1)
+    return dedup.latest(early.unionByName(now).unionByName(late), horizon_h=24).select("message_id", "ts_ms")
+
+
+@with_sql(f"{_PER_MODEL}, s AS (SELECT model, {SUMS_SQL}, round(sum(cost), 9) AS cost FROM c GROUP BY model) SELECT * REPLACE (CASE WHEN model = 'view' THEN 0.5 ELSE cost END AS cost) FROM s", prices=True)
+def cost_of_imports(u):
+    """Imported sums, one model with a cost of its own (which stays) and one with a cost of zero."""
+    sums = u.groupBy("model").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    imported = sums.withColumn("cost", F.when(F.col("model") == "view", 0.5).when(F.col("model") == "click", 0.0))
+    return _rounded(pricing.with_cost(imported, price_list(u))).select("model", *COUNTERS, "cost")
