@@ -31,8 +31,7 @@ from __future__ import annotations
 
 import html as references
 import re
-from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -167,32 +166,62 @@ def blocks(html: str) -> tuple[list[str], list[int], bool]:
     return lines, zones, marked
 
 
+#: Bits that one alignment holds at once; longer ones are computed again in runs of rows.
+HELD_BITS = 1 << 28
+
+
 def common(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of one longest common subsequence of a and b (Hunt and Szymanski)."""
+    """Places in a of one longest common subsequence of a and b.
+
+    By bits (Hyyrö, 2004): after each line of a, an integer has a 0 for each line of b at which
+    the longest common subsequence grows. A step costs len(b) / 64 operations, whatever lines
+    repeat; the way back reads the integers in reverse, from rows kept at intervals."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where = defaultdict(list)
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where[b[j]].append(j)
-    ends: list[int] = []  # smallest end in b of a common subsequence of each length
-    links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif ends[k] != j:
-                ends[k], links[k] = j, link
-    middle, at = [], links[-1] if links else None
-    while at:
-        middle.append(at[0])
-        at = at[1]
+    rows, width = a[head : len(a) - tail], len(b) - tail - head
+    at: dict[str, int] = {}
+    for j in range(width):
+        at[b[head + j]] = at.get(b[head + j], 0) | 1 << j
+    full = (1 << width) - 1
+
+    def after(v: int, row: str) -> int:
+        here = at.get(row)
+        if not here:
+            return v
+        u = v & here
+        return ((v + u) | (v - u)) & full
+
+    middle: list[int] = []
+    if rows and at:
+        step = max(1, min(len(rows), HELD_BITS // width // 2))
+        v, kept = full, []
+        for i, row in enumerate(rows):
+            if i % step == 0:
+                kept.append(v)
+            v = after(v, row)
+        i, j = len(rows), width
+        for block in range(len(kept) - 1, -1, -1):
+            first = block * step
+            held = [kept[block]]
+            for row in rows[first : min(first + step, len(rows))]:
+                held.append(after(held[-1], row))
+            while i > first and j:
+                # The last line of b so far at which the subsequence grows.
+                j = (~held[i - first] & (1 << j) - 1).bit_length()
+                if not j:
+                    break
+                while i > first and not held[i - 1 - first] >> (j - 1) & 1:
+                    i -= 1
+                if i == first:
+                    break  # the row lies in an earlier block
+                i, j = i - 1, j - 1
+                middle.append(head + i)
+            if not j:
+                break
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 

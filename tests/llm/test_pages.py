@@ -1,6 +1,7 @@
 import html as references
 import random
 import re
+import time
 
 from tallyforge.llm import pages
 
@@ -50,6 +51,24 @@ def test_common_equals_brute_force():
             at = b.index(a[i], at) + 1
 
 
+def test_common_in_runs_of_rows(monkeypatch):
+    monkeypatch.setattr(pages, "HELD_BITS", 60)
+    test_common_equals_brute_force()
+
+
+def test_common_of_long_pages_of_repeated_lines():
+    """40,000 lines that alternate or nearly so take seconds."""
+    began = time.time()
+    n = 40_000
+    a = [f"line {i % 2}" for i in range(n)]
+    b = [f"line {(i + i // 7) % 2}" if i % 5 else f"own {i}" for i in range(n)]
+    places = pages.common(a, b)
+    at = 0
+    for i in places[:2000]:
+        at = b.index(a[i], at) + 1
+    assert len(places) > n // 2 and time.time() - began < 60
+
+
 def test_pages_without_an_article_are_differenced(spark):
     def page(body):
         return f"<body><div>Site name</div><div>Our slogan</div>{body}<div>All rights reserved</div>"
