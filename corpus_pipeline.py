@@ -1,5 +1,13 @@
 """A training corpus from ``documents``: quality rules, SimHash near-dedup, personal data,
-mixing, packing. Each stage reads the Parquet table that the one before it wrote."""
+mixing, packing. Each stage reads the Parquet table that the one before it wrote.
+
+Defined cases, at every stage: a null text counts as empty, so the quality rules reject it; rows
+without an id are judged and packed like others, and stand last where one of a class is chosen;
+repeated rows and different texts under one id are rows of their own until near-dedup, which
+keeps one of each class and so two of two different texts; a null source is a source; further
+columns are carried through all stages but the last, whatever their names; an empty table gives
+an empty table. Mixing repeats documents and leaves some out; the ``row_id`` of packed pieces
+tells copies apart."""
 
 from __future__ import annotations
 
