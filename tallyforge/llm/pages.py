@@ -13,13 +13,15 @@ comments, by tag, role, class or id) go also where they differ between the pages
 page marks its article (or main) element, and this holds most of the other text, the lines inside it stay, shared ones too (two
 articles that quote one passage), and lines outside go. Elsewhere differencing decides.
 
-Pages are grouped by host. Hosts of more than BLOCK pages are cut into ranges of at most
-BLOCK pages in the order of path and page_id, so that nearest URLs stay together, and a
+Pages are grouped by host. Hosts of more than BLOCK pages or BLOCK_BYTES of html are cut into
+ranges of about that size in the order of path and page_id, so that nearest URLs stay together, and a
 host, a folder or a URL with a third of all pages is spread over many tasks. A block also
 sees, without giving rows for them, the NEAR pages next to it on each side, the first page
 of blocks 2, 4, 8, ... further on and back, and the first and last pages of the host, so
 that no page is alone unless its host has one page and a run of copies that fills blocks is
-walked past. Only the blocks' limits (two keys for BLOCK pages) are gathered at the driver.
+walked past. Only the blocks' limits are gathered at the driver: three keys for each block of a
+large host, some 300 bytes for each 32 MB of html or 1,024 pages (3 GB of limits, the most that a
+large driver should be given, stand for ten billion pages).
 
 Defined cases: null or empty html gives the empty text; null urls count as one host; a
 page alone on its host has no lines deleted as shared; repeated rows stay, and as copies
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import saved, table
 
-BLOCK = 256
+#: Pages, and bytes of their html, from which a block ends.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Pages next to a block, on each side, that it sees.
 NEAR = 3
 #: Share of the shorter page's characters from which a page further on is compared too.
@@ -322,8 +325,9 @@ class Ranges:
         return {k for k in found if first <= k <= last and k != block}
 
 
-def _limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _limits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Limits of blocks over sorted keys: rows start, head, tail, each a key as a list."""
+    held = 0
     made: list[tuple] = []
     block: list[tuple] = []
     columns = pa.struct([("host", pa.string()), ("path", pa.string()), ("order_id", pa.int64()), ("order_tie", pa.int64())])
@@ -334,9 +338,12 @@ def _limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block.clear()
 
     for batch in batches:
-        for key in zip(*(batch.column(c).to_pylist() for c in KEY)):
-            if block and (key[0] != block[0][0] or len(block) >= BLOCK and key != block[-1]):
+        for *key, n_bytes in zip(*(batch.column(c).to_pylist() for c in (*KEY, "n_bytes"))):
+            key = tuple(key)
+            if block and (key[0] != block[0][0] or (len(block) >= size or held >= BLOCK_BYTES) and key != block[-1]):
                 close()
+                held = 0
+            held += n_bytes
             # Of rows that are alike only one counts: no limit can lie between them.
             if not block or key != block[-1]:
                 block.append(key)
@@ -349,18 +356,23 @@ def _keyed(web: DataFrame) -> DataFrame:
     place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     return web.select(
         F.col("page_id").cast("long"), "url", F.lower(F.substring_index(place, "/", 1)).alias("host"), place.alias("path"), "html",
-        F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("order_id"), F.xxhash64("url", "html").alias("order_tie"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("order_id"), F.xxhash64("url", "html").alias("order_tie"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 
-def ranges(web: DataFrame) -> Ranges:
+def ranges(web: DataFrame, size: int = BLOCK) -> Ranges:
     """The blocks that the large hosts of ``web`` are cut into."""
     rows = _keyed(web)
-    hosts = saved(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("host"), "pages-hosts")
-    keys = rows.select(*KEY).join(hosts, "host", "left_semi")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    hosts = saved(hosts.where((F.col("n") > size) | (F.col("bytes") > BLOCK_BYTES)).select("host"), "pages-hosts")
+    keys = rows.select(*KEY, "n_bytes").join(hosts, "host", "left_semi").select(*KEY, "n_bytes")
     key = "struct<host: string, path: string, order_id: bigint, order_tie: bigint>"
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _limits(batches, size)
+
     # Each range of the shuffle ends a block; a short one sees its neighbours.
-    found = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(_limits, f"start {key}, head {key}, tail {key}")
+    found = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(limits, f"start {key}, head {key}, tail {key}")
     return Ranges([tuple(x and tuple(x) for x in row) for row in found.collect()])
 
 
@@ -396,19 +408,19 @@ def _differenced(rows: pa.Table) -> pa.Table:
     return made.filter(pa.array(own, pa.bool_()))
 
 
-def parsed(web: DataFrame) -> DataFrame:
+def parsed(web: DataFrame, size: int = BLOCK) -> DataFrame:
     """The lines of every page, in its block (``own``) and in those that see it."""
-    return _keyed(web).mapInArrow(_placed(ranges(web)), PARSED)
+    return _keyed(web).mapInArrow(_placed(ranges(web, size)), PARSED)
 
 
-def blocked(web: DataFrame) -> DataFrame:
+def blocked(web: DataFrame, size: int = BLOCK) -> DataFrame:
     """The pages of ``web`` with the (host, folder, part) in which they are paired."""
-    return parsed(web).where("own").drop("own")
+    return parsed(web, size).where("own").drop("own")
 
 
-def main_texts(web: DataFrame) -> DataFrame:
+def main_texts(web: DataFrame, size: int = BLOCK) -> DataFrame:
     """(page_id, url, text) of every row (page_id, url, html)."""
-    return parsed(web).groupBy("host", "folder", "part").applyInArrow(_differenced, "page_id long, url string, text string")
+    return parsed(web, size).groupBy("host", "folder", "part").applyInArrow(_differenced, "page_id long, url string, text string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

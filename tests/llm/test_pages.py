@@ -89,8 +89,8 @@ def test_hot_hosts_folders_and_urls_are_cut(spark):
     rows += [(20_000 + i, "http://same.example/a/b") for i in range(3000)]
     rows += [(30_000, "http://small.example/a"), (30_001, "http://small.example/b/c")]
     frame = spark.createDataFrame([(*r, "<p>x") for r in rows], "page_id long, url string, html string")
-    groups = pages.blocked(frame).groupBy("host", "folder", "part").count().collect()
-    assert sum(g["count"] for g in groups) == len(rows) and max(g["count"] for g in groups) < 2 * pages.BLOCK
+    groups = pages.blocked(frame, 256).groupBy("host", "folder", "part").count().collect()
+    assert sum(g["count"] for g in groups) == len(rows) and max(g["count"] for g in groups) < 2 * 256
     assert [g["count"] for g in groups if g.host == "small.example"] == [2]
 
 
@@ -153,11 +153,11 @@ def test_large_hosts_are_cut_in_path_order_and_blocks_see_their_neighbours(spark
     rows += [(9000, "http://run.example/b", page(9000, 1))]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     groups = {}
-    for r in pages.blocked(frame).where("host = 'big.example'").select("part", "path").collect():
+    for r in pages.blocked(frame, 256).where("host = 'big.example'").select("part", "path").collect():
         groups.setdefault(r.part, []).append(r.path)
     ends = sorted((min(x), max(x)) for x in groups.values())
     assert len(ends) > 10 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
-    found = {r.page_id: r.text for r in pages.main_texts(frame).collect()}
+    found = {r.page_id: r.text for r in pages.main_texts(frame, 256).collect()}
     assert len(found) == len(rows)
     # Sections of two pages each: the nearest URL is the only page that shares the section's line.
     own = {i: f"story {i} as told on its own page\n\nmore of {i}" for i in (*range(3000), *range(5000, 5004), 9000)}
@@ -166,6 +166,22 @@ def test_large_hosts_are_cut_in_path_order_and_blocks_see_their_neighbours(spark
     assert all(found[6000 + i] == own[1] for i in range(1500)) and found[9000] == own[9000]
 
 
+def test_blocks_cut_small_or_large_give_the_same_rows(spark):
+    """Each page's nearest URL is in its block or among the pages that the block sees."""
+
+    def page(i):
+        return f"<div>Site</div><div>Section {i // 40}</div><p>story {i} as told on its own page<p>more of {i}<div>Imprint</div>"
+
+    frame = spark.createDataFrame([(i, f"http://big.example/{i // 40:03}/{i:05}", page(i)) for i in range(1500)], "page_id long, url string, html string")
+    small, large = ({r.page_id: r.text for r in pages.main_texts(frame, size).collect()} for size in (100, 10_000))
+    assert small == large and small[77] == "story 77 as told on its own page\n\nmore of 77"
+
+
+def test_long_pages_end_blocks(spark):
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", f"<p>{'w' * 9_000_000} {i}") for i in range(9)], "page_id long, url string, html string")
+    assert pages.blocked(frame).select("part").distinct().count() >= 2
+
+
 def test_a_teaser_is_no_article_and_sections_keep_their_names():
     story = "<p>The story stands outside of any article element.<p>It is long."
     for teaser in ("<article><p>Read this too</article>", "<main></main>"):
