@@ -114,7 +114,8 @@ class Model:
         at, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
         y = np.asarray(grades)
         scale = self._scale(of, at, y)
-        value = value * scale[at]
+        used = scale[at] > 0
+        of, at, value = of[used], at[used], (value * scale[at])[used]
         counts = np.bincount(y, minlength=GRADES)
         share = (1.0 / np.sqrt(np.maximum(counts, 1)))[y]  # rare grades weigh more, not as much as all
         share /= share.sum()
