@@ -43,10 +43,10 @@ from tallyforge.llm.components import components
 from tallyforge.llm.simhash import _forest
 
 LEAST_COSINE = 0.95
-#: Vectors that fit the index at most; all vectors are indexed.
-SAMPLE = 20_000
-PER_LIST = 256
-MOST_LISTS = 1024
+#: Vectors that fit the index, or PER_CENTROID for each list if these are more; all are indexed.
+SAMPLE, PER_CENTROID = 20_000, 16
+#: Classes for each list, about, and lists at most.
+PER_LIST, MOST_LISTS = 256, 4096
 #: Nearest centroids of a query whose planes are tried against each list.
 PLANES = 8
 SUBSPACES = 8
@@ -115,7 +115,8 @@ def _kmeans(x: np.ndarray, k: int, spherical: bool, rounds: int = 12) -> np.ndar
     rng = np.random.default_rng(SEED)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = np.argmax(x @ centres.T - (0 if spherical else 0.5 * (centres**2).sum(axis=1)), axis=1)
+        half = 0 if spherical else 0.5 * (centres**2).sum(axis=1)
+        near = np.concatenate([np.argmax(x[at : at + 4096] @ centres.T - half, axis=1) for at in range(0, len(x), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         counts = np.bincount(near, minlength=len(centres))
@@ -130,10 +131,10 @@ class Index:
     """Coarse centroids and residual codebooks, fitted on a sample of unit vectors."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.dim = sample.shape[1]
+        self.dim, self._gaps = sample.shape[1], None
         self.coarse = _kmeans(sample, lists, spherical=True)
         self.width = -(-self.dim // SUBSPACES)
-        residual = self._padded(sample - self.coarse[np.argmax(sample @ self.coarse.T, axis=1)])
+        residual = self._padded(sample - self.coarse[self.home(sample)[0]])
         self.books = [_kmeans(np.ascontiguousarray(residual[:, m]), CODES, spherical=False) for m in range(SUBSPACES)]
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
@@ -143,9 +144,19 @@ class Index:
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each vector and the angle to its centroid."""
-        near = x @ self.coarse.T
-        home = np.argmax(near, axis=1)
-        return home, np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1))
+        home, angle = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for at in range(0, len(x), 4096):
+            near = x[at : at + 4096] @ self.coarse.T
+            home[at : at + 4096] = np.argmax(near, axis=1)
+            angle[at : at + 4096] = np.arccos(np.clip(near.max(axis=1), -1, 1))
+        return home, angle
+
+    def gaps(self) -> np.ndarray:
+        """Distances between centroids, made once for each worker."""
+        if self._gaps is None:
+            squares = (self.coarse**2).sum(axis=1)
+            self._gaps = np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.coarse @ self.coarse.T, 0)).astype(np.float32)
+        return self._gaps
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """List, angle to its centroid, codes, length left out."""
@@ -167,12 +178,10 @@ class Index:
         at = near[:, lists]
         angle = np.arccos(np.clip(at, -1, 1))
         open_ = (angle <= high + turn) & (angle >= low - turn)
-        squares = (self.coarse**2).sum(axis=1)
-        gaps = np.sqrt(np.maximum(squares[:, None] + squares[lists] - 2 * self.coarse @ self.coarse[lists].T, 0))
-        behind = np.sin(min(turn, np.pi / 2)) * gaps + 1e-6
+        gaps, steep = self.gaps(), np.sin(min(turn, np.pi / 2))
         planes = min(PLANES, len(self.coarse))
         for by in np.argpartition(-near, planes - 1, axis=1)[:, :planes].T:
-            open_ &= near[np.arange(len(x)), by][:, None] - at <= behind[by]
+            open_ &= near[np.arange(len(x)), by][:, None] - at <= steep * gaps[by[:, None], lists] + 2e-6
         return open_, angle
 
     def estimates(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
@@ -317,17 +326,19 @@ def _search(index: Index, lists: Lists, form: Packed, least: float):
 
 
 def fit(classes: DataFrame, count: int, form: Packed) -> Index | None:
-    """An index over ``count`` classes, fitted on the SAMPLE of them with the least hashes, about;
-    None if there are no classes."""
+    """An index over ``count`` classes, fitted on those with the least hashes; None if there are
+    no classes. The sample is at most about 65,536 vectors."""
     if not count:
         return None
-    share = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(min(1.0, SAMPLE / count))  # never rounds to nothing
+    lists = max(1, min(MOST_LISTS, count // PER_LIST))
+    wanted = max(SAMPLE, PER_CENTROID * lists)
+    share = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(min(1.0, wanted / count))  # never rounds to nothing
     picked = classes.where(F.xxhash64("rep", F.lit(SEED)).cast("double") <= share)
-    rows = sorted(picked.select("rep", "vec").limit(2 * SAMPLE).collect())
+    rows = sorted(picked.select("rep", "vec").limit(2 * wanted).collect())
     if not rows:
         raise RuntimeError("no vector was picked to fit the index on")
     sample = form.units(pa.array([bytes(r.vec) for r in rows], pa.binary()))
-    return Index(sample, max(1, min(MOST_LISTS, count // PER_LIST)))
+    return Index(sample, lists)
 
 
 def links(vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:

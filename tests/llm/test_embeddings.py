@@ -96,6 +96,7 @@ def test_a_third_of_all_rows_in_one_class(spark, monkeypatch):
 
 def test_an_index_that_picked_nothing_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "SAMPLE", 0)
+    monkeypatch.setattr(embeddings, "PER_CENTROID", 0)
     frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError, match="no vector was picked"):
         embeddings.links(frame)
