@@ -27,9 +27,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: Pieces, and ids of pieces, that a worker holds before it drops those that came once.
-CACHE_PIECES, CACHE_IDS = 500_000, 8_000_000
+CACHE_PIECES, CACHE_IDS = 700_000, 12_000_000
 #: Bytes of text cut at once, and bytes of odd pieces given to the library in one call.
-PART, CALL = 4 << 20, 1 << 12
+PART, CALL = 6 << 20, 1 << 12
 #: What the strings of special tokens start with.
 SPECIAL = "<|"
 WORD_END = "</w>"
@@ -196,6 +196,8 @@ class Encoder:
                 found = [t.id for t in tokenize(text.lower() if self.words else text)]
             elif spaced and raw[1:].isalpha() and raw[0] == 32:
                 found = [t.id for t in tokenize(self.letters[32] + text[1:])]
+            elif (text[1:] if spaced and text[0] == " " else text).isalpha() and max(text) <= "ÿ":  # one word of Latin letters
+                found = self._merge(text.lower() if self.words else text)
             elif not plain(text) or SPECIAL in text:
                 odd.append((raw, text))
                 continue
