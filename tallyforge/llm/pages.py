@@ -44,6 +44,8 @@ from tallyforge.llm.common import saved, table
 
 #: Pages, and bytes of their html, from which a block ends.
 BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Names of large hosts that are broadcast at most.
+BROADCAST_HOSTS = 500_000
 #: Pages next to a block, on each side, that it sees.
 NEAR = 3
 #: Share of the shorter page's characters from which a page further on is compared too.
@@ -365,7 +367,10 @@ def ranges(web: DataFrame, size: int = BLOCK) -> Ranges:
     rows = _keyed(web)
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     hosts = saved(hosts.where((F.col("n") > size) | (F.col("bytes") > BLOCK_BYTES)).select("host"), "pages-hosts")
-    keys = rows.select(*KEY, "n_bytes").join(hosts, "host", "left_semi").select(*KEY, "n_bytes")
+    # Large hosts are few: one for each ``size`` pages at most. Beyond the bound their list is
+    # joined by shuffle, where adaptive execution splits a hot host's keys.
+    few = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    keys = rows.select(*KEY, "n_bytes").join(few, "host", "left_semi").select(*KEY, "n_bytes")
     key = "struct<host: string, path: string, order_id: bigint, order_tie: bigint>"
 
     def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
