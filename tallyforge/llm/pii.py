@@ -412,14 +412,14 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     from the left, and one that starts within a replaced span goes with it."""
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text"))
-    # The candidates are computed twice: once for the classifier's counts over the whole
-    # table, once beside the text, which spares a join that would shuffle every text.
-    model = train(saved(candidates(keyed.select(F.lit(0).alias("_k"), "text"), "_k", "text"), "pii-candidates"))
-    found = candidates(keyed.withColumn("_all", F.struct("_row", "text")), "_all", "text")
+    # Texts are searched once and written with their spans: the classifier learns from the spans
+    # of the whole table before it decides on any.
+    found = saved(candidates(keyed, "_row", "text"), "pii-candidates")
+    model = train(found)
     accepted = F.filter("spans", lambda s: s.kind.isin(*BASE) | (_score(s, model) >= threshold))
     ordered = F.sort_array(F.transform(accepted, lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))
-    rows = found.select(F.explode(F.array(F.struct("_all", ordered.alias("spans")))).alias("_f")).select("_f._all.*", F.col("_f.spans").alias("_spans"))
-    rows = rows.withColumn("_clean", _replaced("text", "_spans"))
+    rows = found.select(F.explode(F.array(F.struct("_row", ordered.alias("spans")))).alias("_f"))
+    rows = rows.select("_f._row", F.col("_f.spans").alias("_spans"), F.col("_f._row.text").alias("_text")).withColumn("_clean", _replaced("_text", "_spans"))
     changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_spans") > 0, F.char_length("_clean").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
     return rows.select(*[(changed[c] if c in changed else F.col("_row")[c]).alias(c) for c in columns])
 
