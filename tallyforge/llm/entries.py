@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import embeddings, grades, language, mixing, packing, pages, pii, rules, simhash, store
+from tallyforge.llm import embeddings, grades, language, mixing, packing, pages, phrases, pii, repeats, rules, simhash, store
 
 QUERIES = {
     "op1_grades": grades.op1,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_embeddings": embeddings.op9,
     "op10_pages": pages.op10,
+    "op12_phrases": phrases.op12,
+    "op13_repeats": repeats.op13,
 }
 
 SQL = {
     "op2_quality_rules": rules.OP2_SQL,
     "rules_ablation": rules.ABLATION_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
