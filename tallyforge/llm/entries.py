@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import embeddings, grades, language, mixing, packing, pages, phrases, pii, repeats, rules, simhash, store
+from tallyforge.llm import embeddings, grades, language, mixing, packing, pages, phrases, pii, repeats, rules, simhash, store, toxicity
 
 QUERIES = {
     "op1_grades": grades.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_embeddings": embeddings.op9,
     "op10_pages": pages.op10,
+    "op11_toxicity": toxicity.op11,
     "op12_phrases": phrases.op12,
     "op13_repeats": repeats.op13,
 }
