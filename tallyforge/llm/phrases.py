@@ -7,10 +7,11 @@ then is counted exactly over all texts. Phrases whose local counts show that the
 SUPPORT (a shard where a phrase is not frequent adds less than the local support) leave the union
 before that.
 
-Both passes cut texts with numpy where they lie and combine counts in a task before they are
-shuffled. Mining shuffles 64-bit hashes of phrases; they serve only to rule phrases out, and a
-phrase that shares its hash with another can only be counted for nothing. The second pass knows
-the union as a bitmap of 2^FILTER_BITS bits, a size that does not depend on the corpus; what
+Words and pairs are mined in one pass over the texts, triples in a second one, from pairs of the
+union alone; a third pass counts. Each cuts texts with numpy where they lie and combines counts in
+a task before they are shuffled. Mining shuffles 64-bit hashes of phrases; they serve only to rule
+phrases out, and a phrase that shares its hash with another can only be counted for nothing. Tasks
+know the union as a bitmap of 2^FILTER_BITS bits, a size that does not depend on the corpus; what
 passes is grouped and counted by the words themselves. A shard is no task: its phrases are dealt
 over the cluster by hash.
 
@@ -41,7 +42,9 @@ SHARDS = 5
 #: Bits of the second pass's filter: 16 MB.
 FILTER_BITS = 27
 #: Bytes of text cut together, and counts that a task holds before it passes them on.
-TOGETHER, HELD = 4 << 20, 1 << 22
+TOGETHER, HELD = 1 << 20, 1 << 20
+#: Rows that a task hands on at once.
+ROWS = 1 << 15
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -172,33 +175,45 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return named.select("lang", F.xxhash64("lang").alias("lang_hash"), F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SHARDS)).cast("int").alias("shard"), "text")
 
 
-def totals(texts: DataFrame) -> DataFrame:
-    """(lang, n): words of each language."""
+def _passed(held: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each hash."""
+    place = key >> _U(64 - FILTER_BITS)
+    return (held[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, own, _ in _slices(batches):
-            words = np.bincount(cut(own).doc, minlength=len(own))
-            yield pa.record_batch([rows.column("lang"), pa.array(words.astype(np.int64))], names=["lang", "n"])
 
-    return texts.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+def _low(shards: int) -> int:
+    """The last bits of a hash, which a shard's number takes."""
+    return (1 << max(1, (shards - 1).bit_length())) - 1
 
 
-def locally_frequent(texts: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
-    """(key): hashes of the phrases that are frequent in some shard and may reach the support."""
-    local = -(-support // shards)
-    low = (1 << max(1, (shards - 1).bit_length())) - 1
+def _mined(texts: DataFrame, lengths: tuple[int, ...], known: bytes | None, support: int, shards: int) -> DataFrame:
+    """(key): hashes of the phrases of some lengths that are frequent in some shard and may reach
+    the support. With ``known``, the bitmap of the phrases of one word fewer, only those whose two
+    such parts it has: the others are frequent in no shard."""
+    local, low = -(-support // shards), _low(shards)
+    sent = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(HELD)
+        held = None if sent.value is None else np.frombuffer(sent.value, dtype=np.uint8)
 
         def rows(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for key, count in found:
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "count"])
+                for i in range(0, len(key), ROWS):
+                    yield pa.record_batch([pa.array(key[i : i + ROWS].view(np.int64)), pa.array(count[i : i + ROWS].astype(np.int64))], names=["key", "count"])
 
         for part, own, langs in _slices(batches):
             shard = part.column("shard").to_numpy().astype(np.uint64)
             words = cut(own)
-            for at, key in keys(words, langs):
+            levels = keys(words, langs)
+            for n in lengths:
+                at, key = levels[n - 1]
+                if held is not None:
+                    place, shorter = levels[n - 2]
+                    frequent = np.zeros(len(words.hash) + 1, dtype=bool)
+                    frequent[place] = _passed(held, shorter & ~_U(low))
+                    whole = np.flatnonzero(frequent[at] & frequent[at + 1])
+                    at, key = at[whole], key[whole]
                 # The shard takes the hash's last bits, so that a row is two numbers.
                 yield from rows(counts.add((key & ~_U(low)) | shard[words.doc[at]]))
         yield from rows(counts.rest())
@@ -208,7 +223,18 @@ def locally_frequent(texts: DataFrame, support: int = SUPPORT, shards: int = SHA
     return union.where(F.col("count") + (shards - F.col("shards")) * (local - 1) >= support).select("key")
 
 
-def _filter(union: DataFrame, bits: int = FILTER_BITS) -> bytes:
+def locally_frequent(texts: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[bytes, list[DataFrame]]:
+    """The union of the shards' frequent phrases: as a bitmap, and as tables (key). Words and pairs
+    are mined together, longer phrases level by level."""
+    found = [saved(_mined(texts, (1, 2), None, support, shards), "phrase-union")]
+    held = _bitmap(found[0])
+    for n in range(3, LONGEST + 1):
+        found.append(saved(_mined(texts, (n,), held, support, shards), "phrase-union"))
+        held = (np.frombuffer(held, dtype=np.uint8) | np.frombuffer(_bitmap(found[-1]), dtype=np.uint8)).tobytes()
+    return held, found
+
+
+def _bitmap(union: DataFrame, bits: int = FILTER_BITS) -> bytes:
     """A bitmap of 2^bits bits: bit h is set if a hash of the union starts with h."""
     word = 20  # bits of a place within a block: 128 KB
     places = union.select(F.shiftrightunsigned("key", 64 - bits).alias("at")).distinct()
@@ -221,34 +247,37 @@ def _filter(union: DataFrame, bits: int = FILTER_BITS) -> bytes:
 
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     blocks = places.withColumn("block", F.shiftright("at", word)).groupBy("block").applyInArrow(block, "block long, bits binary")
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():
         out[r.block << (word - 3) : (r.block + 1) << (word - 3)] = np.frombuffer(r.bits, dtype=np.uint8)
     return out.tobytes()
 
 
-def counted(texts: DataFrame, union: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
+def counted(texts: DataFrame, union: bytes, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
     """(lang, words, phrase, f): exact counts of the phrases of 1 to LONGEST words, by hash in the
-    union, that have the support."""
-    sent = texts.sparkSession.sparkContext.broadcast(_filter(union))
-    low = (1 << max(1, (shards - 1).bit_length())) - 1
+    union, that have the support; and of all words of a language, with 0 words and no phrase."""
+    sent = texts.sparkSession.sparkContext.broadcast(union)
+    low = _low(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent.value, dtype=np.uint8)
+
+        def rows(lang: pa.Array, n: int, made: list[bytes | None], count: np.ndarray) -> pa.RecordBatch:
+            columns = [lang, pa.array(np.full(len(made), n, dtype=np.int32)), pa.array(made, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))]
+            return pa.record_batch(columns, names=["lang", "words", "phrase", "f"])
+
         for part, own, langs in _slices(batches):
             words, lang = cut(own), part.column("lang")
+            yield rows(lang, 0, [None] * len(own), np.bincount(words.doc, minlength=len(own)))
             for n, (at, key) in enumerate(keys(words, langs), 1):
-                place = (key & ~_U(low)) >> _U(64 - FILTER_BITS)
-                passed = np.flatnonzero((held[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1)
+                passed = np.flatnonzero(_passed(held, key & ~_U(low)))
                 _, first, count = np.unique(key[passed], return_index=True, return_counts=True)
-                at_first = at[passed[first]]
-                made = [words.phrase(k, n) for k in at_first.tolist()]
-                yield pa.record_batch(
-                    [lang.take(pa.array(words.doc[at_first])), pa.array(np.full(len(made), n, dtype=np.int32)), pa.array(made, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))],
-                    names=["lang", "words", "phrase", "f"],
-                )
+                first = at[passed[first]]
+                for i in range(0, len(first), ROWS):
+                    some = first[i : i + ROWS]
+                    yield rows(lang.take(pa.array(words.doc[some])), n, [words.phrase(k, n) for k in some.tolist()], count[i : i + ROWS])
 
-    rows = texts.mapInArrow(run, "lang string, words int, phrase string, f long")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
+    found = texts.mapInArrow(run, "lang string, words int, phrase string, f long")
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("words") == 0))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -268,7 +297,7 @@ def scored(counts: DataFrame) -> DataFrame:
     ).select("lang", "phrase", "words", "a", "k", "s.*")
     at = F.concat_ws("\n", "lang", "part")  # no word holds a line break
     sides = saved(sides.withColumn("_key", at), "phrase-parts")
-    parts = counts.where(F.col("words") < LONGEST).select(F.concat_ws("\n", "lang", "phrase").alias("_key"), "f")
+    parts = counts.where(F.col("words").between(1, LONGEST - 1)).select(F.concat_ws("\n", "lang", "phrase").alias("_key"), "f")
     met = saved(spread_join(sides, parts, "_key", "phrase-parts", "inner"), "phrase-met")
     both = met.groupBy("lang", "phrase", "words", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("f"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("f"))).alias("r"))
     exact = F.expr("CAST(CAST(1000000 AS DECIMAL(7,0)) * (CAST(a AS DECIMAL(14,0)) * CAST(a AS DECIMAL(14,0))) AS DECIMAL(38,0)) div (CAST(l AS DECIMAL(14,0)) * CAST(r AS DECIMAL(14,0)))")
@@ -282,12 +311,13 @@ def scored(counts: DataFrame) -> DataFrame:
 def phrases(docs: DataFrame, support: int = SUPPORT, first: int = FIRST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of (lang, text)."""
     texts = texts_of(docs)
-    union = saved(locally_frequent(texts, support), "phrase-union")
-    best = scored(saved(counted(texts, union, support), "phrase-counts"))
+    union, _ = locally_frequent(texts, support)
+    counts = saved(counted(texts, union, support), "phrase-counts")
+    best = scored(counts)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     # Spark drops what is past the limit in every task before the shuffle by language.
     top = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
-    named = top.join(totals(texts), "lang")
+    named = top.join(counts.where("words = 0").select("lang", F.col("f").alias("n")), "lang")
     return named.select("lang", "rank", "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
 
 

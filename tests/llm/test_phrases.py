@@ -69,7 +69,10 @@ def test_mining_loses_nothing(spark):
     rng = random.Random(8)
     rows = [(i, f"x{rng.randrange(60)} y{rng.randrange(9)} z", "en") for i in range(900)]
     texts = phrases.texts_of(spark.createDataFrame(rows, SCHEMA))
-    union = {r.key for r in phrases.locally_frequent(texts).collect()}
+    held, tables = phrases.locally_frequent(texts)
+    union = {r.key for t in tables for r in t.collect()}
+    bits = np.unpackbits(np.frombuffer(held, dtype=np.uint8), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {(k & (1 << 64) - 1) >> (64 - phrases.FILTER_BITS) for k in union}
     langs = np.array([r.lang_hash for r in texts.limit(1).collect()]).astype(np.int64).astype(np.uint64)
     counts = Counter(" ".join(t.split()[i : i + n]) for _, t, _ in rows for n in (1, 2, 3) for i in range(4 - n))
     for phrase, count in counts.items():
