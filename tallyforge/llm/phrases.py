@@ -12,7 +12,8 @@ union alone; a third pass counts. Each cuts texts with numpy where they lie and
 a task before they are shuffled. Mining shuffles 64-bit hashes of phrases; they serve only to rule
 phrases out, and a phrase that shares its hash with another can only be counted for nothing. Tasks
 know the union as a bitmap of 2^FILTER_BITS bits, a size that does not depend on the corpus; what
-passes is grouped and counted by the words themselves. A shard is no task: its phrases are dealt
+passes is grouped and counted by the words themselves (within a task, and so among some hundred
+thousand phrases, equal 64-bit hashes stand for equal phrases). A shard is no task: its phrases are dealt
 over the cluster by hash.
 
 Scores are exact in decimals of 38 digits: counts stay below 10^14.
@@ -43,8 +44,8 @@ SHARDS = 5
 FILTER_BITS = 27
 #: Bytes of text cut together, and counts that a task holds before it passes them on.
 TOGETHER, HELD = 1 << 20, 1 << 20
-#: Rows that a task hands on at once.
-ROWS = 1 << 15
+#: Rows that a task hands on at once, and phrases that it counts before it does.
+ROWS, KNOWN = 1 << 15, 1 << 18
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -261,20 +262,38 @@ def counted(texts: DataFrame, union: bytes, support: int = SUPPORT, shards: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent.value, dtype=np.uint8)
 
-        def rows(lang: pa.Array, n: int, made: list[bytes | None], count: np.ndarray) -> pa.RecordBatch:
-            columns = [lang, pa.array(np.full(len(made), n, dtype=np.int32)), pa.array(made, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))]
+        def rows(lang: list[str], n: list[int], phrase: list[bytes | None], count: list[int]) -> pa.RecordBatch:
+            columns = [pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
             return pa.record_batch(columns, names=["lang", "words", "phrase", "f"])
 
+        # Phrases of a task by hash: (language, words, phrase) once, and how often.
+        known: dict[int, tuple[str, int, bytes]] = {}
+        counts: dict[int, int] = {}
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            found = list(counts.items())
+            for i in range(0, len(found), ROWS):
+                some = found[i : i + ROWS]
+                lang, n, phrase = zip(*(known[k] for k, _ in some))
+                yield rows(list(lang), list(n), list(phrase), [c for _, c in some])
+            known.clear()
+            counts.clear()
+
         for part, own, langs in _slices(batches):
-            words, lang = cut(own), part.column("lang")
-            yield rows(lang, 0, [None] * len(own), np.bincount(words.doc, minlength=len(own)))
+            words, lang = cut(own), part.column("lang").to_pylist()
+            yield rows(lang, [0] * len(own), [None] * len(own), np.bincount(words.doc, minlength=len(own)).tolist())
             for n, (at, key) in enumerate(keys(words, langs), 1):
                 passed = np.flatnonzero(_passed(held, key & ~_U(low)))
-                _, first, count = np.unique(key[passed], return_index=True, return_counts=True)
-                first = at[passed[first]]
-                for i in range(0, len(first), ROWS):
-                    some = first[i : i + ROWS]
-                    yield rows(lang.take(pa.array(words.doc[some])), n, [words.phrase(k, n) for k in some.tolist()], count[i : i + ROWS])
+                found, first, count = np.unique(key[passed], return_index=True, return_counts=True)
+                for k, place, c in zip(found.tolist(), at[passed[first]].tolist(), count.tolist()):
+                    if k in counts:
+                        counts[k] += c
+                    else:
+                        counts[k] = c
+                        known[k] = (lang[words.doc[place]], n, words.phrase(place, n))
+            if len(counts) > KNOWN:
+                yield from rest()
+        yield from rest()
 
     found = texts.mapInArrow(run, "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("words") == 0))
@@ -314,9 +333,12 @@ def phrases(docs: DataFrame, support: int = SUPPORT, first: int = FIRST) -> Data
     union, _ = locally_frequent(texts, support)
     counts = saved(counted(texts, union, support), "phrase-counts")
     best = scored(counts)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # Spark drops what is past the limit in every task before the shuffle by language.
-    top = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    by = (F.desc("score"), F.desc("a"), "phrase")
+    # The first of each sixteenth of a language, then of all these: Spark drops what is past the
+    # limit in every task before a shuffle, and no task gets more than 16 x ``first`` rows at last.
+    parts = best.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(16)))
+    parts = parts.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*by))).where(F.col("_n") <= first)
+    top = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col("rank") <= first)
     named = top.join(counts.where("words = 0").select("lang", F.col("f").alias("n")), "lang")
     return named.select("lang", "rank", "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
 
