@@ -28,16 +28,28 @@ def latest(df: DataFrame, horizon_h: int | None = None, keys: Sequence[str] = ("
     return last.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
-def last_per_id(df: DataFrame, keys: Sequence[str] = ("provider", "message_id")) -> DataFrame:
-    """The last event of each id in arrival order, by window."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("ingest_seq"), F.desc("line_no"), F.desc("ts_ms"))
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def _arrived(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with what orders the versions of a message, and the names to order by: files stand by
+    the ingest, time and name of their last version, as ``latest`` ranks them, and a file's versions
+    by ingest and line. One shuffle, by message."""
+    in_file = Window.partitionBy(*keys, "source_file").orderBy("ingest_seq", "line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.repartition(*keys).withColumn("_file", F.last(F.struct("ingest_seq", "ts_ms", "source_file")).over(in_file))
+    return rows, ["_file", "ingest_seq", "line_no"]
 
 
-def superseded(df: DataFrame) -> DataFrame:
-    """Events that a later version of the same message replaced, with what replaced them."""
-    order = Window.partitionBy("provider", "message_id").orderBy("ingest_seq", "line_no", "ts_ms")
-    return df.withColumn("replaced_by_ts_ms", F.lead("ts_ms").over(order)).where("replaced_by_ts_ms IS NOT NULL")
+def last_per_id(df: DataFrame, keys: Sequence[str] = ("provider", "message_id")) -> DataFrame:
+    """The last version of each message in arrival order, by window: the one that ``latest`` keeps."""
+    rows, by = _arrived(df, keys)
+    order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by])
+    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_file")
+
+
+def superseded(df: DataFrame, keys: Sequence[str] = ("provider", "message_id")) -> DataFrame:
+    """Events that a later version of the same message replaced, with what replaced them: every
+    version but the one that ``latest`` keeps."""
+    rows, by = _arrived(df, keys)
+    order = Window.partitionBy(*keys).orderBy(*by)
+    return rows.withColumn("replaced_by_ts_ms", F.lead("ts_ms").over(order)).where("replaced_by_ts_ms IS NOT NULL").drop("_file")
 
 
 def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:

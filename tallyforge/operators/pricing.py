@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import PRICES, event_cost
-from tallyforge.scratch import saved
 
 
 def with_prices(df: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Left join by exact model name. The list is written once, so that its own steps run once and
-    Spark broadcasts it only if its size, known from the files, is small."""
-    return df.join(saved(pricing.select("model", *PRICES.values()), "prices"), "model", "left")
+    """Left join by exact model name. Nothing runs while the plan is built; Spark broadcasts the
+    list once its size is known to be small: from its files (``read_pricing``), or as it runs."""
+    return df.join(pricing.select("model", *PRICES.values()), "model", "left")
 
 
 def with_cost(df: DataFrame, pricing: DataFrame) -> DataFrame:

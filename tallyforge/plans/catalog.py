@@ -12,7 +12,8 @@ from tallyforge.functions import columns as C
 from tallyforge.functions.times import DAY_MS
 from tallyforge.operators import dedup, lifecycle, pricing, usage as U
 from tallyforge.schema import COUNTERS, from_events
-from tallyforge.sinks import report_document, to_ndjson
+from tallyforge.scratch import new_path
+from tallyforge.sinks import report_information, report_parts, to_ndjson, write_report
 from tallyforge.sources import lines as L
 from tallyforge.sources import logs, prometheus
 from tallyforge.sources.pricing import parse_pricing
@@ -384,7 +385,8 @@ def display_columns(u):
 
 
 def snapshots(u: DataFrame) -> DataFrame:
-    """Every fourth event with two earlier versions, and every tenth also in an older file."""
+    """Every fourth event with two earlier versions, every tenth also in an older file, and every
+    14th also in a file of the same ingest: further down there, but five seconds earlier."""
     number = F.col("message_id").cast("long")
     versions = u.withColumn("_v", F.explode(F.when(number % 4 == 0, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(2)))))
     early = versions.withColumns(
@@ -392,7 +394,11 @@ def snapshots(u: DataFrame) -> DataFrame:
         | {c: F.expr(f"{c} div (3 - _v)") for c in COUNTERS}
     ).drop("_v")
     old = u.where(number % 10 == 0).withColumns({"source_file": F.lit("/logs/old.jsonl"), "ingest_seq": F.lit(1).cast("long"), "input_tokens": F.lit(0).cast("long")})
-    return early.unionByName(old)
+    aside = u.where(number % 14 == 0).withColumns({
+        "source_file": F.lit("/logs/aside.jsonl"), "ingest_seq": F.lit(2).cast("long"), "line_no": number * 3 + 1_000_000_000,
+        "ts_ms": F.col("ts_ms") - 5000, "input_tokens": F.lit(1).cast("long"),
+    })
+    return early.unionByName(old).unionByName(aside)
 
 
 _ROW = f"provider, message_id, ts_ms, model, session_id, project, {COUNTERS_SQL}"
@@ -409,9 +415,13 @@ def dedup_last_per_id(u):
     return dedup.last_per_id(snapshots(u)).select(_COLUMNS)
 
 
+_FIRST_SQL = "CASE WHEN event_id % 4 = 0 THEN ts_ms - 2000 ELSE ts_ms END"
+
+
 @with_sql(
     "message_id, ts_ms - 2000 AS ts_ms, ts_ms - 1000 AS replaced_by_ts_ms FROM u WHERE event_id % 4 = 0 UNION ALL SELECT message_id, ts_ms - 1000, ts_ms FROM u WHERE event_id % 4 = 0 "
-    "UNION ALL SELECT message_id, ts_ms, CASE WHEN event_id % 4 = 0 THEN ts_ms - 2000 ELSE ts_ms END FROM u WHERE event_id % 10 = 0"
+    f"UNION ALL SELECT message_id, ts_ms, CASE WHEN event_id % 14 = 0 THEN ts_ms - 5000 ELSE {_FIRST_SQL} END FROM u WHERE event_id % 10 = 0 "
+    f"UNION ALL SELECT message_id, ts_ms - 5000, {_FIRST_SQL} FROM u WHERE event_id % 14 = 0"
 )
 def superseded(u):
     return dedup.superseded(snapshots(u)).select("message_id", "ts_ms", "replaced_by_ts_ms")
@@ -577,23 +587,53 @@ def ndjson_rows(u):
     return to_ndjson(u.select("message_id", "model", "input_tokens")).withColumn("message_id", F.get_json_object("value", "$.message_id"))
 
 
-_RANKED = "row_number() OVER (PARTITION BY provider ORDER BY period) - 1"
+_OWN_SQL = """input_tokens, output_tokens, CASE WHEN provider <> 'codex' THEN cache_creation_input_tokens END AS cache_creation_input_tokens,
+ CASE WHEN provider <> 'codex' THEN cache_read_input_tokens END AS cache_read_input_tokens, CASE WHEN provider = 'codex' THEN cache_read_input_tokens END AS cached_input_tokens,
+ CASE WHEN provider = 'codex' THEN cache_creation_input_tokens END AS reasoning_output_tokens,
+ CASE WHEN provider = 'codex' THEN input_tokens + output_tokens ELSE input_tokens + output_tokens + cache_creation_input_tokens + cache_read_input_tokens END AS total_tokens, event_count AS events"""
+_INFO_SQL = "(SELECT strftime(epoch_ms(min(ts_ms)), '%Y-%m-%dT%H:%M:%SZ') || ' ' || strftime(epoch_ms(max(ts_ms)), '%Y-%m-%dT%H:%M:%SZ') FROM u) AS data_range"
+_REPORTS_SQL = f""", f AS (SELECT provider, model, {ALL_SQL} FROM u GROUP BY ALL), c AS (SELECT provider, model, round(sum({COST_SQL}), 6) AS cost_usd FROM u JOIN p USING (model) GROUP BY ALL),
+ m AS (SELECT provider, {_period_sql(_bucket_sql(86_400))} AS period, model, {ALL_SQL} FROM u GROUP BY ALL),
+ d AS (SELECT provider, period, row_number() OVER (PARTITION BY provider ORDER BY period) - 1 AS place FROM m GROUP BY provider, period),
+ s AS (SELECT DISTINCT provider, session_id FROM u)
+SELECT 'summary' AS report, provider, NULL AS name, row_number() OVER (PARTITION BY provider ORDER BY event_count DESC, model) - 1 AS place, 0 AS at, model, {_OWN_SQL}, cost_usd, {_INFO_SQL}, NULL AS asked, 'mon' AS week
+ FROM f LEFT JOIN c USING (provider, model)
+UNION ALL SELECT 'daily', provider, period, place, row_number() OVER (PARTITION BY provider, period ORDER BY event_count DESC, model) - 1, model, {_OWN_SQL}, NULL, {_INFO_SQL}, '20240105 {SEOUL}', 'sun' FROM m JOIN d USING (provider, period)
+UNION ALL SELECT 'sessions', provider, session_id, row_number() OVER (PARTITION BY provider ORDER BY session_id) - 1, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {_INFO_SQL}, NULL, 'mon' FROM s"""
 
 
-@with_sql(
-    f", m AS (SELECT provider, {_period_sql(_DAYS)} AS period, model, {ALL_SQL} FROM u GROUP BY ALL), d AS (SELECT provider, period, {_RANKED} AS period_at FROM m GROUP BY provider, period) "
-    f"SELECT provider, period, period_at, row_number() OVER (PARTITION BY provider, period ORDER BY event_count DESC, model) - 1 AS at, model, {COUNTERS_SQL}, event_count, "
-    f"CASE WHEN provider = 'codex' THEN input_tokens + output_tokens ELSE {' + '.join(COUNTERS)} END AS total_tokens, 'usage' AS source FROM m JOIN d USING (provider, period)"
-)
+@with_sql(_REPORTS_SQL, prices=True)
 def report_documents(u):
-    """The JSON documents, read again: each entry with its place in the document."""
-    entry = f"model string, {', '.join(f'{c} long' for c in COUNTERS)}, event_count long, total_tokens long"
-    schema = f"information map<string,string>, providers map<string,array<struct<period string, usage_per_models array<struct<{entry}>>>>>"
-    made = report_document(U.usage(u, bucket=86_400, by=["provider", "model"]))
-    parsed = made.select("provider", F.from_json("document", schema).alias("d"))
-    periods = parsed.select("provider", F.col("d.information")["source"].alias("source"), F.posexplode(F.col("d.providers")[F.col("provider")]).alias("period_at", "p"))
-    entries = periods.select("provider", "source", "p.period", F.col("period_at").cast("long"), F.posexplode("p.usage_per_models").alias("at", "e"))
-    return entries.select("provider", "period", "period_at", F.col("at").cast("long"), "e.*", "source")
+    """Documents of three reports, written in parts and read again: each entry with its place."""
+    spark = u.sparkSession
+    entry = "model string, " + ", ".join(f"{c} long" for c in (*COUNTERS, "cached_input_tokens", "reasoning_output_tokens", "total_tokens", "events")) + ", cost_usd double"
+    info = "struct<type string, since string, until string, query_since string, query_until string, timezone string, start_of_week string, generated_at string>"
+
+    def read(parts: DataFrame, rows: str) -> DataFrame:
+        path = new_path(spark, "report")
+        write_report(parts, path)
+        lines = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("n"))
+        whole = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_path", "n", "value"))), lambda x: x.value), "").alias("value"))
+        parsed = whole.select(F.from_json("value", f"information {info}, providers map<string,array<{rows}>>").alias("d"))
+        return parsed.select("d.information", F.explode("d.providers").alias("provider", "rows")).select("information", "provider", F.posexplode("rows").alias("place", "r"))
+
+    def shown(df: DataFrame, name: Column, at: Column, e: str | None) -> DataFrame:
+        fields = [f.split()[0] for f in entry.split(", ")]
+        kinds = dict(f.split() for f in entry.split(", "))
+        value = [(F.col(f"{e}.{f}") if e else F.lit(None)).cast(kinds[f]).alias(f) for f in fields]
+        about = F.col("information")
+        asked = F.when(about.query_since.isNotNull(), F.concat_ws(" ", about.query_since, about.timezone))
+        return df.select(
+            about.type.alias("report"), "provider", name.alias("name"), F.col("place").cast("long").alias("place"), at.cast("long").alias("at"), *value,
+            F.concat_ws(" ", about.since, about.until).alias("data_range"), asked.alias("asked"), about.start_of_week.alias("week"),
+        ).withColumn("cost_usd", F.round("cost_usd", 6))
+
+    flat = read(report_parts(U.usage(u, by=["provider", "model"], pricing=price_list(u)), report_information(u, "summary")), f"struct<{entry}>")
+    daily = read(report_parts(U.usage(u, bucket=86_400, by=["provider", "model"]), report_information(u, "daily", "20240105", tz=SEOUL, week_start=6)), f"struct<period string, usage_per_models array<struct<{entry}>>>")
+    sessions = read(report_parts(u.select("provider", F.col("session_id").alias("item")).distinct(), report_information(u, "sessions")), "string")
+    models = daily.select("information", "provider", "place", "r.period", F.posexplode("r.usage_per_models").alias("at", "e"))
+    parts = [shown(flat, F.lit(None).cast("string"), F.lit(0), "r"), shown(models, F.col("period"), F.col("at"), "e"), shown(sessions, F.col("r"), F.lit(0), None)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # Order, keys and labels for display
@@ -630,14 +670,16 @@ def cost_labels(u):
 
 
 @with_sql(
-    f"CASE WHEN event_id % 3 = 0 THEN 'codex' WHEN event_id % 3 = 1 THEN 'claude_code' END AS owner, count(*) AS n, min(message_id) AS least FROM u GROUP BY ALL"
+    "CASE WHEN event_id % 4 = 0 THEN 'codex' WHEN event_id % 4 < 3 THEN 'claude_code' END AS owner, count(*) AS n, min(message_id) AS least FROM u GROUP BY ALL"
 )
 def owner_of_file(u):
     number, file = F.col("message_id").cast("long"), F.concat(F.lit("0198aaaa-bbbb-4ccc-8ddd-"), F.lpad("message_id", 12, "0"))
     path = (
-        F.when(number % 3 == 0, F.concat(F.lit("/home/me/.codex/sessions/2026/rollout-"), file, F.lit(".jsonl")))
-        .when(number % 3 == 1, F.concat(F.lit("/home/me/.claude/projects/p/"), F.when(number % 2 == 0, F.concat(file, F.lit("/subagents/agent-x"))).otherwise(file), F.lit(".jsonl")))
-        .otherwise(F.concat(F.lit("/home/me/.claude/projects/p/notes-"), "message_id", F.lit(".jsonl")))
+        # A session file, a file of another name in a provider's folder, and a session file elsewhere.
+        F.when(number % 4 == 0, F.concat(F.lit("/home/me/.codex/sessions/2026/rollout-"), file, F.lit(".jsonl")))
+        .when(number % 4 == 1, F.concat(F.lit("/home/me/.claude/projects/p/"), F.when(number % 8 == 1, F.concat(file, F.lit("/subagents/agent-x"))).otherwise(file), F.lit(".jsonl")))
+        .when(number % 4 == 2, F.concat(F.lit("/home/me/.claude/projects/p/notes-"), "message_id", F.lit(".jsonl")))
+        .otherwise(F.concat(F.lit("/x/projects/p/"), file, F.lit(".jsonl")))
     )
     return u.select(logs.owner(path).alias("owner"), "message_id").groupBy("owner").agg(F.count("*").alias("n"), F.min("message_id").alias("least"))
 

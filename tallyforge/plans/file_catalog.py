@@ -14,12 +14,13 @@ from tallyforge.functions.times import DAY_MS
 from tallyforge.operators import dedup, usage as U
 from tallyforge.plans import catalog, ingest
 from tallyforge.plans.catalog import ALL_SQL, COUNTERS_SQL, EVENTS_SQL, NOW_MS, _CARRIED
-from tallyforge.plans.stream_catalog import finished
-from tallyforge.schema import COUNTERS, from_events
+from tallyforge.plans.stream_catalog import carried_to_end, finished
+from tallyforge.schema import COUNTERS, USAGE_EVENTS, from_events
 from tallyforge.scratch import new_path
 from tallyforge.sinks import post_batch, to_ndjson
 from tallyforge.sources import lines as L
 from tallyforge.sources import logs
+from tallyforge.sources.tail import tail
 from tallyforge.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,7 @@ def write_logs(numbered: DataFrame, root: str, codex: bool = False) -> str:
         number = int(found.getPath().getParent().getName().split("=")[1])
         place = path(f"{root}/{_place(number, codex)}")
         files.mkdirs(place.getParent())
+        files.delete(place, False)  # a later version of the file takes its place
         files.rename(found.getPath(), place)
     files.delete(path(made), True)
     return root
@@ -175,9 +177,75 @@ def retained_table(spark, sf_dir):
     return ingest.read_events(spark, path).select("provider", "message_id", "ts_ms")
 
 
+def _grown(u: DataFrame, root: str, write: Callable[[DataFrame, str], str], part: int, parts: int) -> str:
+    """The logs of the first of some parts of the events, in the order of events: each later part
+    leaves the lines of the files as they were and adds to them."""
+    number = F.col("message_id").cast("long")
+    last = u.agg(F.max(number)).first()[0]
+    return write(u.where(number <= last * part / parts), root)
+
+
+@registered(f"{_CLAUDE_ROWS.replace('input_tokens,', 'input_tokens + CASE WHEN event_id % 6 = 0 THEN 5 ELSE 0 END AS input_tokens,', 1)} FROM u")
+def ingest_tail(spark, sf_dir):
+    """Logs that grow twice, ingested after each step by their new bytes alone; then compacted files
+    (a third of the lines has gone, every sixth event has a later version), which are read whole."""
+    u, root, path = _events(spark, sf_dir), new_path(spark, "logs"), new_path(spark, "table")
+    for part in (1, 2, 3):
+        ingest.ingest_tail(spark, {"claude_code": _grown(u, root, claude_logs, part, 3)}, path)
+    sixth = F.col("message_id").cast("long") % 6 == 0
+    moved = u.withColumns({"input_tokens": F.col("input_tokens") + F.when(sixth, 5).otherwise(0), "ts_ms": F.col("ts_ms") + F.when(sixth, 1).otherwise(0)})
+    claude_logs(moved.withColumn("ts", F.timestamp_millis("ts_ms")).where(F.col("message_id").cast("long") % 3 != 1), root)
+    for _ in range(2):
+        ingest.ingest_tail(spark, {"claude_code": root}, path)
+    rows = ingest.read_events(spark, path)
+    return rows.withColumn("ts_ms", F.col("ts_ms") - F.when(sixth, 1).otherwise(0)).select(_COLUMNS)
+
+
+_CODEX_ROWS = f"session_id || ':' || strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS message_id, ts_ms, {_CODEX_MODEL} AS model, session_id, project, {COUNTERS_SQL} FROM u"
+
+
+@registered(_CODEX_ROWS)
+def ingest_tail_context(spark, sf_dir):
+    """Growing logs whose lines take their model, session and folder from lines read earlier."""
+    u, root, path = _events(spark, sf_dir), new_path(spark, "logs"), new_path(spark, "table")
+    for part in (1, 2, 3):
+        ingest.ingest_tail(spark, {"codex": _grown(u, root, codex_logs, part, 3)}, path, split_bytes=1 << 16)
+    return ingest.read_events(spark, path).select(_COLUMNS[1:])
+
+
+@registered(_CODEX_ROWS.replace(f"PARTITION BY user_id % {FILES} ", ""))
+def one_large_file(spark, sf_dir):
+    """One log file with all events, read in splits of 64 KB: context is carried over splits."""
+    rows = catalog.codex_lines(_events(spark, sf_dir))
+    root = write_logs(rows.select("value", F.lit(0).alias("file"), F.col("line_no").alias("order")), new_path(spark, "logs"), codex=True)
+    spec = logs.PROVIDERS["codex"]
+    return spec.parse(tail(spark, root, spec.file_pattern, spec.needles, split_bytes=1 << 16)).select(_COLUMNS[1:])
+
+
 # Streams of files, and sinks
 
 
+@registered(f"{_CLAUDE_ROWS} FROM u")
+def stream_tail(spark, sf_dir):
+    """A stream over files that grow between its runs; each run goes on from the last one's offsets."""
+    u, root, out, state = _events(spark, sf_dir), new_path(spark, "logs"), new_path(spark, "tail-out"), new_path(spark, "stream-state")
+    for part in (1, 2, 3):
+        _grown(u, root, claude_logs, part, 3)
+        sinks = [lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")]
+        live.fan_out(live.tail_usage(spark, root, logs.PROVIDERS["claude_code"]), sinks, state, availableNow=True).awaitTermination()
+    return spark.read.schema(USAGE_EVENTS).parquet(f"{out}/epoch=*").select(_COLUMNS)
+
+
+@registered(_CODEX_ROWS)
+def stream_tail_context(spark, sf_dir):
+    """The same of logs with context, which outlives batches and runs."""
+    u, root, out, state = _events(spark, sf_dir), new_path(spark, "logs"), new_path(spark, "tail-out"), new_path(spark, "stream-state")
+    for part in (1, 2, 3):
+        _grown(u, root, codex_logs, part, 3)
+        rows = carried_to_end(live.tail_usage(spark, root, logs.PROVIDERS["codex"]), out, state)
+    return rows.select(_COLUMNS[1:])
+
+
 @registered(f"{_CLAUDE_ROWS} FROM u")
 def stream_claude_files(spark, sf_dir):
     root = claude_logs(_events(spark, sf_dir), new_path(spark, "logs"))
@@ -187,7 +255,7 @@ def stream_claude_files(spark, sf_dir):
 @registered(f"session_id || ':' || strftime(epoch_ms(ts_ms), '%Y-%m-%dT%H:%M:%S.%gZ') AS message_id, ts_ms, {_CODEX_MODEL} AS model, session_id, project, {COUNTERS_SQL} FROM u")
 def stream_codex_files(spark, sf_dir):
     root = codex_logs(_events(spark, sf_dir), new_path(spark, "logs"))
-    return finished(live.stream_usage(spark, root, logs.PROVIDERS["codex"], 5, ttl_ms=None).select(_COLUMNS[1:]), "append")
+    return carried_to_end(live.stream_lines(spark, root, 5, logs.CODEX_NEEDLES)).select(_COLUMNS[1:])
 
 
 @registered("message_id FROM u WHERE event_id % 9 = 0")

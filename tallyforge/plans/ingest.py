@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import date, datetime, timedelta, timezone
 from functools import reduce
@@ -14,8 +15,10 @@ from tallyforge.operators.dedup import latest, only_new
 from tallyforge.operators.lifecycle import retain
 from tallyforge.operators.usage import usage
 from tallyforge.schema import USAGE_EVENTS
-from tallyforge.scratch import remove
-from tallyforge.sources.logs import PROVIDERS, ProviderSpec, read_logs, read_provider
+from tallyforge.scratch import remove, saved
+from tallyforge.sources.context import file_ends
+from tallyforge.sources.logs import CONTEXT, PROVIDERS, ProviderSpec, codex_ends, read_logs, read_provider
+from tallyforge.sources.tail import SPLIT, Manifest, file_name, read_manifest, survey, tail, write_manifest, write_plan
 
 PARTITIONS = ("provider", "event_date")
 
@@ -67,7 +70,14 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
     be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
     the driver, a few bytes for each day."""
-    staged = f"{path.rstrip('/')}-staging"
+    staged = f"{path.rstrip('/')}-staging/{uuid.uuid4().hex}"
+    try:
+        return _merge(spark, batch, path, horizon_days, staged)
+    finally:
+        remove(spark, staged)
+
+
+def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None, staged: str) -> int:
     stored = read_events(spark, path)
     # Versions that a later line of the batch replaces are dropped first: they are not in
     # the table, and would count as new each time their file is parsed again.
@@ -108,18 +118,69 @@ def ingest_changed(
     return ingest(spark, reduce(DataFrame.unionByName, batches), path, horizon_days)
 
 
+def _offsets(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}-offsets/{name}"
+
+
+def ingest_tail(
+    spark: SparkSession, roots: Mapping[str, str], path: str, specs: Mapping[str, ProviderSpec] = PROVIDERS,
+    horizon_days: int | None = None, split_bytes: int = SPLIT,
+) -> int:
+    """Ingest what is new in growing logs: of each file the bytes behind the last line that was read,
+    or the whole file if that line has gone (``sources.tail``). Returns how many events were new.
+
+    How far files have been read is kept beside the table, by provider, and replaced only once the
+    events are stored: a failed run is repeated from where the last one ended, and events that it
+    had stored are left out. Lines that take context from lines before them get what the last
+    reading of their file left. The table is made if it does not exist."""
+    batches, manifests = [], {}
+    for name, root in roots.items():
+        spec = specs[name]
+        known = read_manifest(f"{_offsets(path, name)}.jsonl")
+        marks, ranges = survey(root, spec.file_pattern, known.marks)
+        manifest = Manifest(marks, {r.path: r.end - r.start for r in ranges}, {p: c for p, c in known.context.items() if p in marks})
+        manifests[name] = manifest
+        if not ranges:
+            continue
+        lines = tail(spark, root, spec.file_pattern, spec.needles, write_plan(f"{_offsets(path, name)}.plan", ranges), split_bytes)
+        if not spec.context:
+            batches.append(spec.parse(lines))
+            continue
+        names = {file_name(root, r.path): r.path for r in ranges}
+        left = [(file_name(root, r.path), *[known.context[r.path].get(c) for c in CONTEXT]) for r in ranges if r.start and r.path in known.context]
+        before = spark.createDataFrame(left, "source_file string, " + ", ".join(f"{c} string" for c in CONTEXT))
+        ends = saved(codex_ends(lines), "split-ends")
+        batches.append(spec.parse(lines, ends=ends, before=before))
+        # A row for each file that was read, like the marks themselves.
+        for r in file_ends(ends, CONTEXT, before).collect():
+            manifest.context[names[r.source_file]] = {c: r[c] for c in CONTEXT if r[c] is not None}
+    count = 0
+    if batches:
+        batch = reduce(DataFrame.unionByName, batches)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            count = ingest(spark, batch, path, horizon_days)
+        else:
+            write_events(latest(batch), path)
+            count = read_events(spark, path).count()
+    for name, manifest in manifests.items():
+        write_manifest(f"{_offsets(path, name)}.jsonl", manifest)
+    return count
+
+
 def retain_table(spark: SparkSession, path: str, now_ms: int, days: int) -> None:
     """Apply retention to the table: folders of days before the boundary's day are removed, and
     the boundary's day is rewritten from a copy made first."""
     if not days:
         return
     boundary = datetime.fromtimestamp((now_ms - days * DAY_MS) / 1000, timezone.utc).date()
-    staged = f"{path.rstrip('/')}-staging/retained"
+    staged = f"{path.rstrip('/')}-staging/{uuid.uuid4().hex}"
     on_boundary = read_events(spark, path).where(F.col("event_date") == F.lit(boundary))
     retain(on_boundary, now_ms, days).write.mode("overwrite").parquet(staged)
     kept = spark.read.schema(USAGE_EVENTS).parquet(staged)
     _ordered(kept).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
     left = {r.provider for r in kept.select("provider").distinct().collect()}
+    remove(spark, staged)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/provider=*/event_date=*")

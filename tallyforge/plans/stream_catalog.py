@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.plans import catalog
 from tallyforge.plans.catalog import ALL_SQL, COST_SQL, COUNTERS_SQL, EVENTS_SQL, PRICES_SQL
-from tallyforge.schema import COUNTERS, from_events
+from tallyforge.schema import COUNTERS, USAGE_EVENTS, from_events
 from tallyforge.scratch import new_path
+from tallyforge.sources.logs import PROVIDERS
 from tallyforge.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,18 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/epoch=*")
 
 
+def carried_to_end(lines: DataFrame, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream of codex lines over all there is, each batch's events to a folder of its own."""
+    spark = lines.sparkSession
+    out, state = out or new_path(spark, "stream-out"), state or new_path(spark, "stream-state")
+
+    def sink(events: DataFrame, epoch: int) -> None:
+        events.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    live.carry_stream(lines, PROVIDERS["codex"], sink, f"{state}/context", f"{state}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.schema(USAGE_EVENTS).parquet(f"{out}/epoch=*")
+
+
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(live.stream_buckets(_stream(spark, sf_dir), 21_600, ["model"]), "complete")
 
@@ -57,8 +70,8 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_state_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live.stream_with_state(catalog.codex_lines(_stream(spark, sf_dir)), ttl_ms=None)
-    return finished(rows.select("ts_ms", "model", "session_id", "project", *COUNTERS), "append")
+    rows = carried_to_end(catalog.codex_lines(_stream(spark, sf_dir)))
+    return rows.select("ts_ms", "model", "session_id", "project", *COUNTERS)
 
 
 for _query in (stream_tumbling, stream_dedup, stream_enrich, stream_state_model):

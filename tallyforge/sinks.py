@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import total_tokens
+from tallyforge.functions.times import stamp, wall
 from tallyforge.schema import COUNTERS
 
 log = logging.getLogger(__name__)
@@ -33,23 +35,76 @@ def post_batch(df: DataFrame, send: Callable[[str], None]) -> None:
     to_ndjson(df).foreachPartition(run)
 
 
-def report_document(summary: DataFrame, information: Mapping[str, str] | None = None) -> DataFrame:
-    """(provider, document): one JSON document per provider of a summary with ``provider``,
-    ``model`` and perhaps ``period``: rows by falling count, in periods if there are any.
-
-    The summary is an aggregate of periods and models; a provider's rows make one value."""
-    names = [c for c in ("model", *COUNTERS, "event_count", "cost") if c in summary.columns]
-    entry = F.struct(*names, total_tokens(F.col("provider")).alias("total_tokens"))
-    keyed = F.struct((-F.col("event_count")).alias("_order"), F.col("model").alias("_model"), entry.alias("entry"))
-    info = F.create_map(*[F.lit(x) for kv in (information or {"source": "usage"}).items() for x in kv])
-
-    def rows(collected: Column) -> Column:
-        return F.transform(F.sort_array(collected), lambda x: x.entry)
-
-    if "period" in summary.columns:
-        periods = summary.groupBy("provider", "period").agg(rows(F.collect_list(keyed)).alias("usage_per_models"))
-        body = periods.groupBy("provider").agg(F.sort_array(F.collect_list(F.struct("period", "usage_per_models"))).alias("rows"))
+WEEK = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+
+
+def report_information(
+    events: DataFrame, kind: str, query_since: str | None = None, query_until: str | None = None,
+    tz: str | None = None, week_start: int = 0, generated_at: datetime | None = None,
+) -> DataFrame:
+    """(information): what a report was asked, over which data and when, as one row of JSON."""
+    made = (generated_at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def second(ms: str) -> Column:
+        return F.concat(stamp(wall(F.timestamp_millis(ms))), F.lit("Z"))
+
+    info = F.struct(
+        F.lit(kind).alias("type"), second("first_ms").alias("since"), second("last_ms").alias("until"), F.lit(query_since).cast("string").alias("query_since"),
+        F.lit(query_until).cast("string").alias("query_until"), F.lit(tz).cast("string").alias("timezone"), F.lit(WEEK[week_start]).alias("start_of_week"), F.lit(made).alias("generated_at"),
+    )
+    return events.agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")).select(F.to_json(info, {"ignoreNullFields": "false"}).alias("information"))
+
+
+def _usage(cost: bool) -> Column:
+    """One model's usage under its provider's names; fields of other providers are null, and left out."""
+    codex, (i, o, c, r) = F.col("provider") == "codex", (F.col(x) for x in COUNTERS)
+    fields = [
+        F.col("model"), i.alias("input_tokens"), o.alias("output_tokens"),
+        F.when(~codex, c).alias("cache_creation_input_tokens"), F.when(~codex, r).alias("cache_read_input_tokens"),
+        F.when(codex, r).alias("cached_input_tokens"), F.when(codex, c).alias("reasoning_output_tokens"),
+        total_tokens(F.col("provider")).alias("total_tokens"), F.col("event_count").alias("events"),
+    ]
+    return F.struct(*fields, *([F.col("cost").alias("cost_usd")] if cost else []))
+
+
+def report_parts(rows: DataFrame, information: DataFrame, key: str = "period") -> DataFrame:
+    """(section, provider, part, at, value): the lines of one report document, to be put in order
+    by the first four: its head, each provider's rows between brackets, and its tail.
+
+    ``rows`` are a summary (provider, model, counters, event_count, perhaps cost), by falling count;
+    one with the column ``key`` (period, session), whose models make one row for each key, by key;
+    or a list (provider, item), by item. No line holds more than one key's models, so a document of
+    any length is written as sorted parts."""
+    keyed = key in rows.columns
+    if "item" in rows.columns:
+        made = rows.select("provider", F.struct(F.col("item").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.to_json(F.struct("item")).alias("_json"))
+        made = made.select("provider", "at", F.regexp_extract("_json", r'(?s)^\{"item":(.*)\}$', 1).alias("value"))
+    elif keyed:
+        one = F.struct((-F.col("event_count")).alias("_order"), F.col("model").alias("_model"), _usage("cost" in rows.columns).alias("entry"))
+        models = F.transform(F.sort_array(F.collect_list(one)), lambda x: x.entry)
+        grouped = rows.groupBy("provider", key).agg(models.alias("usage_per_models"))
+        made = grouped.select("provider", F.struct(F.col(key).alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("c")).alias("at"), F.to_json(F.struct(key, "usage_per_models")).alias("value"))
     else:
-        body = summary.groupBy("provider").agg(rows(F.collect_list(keyed)).alias("rows"))
-    document = F.struct(info.alias("information"), F.create_map(F.col("provider"), F.col("rows")).alias("providers"))
-    return body.select("provider", F.to_json(document).alias("document"))
+        made = rows.select("provider", F.struct(F.lit("").alias("a"), (-F.col("event_count")).cast("long").alias("b"), F.col("model").alias("c")).alias("at"), F.to_json(_usage("cost" in rows.columns)).alias("value"))
+    first = made.groupBy("provider").agg(F.min("at").alias("_first"))
+    comma = F.when(F.col("at") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    body = made.join(first, "provider").select(F.lit(1).alias("section"), "provider", F.lit(1).alias("part"), "at", F.concat(comma, "value").alias("value"))
+    none = F.lit(None).cast("struct<a: string, b: bigint, c: string>").alias("at")
+    before = F.lag("provider").over(Window.orderBy("provider"))  # of one row for each provider
+    edges = first.withColumn("_before", before).select(
+        "provider", F.explode(F.array(
+            F.struct(F.lit(0).alias("part"), F.concat(F.when(F.col("_before").isNull(), F.lit("")).otherwise(F.lit(",")), F.lit('"'), "provider", F.lit('":[')).alias("value")),
+            F.struct(F.lit(2).alias("part"), F.lit("]").alias("value")),
+        )).alias("e"),
+    )
+    edges = edges.select(F.lit(1).alias("section"), "provider", "e.part", none, "e.value")
+    ends = information.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), F.concat(F.lit('{"information":'), "information", F.lit(',"providers":{')).alias("value")),
+        F.struct(F.lit(2).alias("section"), F.lit("}}").alias("value")),
+    )).alias("e")).select("e.section", F.lit("").alias("provider"), F.lit(0).alias("part"), none, "e.value")
+    return body.unionByName(edges).unionByName(ends)
+
+
+def write_report(parts: DataFrame, path: str) -> None:
+    """The document as text files whose lines, in the order of the files' names, are the document."""
+    parts.orderBy("section", "provider", "part", "at").select("value").write.text(path)

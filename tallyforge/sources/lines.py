@@ -8,20 +8,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.context import numbered as numbered_lines
+
 
 def read_lines(spark: SparkSession, root: str, needles: Sequence[str] = (), modified_after: str | None = None, numbered: bool = True) -> DataFrame:
-    """(value, source_file, modified, line_no) of every ``*.jsonl`` below ``root``. Lines
+    """(value, source_file, split, modified, line_no) of every ``*.jsonl`` below ``root``. Lines
     without any of the needles are dropped before JSON is parsed; their numbers stay.
 
-    Without ``numbered``, ``line_no`` is a place that grows along the file, made while it is
-    read: no line is shuffled to be numbered."""
+    ``split`` is where a line's split of the file starts. Without ``numbered``, ``line_no`` is a
+    place that grows along the file, made while it is read; with it, lines count from 1 along
+    each file. Either way no line is shuffled."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     text = reader.text(root).select("value", "_metadata.*")
-    lines = with_line_no(text) if numbered else text.withColumn("line_no", _place())
-    lines = lines.select("value", F.col("file_path").alias("source_file"), F.col("file_modification_time").alias("modified"), "line_no")
-    return prefilter(lines, needles)
+    named = [F.col("file_path").alias("source_file"), F.col("file_block_start").alias("split"), F.col("file_modification_time").alias("modified")]
+    lines = text.select("value", *named, *([] if numbered else [_place().alias("line_no")]))
+    return prefilter(with_line_no(lines) if numbered else lines, needles)
 
 
 def _place() -> Column:
@@ -33,12 +36,9 @@ def _place() -> Column:
     return F.shiftleft(F.col("file_block_start"), 20) + row
 
 
-def with_line_no(df: DataFrame) -> DataFrame:
-    """``line_no`` from 1 within each file: splits in order of their start, rows of a split
-    in order of reading. A file's lines meet in one task; session logs are small."""
-    keyed = df.withColumn("_at", F.monotonically_increasing_id())
-    order = Window.partitionBy("file_path").orderBy("file_block_start", "_at")
-    return keyed.withColumn("line_no", F.row_number().over(order).cast("long")).drop("_at")
+def with_line_no(lines: DataFrame) -> DataFrame:
+    """``line_no`` from 1 within each file of lines as a scan gives them (source_file, split)."""
+    return numbered_lines(lines)
 
 
 def prefilter(df: DataFrame, needles: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.schema import COUNTERS, UNKNOWN, complete
+from tallyforge.sources.context import carried, split_ends
 from tallyforge.sources.lines import carry_forward, prefilter, read_lines
 
 CLAUDE_LINE = (
@@ -66,24 +67,61 @@ def parse_claude(lines: DataFrame) -> DataFrame:
     return complete(named.where(F.col("model") != SYNTHETIC).where(_valid(("ts_ms", *COUNTERS))))
 
 
-def parse_codex(lines: DataFrame, compat: bool = False) -> DataFrame:
+USED = ("input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens")
+CONTEXT = ("ctx_model", "ctx_session", "ctx_cwd")
+CONTEXT_NEEDLES = ('"turn_context"', '"session_meta"')
+CODEX_NEEDLES = ('"token_count"', *CONTEXT_NEEDLES)
+
+
+def _context() -> list[Column]:
+    kind = F.col("j.type")
+    return [
+        F.when(kind == "turn_context", F.col("j.payload.model")).alias("ctx_model"),
+        F.when(kind == "session_meta", F.col("j.payload.id")).alias("ctx_session"),
+        F.when(kind == "session_meta", F.col("j.payload.cwd")).alias("ctx_cwd"),
+    ]
+
+
+def codex_marked(lines: DataFrame) -> DataFrame:
+    """Codex lines as narrow rows: a token count's time and counters, a context line's values."""
+    rows = _parsed(prefilter(lines, CODEX_NEEDLES), CODEX_LINE)
+    counts = (F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count")
+    keys = [c for c in ("source_file", "split", "line_no", "ingest_seq") if c in lines.columns]
+    return rows.select(
+        *keys, F.when(counts, F.col("j.timestamp")).alias("stamp"),
+        *[F.when(counts, F.col(f"j.payload.info.last_token_usage.{u}")).alias(u) for u in USED], *_context(),
+    )
+
+
+def codex_ends(lines: DataFrame) -> DataFrame:
+    """(source_file, split, context): what each split of codex lines leaves; only context lines
+    are parsed."""
+    heads = reduce(lambda a, b: a | b, [F.col("value").contains(n) for n in CONTEXT_NEEDLES])
+    parsed = F.when(heads, F.from_json("value", CODEX_LINE))
+    rows = lines.withColumn("j", F.explode(F.array(parsed))).select("source_file", "split", "line_no", *_context())
+    return split_ends(rows, CONTEXT)
+
+
+def parse_codex(lines: DataFrame, compat: bool = False, ends: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Events of lines (value, source_file, line_no, ingest_seq): token counts with the model,
     session and folder of the latest context lines before them in their file.
 
+    Lines that come from a scan (with ``split``) are carried on split by split, so that a file
+    may be of any size; ``ends`` (``codex_ends`` of them as a table) and ``before`` (source_file,
+    context: what lines read earlier left) may be given. Other lines meet by file in a window.
     An event's identity is session and time; with ``compat`` the session alone."""
-    needles = ['"token_count"', '"turn_context"', '"session_meta"']
-    rows = _parsed(prefilter(lines, needles), CODEX_LINE)
-    kind = F.col("j.type")
-    rows = rows.withColumns(
-        {
-            "ctx_model": F.when(kind == "turn_context", F.col("j.payload.model")),
-            "ctx_session": F.when(kind == "session_meta", F.col("j.payload.id")),
-            "ctx_cwd": F.when(kind == "session_meta", F.col("j.payload.cwd")),
-        }
-    )
-    rows = carry_forward(rows, ["ctx_model", "ctx_session", "ctx_cwd"])
-    rows = rows.where((kind == "event_msg") & (F.col("j.payload.type") == "token_count"))
-    return codex_events(rows, compat)
+    marked = codex_marked(lines)
+    if "split" in lines.columns:
+        rows = carried(marked, CONTEXT, codex_ends(lines) if ends is None else ends, before)
+    else:
+        rows = carry_forward(marked, CONTEXT)
+    return codex_rows(rows, compat)
+
+
+def codex_rows(rows: DataFrame, compat: bool = False) -> DataFrame:
+    """Events of narrow rows that carry their context."""
+    used = F.struct(F.struct(F.struct(*USED).alias("last_token_usage")).alias("info"))
+    return codex_events(rows.where("stamp IS NOT NULL").withColumn("j", F.struct(F.col("stamp").alias("timestamp"), used.alias("payload"))), compat)
 
 
 def codex_events(rows: DataFrame, compat: bool = False) -> DataFrame:
@@ -122,29 +160,31 @@ def parse_quarantine(lines: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ProviderSpec:
-    """A provider: which files are its logs, how lines become events, and whether they need
-    line numbers from 1 rather than places that grow along the file."""
+    """A provider: the folder that its files lie in, which files are its logs, how lines become
+    events, and whether lines take context from lines before them."""
 
     name: str
     file_pattern: str
     needles: tuple[str, ...]
-    parse: Callable[[DataFrame], DataFrame]
-    numbered: bool = False
+    parse: Callable[..., DataFrame]
+    folder: str = ""
+    context: bool = False
 
 
 PROVIDERS: dict[str, ProviderSpec] = {
-    "claude_code": ProviderSpec("claude_code", CLAUDE_FILE, ('"assistant"',), parse_claude),
-    "codex": ProviderSpec("codex", CODEX_FILE, ('"token_count"', '"turn_context"', '"session_meta"'), parse_codex, numbered=True),
+    "claude_code": ProviderSpec("claude_code", CLAUDE_FILE, ('"assistant"',), parse_claude, folder="/.claude/"),
+    "codex": ProviderSpec("codex", CODEX_FILE, CODEX_NEEDLES, parse_codex, folder="/.codex/", context=True),
 }
 
 
 def owner(path: Column, specs: Mapping[str, ProviderSpec] = PROVIDERS) -> Column:
-    """Name of the provider whose file pattern a path matches, or null."""
-    return F.coalesce(*[F.when(path.rlike(s.file_pattern), F.lit(s.name)) for s in specs.values()])
+    """Name of the first provider whose folder is in a path, or null. Which files of it are logs
+    is another question: ``file_pattern``."""
+    return F.coalesce(*[F.when(path.contains(s.folder), F.lit(s.name)) for s in specs.values() if s.folder])
 
 
 def read_provider(spark: SparkSession, root: str, spec: ProviderSpec, modified_after: str | None = None) -> DataFrame:
-    lines = read_lines(spark, root, spec.needles, modified_after, spec.numbered).where(F.col("source_file").rlike(spec.file_pattern))
+    lines = read_lines(spark, root, spec.needles, modified_after, numbered=False).where(F.col("source_file").rlike(spec.file_pattern))
     return spec.parse(lines.withColumn("ingest_seq", F.unix_millis("modified")))
 
 

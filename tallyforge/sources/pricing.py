@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import PRICES
+from tallyforge.scratch import saved
 
 #: Providers whose prices are kept.
 VENDORS = ("anthropic", "openai", "gemini")
@@ -25,4 +26,5 @@ def parse_pricing(documents: DataFrame) -> DataFrame:
 
 
 def read_pricing(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pricing(spark.read.text(path, wholetext=True))
+    """The list of a file, parsed once and kept as a table, so that its size is known to joins."""
+    return saved(parse_pricing(spark.read.text(path, wholetext=True)), "prices")

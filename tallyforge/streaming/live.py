@@ -1,60 +1,70 @@
 """Live usage events with Structured Streaming.
 
-Spark's file source takes files that arrive whole and never reads one again that grew;
-growing logs are ingested by ``plans.ingest.ingest_changed`` on a timer.
+Spark's file source (``stream_lines``) takes files that arrive whole and never reads one again
+that grew; files that grow are followed by ``sources.tail``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyforge.functions.columns import source_label
 from tallyforge.operators.dedup import latest
 from tallyforge.operators.pricing import with_cost
 from tallyforge.schema import COUNTERS, UNKNOWN, USAGE_EVENTS
+from tallyforge.scratch import remove, saved
+from tallyforge.sources.context import file_ends
 from tallyforge.sources.lines import prefilter
-from tallyforge.sources.logs import CODEX_LINE, ProviderSpec, codex_events
+from tallyforge.sources.logs import CONTEXT, ProviderSpec, codex_ends
+from tallyforge.sources.tail import tail_stream
 
 DAY_MS = 24 * 3_600_000
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """(value, source_file, modified, ingest_seq, line_no) of files arriving in a folder;
-    ``line_no`` is a place that grows along the file."""
+def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100, needles: Sequence[str] = ()) -> DataFrame:
+    """(value, source_file, split, modified, ingest_seq, line_no) of files arriving in a folder:
+    lines with one of the needles; ``line_no`` is a place that grows along the file."""
     lines = (
         spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
         .option("maxFilesPerTrigger", files_per_trigger).text(folder).select("value", "_metadata.*")
     )
+    lines = prefilter(lines, needles).select(
+        "value", F.col("file_path").alias("source_file"), F.col("file_block_start").alias("split"), F.col("file_modification_time").alias("modified"),
+        F.unix_millis("file_modification_time").alias("ingest_seq"),
+    )
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for batch in batches:
-            # As in ``lines._place``, which streams do not allow.
-            places = [(at << 20) + row + n for n, at in enumerate(batch.column("file_block_start").to_pylist())]
+            # As in ``lines._place``, which streams do not allow; places only have to grow.
+            places = (batch.column("split").to_numpy(zero_copy_only=False) << 20) + np.arange(row, row + batch.num_rows)
             row += batch.num_rows
             yield batch.append_column("line_no", pa.array(places, pa.int64()))
 
-    lines = lines.mapInArrow(number, T.StructType([*lines.schema.fields, T.StructField("line_no", T.LongType())]))
-    return lines.select(
-        "value", F.col("file_path").alias("source_file"), F.col("file_modification_time").alias("modified"),
-        F.unix_millis("file_modification_time").alias("ingest_seq"), "line_no",
-    )
+    return lines.mapInArrow(number, T.StructType([*lines.schema.fields, T.StructField("line_no", T.LongType())]))
+
 
+def stream_usage(spark: SparkSession, folder: str, spec: ProviderSpec, files_per_trigger: int = 100) -> DataFrame:
+    """Events of files arriving in a folder, of a provider whose lines need no context (of others:
+    ``carry_stream``). Lines whose time does not parse are no events; ``parse_quarantine`` gives
+    them to another sink."""
+    if spec.context:
+        raise ValueError(f"lines of {spec.name} take context from lines before them: use carry_stream")
+    return spec.parse(stream_lines(spark, folder, files_per_trigger, spec.needles).where(F.col("source_file").rlike(spec.file_pattern)))
 
-def stream_usage(spark: SparkSession, folder: str, spec: ProviderSpec, files_per_trigger: int = 100, ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """Events of files arriving in a folder. Where lines take context from lines before them
-    (``spec.numbered``), each file's context is state, for ``ttl_ms``. Lines whose time does not
-    parse are no events; ``parse_quarantine`` gives them to another sink."""
-    lines = stream_lines(spark, folder, files_per_trigger).where(F.col("source_file").rlike(spec.file_pattern))
-    return stream_with_state(lines, ttl_ms) if spec.numbered else spec.parse(lines)
+
+def tail_usage(spark: SparkSession, folder: str, spec: ProviderSpec) -> DataFrame:
+    """Lines with events of files that arrive and grow in a folder: events, or of a provider whose
+    lines take context the lines, for ``carry_stream``."""
+    lines = tail_stream(spark, folder, spec.file_pattern, spec.needles)
+    return lines if spec.context else spec.parse(lines)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -62,55 +72,49 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(USAGE_EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-USED = ("input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens")
-CARRIED = "source_file string, line_no long, ingest_seq long, stamp string, " + "".join(f"{u} string, " for u in USED) + "ctx_model string, ctx_session string, ctx_cwd string"
-STATE = "model string, session string, cwd string, last_line long"
-
-
-def stream_with_state(lines: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """Events of a stream of codex lines (value, source_file, line_no, ingest_seq): the latest
-    model, session and folder of each file are state, so they outlive the micro-batch.
-    A file's state is dropped after ``ttl_ms`` without lines, a day unless said otherwise.
-    Such a query always has a next batch, so one that is to end (``availableNow``) has no
-    limit (None).
-
-    The lines of one file in one micro-batch are held in a task to put them in order, as short
-    columns without their text; fewer files for each trigger bound that."""
-    needles = ['"token_count"', '"turn_context"', '"session_meta"']
-    rows = prefilter(lines, needles).withColumn("j", F.from_json("value", CODEX_LINE))
-    kind = F.col("j.type")
-    counts = (kind == "event_msg") & (F.col("j.payload.type") == "token_count")
-    marked = rows.select(
-        "source_file", "line_no", "ingest_seq", F.when(counts, F.col("j.timestamp")).alias("stamp"),
-        *[F.when(counts, F.col(f"j.payload.info.last_token_usage.{u}")).alias(u) for u in USED],
-        F.when(kind == "turn_context", F.col("j.payload.model")).alias("ctx_model"),
-        F.when(kind == "session_meta", F.col("j.payload.id")).alias("ctx_session"),
-        F.when(kind == "session_meta", F.col("j.payload.cwd")).alias("ctx_cwd"),
-    )
+def carry_stream(
+    lines: DataFrame, spec: ProviderSpec, sink: Callable[[DataFrame, int], None], state: str, checkpoint: str,
+    ttl_ms: int | None = DAY_MS, most_files: int | None = None, ends: Callable[[DataFrame], DataFrame] = codex_ends, **trigger,
+) -> StreamingQuery:
+    """Run a stream of lines (value, source_file, split, line_no, ingest_seq) whose events take
+    context from lines before them; each batch's events go to ``sink`` with the batch's number.
+
+    What a file's lines leave to those of later batches is a row of the table ``state``: model,
+    session and folder, and when the file was last seen. Within a batch, context is carried
+    split by split (``sources.context``): no line is shuffled and no file's lines are held
+    together. Rows not seen for ``ttl_ms`` are dropped; beyond ``most_files`` rows the files seen
+    last stay, half as many. Batch n reads the state that batch n - 1 left and writes its own, so
+    a repeated batch gives the same rows."""
 
-    def carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        found = list(batches)
-        if not found:
-            return
-        frame = pd.concat(found).sort_values("line_no", kind="stable")
-        model, session, cwd, last = state.get if state.exists else (None, None, None, 0)
-        names = ("ctx_model", "ctx_session", "ctx_cwd")
-        for name, before in zip(names, (model, session, cwd)):
-            filled = frame[name].ffill()
-            frame[name] = filled.where(filled.notna(), before)
-        end = frame.iloc[-1]
-        state.update((*[None if pd.isna(end[n]) else end[n] for n in names], max(int(end["line_no"]), last or 0)))
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = _state(spark, state, epoch - 1)
+        if "split" not in batch.columns:  # lines of no scan: put together by file, as one split
+            batch = batch.withColumn("split", F.lit(0).cast("long")).repartition("source_file").sortWithinPartitions("source_file", "line_no")
+        left = saved(ends(batch), "split-ends")
+        sink(spec.parse(batch, ends=left, before=before), epoch)
+        now_ms = F.unix_millis(F.current_timestamp())
+        new = file_ends(left, CONTEXT, before.join(left.select("source_file").distinct(), "source_file", "left_semi")).withColumn("seen_ms", now_ms)
+        kept = before.join(new.select("source_file"), "source_file", "left_anti").unionByName(new)
         if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield frame
+            kept = kept.where(F.col("seen_ms") >= now_ms - ttl_ms)
+        kept = saved(kept, "file-context")
+        if most_files is not None and kept.count() > most_files:
+            kept = kept.orderBy(F.desc("seen_ms"), "source_file").limit(most_files // 2)
+        kept.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        remove(spark, f"{state}/epoch={epoch - 2}")
+
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
+
+
+STATE = "source_file string, ctx_model string, ctx_session string, ctx_cwd string, seen_ms long"
+
 
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    carried = marked.groupBy("source_file").applyInPandasWithState(carry, CARRIED, STATE, "append", timeout)
-    used = F.struct(F.struct(F.struct(*USED).alias("last_token_usage")).alias("info"))
-    return codex_events(carried.where("stamp IS NOT NULL").withColumn("j", F.struct(F.col("stamp").alias("timestamp"), used.alias("payload"))))
+def _state(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={epoch}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(f"{path}/epoch={epoch}")
 
 
 def stream_buckets(stream: DataFrame, step_s: int, by: Sequence[str] = ("model",), watermark: str = "1 day") -> DataFrame:

@@ -1,10 +1,11 @@
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators.usage import usage
 from tallyforge.plans import ingest
-from tallyforge.sinks import post_batch, report_document, to_ndjson
+from tallyforge.sinks import post_batch, report_information, report_parts, to_ndjson, write_report
 from tallyforge.sources import lines, logs
 from tallyforge.sources.pricing import parse_pricing
 from tallyforge.sources.prometheus import parse_prometheus
@@ -51,12 +52,13 @@ def test_codex_files(spark, tmp_path):
     write(tmp_path / "sessions" / "2026" / f"rollout-2026-03-12T00-35-10-{B}.jsonl", count(1, "2026-03-11T15:36:15Z"), codex("session_meta", id=B, cwd="/home/me"), codex("turn_context", model="g-5"),
           count(15262, "2026-03-11T15:36:16.626Z"), codex("event_msg", type="token_count", info=None), codex("turn_context", model="g-6"), count(2, "2026-03-11T15:36:17Z"))
     rows = sorted(logs.read_codex_logs(spark, str(tmp_path)).collect(), key=lambda r: r.line_no)
-    assert [(r.line_no, r.model, r.session_id, r.input_tokens) for r in rows] == [(1, "unknown", B, 1), (4, "g-5", B, 15262), (7, "g-6", B, 2)]
+    assert [(r.model, r.session_id, r.input_tokens) for r in rows] == [("unknown", B, 1), ("g-5", B, 15262), ("g-6", B, 2)]
     assert (rows[1].cache_creation_input_tokens, rows[1].cache_read_input_tokens, rows[1].project) == (0, 15104, "/home/me")
     with_compat = logs.parse_codex(lines.read_lines(spark, str(tmp_path)).withColumn("ingest_seq", F.lit(0).cast("long")), compat=True)
     assert {r.message_id for r in with_compat.collect()} == {B}
-    owned = spark.createDataFrame([(f"/x/projects/p/{A}.jsonl",), ("/x/sessions/r.jsonl",), ("/x/y",)], "p string").select(logs.owner(F.col("p"))).collect()
-    assert [r[0] for r in owned] == ["claude_code", "codex", None]
+    paths = ["/home/me/.claude/projects/p/notes-1.jsonl", "/home/me/.codex/sessions/r.jsonl", f"/x/projects/{A}.jsonl", "/x/.claude", "/a/.claude/.codex/b"]
+    owned = spark.createDataFrame([(p,) for p in paths], "p string").select(logs.owner(F.col("p"))).collect()
+    assert [r[0] for r in owned] == ["claude_code", "codex", None, None, "claude_code"]
 
 
 def test_line_numbers_over_splits(spark, tmp_path):
@@ -162,9 +164,55 @@ def test_post_and_report(spark, data, tmp_path):
     summary = usage(from_events(spark.read.parquet(f"{data}/events.parquet")), by=["provider", "model"])
     post_batch(summary, send)
     assert {p.name for p in tmp_path.iterdir()} == {r.model for r in summary.collect()} - {"view"} and out
-    documents = {r.provider: json.loads(r.document) for r in report_document(summary, {"type": "total"}).collect()}
-    counts = [x["event_count"] for x in documents["codex"]["providers"]["codex"]]
-    assert documents["codex"]["information"] == {"type": "total"} and counts == sorted(counts, reverse=True)
+    u = from_events(spark.read.parquet(f"{data}/events.parquet"))
+    info = report_information(u, "summary", "20240105", None, "Asia/Seoul", 6, datetime(2024, 2, 1, 9, tzinfo=timezone.utc))
+    first, last = (u.agg(f("ts_ms")).first()[0] // 1000 for f in (F.min, F.max))
+    iso = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def written(parts, name):
+        write_report(parts, f"{tmp_path}/{name}")
+        return json.loads("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*.txt"))))
+
+    flat = written(report_parts(summary, info), "flat")
+    assert flat["information"] == {"type": "summary", "since": iso(first), "until": iso(last), "query_since": "20240105", "query_until": None,
+                                   "timezone": "Asia/Seoul", "start_of_week": "sun", "generated_at": "2024-02-01T09:00:00Z"}
+    assert list(flat["providers"]) == ["claude_code", "codex"]
+    counts = [x["events"] for x in flat["providers"]["codex"]]
+    assert counts == sorted(counts, reverse=True) and len(counts) > 2
+    assert set(flat["providers"]["codex"][0]) == {"model", "input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens", "total_tokens", "events"}
+    assert set(flat["providers"]["claude_code"][0]) == {"model", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "total_tokens", "events"}
+    days = written(report_parts(usage(u, bucket=86_400, by=["provider", "model"]), info), "days")["providers"]["codex"]
+    assert [d["period"] for d in days] == sorted(d["period"] for d in days) and set(days[0]) == {"period", "usage_per_models"}
+    one = usage(u, by=["provider", "session", "model"]).withColumn("session", F.col("session_id"))
+    assert set(written(report_parts(one, info, key="session"), "sessions")["providers"]["codex"][0]) == {"session", "usage_per_models"}
+    odd = spark.createDataFrame([("codex", 'a "b"'), ("codex", "c\nd"), ("x", "e")], "provider string, item string")
+    assert written(report_parts(odd, info), "list")["providers"] == {"codex": ['a "b"', "c\nd"], "x": ["e"]}
+    assert written(report_parts(odd.where("false"), info), "none")["providers"] == {}
+
+
+def test_prices_run_nothing_while_a_plan_is_built(spark, data, tmp_path):
+    from tallyforge.plans.catalog import price_list
+    from tallyforge.schema import from_events
+
+    u = from_events(spark.read.parquet(f"{data}/events.parquet"))
+    prices = price_list(u)
+    spark.sparkContext.setJobGroup("priced", "plan only")
+    try:
+        usage(u, by=["project"], pricing=prices)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("priced")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_one_order_of_versions(spark):
+    """The order of lines and the order of times differ between two files of one ingest."""
+    from tallyforge.operators.dedup import last_per_id, latest, superseded
+
+    rows = [("p", "m", 100, "f1", 10, 1), ("p", "m", 200, "f2", 5, 1), ("p", "m", 50, "f2", 4, 1), ("p", "n", 7, "f1", 1, 1), ("p", "o", 9, "f9", 1, 1), ("p", "o", 3, "f1", 9, 2)]
+    df = spark.createDataFrame(rows, "provider string, message_id string, ts_ms long, source_file string, line_no long, ingest_seq long")
+    kept = {(r.message_id, r.ts_ms) for r in latest(df).collect()}
+    assert kept == {("m", 200), ("n", 7), ("o", 3)} == {(r.message_id, r.ts_ms) for r in last_per_id(df).collect()}
+    assert {(r.message_id, r.ts_ms, r.replaced_by_ts_ms) for r in superseded(df).collect()} == {("m", 100, 50), ("m", 50, 200), ("o", 9, 3)}
 
 
 def test_latest_shuffles_once(spark, data):
