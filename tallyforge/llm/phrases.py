@@ -12,8 +12,8 @@ union alone; a third pass counts. Each cuts texts with numpy where they lie and
 a task before they are shuffled. Mining shuffles 64-bit hashes of phrases; they serve only to rule
 phrases out, and a phrase that shares its hash with another can only be counted for nothing. Tasks
 know the union as a bitmap of 2^FILTER_BITS bits, a size that does not depend on the corpus; what
-passes is grouped and counted by the words themselves (within a task, and so among some hundred
-thousand phrases, equal 64-bit hashes stand for equal phrases). A shard is no task: its phrases are dealt
+passes is grouped and counted by the words themselves (within a slice of a
+few MB equal 64-bit hashes stand for equal phrases). A shard is no task: its phrases are dealt
 over the cluster by hash.
 
 Scores are exact in decimals of 38 digits: counts stay below 10^14.
@@ -44,8 +44,8 @@ SHARDS = 5
 FILTER_BITS = 27
 #: Bytes of text cut together, and counts that a task holds before it passes them on.
 TOGETHER, HELD = 1 << 20, 1 << 20
-#: Rows that a task hands on at once, and phrases that it counts before it does.
-ROWS, KNOWN = 1 << 15, 1 << 18
+#: Rows that a task hands on at once.
+ROWS = 1 << 15
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -91,8 +91,11 @@ class Words:
     piece: np.ndarray
     doc: np.ndarray
 
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join(self.data[self.start[k] : self.end[k]] for k in range(at, at + n))
+    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
+        """The phrases of n words that start at some words, joined by single spaces."""
+        data = self.data
+        parts = [[data[a:b] for a, b in zip(self.start[at + j].tolist(), self.end[at + j].tolist())] for j in range(n)]
+        return parts[0] if n == 1 else list(map(b" ".join, zip(*parts)))
 
 
 def cut(texts: list[bytes | None]) -> Words:
@@ -154,14 +157,14 @@ class _Counts:
         self.parts, self.size = [], 0
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], np.ndarray]]:
     """Rows of batches in slices of bounded text: the rows, their texts, their languages' hashes."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         langs = batch.column("lang_hash").to_numpy(zero_copy_only=False).astype(np.uint64)
         first = size = 0
         for n, text in enumerate(texts):
-            if size and size + len(text or b"") > TOGETHER:
+            if size and size + len(text or b"") > together:
                 yield batch.slice(first, n - first), texts[first:n], langs[first:n]
                 first, size = n, 0
             size += len(text or b"")
@@ -262,38 +265,20 @@ def counted(texts: DataFrame, union: bytes, support: int = SUPPORT, shards: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(sent.value, dtype=np.uint8)
 
-        def rows(lang: list[str], n: list[int], phrase: list[bytes | None], count: list[int]) -> pa.RecordBatch:
-            columns = [pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())]
+        def rows(lang: pa.Array, n: int, made: list[bytes | None], count: np.ndarray) -> pa.RecordBatch:
+            columns = [lang, pa.array(np.full(len(made), n, dtype=np.int32)), pa.array(made, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))]
             return pa.record_batch(columns, names=["lang", "words", "phrase", "f"])
 
-        # Phrases of a task by hash: (language, words, phrase) once, and how often.
-        known: dict[int, tuple[str, int, bytes]] = {}
-        counts: dict[int, int] = {}
-
-        def rest() -> Iterator[pa.RecordBatch]:
-            found = list(counts.items())
-            for i in range(0, len(found), ROWS):
-                some = found[i : i + ROWS]
-                lang, n, phrase = zip(*(known[k] for k, _ in some))
-                yield rows(list(lang), list(n), list(phrase), [c for _, c in some])
-            known.clear()
-            counts.clear()
-
-        for part, own, langs in _slices(batches):
-            words, lang = cut(own), part.column("lang").to_pylist()
-            yield rows(lang, [0] * len(own), [None] * len(own), np.bincount(words.doc, minlength=len(own)).tolist())
+        for part, own, langs in _slices(batches, 2 * TOGETHER):
+            words, lang = cut(own), part.column("lang")
+            yield rows(lang, 0, [None] * len(own), np.bincount(words.doc, minlength=len(own)))
             for n, (at, key) in enumerate(keys(words, langs), 1):
                 passed = np.flatnonzero(_passed(held, key & ~_U(low)))
-                found, first, count = np.unique(key[passed], return_index=True, return_counts=True)
-                for k, place, c in zip(found.tolist(), at[passed[first]].tolist(), count.tolist()):
-                    if k in counts:
-                        counts[k] += c
-                    else:
-                        counts[k] = c
-                        known[k] = (lang[words.doc[place]], n, words.phrase(place, n))
-            if len(counts) > KNOWN:
-                yield from rest()
-        yield from rest()
+                _, first, count = np.unique(key[passed], return_index=True, return_counts=True)
+                first = at[passed[first]]
+                for i in range(0, len(first), ROWS):
+                    some = first[i : i + ROWS]
+                    yield rows(lang.take(pa.array(words.doc[some])), n, words.phrases(some, n), count[i : i + ROWS])
 
     found = texts.mapInArrow(run, "lang string, words int, phrase string, f long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("words") == 0))
