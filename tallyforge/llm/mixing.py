@@ -12,12 +12,15 @@ rows is summed before its shuffle and joined through a table of known size.
 
 Defined cases: null text counts zero characters; a source without characters, or of
 weight zero, has rate zero unless all its texts are empty, when it has rate one; null
-sources form one source; equal ids get equal counts; null ids hash as the empty string;
-an empty table stays empty; further columns are carried along, but for one named ``_mix``.
+sources form one source; equal ids get equal counts; a row without an id counts by a hash of its
+text, file and number there (of its text alone, where the table is not read from files), so such
+rows have counts of their own; rows of one id, or of none, are spread over all tasks; an empty table
+stays empty; further columns are carried along, but for one named ``_mix``.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +86,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 def _count(seed: int, id_text: Column) -> Column:
     """Smallest k with F(k) above the uniform value, summed over the parts."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.col("_rates.parts")),
-        F.lit(0),
-        lambda n, part: n + F.size(F.filter("_rates.cdf", lambda c: c <= _uniform(F.lit(str(seed)), part.cast("string"), id_text))),
-    )
+    # First one uniform value for each part, then the table: a hash is made once, not for each entry.
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("_rates.parts")), lambda part: _uniform(F.lit(str(seed)), part.cast("string"), id_text))
+    return F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("_rates.cdf", lambda c: c <= u)))
+
+
+def _tie(docs: DataFrame) -> Column:
+    """Hash of a row's text, and of its file and number there if the table is read from files: what
+    tells rows of one id, or of none, apart, wherever they are worked on."""
+    text = F.col("text").cast("string")
+    try:
+        at = docs.metadataColumn("_metadata")
+        tie = F.xxhash64(text, at["file_path"], at["row_index"])
+        docs.select(tie)
+    except AnalysisException:
+        tie = F.xxhash64(text)
+    return tie.alias("_tie")
 
 
 def _copies(docs: DataFrame, weights: dict[str, float] | None, alpha: float, seed: int, id_col: str) -> DataFrame:
@@ -95,18 +109,19 @@ def _copies(docs: DataFrame, weights: dict[str, float] | None, alpha: float, see
     known = rates(docs.select("source", "text"), weights, alpha)
     # One row per source; a null source has a key of its own.
     known = saved(known.select(_source_key(F.col("source")), F.struct("rate", "parts", "cdf").alias("_rates")), "mix-rates")
-    rows = docs.select(_source_key(F.col("source")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = docs.select(_source_key(F.col("source")), _tie(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     if known.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(known), "_source", "left")
     else:
         # Hot sources, of which there are few at any size, are broadcast, so that their texts stay
         # where they are; the texts of the others are shuffled.
         joined = spread_join(rows, known, "_source", "mix-sources")
-    ids = F.coalesce(F.col("_row")[id_col].cast("string"), F.lit(""))
+    ids = F.coalesce(F.col("_row")[id_col].cast("string"), F.concat(F.lit("null:"), F.col("_tie").cast("string")))
     counted = joined.withColumn("_n", _count(seed, ids)).where("_n > 0")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     keyed = copies.withColumn("_key", _hashed(F.lit(f"{seed}s"), F.col("_copy").cast("string"), ids))
-    return keyed.repartition("_key").sortWithinPartitions("_key", "_copy")
+    # Rows of one id have one key; what tells them apart spreads them.
+    return keyed.repartition("_key", "_tie").sortWithinPartitions("_key", "_copy", "_tie")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:

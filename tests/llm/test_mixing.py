@@ -62,3 +62,28 @@ def test_many_sources_and_a_hot_one(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     monkeypatch.setattr(common, "HOT_ROWS", 100)
     assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
+def test_rows_without_an_id_are_spread_and_count_apart(spark, tmp_path):
+    """A third of the rows has no id, another third one id; half of the texts are alike."""
+    docs = spark.range(0, 12_000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(-1)).cast("long").alias("doc_id"), F.lit("s").alias("source"),
+        F.when(F.col("id") % 2 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text "), F.col("id") + 100_000)).alias("text"),
+    )
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mixing.mix(docs, weights={"s": 1})
+        sizes = sorted(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        none = out.where("doc_id IS NULL")
+        counts = Counter(r.n for r in none.where("text <> 'the same text'").groupBy("text").agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 40 and sizes[-1] <= 3 * sizes[20]
+    # Rate one: of rows without an id a third is left out, a third stays once, the others come again.
+    assert 0.55 < sum(counts.values()) / 2_000 < 0.71 and 0.3 < counts[1] / 2_000 < 0.44 and counts[2] > 250
+    alike = none.where("text = 'the same text'").count()
+    assert 1_800 < alike < 2_200
