@@ -41,7 +41,7 @@ LEAST_DOCS = 6
 #: Texts whose features are laid out together.
 TOGETHER = 512
 
-_CORE = re.compile(r"[^\W\d_]+")
+_EDGES, _LETTER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[^\W\d_]")
 
 
 class Hasher:
@@ -57,8 +57,9 @@ class Hasher:
         if found is None:
             if len(self.known) > CACHE:
                 self.known.clear()
-            core = _CORE.search(word.lower())
-            found = xxhash.xxh32_intdigest(core[0] if core else "#" + word[:8]) % (SIZE - SHAPES) + SHAPES
+            # The whole word, without signs at its ends; words without letters apart from the others.
+            core = _EDGES.sub("", word.lower()) if _LETTER.search(word) else "#" + word
+            found = xxhash.xxh32_intdigest(core) % (SIZE - SHAPES) + SHAPES
             self.known[word] = found
         return found
 
