@@ -47,7 +47,7 @@ PATTERNS: dict[str, str] = {
     "titled_name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
     "account": r"(?i)(?<![\p{L}0-9])(?:account|iban|konto|compte|cuenta|passport|member|customer|order|invoice|ticket|build|item|part)(?:\x20(?:no|nr|number|id))?[.:#]?\x20[A-Z]{0,2}[0-9]{6,12}+(?![0-9.-])",
     "birth_date": r"(?<![0-9./-])(?:[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9./-])",
-    "token": r"(?<![A-Za-z0-9_+/=.@:-])(?=[A-Za-z_+/-]{0,63}[0-9])(?=[0-9_+/-]{0,63}[A-Za-z])[A-Za-z0-9_+/-]{20,}+(?![@.:=])",
+    "token": r"(?<![A-Za-z0-9_+/=.@:-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+(?![@.:=])",
 }
 KINDS = tuple(PATTERNS)
 LABELERS = ("format", "gazetteer", "context", "surroundings")
