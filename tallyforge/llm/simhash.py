@@ -263,8 +263,8 @@ def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
     named = _named(prints.select("fp", order.alias("order")), tile)
     kept = saved(named.groupBy("component").agg(F.min("first").alias("first")).select("first.place.*"), "simhash-kept")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _place(docs)).select("_row", "_place.*")
-    # By shuffle at every size: the list of rows that stay grows with the table.
-    return whole.join(kept.hint("shuffle_hash"), ["file", "check", "row"], "left_semi").select("_row.*")
+    # By shuffle and sort, which spills, at every size: the list of rows that stay grows with the table.
+    return whole.join(kept.hint("merge"), ["file", "check", "row"], "left_semi").select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
