@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import token_array, total_tokens
 from tallyforge.functions.times import DAY_MS, utc_date
-from tallyforge.operators.usage import page_after
+from tallyforge.operators.usage import between_ms, page_after
 from tallyforge.schema import COUNTERS
 
 HOUR_MS = 3_600_000
@@ -41,6 +43,40 @@ def usage_from_rollup(rollup: DataFrame, step_s: int | None = None) -> DataFrame
     return rollup.groupBy(bucket.alias("bucket_ms"), "model").agg(*sums)
 
 
+def rollup_deltas(after: DataFrame, before: DataFrame) -> DataFrame:
+    """What the rollup changes by when some days' events change: hours and models with the signed
+    differences of their sums. Hours that stay the same are left out."""
+    sums = (*COUNTERS, "event_count")
+    signed = build_rollup(after).unionByName(build_rollup(before).withColumns({c: -F.col(c) for c in sums}))
+    out = signed.groupBy("hour_ms", "provider", "model").agg(*[F.sum(c).alias(c) for c in sums])
+    return out.where(" OR ".join(f"{c} <> 0" for c in sums))
+
+
+def merge_rollup(rollup: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The rollup after signed differences; hours without events are dropped."""
+    sums = (*COUNTERS, "event_count")
+    both = rollup.select("hour_ms", "provider", "model", *sums).unionByName(deltas.select("hour_ms", "provider", "model", *sums))
+    return both.groupBy("hour_ms", "provider", "model").agg(*[F.sum(c).alias(c) for c in sums]).where("event_count <> 0")
+
+
+def range_usage(events: DataFrame, rollup: DataFrame, since_ms: int, until_ms: int, provider: str | None = None) -> DataFrame:
+    """Per-model usage of a range, both ends inclusive: whole hours from the rollup, the ragged ends
+    from events. Raw rows of two hours are read at most; both tables are pruned by day."""
+    first, last = -(-since_ms // HOUR_MS) * HOUR_MS, (until_ms + 1) // HOUR_MS * HOUR_MS
+    sums = (*COUNTERS, "event_count")
+    ends = [(since_ms, until_ms)] if first >= last else [(a, b) for a, b in ((since_ms, first - 1), (last, until_ms)) if a <= b]
+    parts = [between_ms(events, a, b).select("provider", "model", *COUNTERS, F.lit(1).cast("long").alias("event_count")) for a, b in ends]
+    if first < last:
+        hours = rollup.where((F.col("hour_ms") >= first) & (F.col("hour_ms") < last))
+        if "event_date" in rollup.columns:
+            hours = hours.where(F.col("event_date").between(utc_date(F.lit(first)), utc_date(F.lit(last - 1))))
+        parts.append(hours.select("provider", "model", *sums))
+    rows = reduce(DataFrame.unionByName, parts)
+    if provider is not None:
+        rows = rows.where(F.col("provider") == provider)
+    return rows.groupBy("model").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def replicate(df: DataFrame, n: int, shift_days: int = 30, jitter_ms: int = HOUR_MS) -> DataFrame:
     """n copies of each event, each ``shift_days`` later with a hashed jitter and a fresh id."""
     copies = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.times import DAY_MS
-from tallyforge.operators import dedup, usage as U
+from tallyforge.operators import dedup, lifecycle, usage as U
 from tallyforge.plans import catalog, ingest
 from tallyforge.plans.catalog import ALL_SQL, COUNTERS_SQL, EVENTS_SQL, NOW_MS, _CARRIED
 from tallyforge.plans.stream_catalog import carried_to_end, finished
-from tallyforge.schema import COUNTERS, USAGE_EVENTS, from_events
+from tallyforge.schema import COUNTERS, USAGE_EVENTS, complete, from_events
 from tallyforge.scratch import new_path
 from tallyforge.sinks import post_batch, to_ndjson
 from tallyforge.sources import lines as L
@@ -284,18 +284,48 @@ def stream_fan_out(spark, sf_dir):
 
 @registered("CAST(count(*) AS BIGINT) AS sent, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM u WHERE event_id % 7 <> 0")
 def posted_rows(spark, sf_dir):
-    """Each row's JSON goes to a sender on the executors, which refuses some; what it took."""
-    sent, tokens = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
-
-    def send(payload: str) -> None:
-        row = json.loads(payload)
-        if int(row["message_id"]) % 7 == 0:
-            raise OSError("refused")
-        sent.add(1)
-        tokens.add(row["input_tokens"])
-
-    post_batch(_events(spark, sf_dir).select("message_id", "input_tokens"), send)
-    return spark.createDataFrame([(sent.value, tokens.value)], "sent long, tokens long")
+    """Rows go to a sender on the executors as JSON, several a call; it refuses some. What it took, as
+    the tasks' commits say."""
+
+    def send(payloads: list[str]) -> list[int]:
+        return [n for n, p in enumerate(payloads) if int(json.loads(p)["message_id"]) % 7 == 0]
+
+    receipts = post_batch(_events(spark, sf_dir).select("message_id", "input_tokens"), send, new_path(spark, "receipts"), sums="input_tokens")
+    return receipts.agg(F.sum("sent").alias("sent"), F.sum(F.col("sums")["input_tokens"]).alias("tokens"))
+
+
+# The rollup beside a table
+
+
+@registered(
+    ", l AS (SELECT * REPLACE (ts_ms + CASE WHEN event_id % 6 = 0 THEN 7200000 ELSE 0 END AS ts_ms, input_tokens + CASE WHEN event_id % 6 = 0 THEN 5 ELSE 0 END AS input_tokens) FROM u) "
+    f"SELECT ts_ms // 3600000 * 3600000 AS hour_ms, provider, model, {ALL_SQL} FROM l GROUP BY ALL"
+)
+def rollup_incremental(spark, sf_dir):
+    """A rollup made of half the events and kept by two ingests: new events, and later versions that
+    fall two hours later, so that hours lose what was replaced."""
+    path, u = _with_rollup(spark, sf_dir)
+    return ingest.read_rollup(spark, path).drop("event_date")
+
+
+def _with_rollup(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    u, number, path = _events(spark, sf_dir), F.col("message_id").cast("long"), new_path(spark, "table")
+    ingest.write_events(u.where(number % 2 == 0), path)
+    ingest.keep_rollup(spark, path)
+    ingest.ingest(spark, u.where(number % 2 == 1), path)
+    moved = u.where(number % 6 == 0).withColumns({"ts_ms": F.col("ts_ms") + 7_200_000, "input_tokens": F.col("input_tokens") + 5, "ingest_seq": F.lit(1).cast("long")})
+    ingest.ingest(spark, complete(moved.drop("event_key")), path)
+    return path, u
+
+
+@registered(
+    ", l AS (SELECT * REPLACE (ts_ms + CASE WHEN event_id % 6 = 0 THEN 7200000 ELSE 0 END AS ts_ms, input_tokens + CASE WHEN event_id % 6 = 0 THEN 5 ELSE 0 END AS input_tokens) FROM u) "
+    f"SELECT model, {ALL_SQL} FROM l WHERE ts_ms BETWEEN {catalog.SINCE_MS + 1_020_000} AND {catalog.UNTIL_MS - 980_001} GROUP BY model"
+)
+def range_from_rollup(spark, sf_dir):
+    """A range with ragged ends: whole hours from the rollup, two parts of an hour from events."""
+    path, _ = _with_rollup(spark, sf_dir)
+    return lifecycle.range_usage(ingest.read_events(spark, path), ingest.read_rollup(spark, path), catalog.SINCE_MS + 1_020_000, catalog.UNTIL_MS - 980_001)
 
 
 @registered("message_id, model FROM u WHERE event_id % 3 = 0")

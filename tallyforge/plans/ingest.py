@@ -10,11 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.times import DAY_MS
+from tallyforge.functions.times import DAY_MS, utc_date
 from tallyforge.operators.dedup import latest, only_new
-from tallyforge.operators.lifecycle import retain
+from tallyforge.operators.lifecycle import build_rollup, merge_rollup, retain, rollup_deltas
 from tallyforge.operators.usage import usage
-from tallyforge.schema import USAGE_EVENTS
+from tallyforge.schema import COUNTERS, USAGE_EVENTS
 from tallyforge.scratch import remove, saved
 from tallyforge.sources.context import file_ends
 from tallyforge.sources.logs import CONTEXT, PROVIDERS, ProviderSpec, codex_ends, read_logs, read_provider
@@ -60,8 +60,53 @@ def _partition_path(path: str, provider: str, day: date) -> str:
     return f"{path.rstrip('/')}/provider={provider}/event_date={day}"
 
 
+ROLLUP = f"hour_ms long, provider string, model string, {', '.join(f'{c} long' for c in COUNTERS)}, event_count long, event_date date"
+
+
+def _rollup_path(path: str) -> str:
+    return f"{path.rstrip('/')}-rollup"
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The hourly rollup that is kept beside an event table."""
+    return spark.read.schema(ROLLUP).parquet(_rollup_path(path))
+
+
+def _write_rollup(rollup: DataFrame, path: str, mode: str) -> None:
+    dated = rollup.withColumn("event_date", utc_date(F.col("hour_ms")))
+    dealt = dated.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", "hour_ms")
+    dealt.write.mode("overwrite").partitionBy("event_date").option("partitionOverwriteMode", mode).parquet(_rollup_path(path))
+
+
+def keep_rollup(spark: SparkSession, path: str) -> None:
+    """Make the rollup of a table; from then on ``ingest`` keeps it up to date."""
+    _write_rollup(build_rollup(read_events(spark, path)), path, "static")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _update_rollup(spark: SparkSession, path: str, deltas: DataFrame, staged: str) -> None:
+    """Merge signed differences into the rollup's days that they fall on. The new days are written
+    aside first, so a failed write can be repeated; a day without events loses its folder."""
+    days = [r.day for r in deltas.select(utc_date(F.col("hour_ms")).alias("day")).distinct().collect()]
+    if not days:
+        return
+    old = read_rollup(spark, path).where(F.col("event_date").isin(days))
+    merge_rollup(old, deltas).write.mode("overwrite").parquet(f"{staged}/rollup")
+    new = spark.read.parquet(f"{staged}/rollup")
+    _write_rollup(new, path, "dynamic")
+    left = {r.day for r in new.select(utc_date(F.col("hour_ms")).alias("day")).distinct().collect()}
+    for day in set(days) - left:
+        remove(spark, f"{_rollup_path(path)}/event_date={day}")
+
+
 def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None = None) -> int:
-    """Upsert a batch of parsed events into the table; returns how many rows were new.
+    """Upsert a batch of parsed events into the table; returns how many rows were new. A rollup that
+    is kept beside the table (``keep_rollup``) gets the difference: new rows in, replaced versions
+    out, in the hours that changed.
 
     An event that was stored before has the batch's time, so it is looked for on the batch's days
     alone. Earlier versions of the batch's messages may lie on any day: their keys alone are read,
@@ -101,10 +146,15 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     merged = latest(stored.where(_days_of(days)).unionByName(fresh))
     merged.write.mode("overwrite").parquet(f"{staged}/merged")
     merged = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/merged")
+    with_rollup = _exists(spark, _rollup_path(path))
+    if with_rollup:  # while the table still has the replaced versions
+        rollup_deltas(merged, stored.where(_days_of(days))).write.mode("overwrite").parquet(f"{staged}/deltas")
     _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
     left = {tuple(r) for r in merged.select(*PARTITIONS).distinct().collect()}
     for provider, day in set(days) - left:
         remove(spark, _partition_path(path, provider, day))
+    if with_rollup:
+        _update_rollup(spark, path, spark.read.parquet(f"{staged}/deltas"), staged)
     return count
 
 
@@ -157,8 +207,7 @@ def ingest_tail(
     count = 0
     if batches:
         batch = reduce(DataFrame.unionByName, batches)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if _exists(spark, path):
             count = ingest(spark, batch, path, horizon_days)
         else:
             write_events(latest(batch), path)

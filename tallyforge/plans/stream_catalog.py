@@ -63,6 +63,21 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.current(spark, path).select("provider", "message_id", "ts_ms", "model", *COUNTERS)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version of a message that comes to count, with the one whose place it takes."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        rows = finished(live.stream_replaced(catalog.snapshots(_stream(spark, sf_dir)), ttl_ms=None), "append")
+    finally:
+        spark.conf.set(setting, before)
+    return rows.select("provider", "message_id", "ts_ms", "input_tokens", "old_ts_ms", "old_input_tokens")
+
+
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = catalog.price_list(from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
     rows = live.stream_enriched(_stream(spark, sf_dir), prices).select("message_id", "source", F.round("cost", 9).alias("cost"))
@@ -74,10 +89,16 @@ def stream_state_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ts_ms", "model", "session_id", "project", *COUNTERS)
 
 
-for _query in (stream_tumbling, stream_dedup, stream_enrich, stream_state_model):
+for _query in (stream_tumbling, stream_dedup, stream_replaced, stream_enrich, stream_state_model):
     QUERIES[_query.__name__] = _query
 
 SQL["stream_tumbling"] = f"WITH {EVENTS_SQL} SELECT ts_ms // 21600000 * 21600000 AS bucket_ms, model, {ALL_SQL} FROM u GROUP BY ts_ms // 21600000 * 21600000, model"
 SQL["stream_dedup"] = f"WITH {EVENTS_SQL} SELECT provider, message_id, ts_ms, model, {COUNTERS_SQL} FROM u"
+SQL["stream_replaced"] = f"""WITH {EVENTS_SQL}, v AS (
+ SELECT provider, message_id, 1 AS seq, ts_ms, 0 AS input_tokens FROM u WHERE event_id % 10 = 0 UNION ALL SELECT provider, message_id, 2, ts_ms - 5000, 1 FROM u WHERE event_id % 14 = 0
+ UNION ALL SELECT provider, message_id, 3, ts_ms - 2000, input_tokens // 3 FROM u WHERE event_id % 4 = 0 UNION ALL SELECT provider, message_id, 4, ts_ms - 1000, input_tokens // 2 FROM u WHERE event_id % 4 = 0
+ UNION ALL SELECT provider, message_id, 5, ts_ms, input_tokens FROM u)
+SELECT provider, message_id, ts_ms, CAST(input_tokens AS BIGINT) AS input_tokens, lag(ts_ms) OVER w AS old_ts_ms, CAST(lag(input_tokens) OVER w AS BIGINT) AS old_input_tokens
+FROM v WINDOW w AS (PARTITION BY provider, message_id ORDER BY seq)"""
 SQL["stream_enrich"] = f"WITH {EVENTS_SQL}, {PRICES_SQL} SELECT message_id, session_id AS source, round({COST_SQL}, 9) AS cost FROM u LEFT JOIN p USING (model)"
 SQL["stream_state_model"] = f"WITH {EVENTS_SQL} SELECT ts_ms, {catalog._CARRIED} AS model, session_id, project, {COUNTERS_SQL} FROM u"

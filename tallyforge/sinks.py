@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 
 from tallyforge.functions.columns import total_tokens
 from tallyforge.functions.times import stamp, wall
 from tallyforge.schema import COUNTERS
+from tallyforge.sources.tail import write_json_lines
 
 log = logging.getLogger(__name__)
 
@@ -21,18 +28,93 @@ def to_ndjson(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def post_batch(df: DataFrame, send: Callable[[str], None]) -> None:
-    """Hand each row's JSON to ``send`` on the executors; a failure is logged and the next
-    row follows. ``send`` opens its own connections and sets its own timeout."""
+@dataclass
+class Posted(WriterCommitMessage):
+    """What one task's calls came to."""
 
-    def run(rows: Iterator[Row]) -> None:
-        for row in rows:
-            try:
-                send(row.value)
-            except Exception as error:  # noqa: BLE001  a sink's failure never stops the stream
-                log.warning("payload not sent: %s", error)
+    part: int
+    sent: int = 0
+    refused: int = 0
+    failed: int = 0
+    sums: dict[str, int] = field(default_factory=dict)
 
-    to_ndjson(df).foreachPartition(run)
+
+RECEIPT = "epoch long, part long, sent long, refused long, failed long, sums map<string,long>"
+
+
+def poster(send: Callable[[list[str]], Sequence[int] | None], name: str = "post") -> type[DataSource]:
+    """A data source, for batches and streams, that hands rows as JSON to ``send`` on the executors.
+
+    ``send`` gets up to ``batch`` payloads a call, opens its own connections, sets its own timeout,
+    and returns the places of those it refuses, if any. A call that fails is tried ``tries`` times
+    in all; its payloads then count as failed, are logged, and the next call follows. Each task
+    reports its counts, and sums of the columns in ``sums``, when Spark commits it, so a task that
+    runs twice counts once; a batch's reports are written to the folder ``receipts``
+    (``read_receipts``), a repeated stream batch over itself. Options: batch, tries, sums, receipts."""
+
+    class Writer(DataSourceStreamArrowWriter):
+        def __init__(self, options):
+            self.batch, self.tries, self.receipts = int(options.get("batch", 100)), int(options.get("tries", 3)), options.get("receipts")
+            self.sums = [c for c in options.get("sums", "").split(",") if c]
+
+        def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+            out = Posted(TaskContext.get().partitionId(), sums=dict.fromkeys(self.sums, 0))
+            for rows in iterator:
+                for at in range(0, rows.num_rows, self.batch):
+                    records = rows.slice(at, self.batch).to_pylist()
+                    self._call(records, out)
+            return out
+
+        def _call(self, records: list[dict], out: Posted) -> None:
+            payloads = [json.dumps(r, default=str) for r in records]
+            for left in range(self.tries - 1, -1, -1):
+                try:
+                    refused = set(send(payloads) or ())
+                except Exception as error:  # noqa: BLE001  a sink's failure never stops the stream
+                    log.warning("call of %d payloads failed, %d tries left: %s", len(payloads), left, error)
+                    continue
+                out.sent += len(records) - len(refused)
+                out.refused += len(refused)
+                for c in self.sums:
+                    out.sums[c] += sum(r[c] or 0 for n, r in enumerate(records) if n not in refused)
+                return
+            out.failed += len(records)
+
+        def commit(self, messages, batchId: int | None = None) -> None:
+            if self.receipts:
+                rows = [asdict(m) | {"epoch": batchId} for m in messages if m is not None]
+                name = uuid.uuid4().hex if batchId is None else batchId
+                write_json_lines(f"{self.receipts}/receipt-{name}.json", rows)
+
+        def abort(self, messages, batchId: int | None = None) -> None:
+            log.warning("%d tasks of batch %s reported before it was given up", sum(m is not None for m in messages), batchId)
+
+    class Batch(Writer, DataSourceArrowWriter):
+        """The same for one batch."""
+
+    class Poster(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def writer(self, schema, overwrite):
+            return Batch(self.options)
+
+        def streamWriter(self, schema, overwrite):
+            return Writer(self.options)
+
+    return Poster
+
+
+def post_batch(df: DataFrame, send: Callable[[list[str]], Sequence[int] | None], receipts: str, **options) -> DataFrame:
+    """Hand the rows to ``send`` (``poster``); returns the receipts of all batches in that folder."""
+    df.sparkSession.dataSource.register(poster(send))
+    df.write.format("post").mode("append").options(receipts=receipts, **options).save()
+    return read_receipts(df.sparkSession, receipts)
+
+
+def read_receipts(spark: SparkSession, receipts: str) -> DataFrame:
+    return spark.read.schema(RECEIPT).json(f"{receipts}/receipt-*.json")
 
 
 WEEK = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")

@@ -301,7 +301,7 @@ def tail_stream(spark: SparkSession, root: str, pattern: str, needles: Sequence[
     return registered(spark).readStream.format("log_tail").options(**_options(root, pattern, needles, split_bytes)).load()
 
 
-def _written(path: str, rows: Sequence[dict]) -> None:
+def write_json_lines(path: str, rows: Sequence[dict]) -> None:
     """Replace a small file of JSON lines: the new one is complete before the old one goes."""
     system, at, _ = opened(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
@@ -319,7 +319,7 @@ def _rows(path: str) -> list[dict]:
 
 
 def write_plan(path: str, ranges: Sequence[Range]) -> str:
-    _written(path, [asdict(r) for r in ranges])
+    write_json_lines(path, [asdict(r) for r in ranges])
     return path
 
 
@@ -343,7 +343,7 @@ def read_manifest(path: str) -> Manifest:
 
 
 def write_manifest(path: str, manifest: Manifest) -> None:
-    _written(path, [{"path": p, "mark": asdict(m), "read": manifest.read.get(p, 0), "context": manifest.context.get(p)} for p, m in sorted(manifest.marks.items())])
+    write_json_lines(path, [{"path": p, "mark": asdict(m), "read": manifest.read.get(p, 0), "context": manifest.context.get(p)} for p, m in sorted(manifest.marks.items())])
 
 
 def file_name(root: str, path: str) -> str:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallyforge.functions.columns import source_label
 from tallyforge.operators.dedup import latest
@@ -144,6 +145,62 @@ def fan_out(stream: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]]
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
 
 
+#: What is kept of a version, and of the one that it replaced (null if the message is new).
+VERSION = ("ts_ms", *COUNTERS, "model", "source_file", "ingest_seq", "line_no")
+_KINDS = {"model": "string", "source_file": "string"}
+CHANGES = "provider string, message_id string, " + ", ".join(f"{p}{c} {_KINDS.get(c, 'long')}" for p in ("", "old_") for c in VERSION)
+
+
+class Versions(StatefulProcessor):
+    """The last version of a message in each file, for a day: which version counts, and when one
+    takes the place of another. Versions are ranked as ``dedup.latest`` ranks them."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = ", ".join(f"{c} {_KINDS.get(c, 'long')}" for c in VERSION if c != "source_file")
+        self.files = handle.getMapState("files", "source_file string", value, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [c for c in VERSION if c != "source_file"]
+        # Rows are dicts of plain values; a message has few versions in a batch, in few files.
+        new = sorted((r for frame in rows for r in frame.astype(object).to_dict("records")), key=lambda r: (r["ingest_seq"], r["source_file"], r["line_no"]))
+        held = {f[0]: dict(zip(names, v)) | {"source_file": f[0]} for f, v in self.files.iterator()}
+        rank = lambda r: (r["ingest_seq"], r["ts_ms"], r["source_file"])
+        out, touched = [], set()
+        for row in new:
+            before, own = max(held.values(), key=rank, default=None), held.get(row["source_file"])
+            if own is not None and (own["ingest_seq"], own["line_no"]) >= (row["ingest_seq"], row["line_no"]):
+                continue  # seen, or older than what is known of its file
+            held[row["source_file"]] = {c: row[c] for c in VERSION}
+            touched.add(row["source_file"])
+            now = max(held.values(), key=rank)
+            if before is None or now != before:
+                out.append((*key, *[now[c] for c in VERSION], *[before[c] if before else None for c in VERSION]))
+        for file in touched:
+            self.files.updateValue((file,), tuple(None if held[file][c] is None else held[file][c] for c in names))
+        if out:
+            columns = ["provider", "message_id", *VERSION, *[f"old_{c}" for c in VERSION]]
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_replaced(stream: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """Changes of a stream of events: each version of a message that comes to count, with the
+    version whose place it takes (``old_``; null for a new message). Where the last line of a file
+    falls behind another file's version, that one comes to count again.
+
+    A message is forgotten ``ttl_ms`` after its last version of each file; a repeat then is new.
+    State is a row for each message and file of that time, in RocksDB: the session's state store
+    provider (``spark.sql.streaming.stateStore.providerClass``) has to be RocksDB's. A query with a
+    limit always has a next batch, so one that is to end (``availableNow``) has none (None)."""
+    rows = stream.select("provider", "message_id", *VERSION).where("message_id IS NOT NULL AND source_file IS NOT NULL")
+    return rows.groupBy("provider", "message_id").transformWithStateInPandas(Versions(ttl_ms), CHANGES, "append", "None" if ttl_ms is None else "ProcessingTime")
+
+
 def stream_latest(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Latest-wins over a stream: each micro-batch, reduced to one version per message, is
     written to a folder of its own epoch, so a repeated epoch overwrites itself. ``current``

@@ -1,11 +1,13 @@
 import json
+import re
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators.usage import usage
 from tallyforge.plans import ingest
-from tallyforge.sinks import post_batch, report_information, report_parts, to_ndjson, write_report
+from tallyforge.sinks import post_batch, poster, read_receipts, report_information, report_parts, to_ndjson, write_report
 from tallyforge.sources import lines, logs
 from tallyforge.sources.pricing import parse_pricing
 from tallyforge.sources.prometheus import parse_prometheus
@@ -155,15 +157,19 @@ def test_post_and_report(spark, data, tmp_path):
 
     out = str(tmp_path)
 
-    def send(payload):
-        record = json.loads(payload)
-        if record["model"] == "view":
-            raise OSError("refused")
-        (tmp_path / record["model"]).write_text(payload)
+    def send(payloads):
+        for payload in payloads:
+            record = json.loads(payload)
+            with open(f"{out}/{record['model']}", "a") as file:
+                file.write(payload)
+        return [n for n, p in enumerate(payloads) if json.loads(p)["model"] == "view"]
 
     summary = usage(from_events(spark.read.parquet(f"{data}/events.parquet")), by=["provider", "model"])
-    post_batch(summary, send)
-    assert {p.name for p in tmp_path.iterdir()} == {r.model for r in summary.collect()} - {"view"} and out
+    total = post_batch(summary, send, f"{out}/receipts", batch=2, sums="event_count").agg(F.sum("sent"), F.sum("refused"), F.sum("failed"), F.sum(F.col("sums")["event_count"])).first()
+    rows = summary.collect()
+    views = [r for r in rows if r.model == "view"]
+    assert tuple(total) == (len(rows) - len(views), len(views), 0, sum(r.event_count for r in rows if r.model != "view"))
+    assert {p.name for p in tmp_path.iterdir()} == {r.model for r in rows} | {"receipts"}
     u = from_events(spark.read.parquet(f"{data}/events.parquet"))
     info = report_information(u, "summary", "20240105", None, "Asia/Seoul", 6, datetime(2024, 2, 1, 9, tzinfo=timezone.utc))
     first, last = (u.agg(f("ts_ms")).first()[0] // 1000 for f in (F.min, F.max))
@@ -190,6 +196,59 @@ def test_post_and_report(spark, data, tmp_path):
     assert written(report_parts(odd.where("false"), info), "none")["providers"] == {}
 
 
+def test_calls_are_tried_again_and_tasks_count_once(spark, tmp_path):
+    """A call that fails twice is sent at the third try, one that always fails counts as failed; of
+    a stream's batches each has its receipts."""
+    out = str(tmp_path)
+
+    def send(payloads):
+        numbers = [json.loads(p)["id"] for p in payloads]
+        marks = Path(out) / f"tries-{numbers[0]}"
+        tries = int(marks.read_text()) if marks.exists() else 0
+        marks.write_text(str(tries + 1))
+        if numbers[0] == 40 or tries < 2:
+            raise OSError("refused")
+
+    frame = spark.range(0, 100, 1, 2).repartition(1).sortWithinPartitions("id")
+    got = [tuple(r) for r in post_batch(frame, send, f"{out}/r", batch=20).select("sent", "refused", "failed").collect()]
+    assert got == [(80, 0, 20)]
+    spark.dataSource.register(poster(lambda payloads: None, "post_stream"))
+    spark.range(10).write.parquet(f"{out}/in/a")
+    stream = spark.readStream.schema("id long").parquet(f"{out}/in/*")
+    for extra in ("a", "b"):
+        if extra == "b":
+            spark.range(5).write.parquet(f"{out}/in/b")
+        query = stream.writeStream.format("post_stream").option("receipts", f"{out}/s").option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start()
+        query.awaitTermination()
+    by_epoch = {r.epoch: r.sent for r in read_receipts(spark, f"{out}/s").groupBy("epoch").agg(F.sum("sent").alias("sent")).collect()}
+    assert by_epoch == {0: 10, 1: 5}
+
+
+def test_rollup_is_kept_and_answers_ranges(spark, data, tmp_path):
+    """After upserts that move events to other hours and days the rollup equals a recompute; ranges of
+    all shapes equal the same ranges over events, and read raw rows of their ragged hours alone."""
+    from tallyforge.operators.lifecycle import build_rollup, range_usage
+    from tallyforge.schema import complete, from_events
+
+    u, table = from_events(spark.read.parquet(f"{data}/events.parquet")), str(tmp_path / "t")
+    number = F.col("message_id").cast("long")
+    ingest.write_events(u.where(number % 2 == 0), table)
+    ingest.keep_rollup(spark, table)
+    ingest.ingest(spark, u.where(number % 2 == 1), table)
+    moved = u.where(number % 5 == 0).withColumns({"ts_ms": F.col("ts_ms") + 90_000_000, "model": F.lit("moved"), "ingest_seq": F.lit(3).cast("long")})
+    ingest.ingest(spark, complete(moved.drop("event_key")), table)
+    rows, kept = ingest.read_events(spark, table), ingest.read_rollup(spark, table)
+    names = ["hour_ms", "provider", "model", "input_tokens", "event_count"]
+    assert sorted(kept.select(names).collect()) == sorted(build_rollup(rows).select(names).collect())
+    hour, base = 3_600_000, 1_704_412_800_000
+    for since, until in ((base + 17 * 60_000, base + 30 * hour + 43 * 60_000), (base, base + hour - 1), (base + 5, base + 9), (base, base + 48 * hour), (base - 1, base)):
+        found = range_usage(rows, kept, since, until)
+        assert sorted(map(str, found.collect())) == sorted(map(str, usage(rows, since=since, until=until).select(found.columns).collect()))
+    ragged = range_usage(rows, kept, base + 17 * 60_000, base + 30 * hour + 43 * 60_000)._jdf.queryExecution().optimizedPlan().toString()
+    bounds = {int(x) for x in re.findall(r"ts_ms#\d+L [<>]= (\d+)", ragged)}
+    assert bounds == {base + 17 * 60_000, base + hour - 1, base + 30 * hour, base + 30 * hour + 43 * 60_000}
+
+
 def test_prices_run_nothing_while_a_plan_is_built(spark, data, tmp_path):
     from tallyforge.plans.catalog import price_list
     from tallyforge.schema import from_events
