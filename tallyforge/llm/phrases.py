@@ -12,8 +12,8 @@ union alone; a third pass counts. Each cuts texts with numpy where they lie and
 a task before they are shuffled. Mining shuffles 64-bit hashes of phrases; they serve only to rule
 phrases out, and a phrase that shares its hash with another can only be counted for nothing. Tasks
 know the union as a bitmap of 2^FILTER_BITS bits, a size that does not depend on the corpus; what
-passes is grouped and counted by the words themselves (within a slice of a
-few MB equal 64-bit hashes stand for equal phrases). A shard is no task: its phrases are dealt
+passes is grouped and counted by the words themselves (within a slice of one
+MB equal 64-bit hashes stand for equal phrases). A shard is no task: its phrases are dealt
 over the cluster by hash.
 
 Scores are exact in decimals of 38 digits: counts stay below 10^14.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ SHARDS = 5
 #: Bits of the second pass's filter: 16 MB.
 FILTER_BITS = 27
 #: Bytes of text cut together, and counts that a task holds before it passes them on.
-TOGETHER, HELD = 1 << 20, 1 << 20
+TOGETHER, HELD = 1 << 20, 1 << 19
 #: Rows that a task hands on at once.
 ROWS = 1 << 15
 UNKNOWN = "und"
@@ -157,19 +158,18 @@ class _Counts:
         self.parts, self.size = [], 0
 
 
-def _slices(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], np.ndarray]]:
     """Rows of batches in slices of bounded text: the rows, their texts, their languages' hashes."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        column = batch.column("text")
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         langs = batch.column("lang_hash").to_numpy(zero_copy_only=False).astype(np.uint64)
-        first = size = 0
-        for n, text in enumerate(texts):
-            if size and size + len(text or b"") > together:
-                yield batch.slice(first, n - first), texts[first:n], langs[first:n]
-                first, size = n, 0
-            size += len(text or b"")
-        if first < len(texts):
-            yield batch.slice(first), texts[first:], langs[first:]
+        first, before = 0, 0
+        while first < batch.num_rows:
+            # As many rows as fit, and at least one.
+            last = max(first + 1, int(np.searchsorted(sizes, before + TOGETHER, side="right")))
+            yield batch.slice(first, last - first), column.slice(first, last - first).cast(pa.binary()).to_pylist(), langs[first:last]
+            first, before = last, int(sizes[last - 1])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def counted(texts: DataFrame, union: bytes, support: int = SUPPORT, shards: int
             columns = [lang, pa.array(np.full(len(made), n, dtype=np.int32)), pa.array(made, pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))]
             return pa.record_batch(columns, names=["lang", "words", "phrase", "f"])
 
-        for part, own, langs in _slices(batches, 2 * TOGETHER):
+        for part, own, langs in _slices(batches):
             words, lang = cut(own), part.column("lang")
             yield rows(lang, 0, [None] * len(own), np.bincount(words.doc, minlength=len(own)))
             for n, (at, key) in enumerate(keys(words, langs), 1):
