@@ -289,3 +289,30 @@ def test_stream_context_outlives_batches_and_is_dropped(spark, tmp_path):
     put(files[2], count(13) + "\n", "a")
     found = run(ttl_ms=10**9)
     assert found[12] == ("g1", "s1") and found[13] == ("unknown", names[2])
+
+
+def test_changes_of_versions_over_batches(spark, tmp_path):
+    """Versions arrive in three batches, some of them late; a lost race comes back when the file that
+    won it goes on with an earlier time."""
+    from tallyforge.plans.stream_catalog import ROCKSDB
+    from tallyforge.schema import COUNTERS
+
+    schema = "provider string, message_id string, ts_ms long, " + ", ".join(f"{c} long" for c in COUNTERS) + ", model string, source_file string, ingest_seq long, line_no long"
+    batches = [
+        [("p", "a", 100, 1, 0, 0, 0, "m", "f1", 1, 1), ("p", "a", 200, 2, 0, 0, 0, "m", "f1", 1, 2), ("p", "b", 5, 7, 0, 0, 0, None, "f1", 1, 3), ("p", None, 5, 7, 0, 0, 0, None, "f1", 1, 4)],
+        [("p", "a", 300, 3, 0, 0, 0, "m", "f2", 1, 1), ("p", "a", 90, 9, 0, 0, 0, "m", "f1", 1, 1)],
+        [("p", "a", 150, 4, 0, 0, 0, "m", "f2", 1, 2), ("p", "b", 5, 7, 0, 0, 0, None, "f1", 1, 3)],
+    ]
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before, found = spark.conf.get(setting), []
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+            stream = live.stream_replaced(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), ttl_ms=None)
+            sink = lambda df, e: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{e}")
+            live.fan_out(stream, [sink], str(tmp_path / "ck"), availableNow=True).awaitTermination()
+            found.append(sorted(((r.message_id, r.input_tokens, r.old_input_tokens) for r in spark.read.parquet(f"{tmp_path}/out/{n}").collect()), key=str))
+    finally:
+        spark.conf.set(setting, before)
+    assert found == [[("a", 1, None), ("a", 2, 1), ("b", 7, None)], [("a", 3, 2)], [("a", 2, 3)]]
