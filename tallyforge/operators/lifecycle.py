@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.columns import token_array, total_tokens
@@ -88,9 +88,10 @@ def replicate(df: DataFrame, n: int, shift_days: int = 30, jitter_ms: int = HOUR
     return out.withColumns({"ts": ts, "event_date": utc_date(F.col("ts_ms"))}).drop("_k")
 
 
-def export_rows(df: DataFrame) -> DataFrame:
+def export_rows(df: DataFrame, *more: str) -> DataFrame:
     """Rows on the wire: bare id, counters as an array with their names, and the total."""
     return df.select(
+        *more,
         "ts_ms", "message_id", "model", "session_id", "project", "provider", token_array().alias("tokens"),
         F.array(*[F.lit(c) for c in COUNTERS]).alias("token_columns"), total_tokens(F.col("provider")).alias("usage_total"),
     )
@@ -101,6 +102,38 @@ def export_after(df: DataFrame, ts_ms: int, message_id: str, n: int = PAGE) -> D
     return export_rows(page_after(df, ts_ms, message_id, n))
 
 
+def export_pages(df: DataFrame, n: int = PAGE) -> DataFrame:
+    """A full export in one job: every row with its ``page`` (from 0), the pages that ``export_after``
+    gives one by one. Rows are numbered within their hour; hours start where the counts of the hours
+    before them end (a row for each hour), so no task sorts more than an hour."""
+    hour = F.col("ts_ms") - F.pmod("ts_ms", F.lit(HOUR_MS))
+    rows = df.withColumn("_hour", hour)
+    counts = rows.groupBy("_hour").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_hour").orderBy("ts_ms", "message_id")) - 1
+    paged = rows.withColumn("_at", place).join(starts, "_hour").withColumn("page", F.floor((F.col("_start") + F.col("_at")) / n).cast("long"))
+    return export_rows(paged, "page")
+
+
+def page_end(rollup: DataFrame, ts_ms: int, n: int) -> int | None:
+    """The last millisecond of the hour by which at least n events follow a cursor, from the rollup's
+    counts; None if fewer do. Only the cursor's own hour is not counted on."""
+    later = rollup.where(F.col("hour_ms") > ts_ms)
+    if "event_date" in rollup.columns:
+        later = later.where(F.col("event_date") >= utc_date(F.lit(ts_ms)))
+    hours = later.groupBy("hour_ms").agg(F.sum("event_count").alias("n"))
+    so_far = Window.orderBy("hour_ms").rowsBetween(Window.unboundedPreceding, 0)
+    found = hours.withColumn("so_far", F.sum("n").over(so_far)).where(F.col("so_far") >= n).agg(F.min("hour_ms").alias("hour")).first()
+    return None if found.hour is None else found.hour + HOUR_MS - 1
+
+
+def export_page(df: DataFrame, rollup: DataFrame, ts_ms: int, message_id: str, n: int = PAGE) -> DataFrame:
+    """``export_after`` that reads no further than the page: up to the hour that the rollup beside
+    the table names."""
+    return export_after(between_ms(df, ts_ms, page_end(rollup, ts_ms, n)), ts_ms, message_id, n)
+
+
 def cursor(page: DataFrame) -> tuple[int, str] | None:
     """The cursor after a page: one row, from an aggregation."""
     last = page.agg(F.max(F.struct("ts_ms", "message_id")).alias("c")).first()["c"]

@@ -222,6 +222,24 @@ def one_large_file(spark, sf_dir):
     return spec.parse(tail(spark, root, spec.file_pattern, spec.needles, split_bytes=1 << 16)).select(_COLUMNS[1:])
 
 
+_PAGE_SQL = "message_id, ts_ms, CASE WHEN provider = 'codex' THEN input_tokens + output_tokens ELSE input_tokens + output_tokens + cache_creation_input_tokens + cache_read_input_tokens END AS usage_total"
+
+
+@registered(f"{_PAGE_SQL}, (row_number() OVER (ORDER BY ts_ms, message_id) - 1) // 100 AS page FROM u")
+def export_all_pages(spark, sf_dir):
+    return lifecycle.export_pages(_events(spark, sf_dir), 100).select("message_id", "ts_ms", "usage_total", "page")
+
+
+@registered(f"{_PAGE_SQL} FROM u WHERE (ts_ms, message_id) > ({catalog.SINCE_MS}, '') ORDER BY ts_ms, message_id LIMIT 100")
+def export_page_early(spark, sf_dir):
+    """A page that ends where the rollup beside the table says that it is full."""
+    path = new_path(spark, "table")
+    ingest.write_events(_events(spark, sf_dir), path)
+    ingest.keep_rollup(spark, path)
+    page = lifecycle.export_page(ingest.read_events(spark, path), ingest.read_rollup(spark, path), catalog.SINCE_MS, "", 100)
+    return page.select("message_id", "ts_ms", "usage_total")
+
+
 # Streams of files, and sinks
 
 

@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     holder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not holder.isDefined():
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         holder = spark.sparkContext._jsc.sc().getCheckpointDir()

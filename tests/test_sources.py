@@ -1,6 +1,6 @@
 import json
 import re
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -249,6 +249,34 @@ def test_rollup_is_kept_and_answers_ranges(spark, data, tmp_path):
     assert bounds == {base + 17 * 60_000, base + hour - 1, base + 30 * hour, base + 30 * hour + 43 * 60_000}
 
 
+def test_pages(spark, data, tmp_path):
+    """All pages at once equal the pages one by one, rows of one time included; a page by the rollup
+    reads one or two days."""
+    from tallyforge.operators.lifecycle import cursor, export_after, export_page, export_pages
+    from tallyforge.schema import complete, from_events
+
+    u = from_events(spark.read.parquet(f"{data}/events.parquet"))
+    u = complete(u.withColumn("ts_ms", F.col("ts_ms") - F.pmod("ts_ms", F.lit(1_200_000))).drop("event_key"))  # many equal times
+    table = str(tmp_path / "t")
+    ingest.write_events(u, table)
+    ingest.keep_rollup(spark, table)
+    rows, rollup, at, number = ingest.read_events(spark, table), ingest.read_rollup(spark, table), (0, ""), 0
+    pages = {}
+    for r in export_pages(rows, 170).collect():
+        pages.setdefault(r.page, []).append((r.ts_ms, r.message_id))
+    while at is not None:
+        one = export_after(rows, *at, 170)
+        early = export_page(rows, rollup, *at, 170)
+        mine = [(r.ts_ms, r.message_id) for r in early.collect()]
+        assert mine == [(r.ts_ms, r.message_id) for r in one.collect()] == sorted(pages.get(number, []))
+        at, number = cursor(one), number + 1
+    assert number > 5
+    first = rows.agg(F.min("ts_ms")).first()[0]
+    plan = export_page(rows, rollup, first, "", 30)._jdf.queryExecution().executedPlan().toString()
+    days = {date.fromisoformat(x) for x in re.findall(r"event_date#\d+ [<>]= ([\d-]+)", plan)}
+    assert days and (max(days) - min(days)).days <= 1 and "event_date#" in plan and plan.count("<= ") >= 2
+
+
 def test_prices_run_nothing_while_a_plan_is_built(spark, data, tmp_path):
     from tallyforge.plans.catalog import price_list
     from tallyforge.schema import from_events
