@@ -3,9 +3,10 @@
 A page's markup is scanned once into lines: the visible text blocks in page order. Pages
 are paired with the page of nearest URL path within their host, the two pages' lines are
 aligned by longest common subsequence, and lines that both share are template text and are
-deleted. A pair that shares most of its text may be copies, or pages of a long template, so
-the walk goes on past a run of such pages, whatever its length, to the page that shares less;
-only a pair that leaves one page nearly nothing of its own is taken as copies and shows nothing.
+deleted. Neighbours that share most of their text may be copies, or pages of a long template:
+they form a run, and every page of a run is compared with the pages before and after the run,
+whatever its length (where the run is the whole host, with the run's first and last page).
+Only a pair that leaves one page nearly nothing of its own is taken as copies and shows nothing.
 
 An exact check follows, by the element that a line stands in. Lines in elements that are
 never article text (menus, headers, footers, sidebars, notices, adverts, forms, reader
@@ -13,42 +14,40 @@ comments, by tag, role, class or id) go also where they differ between the pages
 page marks its article (or main) element, and this holds most of the other text, the lines inside it stay, shared ones too (two
 articles that quote one passage), and lines outside go. Elsewhere differencing decides.
 
-Pages are grouped by host. Hosts of more than BLOCK pages or BLOCK_BYTES of html are cut into
-ranges of about that size in the order of path and page_id, so that nearest URLs stay together, and a
-host, a folder or a URL with a third of all pages is spread over many tasks. A block also
-sees, without giving rows for them, the NEAR pages next to it on each side, the first page
-of blocks 2, 4, 8, ... further on and back, and the first and last pages of the host, so
-that no page is alone unless its host has one page and a run of copies that fills blocks is
-walked past. Only the blocks' limits are gathered at the driver: three keys for each block of a
-large host, some 300 bytes for each 32 MB of html or 1,024 pages (3 GB of limits, the most that a
-large driver should be given, stand for ten billion pages).
+Rows that are alike in url and html are one class. Classes are differenced by hashes of their
+lines (64 bits; two of a pair's lines that differ are taken as alike once in 10^19), sorted by host, path and class into ranges
+that Spark cuts. Runs that end within a range are decided there. A run at a range's edge, or one
+too long to be held, leaves its first and last page and those next to it; windows over rows
+without lines tell which of these continue each other, and the run's pages meet the pages
+before and after it in a join. So no text depends on where ranges end, a host, a
+folder or a URL with a third of all pages is spread over many tasks, and nothing is gathered at the driver.
 
 Defined cases: null or empty html gives the empty text; null urls count as one host; a
-page alone on its host has no lines deleted as shared; repeated rows stay, and as copies
-of one another do not delete their text; null ids pass through; an empty table gives no
-rows; further columns are not read.
+page alone on its host has no lines deleted as shared; repeated rows stay and have one
+text; null ids pass through; pages without a line outside menus and the like have no text and
+stand in no pair; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import saved, table
+from tallyforge.llm.common import HOT_KEYS, HOT_ROWS, saved, table
 
-#: Pages, and bytes of their html, from which a block ends.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
-#: Names of large hosts that are broadcast at most.
-BROADCAST_HOSTS = 500_000
-#: Pages next to a block, on each side, that it sees.
-NEAR = 3
-#: Share of the shorter page's characters from which a page further on is compared too.
+#: Lines of a run that a task holds; a longer one is decided after the ranges.
+HELD_LINES = 1 << 20
+#: Rows taken out of Arrow at once.
+SLICE = 256
+#: Share of the shorter page's characters from which neighbours are one run.
 COPY = 0.8
 #: Characters of its own that a copy has at most (a date, a counter).
 OWN = 40
@@ -234,54 +233,90 @@ def _shared_prefix(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def difference(rows: list[tuple[str, list[str], list[int]]]) -> list[set[int]]:
-    """For each (path, lines, zones) the places of lines that its nearest page, not a copy,
-    shares. Whether a pair are copies is judged without the lines that are never article text.
-
-    On each side a page is compared with its neighbour and, where these share most text, with
-    the neighbour's own partner, which lies past the run of copies that both are in; the one
-    that shares less is the page's partner. So a run costs two comparisons a page."""
-    order = sorted((i for i in range(len(rows)) if rows[i][1]), key=lambda i: rows[i][0])
-    place = {i: at for at, i in enumerate(order)}
-    out: list[set[int]] = [set() for _ in rows]
-    weights = [[0 if zone == BOILER else len(line) for line, zone in zip(lines, zones)] for _, lines, zones in rows]
-    totals = [sum(w) for w in weights]
-
-    def compare(i: int, k: int) -> tuple[float, bool, int, list[int]]:
-        """Share of the shorter page, whether the two are copies, the other page, places in i."""
-        same = common(rows[i][1], rows[k][1])
-        shared, least = sum(weights[i][n] for n in same), min(totals[i], totals[k])
-        share = shared / max(1, least)
-        return share, share >= COPY and least - shared <= OWN, k, same
-
-    def walk(order: list[int]) -> dict[int, tuple | None]:
-        found: dict[int, tuple | None] = {}
-        before = None
-        for i in order:
-            best = None
-            if before is not None and rows[i][1:] == rows[before][1:]:
-                best = found[before]
-            elif before is not None:
-                best, past = compare(i, before), found[before]
-                if best[0] >= COPY and past:
-                    best = min(best, compare(i, past[2]), key=lambda x: x[0])
-            found[i] = best
-            before = i
-        return found
-
-    left, right = walk(order), walk(order[::-1])
-    for at, i in enumerate(order):
-        sides = [x for x in (left[i], right[i]) if x]
-        if not sides:
+class Page(NamedTuple):
+    """A page as differencing sees it: lines are their hashes, a weight is a line's characters,
+    0 for a line that is never article text."""
+
+    path: str
+    lines: list
+    weights: list[int]
+
+
+def compare(page: Page, other: Page) -> tuple[float, bool, list[int]]:
+    """Share of the shorter page that both have, whether the two are copies, the places in ``page``."""
+    same = common(page.lines, other.lines)
+    shared, least = sum(page.weights[n] for n in same), min(sum(page.weights), sum(other.weights))
+    share = shared / max(1, least)
+    return share, share >= COPY and least - shared <= OWN, same
+
+
+def shared_lines(page: Page, before: Page | None, after: Page | None) -> list[int]:
+    """Places of the lines that a page shares with that of the two pages around its run which
+    shares less than COPY, or else least, and has the nearer URL. A side equal to the page says nothing."""
+    sides = [(x, *compare(page, x)) for x in (before, after) if x and x[1:] != page[1:]]
+    if not sides:
+        return []
+    _, _, copy, same = min(sides, key=lambda x: (x[1] if x[1] >= COPY else 0, -_shared_prefix(page.path, x[0].path)))
+    if not copy:
+        return same
+    if len(sides) == 2 and sides[0][2] and sides[1][2] and not compare(before, after)[1]:
+        # Two different pages hold all of this one, or it holds both: only what all three share.
+        return sorted(set(sides[0][3]) & set(sides[1][3]))
+    return []
+
+
+class Ends(NamedTuple):
+    """What is known in a range about a run that is not decided there."""
+
+    number: int
+    host: str
+    at_start: bool
+    at_end: bool
+    pages: dict[str, Page]
+
+
+def _scan(rows: Iterable[tuple], first_number: int, most_held: int = HELD_LINES) -> Iterator[tuple]:
+    """Sorted rows (key, host, page) of one range: ("done", key, places), ("open", key, page,
+    number of the run) or ("ends", Ends)."""
+    run: list[tuple] = []
+    held = number = 0
+    first: Page | None = None
+    last = left = host = None
+    at_start = opened = False
+
+    def close(right: Page | None, at_end: bool) -> Iterator[tuple]:
+        if opened or at_end:
+            for key, page in run:
+                yield "open", key, page, first_number + number
+            known = {"first": first, "last": last, "left": left, "right": right}
+            yield "ends", Ends(first_number + number, host, at_start, at_end, {k: x for k, x in known.items() if x})
+        else:
+            sides = (left, right) if left or right else (first, last)
+            for key, page in run:
+                yield "done", key, shared_lines(page, *sides)
+
+    for key, its_host, page in rows:
+        if not any(page.weights):
+            yield "done", key, []
             continue
-        path = rows[i][0]
-        _, copy, _, same = min(sides, key=lambda x: (x[0] if x[0] >= COPY else 0, -_shared_prefix(path, rows[x[2]][0]), abs(place[x[2]] - at), x[2]))
-        if not copy:
-            out[i] = set(same)
-        elif len(sides) == 2 and left[i][1] and right[i][1] and not compare(left[i][2], right[i][2])[1]:
-            # Two different pages hold all of this one, or it holds both: only what all three share.
-            out[i] = set(left[i][3]) & set(right[i][3])
-    return out
+        new_host = last is not None and its_host != host
+        if last is None or new_host or compare(page, last)[0] < COPY:
+            if last is not None:
+                yield from close(None if new_host else page, False)
+                number += 1
+            left = None if new_host else last
+            at_start = opened = last is None
+            run, held, first, host = [], 0, page, its_host
+        last = page
+        run.append((key, page))
+        held += len(page.lines)
+        if opened or held > most_held:
+            opened = True
+            for its_key, its_page in run:
+                yield "open", its_key, its_page, first_number + number
+            run = []
+    if last is not None:
+        yield from close(None, True)
 
 
 def article(lines: list[str], zones: list[int], marked: bool, shared: set[int]) -> str:
@@ -289,145 +324,175 @@ def article(lines: list[str], zones: list[int], marked: bool, shared: set[int])
     return "\n\n".join(x for n, (x, zone) in enumerate(zip(lines, zones)) if (zone == MAIN if marked else zone == UNMARKED and n not in shared))
 
 
-PARSED = "host string, folder string, part long, page_id long, url string, path string, lines array<string>, zones binary, marked boolean, own boolean"
-#: The order of a host's pages; equal keys are rows that are alike.
-KEY = ("host", "path", "order_id", "order_tie")
-
-
-class Ranges:
-    """The blocks of large hosts: from the keys that start them, and those of their edges."""
-
-    def __init__(self, limits: list):
-        """``limits`` has (key, key of the first page past the head, key of the tail's first page) by block."""
-        limits = sorted(limits, key=lambda x: x[0])
-        self.starts, self.heads, self.tails = ([x[c] for x in limits] for c in range(3))
-        self.hosts: dict[str, tuple[int, int]] = {}
-        for k, (host, *_) in enumerate(self.starts):
-            self.hosts[host] = (self.hosts.get(host, (k, k))[0], k)
-
-    def block(self, key: tuple) -> int:
-        return bisect_right(self.starts, key) - 1 if key[0] in self.hosts else -1
-
-    def seen_by(self, key: tuple, block: int) -> set[int]:
-        """The other blocks that see the page."""
-        if block < 0:
-            return set()
-        first, last = self.hosts[key[0]]
-        found: set[int] = set()
-        if key == self.starts[block]:
-            found.update(block + way * 2**k for way in (-1, 1) for k in range((last - first).bit_length()))
-            if block == first:
-                found.update(range(first, last + 1))
-        if self.heads[block] is None or key < self.heads[block]:
-            found.add(block - 1)
-        if key >= self.tails[block]:
-            found.add(block + 1)
-            if block == last:
-                found.update(range(first, last + 1))
-        return {k for k in found if first <= k <= last and k != block}
-
-
-def _limits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Limits of blocks over sorted keys: rows start, head, tail, each a key as a list."""
-    held = 0
-    made: list[tuple] = []
-    block: list[tuple] = []
-    columns = pa.struct([("host", pa.string()), ("path", pa.string()), ("order_id", pa.int64()), ("order_tie", pa.int64())])
-
-    def close() -> None:
-        if block:
-            made.append((block[0], block[NEAR] if len(block) > NEAR else None, block[max(0, len(block) - NEAR)]))
-            block.clear()
+_LINES = [("lines", pa.list_(pa.int64())), ("weights", pa.list_(pa.int32()))]
+_SIGNED = "k1 long, k2 long, host string, path string, lines array<long>, weights array<int>"
+_SIGNED_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("path", pa.string()), *_LINES])
+_SCANNED = "k1 long, k2 long, places array<int>, run long, side string, host string, at_start boolean, at_end boolean, path string, lines array<long>, weights array<int>"
+_SCANNED_ARROW = pa.schema(
+    [("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.list_(pa.int32())), ("run", pa.int64()), ("side", pa.string()), ("host", pa.string()),
+     ("at_start", pa.bool_()), ("at_end", pa.bool_()), ("path", pa.string()), *_LINES]
+)
+_PLACES = "k1 long, k2 long, places array<int>"
+_PLACES_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.list_(pa.int32()))])
+_TEXTS = "page_id long, url string, text string, n_shared long"
+_LINED = "page_id long, url string, k1 long, k2 long, lines array<string>, at array<int>"
+_LINED_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("lines", pa.list_(pa.string())), ("at", pa.list_(pa.int32()))])
 
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for *key, n_bytes in zip(*(batch.column(c).to_pylist() for c in (*KEY, "n_bytes"))):
-            key = tuple(key)
-            if block and (key[0] != block[0][0] or (len(block) >= size or held >= BLOCK_BYTES) and key != block[-1]):
-                close()
-                held = 0
-            held += n_bytes
-            # Of rows that are alike only one counts: no limit can lie between them.
-            if not block or key != block[-1]:
-                block.append(key)
-    close()
-    if made:
-        yield pa.record_batch([pa.array([x and dict(zip(KEY, x)) for x in column], columns) for column in zip(*made)], names=["start", "head", "tail"])
+        for start in range(0, batch.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns))
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == SLICE:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _mapped(df: DataFrame, function, spark_schema: str, schema: pa.Schema) -> DataFrame:
+    """Rows that ``function`` makes of an iterator of rows, a slice at a time."""
+    return df.mapInArrow(lambda batches: _batches(function(_rows(batches)), schema), spark_schema)
 
 
 def _keyed(web: DataFrame) -> DataFrame:
-    place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    return web.select(
-        F.col("page_id").cast("long"), "url", F.lower(F.substring_index(place, "/", 1)).alias("host"), place.alias("path"), "html",
-        F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("order_id"), F.xxhash64("url", "html").alias("order_tie"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("n_bytes"),
-    )
+    content = (F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    return web.select(F.col("page_id").cast("long"), "url", "html", F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(1), *content).alias("k2"))
 
 
-def ranges(web: DataFrame, size: int = BLOCK) -> Ranges:
-    """The blocks that the large hosts of ``web`` are cut into."""
-    rows = _keyed(web)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    hosts = saved(hosts.where((F.col("n") > size) | (F.col("bytes") > BLOCK_BYTES)).select("host"), "pages-hosts")
-    # Large hosts are few: one for each ``size`` pages at most. Beyond the bound their list is
-    # joined by shuffle, where adaptive execution splits a hot host's keys.
-    few = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    keys = rows.select(*KEY, "n_bytes").join(few, "host", "left_semi").select(*KEY, "n_bytes")
-    key = "struct<host: string, path: string, order_id: bigint, order_tie: bigint>"
+def _signed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for k1, k2, host, path, html in rows:
+        lines, zones, _ = blocks(html or "")
+        hashes = [xxhash.xxh3_64_intdigest(x) - 2**63 for x in lines]
+        yield k1, k2, host, path, hashes, [0 if zone == BOILER else len(x) for x, zone in zip(lines, zones)]
+
 
-    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _limits(batches, size)
+def classes(web: DataFrame) -> DataFrame:
+    """One row (k1, k2, host, path, lines, weights, n) for each url and html, lines as hashes."""
+    place = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
+    rows = _keyed(web).select("k1", "k2", F.lower(F.substring_index(place, "/", 1)).alias("host"), place.alias("path"), "html")
+    signed = _mapped(rows, _signed, _SIGNED, _SIGNED_ARROW)
+    firsts = (F.first(c).alias(c) for c in ("host", "path", "lines", "weights"))
+    return saved(signed.groupBy("k1", "k2").agg(*firsts, F.count("*").alias("n")), "pages-classes")
+
+
+def _scanned(rows: Iterator[tuple], most_held: int) -> Iterator[tuple]:
+    number = TaskContext.get().partitionId() << 32
+    pages = (((k1, k2), host, Page(path, lines, weights)) for host, path, k1, k2, lines, weights in rows)
+    for kind, *found in _scan(pages, number, most_held):
+        if kind == "done":
+            yield *found[0], found[1], None, None, None, None, None, None, None, None
+        elif kind == "open":
+            yield *found[0], None, found[2], None, None, None, None, *found[1]
+        else:
+            (ends,) = found
+            for side, page in ends.pages.items():
+                yield None, None, None, ends.number, side, ends.host, ends.at_start, ends.at_end, *page
+
+
+def _continues(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for run, path, lines, weights, *other in rows:
+        yield run, compare(Page(path, lines, weights), Page(*other))[0] >= COPY
+
+
+def _partners(ends: DataFrame) -> DataFrame:
+    """(run, before, after): the pages around the run of each open run's row, from the ends of all ranges."""
+    page = F.struct("path", "lines", "weights")
+    parts = ends.groupBy("run").agg(*(F.first(c).alias(c) for c in ("host", "at_start", "at_end")), F.max(F.col("side") == "left").alias("has_left"), F.max(F.col("side") == "right").alias("has_right"))
+    along = Window.partitionBy("host").orderBy("run")
+    back = Window.partitionBy("host").orderBy(F.desc("run"))
+    # A range's last run and the next range's first one meet, if they are of one host.
+    parts = parts.withColumn("prior", F.when(F.col("at_start") & F.lag("at_end").over(along), F.lag("run").over(along)))
+    parts = saved(parts, "pages-parts")
+    lasts = ends.where("side = 'last'").select(F.col("run").alias("prior"), *(F.col(c).alias(f"last_{c}") for c in ("path", "lines", "weights")))
+    edges = parts.where("prior is not null").select("run", "prior").join(ends.where("side = 'first'").select("run", "path", "lines", "weights"), "run").join(lasts, "prior").drop("prior")
+    joined = _mapped(edges, _continues, "run long, goes_on boolean", pa.schema([("run", pa.int64()), ("goes_on", pa.bool_())]))
+    parts = parts.join(joined, "run", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+
+    def ref(run, side: str):
+        return F.concat_ws(":", run, F.lit(side))
+
+    following = F.lead("run").over(along)
+    parts = parts.select(
+        "host", "run", "goes_on", F.lead("goes_on", 1, False).over(along).alias("goes_further"),
+        F.when(F.col("has_left"), ref(F.col("run"), "left")).when(F.col("prior").isNotNull(), ref(F.col("prior"), "last")).alias("left"),
+        F.when(F.col("has_right"), ref(F.col("run"), "right")).when(F.lead("prior").over(along).isNotNull(), ref(following, "first")).alias("right"),
+    )
+    head = F.when(~F.col("goes_on"), F.struct("left", ref(F.col("run"), "first").alias("first")))
+    tail = F.when(~F.col("goes_further"), F.struct("right", ref(F.col("run"), "last").alias("last")))
+    parts = parts.select("run", F.last(head, True).over(along).alias("head"), F.last(tail, True).over(back).alias("tail"))
+    whole = F.col("head.left").isNull() & F.col("tail.right").isNull()
+    parts = parts.select("run", F.when(whole, F.col("head.first")).otherwise(F.col("head.left")).alias("a"), F.when(whole, F.col("tail.last")).otherwise(F.col("tail.right")).alias("b"))
+    named = ends.select(F.concat_ws(":", "run", "side").alias("ref"), page.alias("page"))
+    for ref_name, name in (("a", "before"), ("b", "after")):
+        parts = parts.join(named.withColumnsRenamed({"ref": ref_name, "page": name}), ref_name, "left").drop(ref_name)
+    return parts
 
-    # Each range of the shuffle ends a block; a short one sees its neighbours.
-    found = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(limits, f"start {key}, head {key}, tail {key}")
-    return Ranges([tuple(x and tuple(x) for x in row) for row in found.collect()])
 
+def _decided(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for k1, k2, path, lines, weights, before, after in rows:
+        sides = (x and Page(x["path"], x["lines"], x["weights"]) for x in (before, after))
+        yield k1, k2, shared_lines(Page(path, lines, weights), *sides)
 
-def _placed(cuts: Ranges):
-    """Rows of ``_keyed`` with their block, and copies for the other blocks that see them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, parts, own = [], [], []
-            for n, key in enumerate(zip(*(batch.column(c).to_pylist() for c in KEY))):
-                block = cuts.block(key)
-                seen = sorted(cuts.seen_by(key, block))
-                take += [n] * (1 + len(seen))
-                parts += [block, *seen]
-                own += [True, *[False] * len(seen)]
-            found = [blocks(source or "") for source in batch.column("html").to_pylist()]
-            lines = pa.array([x[0] for x in found], pa.list_(pa.string()))
-            zones, marked = pa.array([bytes(x[1]) for x in found], pa.binary()), pa.array([x[2] for x in found], pa.bool_())
-            at = pa.array(take, pa.int64())
-            columns = [batch.column("host").take(at), pa.array([""] * len(take), pa.string()), pa.array(parts, pa.int64())]
-            columns += [x.take(at) for x in (batch.column("page_id"), batch.column("url"), batch.column("path"), lines, zones, marked)]
-            yield pa.record_batch([*columns, pa.array(own, pa.bool_())], names=[f.split()[0] for f in PARSED.split(", ")])
+def differences(found: DataFrame, n_ranges: int | None = None, most_held: int = HELD_LINES) -> DataFrame:
+    """(k1, k2, places): the lines that each of ``classes`` shares with its nearest page. The rows
+    depend neither on the number of ranges nor on how many lines of a run a task holds."""
+    keys = ("host", "path", "k1", "k2")
+    ranged = found.repartitionByRange(n_ranges, *keys) if n_ranges else found.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys).select(*keys, "lines", "weights")
+    scanned = saved(_mapped(ordered, lambda rows: _scanned(rows, most_held), _SCANNED, _SCANNED_ARROW), "pages-scanned")
+    partners = _partners(scanned.where("side is not null"))
+    undecided = scanned.where("run is not null and side is null").select("run", "k1", "k2", "path", "lines", "weights")
+    late = _mapped(undecided.join(partners, "run").drop("run"), _decided, _PLACES, _PLACES_ARROW)
+    return scanned.where("run is null").select("k1", "k2", "places").unionByName(late)
 
-    return run
 
+def _lined(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The lines that may be article text, each with its place if differencing decides about it, else -1."""
+    for page_id, url, html, k1, k2 in rows:
+        lines, zones, marked = blocks(html or "")
+        wanted = MAIN if marked else UNMARKED
+        at = [n for n, zone in enumerate(zones) if zone == wanted]
+        yield page_id, url, k1, k2, [lines[n] for n in at], [-1] * len(at) if marked else at
 
-def _differenced(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("path", "ascending"), ("page_id", "ascending")])
-    paths, lines, zones, marked, own = (rows.column(c).to_pylist() for c in ("path", "lines", "zones", "marked", "own"))
-    pages = list(zip(paths, lines, map(list, zones)))
-    texts = [article(mine, at, sure, shared) for (_, mine, at), sure, shared in zip(pages, marked, difference(pages))]
-    made = pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-    return made.filter(pa.array(own, pa.bool_()))
 
+def _texts(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for page_id, url, lines, at, places in rows:
+        shared = set(places)
+        yield page_id, url, "\n\n".join(x for x, n in zip(lines, at) if n not in shared), len(shared)
 
-def parsed(web: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The lines of every page, in its block (``own``) and in those that see it."""
-    return _keyed(web).mapInArrow(_placed(ranges(web, size)), PARSED)
 
+_TEXTS_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64())])
 
-def blocked(web: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The pages of ``web`` with the (host, folder, part) in which they are paired."""
-    return parsed(web, size).where("own").drop("own")
 
+def main_texts(web: DataFrame, n_ranges: int | None = None, most_held: int = HELD_LINES) -> DataFrame:
+    """(page_id, url, text, n_shared) of every row (page_id, url, html); ``n_shared`` counts the
+    lines that the page shares with its nearest page, whatever the structure says of them.
 
-def main_texts(web: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(page_id, url, text) of every row (page_id, url, html)."""
-    return parsed(web, size).groupBy("host", "folder", "part").applyInArrow(_differenced, "page_id long, url string, text string")
+    Rows meet their class's places by shuffle, those of hot classes (at most HOT_KEYS exist) where they are."""
+    found = classes(web)
+    places = differences(found, n_ranges, most_held)
+    rows = _keyed(web)
+    most = max(HOT_ROWS, (found.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = found.where(F.col("n") > most).select("k1", "k2")
+    keys = ["k1", "k2"]
+    if hot.isEmpty():
+        met = _mapped(rows, _lined, _LINED, _LINED_ARROW).join(places, keys)
+    else:
+        few = F.broadcast(saved(places.join(F.broadcast(hot), keys, "left_semi"), "pages-hot"))
+        there = _mapped(rows.join(F.broadcast(hot), keys, "left_semi").select(*rows.columns), _lined, _LINED, _LINED_ARROW).join(few, keys)
+        rest = _mapped(rows.join(F.broadcast(hot), keys, "left_anti").select(*rows.columns), _lined, _LINED, _LINED_ARROW).join(places, keys)
+        met = there.unionByName(rest)
+    return _mapped(met.select("page_id", "url", "lines", "at", "places"), _texts, _TEXTS, _TEXTS_ARROW)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_texts(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
