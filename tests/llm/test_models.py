@@ -18,6 +18,58 @@ def test_held_out_language_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in tested) >= 0.97 * len(tested)
 
 
+def slow_language(model, text):
+    """Family, then votes of the pairs within it, from counts of byte pairs and triples in a dict."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b" "
+    found = {}
+    for i in range(len(data) - 1):
+        pair = data[i] * 257 + data[i + 1]
+        hashed = [pair] + ([(pair * 65599 + data[i + 2] + 0x51ED270B) % 2**32] if i + 2 < len(data) else [])
+        for x in hashed:
+            bucket = x * 0x9E3779B1 % 2**32 >> 32 - language.BITS
+            found[bucket] = found.get(bucket, 0) + 1
+    length = sum(c * c for c in found.values()) ** 0.5
+    margins = [sum(float(w[b]) * c for b, c in found.items()) / length for w in model.weights]
+    families = sorted({language.family(x) for x in model.langs})
+    n, score = (len(families), 1.0) if len(families) > 1 else (0, 1.0)
+    chosen = families[0]
+    if n:
+        chosen = max(range(n), key=lambda k: (margins[k], -k))
+        rest = max(m for k, m in enumerate(margins[:n]) if k != chosen)
+        score, chosen = 1 / (1 + math.exp(-2 * (margins[chosen] - rest))), families[chosen]
+    members = [x for x in model.langs if language.family(x) == chosen]
+    ranked = []
+    for lang in members:
+        own = [m if a == lang else -m for (a, b), m in zip(model.pairs, margins[n:]) if lang in (a, b)]
+        ranked.append((sum(m > 0 for m in own), sum(own), lang))
+    votes, margin, best = max(ranked)
+    return best, score / (1 + math.exp(-4 * margin / (len(members) - 1))) if len(members) > 1 else score
+
+
+def test_language_predictions_equal_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = language.predict(docs, model).collect()
+    assert len(model.families) > 1 and model.pairs and len(rows) == len(texts)
+    for r in rows:
+        lang, score = slow_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_language_votes_margins_and_ties():
+    """Three languages of one family with given weights: votes decide, then margins, then names."""
+    model = language.Model([(x, np.array([], dtype="<u2"), np.array([], dtype="<u4")) for x in ("de", "en", "nl")])
+    assert model.pairs == [("de", "en"), ("de", "nl"), ("en", "nl")] and model.families == ["germanic"]
+    bucket = int(np.argmax(language.counts("a")))
+    for margins, best in (((1, 1, 1), "de"), ((-1, 5, 1), "en"), ((2, -1, 1), "de"), ((1, -2, 1), "nl"), ((1, -1, 1), "nl"), ((0, 0, 0), "nl"), ((-1, -1, 1), "en")):
+        model.weights = np.zeros((3, 1 << language.BITS), dtype=np.float32)
+        model.weights[:, bucket] = margins
+        assert model.predict("a")[0] == slow_language(model, "a")[0] == best, margins
+
+
 def test_language_odd_rows(spark):
     texts = {"en": "the cat and the dog with other things", "de": "der hund und die katze nicht ein schön", "fr": "le chat et les chiens avec une été", "xx": "zzqq qqzz zqzq"}
     rows = [(i * 4 + k, texts[x], x, 1.0) for i in range(12) for k, x in enumerate(texts)]
