@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import new_path, spread_join, table
+from tallyforge.llm.common import new_path, saved, spread_join, table
 from tallyforge.llm.packing import shifted
 from tallyforge.llm.tokens import WORD_BPE, encoder, tokenizer_path
 from tallyforge.scratch import remove
@@ -210,7 +210,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     if bad:
         raise ValueError(f"recipes do not give the manifest's roots in parts {bad} of {folder}")
     recipes, manifest = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/manifest")
-    stored = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "payload").mapInArrow(_checked, "chunk_id binary, n long, crc long")
+    # Written, so that each stored chunk is read and hashed once, hot chunks or not.
+    chunks = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "payload")
+    stored = saved(chunks.mapInArrow(_checked, "chunk_id binary, n long, crc long"), "store-checked")
     found = spread_join(_references(recipes), stored, "chunk_id", "store-chunks", "inner")
     whole = found.groupBy("part", "row").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("chunks"))
     sums = whole.mapInArrow(_combined, "part int, row int, n long, crc long")
