@@ -6,6 +6,7 @@ that grew; files that grow are followed by ``sources.tail``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -151,54 +152,96 @@ _KINDS = {"model": "string", "source_file": "string"}
 CHANGES = "provider string, message_id string, " + ", ".join(f"{p}{c} {_KINDS.get(c, 'long')}" for p in ("", "old_") for c in VERSION)
 
 
+#: Groups that messages are dealt to: Python is asked once for each group of a batch.
+GROUPS = 1 << 14
+_NAMES = ("provider", "message_id", *VERSION)
+_TS, _FILE, _SEQ, _LINE = (_NAMES.index(c) for c in ("ts_ms", "source_file", "ingest_seq", "line_no"))
+#: Versions in one value of the state.
+_TOGETHER = 10_000
+
+
+def _plain(frame: pd.DataFrame) -> list[tuple]:
+    """Rows as tuples of plain values; pandas holds whole numbers beside nulls as floats."""
+    columns = []
+    for name in _NAMES:
+        values = frame[name].tolist()
+        if frame[name].dtype.kind == "f":
+            values = [None if v != v else int(v) for v in values]
+        columns.append([None if v is pd.NA else v for v in values])
+    return list(zip(*columns))
+
+
 class Versions(StatefulProcessor):
     """The last version of a message in each file, for a day: which version counts, and when one
-    takes the place of another. Versions are ranked as ``dedup.latest`` ranks them."""
+    takes the place of another. Versions are ranked as ``dedup.latest`` ranks them.
+
+    A group of messages is one key. Its state is a list of JSON texts, each with the versions that a
+    batch added; a version that is no longer its file's last is passed over when they are read."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = ", ".join(f"{c} {_KINDS.get(c, 'long')}" for c in VERSION if c != "source_file")
-        self.files = handle.getMapState("files", "source_file string", value, self.ttl_ms)
+        self.added = handle.getListState("versions", "rows string", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c for c in VERSION if c != "source_file"]
-        # Rows are dicts of plain values; a message has few versions in a batch, in few files.
-        new = sorted((r for frame in rows for r in frame.astype(object).to_dict("records")), key=lambda r: (r["ingest_seq"], r["source_file"], r["line_no"]))
-        held = {f[0]: dict(zip(names, v)) | {"source_file": f[0]} for f, v in self.files.iterator()}
-        rank = lambda r: (r["ingest_seq"], r["ts_ms"], r["source_file"])
-        out, touched = [], set()
+        held: dict[tuple, dict[str, tuple]] = {}
+        stored = 0
+        for (text,) in self.added.get():
+            for row in json.loads(text):
+                files = held.setdefault((row[0], row[1]), {})
+                own = files.get(row[_FILE])
+                if own is None or (own[_SEQ], own[_LINE]) < (row[_SEQ], row[_LINE]):
+                    files[row[_FILE]] = tuple(row)
+                stored += 1
+        rank = lambda r: (r[_SEQ], r[_TS], r[_FILE])
+        best = {message: max(files.values(), key=rank) for message, files in held.items()}
+        new = sorted((r for frame in rows for r in _plain(frame)), key=lambda r: (r[_SEQ], r[_FILE], r[_LINE]))
+        out, none, kept = [], (None,) * len(VERSION), {}
         for row in new:
-            before, own = max(held.values(), key=rank, default=None), held.get(row["source_file"])
-            if own is not None and (own["ingest_seq"], own["line_no"]) >= (row["ingest_seq"], row["line_no"]):
+            message, file = row[:2], row[_FILE]
+            files, before = held.setdefault(message, {}), best.get(message)
+            own = files.get(file)
+            if own is not None and (own[_SEQ], own[_LINE]) >= (row[_SEQ], row[_LINE]):
                 continue  # seen, or older than what is known of its file
-            held[row["source_file"]] = {c: row[c] for c in VERSION}
-            touched.add(row["source_file"])
-            now = max(held.values(), key=rank)
-            if before is None or now != before:
-                out.append((*key, *[now[c] for c in VERSION], *[before[c] if before else None for c in VERSION]))
-        for file in touched:
-            self.files.updateValue((file,), tuple(None if held[file][c] is None else held[file][c] for c in names))
-        if out:
-            columns = ["provider", "message_id", *VERSION, *[f"old_{c}" for c in VERSION]]
-            yield pd.DataFrame(out, columns=columns, dtype=object)
+            files[file] = kept[message, file] = row
+            if before is None or rank(row) >= rank(before):
+                now = row
+            else:  # the version that counted may have been this file's
+                now = max(files.values(), key=rank) if before[_FILE] == file else before
+            best[message] = now
+            if now != before:
+                out.append((*now, *(before[2:] if before else none)))
+        live = sum(map(len, held.values()))
+        if self.ttl_ms is None and stored + len(kept) > 2 * live:
+            self.added.put(_texts([row for files in held.values() for row in files.values()]))
+        elif kept:  # versions with a limit stay as they were written, each with its own time
+            self.added.appendList(_texts(list(kept.values())))
+        for at in range(0, len(out), _TOGETHER):
+            yield pd.DataFrame(out[at : at + _TOGETHER], columns=[*_NAMES, *[f"old_{c}" for c in VERSION]], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def stream_replaced(stream: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
+def _texts(rows: list[tuple]) -> list[tuple]:
+    return [(json.dumps(rows[at : at + _TOGETHER]),) for at in range(0, len(rows), _TOGETHER)]
+
+
+def stream_replaced(stream: DataFrame, ttl_ms: int | None = DAY_MS, groups: int = GROUPS) -> DataFrame:
     """Changes of a stream of events: each version of a message that comes to count, with the
     version whose place it takes (``old_``; null for a new message). Where the last line of a file
     falls behind another file's version, that one comes to count again.
 
     A message is forgotten ``ttl_ms`` after its last version of each file; a repeat then is new.
-    State is a row for each message and file of that time, in RocksDB: the session's state store
-    provider (``spark.sql.streaming.stateStore.providerClass``) has to be RocksDB's. A query with a
-    limit always has a next batch, so one that is to end (``availableNow``) has none (None)."""
-    rows = stream.select("provider", "message_id", *VERSION).where("message_id IS NOT NULL AND source_file IS NOT NULL")
-    return rows.groupBy("provider", "message_id").transformWithStateInPandas(Versions(ttl_ms), CHANGES, "append", "None" if ttl_ms is None else "ProcessingTime")
+    State is the versions of that time, in RocksDB: the session's state store provider
+    (``spark.sql.streaming.stateStore.providerClass``) has to be RocksDB's. Messages are dealt to
+    ``groups`` by their hash; a batch reads the state of the groups that it touches, and Python is
+    asked once for each of them. The number belongs to the checkpoint. A query with a limit always
+    has a next batch, so one that is to end (``availableNow``) has none (None)."""
+    rows = stream.select(*_NAMES).where("message_id IS NOT NULL AND source_file IS NOT NULL")
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("provider", "message_id"), F.lit(groups)))
+    return dealt.groupBy("group").transformWithStateInPandas(Versions(ttl_ms), CHANGES, "append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def stream_latest(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

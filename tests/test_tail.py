@@ -316,3 +316,46 @@ def test_changes_of_versions_over_batches(spark, tmp_path):
     finally:
         spark.conf.set(setting, before)
     assert found == [[("a", 1, None), ("a", 2, 1), ("b", 7, None)], [("a", 3, 2)], [("a", 2, 3)]]
+
+
+class _Listed:
+    """A list state, as a processor sees it."""
+
+    def __init__(self):
+        self.values = []
+
+    def get(self):
+        return iter(list(self.values))
+
+    def put(self, values):
+        self.values = list(values)
+
+    def appendList(self, values):
+        self.values += values
+
+
+def test_changes_of_many_messages_in_one_call(monkeypatch):
+    """All messages of a group are one call and one state; each changes as it would alone."""
+    import pandas as pd
+
+    rng, state = random.Random(7), _Listed()
+    versions = live.Versions(None)
+    versions.init(type("Handle", (), {"getListState": lambda self, *a: state})())
+    monkeypatch.setattr(live, "_TOGETHER", 7)
+    held, rank = {}, lambda r: (r[9], r[2], r[8])
+    for epoch in range(4):
+        rows = list({(f"m{rng.randrange(40)}", f"f{rng.randrange(3)}", rng.randrange(60)): None for _ in range(150)})
+        rows = [("p", m, rng.randrange(1000), n, 0, 0, None if n % 3 else 2, "g", f, 1 + epoch // 2, n) for m, f, n in rows]
+        want = []
+        for row in sorted(rows, key=lambda r: (r[9], r[8], r[10])):
+            files = held.setdefault(row[1], {})
+            own, before = files.get(row[8]), max(files.values(), key=rank, default=None)
+            if own is None or (own[9], own[10]) < (row[9], row[10]):
+                files[row[8]] = row
+                now = max(files.values(), key=rank)
+                if now != before:
+                    want.append((*now, *(before[2:] if before else (None,) * 9)))
+        frames = iter([pd.DataFrame(rows[:70], columns=live._NAMES), pd.DataFrame(rows[70:], columns=live._NAMES)])
+        found = [tuple(r) for frame in versions.handleInputRows((0,), frames, None) for r in frame.itertuples(index=False)]
+        assert sorted(found, key=str) == sorted(want, key=str)
+    assert sum(len(json.loads(t)) for (t,) in state.values) <= 2 * sum(map(len, held.values()))
