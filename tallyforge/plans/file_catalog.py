@@ -17,7 +17,7 @@ from tallyforge.plans.catalog import ALL_SQL, COUNTERS_SQL, EVENTS_SQL, NOW_MS,
 from tallyforge.plans.stream_catalog import carried_to_end, finished
 from tallyforge.schema import COUNTERS, USAGE_EVENTS, complete, from_events
 from tallyforge.scratch import new_path
-from tallyforge.sinks import post_batch, to_ndjson
+from tallyforge.sinks import join_files, post_batch, to_ndjson
 from tallyforge.sources import lines as L
 from tallyforge.sources import logs
 from tallyforge.sources.tail import tail
@@ -28,6 +28,8 @@ SQL: dict[str, str] = {}
 
 #: Log files that the events are dealt to; every fourth is a sub-agent's.
 FILES = 12
+#: Events whose lines a task writes.
+EVENTS_OF_TASK = 100_000
 UUID = "0198aaaa-bbbb-4ccc-8ddd-"
 _FILE_SQL = f"user_id % {FILES} AS file"
 #: A file's session: its own id, or that of the session it is a sub-agent of (the file before it).
@@ -59,33 +61,40 @@ def _place(file: int, codex: bool) -> str:
     return f"{folder}/{UUID}{file - 1:012}/subagents/agent-{file}.jsonl" if file % 4 == 3 else f"{folder}/{own}.jsonl"
 
 
+def in_ranges(u: DataFrame, file: Column) -> DataFrame:
+    """Events dealt to tasks by ranges of file and line, as many as they need: a file of any size is
+    written by many tasks. Only events are shuffled; their lines are made behind it."""
+    tasks = max(FILES, -(-u.count() // EVENTS_OF_TASK))
+    return u.withColumn("_file", file).repartitionByRange(tasks, "_file", "line_no").drop("_file")
+
+
 def write_logs(numbered: DataFrame, root: str, codex: bool = False) -> str:
-    """Write lines (value, file, order) as log files below ``root``, one for each file number, each
-    in order, and give them a provider's names; returns ``root``."""
+    """Write lines (value, file, order), dealt by ``in_ranges``, as log files below ``root``, one for
+    each file number, each in order, and give them a provider's names; returns ``root``."""
     spark, made = numbered.sparkSession, f"{root}/made"
-    dealt = numbered.repartition(FILES, "file").sortWithinPartitions("file", "order")
-    dealt.select("value", "file").write.partitionBy("file").text(made)
+    numbered.sortWithinPartitions("file", "order", "value").select("value", "file").write.partitionBy("file").text(made)
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts: dict[str, list[tuple[str, int]]] = {}
     for found in files.globStatus(path(f"{made}/file=*/part-*")):
         number = int(found.getPath().getParent().getName().split("=")[1])
-        place = path(f"{root}/{_place(number, codex)}")
-        files.mkdirs(place.getParent())
-        files.delete(place, False)  # a later version of the file takes its place
-        files.rename(found.getPath(), place)
+        parts.setdefault(f"{root}/{_place(number, codex)}", []).append((found.getPath().toString(), found.getLen()))
+    for place, own in parts.items():
+        parts[place] = sorted(own, key=lambda part: part[0].rsplit("/", 1)[1])  # tasks are numbered in the order of ranges
+    join_files(spark, root, parts)
     files.delete(path(made), True)
     return root
 
 
 def claude_logs(u: DataFrame, root: str) -> str:
-    rows = catalog.claude_lines(u.withColumn("project", _file_number().cast("string")))
+    rows = catalog.claude_lines(in_ranges(u, _file_number()).withColumn("project", _file_number().cast("string")))
     file = F.regexp_extract("source_file", "/projects/([0-9]+)/", 1).cast("int")
     return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root)
 
 
 def codex_logs(u: DataFrame, root: str) -> str:
     """Lines of all sessions of a file in the order of events; each event names its session."""
-    rows = catalog.codex_lines(u)
+    rows = catalog.codex_lines(in_ranges(u, _file_number()))
     file = F.regexp_extract("source_file", "rollout-s([0-9]+)", 1).cast("int") % FILES
     return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root, codex=True)
 
@@ -130,7 +139,7 @@ def provider_registry(spark, sf_dir):
     f", k AS (SELECT *, row_number() OVER (PARTITION BY user_id % {FILES} ORDER BY event_id) AS line_no, {_FILE_SQL} FROM u) SELECT file, line_no, message_id FROM k"
 )
 def line_numbers(spark, sf_dir):
-    u = _events(spark, sf_dir)
+    u = in_ranges(_events(spark, sf_dir), _file_number())
     root = write_logs(u.select(F.col("message_id").alias("value"), _file_number().alias("file"), F.col("line_no").alias("order")), new_path(spark, "logs"), codex=True)
     rows = L.read_lines(spark, root)
     return rows.select(F.regexp_extract("source_file", r"0*([0-9]+)\.jsonl$", 1).cast("long").alias("file"), "line_no", F.col("value").alias("message_id"))
@@ -216,7 +225,7 @@ def ingest_tail_context(spark, sf_dir):
 @registered(_CODEX_ROWS.replace(f"PARTITION BY user_id % {FILES} ", ""))
 def one_large_file(spark, sf_dir):
     """One log file with all events, read in splits of 64 KB: context is carried over splits."""
-    rows = catalog.codex_lines(_events(spark, sf_dir))
+    rows = catalog.codex_lines(in_ranges(_events(spark, sf_dir), F.lit(0)))
     root = write_logs(rows.select("value", F.lit(0).alias("file"), F.col("line_no").alias("order")), new_path(spark, "logs"), codex=True)
     spec = logs.PROVIDERS["codex"]
     return spec.parse(tail(spark, root, spec.file_pattern, spec.needles, split_bytes=1 << 16)).select(_COLUMNS[1:])
@@ -279,7 +288,7 @@ def stream_codex_files(spark, sf_dir):
 @registered("message_id FROM u WHERE event_id % 9 = 0")
 def stream_quarantine(spark, sf_dir):
     """Lines whose time does not parse, on a stream."""
-    u, number = _events(spark, sf_dir), F.col("message_id").cast("long")
+    u, number = in_ranges(_events(spark, sf_dir), _file_number()), F.col("message_id").cast("long")
     stamp = F.when(number % 9 == 0, F.concat(F.lit("at "), "message_id")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     value = F.to_json(F.struct(F.col("message_id").alias("id"), stamp.alias("timestamp")))
     root = write_logs(u.select(value.alias("value"), _file_number().alias("file"), F.col("line_no").alias("order")), new_path(spark, "logs"))

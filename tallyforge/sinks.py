@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import logging
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
+from itertools import accumulate
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tallyforge.functions.columns import total_tokens
 from tallyforge.functions.times import stamp, wall
 from tallyforge.schema import COUNTERS
-from tallyforge.sources.tail import write_json_lines
+from tallyforge.sources.tail import BLOCK, opened, write_json_lines
 
 log = logging.getLogger(__name__)
 
@@ -190,3 +192,35 @@ def report_parts(rows: DataFrame, information: DataFrame, key: str = "period") -
 def write_report(parts: DataFrame, path: str) -> None:
     """The document as text files whose lines, in the order of the files' names, are the document."""
     parts.orderBy("section", "provider", "part", "at").select("value").write.text(path)
+
+
+def join_files(spark: SparkSession, root: str, parts: Mapping[str, Sequence[tuple[str, int]]]) -> None:
+    """Make files below ``root`` of parts (name, bytes) in their order. In a local or mounted folder
+    each part is copied to its place by a task of its own; in other stores, where a file is written
+    from its start to its end, each file is a task. Either way a block of bytes is held at a time."""
+    system, _, _ = opened(root)
+    local, jobs = isinstance(system, fs.LocalFileSystem), []
+    for target, own in parts.items():
+        at = opened(target)[1]
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        if not local:
+            jobs.append((target, 0, [name for name, _ in own]))
+            continue
+        with open(at, "wb"):  # an earlier file of this name ends here
+            pass
+        starts = accumulate([size for _, size in own], initial=0)
+        jobs += [(target, start, [name]) for (name, _), start in zip(own, starts)]
+
+    def join(job: tuple[str, int, list[str]]) -> None:
+        target, start, names = job
+        system, at, _ = opened(target)
+        with open(at, "r+b") if local else system.open_output_stream(at) as out:
+            if start:
+                out.seek(start)
+            for name in names:
+                with system.open_input_stream(opened(name)[1]) as file:
+                    while block := file.read(BLOCK):
+                        out.write(block)
+
+    if jobs:
+        spark.sparkContext.parallelize(jobs, len(jobs)).foreach(join)

@@ -7,7 +7,7 @@ out later, so nothing counts twice). A last line without a line end is taken if
 JSON object; otherwise it waits until it is finished.
 
 Ranges are cut into splits of a bounded size, and a line belongs to the split that it starts in,
-so one file of any size is read by many tasks. ``line_no`` is the place of the line's first byte,
+so one file of any size is read by many tasks; small splits in great number share tasks. ``line_no`` is the place of the line's first byte,
 and ``split`` that of its split: both grow along the file. A batch is planned against a manifest of
 marks that is replaced once its rows are stored; a stream has the marks as its offset. Either way
 the driver holds some 300 bytes for each file, like Spark's own list of files, and looks only into
@@ -33,6 +33,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SPLIT = 32 << 20
+#: Splits that are tasks of their own; where there are more, a task reads several neighbours of at most
+#: ``SPLIT`` bytes, one after the other.
+MOST_TASKS = 256
 #: Bytes read at once, forwards and backwards, and rows handed on at once.
 BLOCK, BACK, ROWS = 1 << 20, 1 << 16, 10_000
 LINES = "value string, source_file string, split long, line_no long, modified timestamp, ingest_seq long"
@@ -61,7 +64,7 @@ class Range:
 
 @dataclass
 class Split(InputPartition):
-    """The lines of a range that start within [start, stop)."""
+    """The lines of a range that start within [start, stop): one split, or neighbours of ``step`` bytes."""
 
     path: str
     start: int
@@ -69,6 +72,7 @@ class Split(InputPartition):
     end: int
     first: bool
     modified_ms: int
+    step: int = SPLIT
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str, str]:
@@ -150,10 +154,12 @@ def survey(root: str, pattern: str, known: Mapping[str, Mark]) -> tuple[dict[str
 
 
 def splits(ranges: Sequence[Range], size: int) -> list[Split]:
+    number = sum(-(-(r.end - r.start) // size) for r in ranges)
+    task = size * max(1, min(-(-number // MOST_TASKS), SPLIT // size))
     return [
-        Split(r.path, at, min(at + size, r.end), r.end, at == r.start, r.modified_ms)
+        Split(r.path, at, min(at + task, r.end), r.end, at == r.start, r.modified_ms, size)
         for r in ranges
-        for at in range(r.start, r.end, size)
+        for at in range(r.start, r.end, task)
     ]
 
 
@@ -194,7 +200,7 @@ def read_split(part: Split, root: str, needles: Sequence[str]) -> Iterator[pa.Re
     def rows() -> pa.RecordBatch:
         n = len(values)
         columns = [
-            pa.array(values, pa.string()), pa.array([name] * n, pa.string()), pa.array([part.start] * n, pa.int64()), pa.array(places, pa.int64()),
+            pa.array(values, pa.string()), pa.array([name] * n, pa.string()), pa.array([p - (p - part.start) % part.step for p in places], pa.int64()), pa.array(places, pa.int64()),
             pa.array([part.modified_ms * 1000] * n, pa.int64()).cast(pa.timestamp("us", tz="UTC")), pa.array([part.modified_ms] * n, pa.int64()),
         ]
         return pa.record_batch(columns, names=["value", "source_file", "split", "line_no", "modified", "ingest_seq"])

@@ -359,3 +359,35 @@ def test_changes_of_many_messages_in_one_call(monkeypatch):
         found = [tuple(r) for frame in versions.handleInputRows((0,), frames, None) for r in frame.itertuples(index=False)]
         assert sorted(found, key=str) == sorted(want, key=str)
     assert sum(len(json.loads(t)) for (t,) in state.values) <= 2 * sum(map(len, held.values()))
+
+
+def test_one_log_file_is_written_by_many_tasks(spark, data, tmp_path, monkeypatch):
+    from tallyforge.plans import catalog, file_catalog as C
+    from tallyforge.sinks import join_files
+
+    joined = {}
+    monkeypatch.setattr(C, "EVENTS_OF_TASK", 50)
+    monkeypatch.setattr(C, "join_files", lambda spark, root, parts: (joined.update(parts), join_files(spark, root, parts)))
+    u = C._events(spark, data)
+    rows = catalog.codex_lines(C.in_ranges(u, F.lit(0)))
+    root = C.write_logs(rows.select("value", F.lit(0).alias("file"), F.col("line_no").alias("order")), str(tmp_path / "one"), codex=True)
+    ((place, parts),) = joined.items()
+    assert len(parts) > u.count() / 50 / 2
+    want = [r.value for r in catalog.codex_lines(u).orderBy("line_no").collect()]
+    assert max(size for _, size in parts) < sum(len(v) + 1 for v in want) / 5
+    with open(place) as file:
+        assert file.read().splitlines() == want
+    C.write_logs(rows.select("value", F.lit(0).alias("file"), F.col("line_no").alias("order")).where("order < 400"), root, codex=True)
+    with open(place) as file:  # a shorter version leaves nothing of the longer one
+        assert file.read().splitlines() == [r.value for r in catalog.codex_lines(u).where("line_no < 400").orderBy("line_no").collect()]
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    text = "".join(f"{i}\n" for i in range(100_000, 130_000))
+    put(tmp_path / "sessions" / "a.jsonl", text)
+    ranges = tail.survey(str(tmp_path), PATTERN, {})[1]
+    planned = tail.splits(ranges, 100)  # 2,100 splits
+    assert len(planned) <= tail.MOST_TASKS and max(p.stop - p.start for p in planned) < 1000
+    found = [(r.split, r.line_no, r.value) for r in tail.tail(spark, str(tmp_path), PATTERN, split_bytes=100).collect()]
+    assert sorted(found) == [(i * 7 // 100 * 100, i * 7, str(100_000 + i)) for i in range(30_000)]
+    assert all(p.stop - p.start <= tail.SPLIT for p in tail.splits([tail.Range("a", 0, 100 << 30, 0)], 1 << 16))
