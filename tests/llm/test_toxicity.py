@@ -145,3 +145,68 @@ def test_samples_are_bounded(spark):
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     assert {r.toxic: r["count"] for r in tox.sampled(docs, marks, per_class=5).groupBy("toxic").count().collect()} == {0: 5, 1: 5}
     assert tox.sampled(docs, marks, per_class=20, most=4).count() == 2  # at least one of each class
+
+
+def test_rows_beyond_the_sample_of_a_trial_are_learned(spark):
+    """Of 1,700 toxic rows to learn from, the 60 with the greatest hashes alone hold a word; no sample of
+    the 1,500 least hashes shows it."""
+    common = ["the", "stone", "river", "walks", "green", "again"]
+    rng = random.Random(5)
+    ids = [d for d in range(5_100) if not held_out(d)]
+    toxic = [d for d in ids if d % 2]
+    hashed = spark.createDataFrame([(d,) for d in toxic], "doc_id long").select("doc_id", tox.F.xxhash64("doc_id", tox.F.lit(11)).alias("h"))
+    last = {r.doc_id for r in hashed.orderBy("h").collect()[-60:]}
+    assert len(toxic) - 60 > 1_500
+    words = lambda d: [rng.choice(common) for _ in range(6)] + (["zukat", "zukat"] if d in last else ["grobl", "grobl"] if d % 2 else ["leaf"])
+    rows = [(d, " ".join(words(d)), "en") for d in ids]
+    tested = [d for d in range(10_000, 10_400) if held_out(d)]
+    new = [(d, " ".join([rng.choice(common) for _ in range(6)] + (["zukat", "zukat"] if d % 2 else ["leaf"])), "en") for d in tested]
+    model = tox.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"))
+    found = {r.doc_id: r.predicted for r in tox.score(spark.createDataFrame(new, SCHEMA), model).collect()}
+    assert len(tested) > 50 and all(found[d] == d % 2 for d in tested)
+
+
+def test_counts_rounds_and_thresholds_are_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SHARD", 12)
+    rows, labels = made(n=90)
+    copies = [(4, rows[4][1], "en")] * 3 + [(6, "another text", None)]
+    docs, marks = spark.createDataFrame(rows + copies, SCHEMA).repartition(7), spark.createDataFrame(labels, "doc_id long, toxic int")
+    table = tox.examples_of(docs, marks)
+    held = table.orderBy("shard").collect()
+    y = dict(labels)
+    want = sorted((y[d], tox.words_of(t), lang or "") for d, t, lang in rows + copies if not held_out(d))
+    assert len(held) == len(want) and len({r.shard for r in held}) > 2
+    examples = [tox._example(r.lang, r.toxic, r.parts, r.at, r.fold) for r in held]
+    shown = lambda e: (e.toxic, [tuple(p) for p in e.parts[e.at]], e.lang or "")
+    assert sorted(map(shown, examples)) == sorted((c, [tuple(tox.buckets(w)) for w in words], lang) for c, words, lang in want)
+
+    having, words = tox.counts_of(table)
+    for fold in range(tox.FOLDS):
+        assert (having[fold] == tox.having_of([e for e in examples if e.fold == fold])).all()
+    local = tox.words_by_language(examples, {})
+    assert words.keys() == local.keys() and all((words[k] == local[k]).all() for k in local)
+
+    whole = having.sum(axis=0)
+    nets = [tox.Net([], 20 + k, whole - having[k] if k < tox.FOLDS else whole) for k in range(tox.FOLDS + 1)]
+    by_hand = tox.deepcopy(nets)
+    tox.train_round(table, nets, 0)
+    for k, net in enumerate(by_hand):
+        total = 0
+        for piece in tox.pieces(iter(table.orderBy("shard").toArrow().to_batches())):
+            own = tox._seen(piece, k)
+            moved = tox.deepcopy(net)
+            if own:
+                moved.epoch(own, np.random.default_rng([k, 0]))
+                total = total + moved.sums(own)
+        net.average(total)
+        assert total[net.vectors.size] == sum(e.fold != k for e in examples)
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(net._params(), nets[k]._params()))
+
+    languages = tox.Languages(words)
+    found = tox.blind_counts(table, nets, languages)
+    assert found[:, 3].sum() == len(examples)
+    logits = np.array([nets[e.fold].logits([e])[0] for e in examples])
+    toxic, ones = np.array([e.toxic for e in examples]), np.ones(len(examples))
+    exact = tox.calibrated(logits, toxic, languages.of_examples(examples), len(languages.names), ones, ones)
+    counted = tox.calibrated(found[:, 2] / tox.GRID, found[:, 1], found[:, 0], len(languages.names), found[:, 3], found[:, 3])
+    assert np.abs(exact - counted).max() <= 2 / tox.GRID
