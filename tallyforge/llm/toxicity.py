@@ -18,7 +18,7 @@ Everything is learned from all labelled rows that are not held out, where they l
 written once as hashed words, dealt by hash to shards of some SHARD rows. Documents that hold a
 vector and words of a language are counted by grouping. In each of EPOCHS rounds every shard trains
 the nets from the same start; nets are then averaged, each vector over the shards that hold it, in
-the measure of their documents that do. Logits of rows that a net did not see are counted by
+the measure of their words that do. Logits of rows that a net did not see are counted by
 language, class and value (to 1 / GRID), and thresholds are those of the counts. What reaches the
 driver are counts and sums of parameters, whatever the number of rows. ``fit`` with ``per_class`` is
 for trials: it learns from a bounded sample, in one process.
@@ -164,7 +164,7 @@ class Net:
         found = []
         for group in _by_words(examples):
             parts, at, begin, end = self._laid(group)
-            pooled, _ = self._pooled(self.vectors[parts].sum(axis=1), at, begin, end)
+            pooled, _ = self._pooled(self.words(parts), at, begin, end)
             found.append(self.logits_of(pooled))
         return np.concatenate(found) if found else np.zeros(0)
 
@@ -194,8 +194,9 @@ class Net:
 
     def sums(self, examples: list[Example]) -> np.ndarray:
         """The parameters, each times the number of examples behind it, and these numbers: vectors
-        count by the documents that hold them."""
-        holding = having_of(examples).sum(axis=0).astype(np.float64)
+        count by the distinct words of examples that hold them."""
+        holding = np.bincount(np.concatenate([e.parts.reshape(-1) for e in examples]), minlength=BUCKETS).astype(np.float64)
+        holding[0] = len(examples)
         rest = np.concatenate([p.reshape(-1) for p in self._params()[1:]]).astype(np.float64)
         return np.concatenate([(self.vectors * holding[:, None]).reshape(-1), holding, rest * len(examples)])
 
@@ -212,7 +213,7 @@ class Net:
 
     def _gradients(self, group: list[Example], weight: np.ndarray) -> list[np.ndarray]:
         parts, at, begin, end = self._laid(group)
-        x = self.vectors[parts].sum(axis=1)
+        x = self.words(parts)
         pooled, places = self._pooled(x, at, begin, end)
         y = np.array([e.toxic for e in group])
         p = 1 / (1 + np.exp(-np.clip(self.logits_of(pooled), -30, 30)))
@@ -221,34 +222,51 @@ class Net:
         d_out = np.tensordot(d_logit, active, axes=(0, 0))
         d_pool = d_logit[:, None, None] * self.out[None] * (active > 0)
         d_bias = d_pool.sum(axis=(0, 2))
-        dx = np.zeros_like(x)
-        d_filters, number = [], 0
+        d_filters, number, places_of, shares_of = [], 0, [], []
         for w, filters in self.filters.items():
             own = slice(number, number + WIDTHS[w])
             place, d = places[:, own].transpose(1, 0, 2).reshape(WIDTHS[w], -1), d_pool[:, own].transpose(1, 0, 2).reshape(WIDTHS[w], -1)
+            f, live = np.nonzero(d)  # by filter
+            d, place = d[f, live, None], place[f, live]
             d_f = np.zeros_like(filters)
-            for f in range(WIDTHS[w]):
-                live = np.flatnonzero(d[f])
-                for j in range(w):
-                    here = at[place[f, live] + j]
-                    d_f[j, :, f] = d[f, live] @ x[here]
-                    np.add.at(dx, here, d[f, live, None] * filters[j, :, f])
+            for j in range(w):
+                here = at[place + j]
+                d_f[j, :, :] = added_up(f, d * x[here], WIDTHS[w]).T
+                places_of.append(here)
+                shares_of.append(d * filters[j].T[f])
             d_filters.append(d_f)
             number += WIDTHS[w]
+        dx = added_up(np.concatenate(places_of), np.concatenate(shares_of), len(x))
         dx[0] = 0
         moved = np.flatnonzero(dx.any(axis=1))
-        d_vectors = np.zeros_like(self.vectors)
-        for k in range(PARTS):
-            np.add.at(d_vectors, parts[moved, k], dx[moved])
+        d_vectors = added_up(parts[moved].T.reshape(-1), np.tile(dx[moved], (PARTS, 1)), BUCKETS)
         d_vectors *= self.used
         return [d_vectors, *d_filters, d_bias.astype(np.float32), d_out.astype(np.float32), np.array([d_logit.sum()], dtype=np.float32)]
 
+    def words(self, parts: np.ndarray) -> np.ndarray:
+        """Each word's sum of vectors."""
+        found = self.vectors.take(parts[:, 0], axis=0)
+        for k in range(1, PARTS):
+            found += self.vectors.take(parts[:, k], axis=0)
+        return found
+
     def _projected(self, x: np.ndarray) -> np.ndarray:
         return x @ np.concatenate([f for filters in self.filters.values() for f in filters], axis=1)
 
     def projections(self, parts: np.ndarray) -> np.ndarray:
         """What each word adds to each filter, by its place in the filter."""
-        return self._projected(self.vectors[parts].sum(axis=1))
+        return self._projected(self.words(parts))
+
+
+def added_up(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows for each of ``size`` places."""
+    total = np.zeros((size, rows.shape[1]), dtype=np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        total[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return total
 
 
 def convolved(added: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -388,15 +406,23 @@ class Scorer:
         self.known, none = {"": 0}, np.zeros((1, PARTS), dtype=np.int64)
         self.added, self.logs = self.model.net.projections(none), self.model.languages.logs[none[:, 0]]
 
+    def _keep(self, name: str, rows: np.ndarray, at: int) -> None:
+        """Put rows behind the first ``at`` of an array, which grows by doubling."""
+        held = getattr(self, name)
+        if at + len(rows) > len(held):
+            held = np.concatenate([held[:at], np.empty((max(at, len(rows)), held.shape[1]), dtype=held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(rows)] = rows
+
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > CACHE:
             self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            parts = np.array([buckets(w) for w in new], dtype=np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.added = np.concatenate([self.added, self.model.net.projections(parts)])
-            self.logs = np.concatenate([self.logs, self.model.languages.logs[parts[:, 0]]])
+            parts, at = np.array([buckets(w) for w in new], dtype=np.int64), len(self.known)
+            self.known.update(zip(new, range(at, at + len(new))))
+            self._keep("added", self.model.net.projections(parts), at)
+            self._keep("logs", self.model.languages.logs[parts[:, 0]], at)
 
     def __call__(self, texts: list[list[str]]) -> np.ndarray:
         """Scores of the words of some texts."""
@@ -431,12 +457,18 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        hashed: dict[str, bytes] = {}
         for batch in batches:
             parts, at, copies = [], [], []
             for h, tie, text in zip(batch.column("h").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
                 words = words_of(text.as_py())
                 known = {w: n for n, w in enumerate(dict.fromkeys(words))}
-                parts.append(np.array([buckets(w) for w in known], dtype="<u2").tobytes())
+                if len(hashed) > CACHE:
+                    hashed.clear()
+                for w in known:
+                    if w not in hashed:
+                        hashed[w] = np.array(buckets(w), dtype="<u2").tobytes()
+                parts.append(b"".join(map(hashed.__getitem__, known)))
                 at.append(np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words)).tobytes())
                 copies.append(seen[h, tie])
                 seen[h, tie] += 1
@@ -545,15 +577,17 @@ def train_round(examples: DataFrame, nets: Sequence[Net], epoch: int) -> None:
                     sums[k] = found if sums[k] is None else sums[k] + found
         for k, found in enumerate(sums):
             if found is not None:
-                starts = range(0, len(found), BLOCK)
+                starts, found = range(0, len(found), BLOCK), found.astype(np.float32)
                 yield pa.record_batch([pa.array([k] * len(starts), pa.int32()), pa.array(starts, pa.int32()), pa.array([found[a : a + BLOCK].tobytes() for a in starts], pa.binary())], names=["net", "start", "sums"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(found, dtype=np.float64) for found in rows.column("sums").to_pylist())
-        return pa.table({"net": rows.column("net")[:1], "start": rows.column("start")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(found, dtype=np.float32).astype(np.float64) for found in rows.column("sums").to_pylist())
+        return pa.table({"net": rows.column("net")[:1], "start": rows.column("start")[:1], "sums": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
 
     schema = "net int, start int, sums binary"
-    made = examples.coalesce(MOST_TASKS).mapInArrow(run, schema).groupBy("net", "start").applyInArrow(add, schema).toArrow()
+    # Each task leaves one sum, so there are no more than keep all cores busy.
+    tasks = min(MOST_TASKS, 2 * examples.sparkSession.sparkContext.defaultParallelism)
+    made = examples.coalesce(tasks).mapInArrow(run, schema).groupBy("net", "start").applyInArrow(add, schema).toArrow()
     found: dict[int, list[tuple[int, bytes]]] = {}
     for k, start, part in zip(*(made.column(c).to_pylist() for c in ("net", "start", "sums"))):
         found.setdefault(k, []).append((start, part))
