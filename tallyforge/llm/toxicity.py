@@ -38,6 +38,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from copy import deepcopy
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +55,15 @@ PARTS = 1 + len(BEGINNINGS)
 WIDTHS = {1: 16, 2: 8, 3: 8}
 FILTERS = sum(WIDTHS.values())
 TOP = 3
+#: Of each filter: its width, how many have that width, and its column in the projection.
+WIDTH, COUNT, COLUMN = (np.array(c) for c in zip(*[(w, n, sum(v * m for v, m in WIDTHS.items() if v < w) + k) for w, n in WIDTHS.items() for k in range(n)]))
 #: Words of a trial's sample, at most.
 MOST_WORDS = 1_500_000
 #: Labelled rows of a shard on average; rows and words that are trained on together, at most; tasks
 #: of a round, at most.
 SHARD, SHARD_ROWS, SHARD_WORDS, MOST_TASKS = 1_536, 4_096, 1_500_000, 1_024
+#: Bits of the hashes of labelled ids.
+FILTER_BITS = 25
 #: Numbers of a sum of parameters in one row; steps of a logit of 1, and the largest logit, in counts.
 BLOCK, GRID, LARGEST = 1 << 13, 1 << 10, 64
 #: Documents that have a vector, at least, for it to count.
@@ -71,21 +76,81 @@ AT_THRESHOLD, PULL = 0.7, 10
 HELD_OUT = 1
 #: Words scored together, and words that a worker remembers.
 TOGETHER, CACHE = 1 << 16, 400_000
+#: ASCII words below so many letters are hashed together.
+SHORT = 15
 
 _WORD = re.compile(r"[^\W_]+")
+#: The characters of Latin-1, with a blank for those that stand in no word.
+_LATIN = bytes(c if _WORD.fullmatch(chr(c)) else 32 for c in range(256))
 
 
-def buckets(word: str) -> list[int]:
-    """Places of a word's vectors; place 0 is empty."""
+def buckets_of(words: Sequence[str]) -> np.ndarray:
+    """(words, PARTS): places of the words' vectors, by XXH32; place 0 is empty."""
     import xxhash
 
-    parts = ["=" + word, *("^" + word[:k] for k in BEGINNINGS if k <= len(word))]
-    found = [xxhash.xxh32_intdigest(p) % (BUCKETS - 1) + 1 for p in parts]
-    return found + [0] * (PARTS - len(found))
+    digest, found = xxhash.xxh32_intdigest, np.zeros((len(words), PARTS), dtype=np.int64)
+    short = np.fromiter((len(w) < SHORT and w.isascii() for w in words), dtype=bool, count=len(words))
+    if short.any():
+        found[short] = _short_hashes([w for w in words if len(w) < SHORT and w.isascii()])
+    for n in np.flatnonzero(~short).tolist():
+        w = words[n]
+        own = [digest("=" + w), *(digest("^" + w[:k]) for k in BEGINNINGS if k <= len(w))]
+        found[n, : len(own)] = own
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.where(sizes[:, None] >= np.array([0, *BEGINNINGS]), found % (BUCKETS - 1) + 1, 0)
+
+
+def _short_hashes(words: list[str]) -> np.ndarray:
+    """XXH32 of "=" and each word and of "^" and its beginnings, for ASCII words below SHORT letters:
+    the steps of that hash for at most 15 bytes, for all words together. What is too short for a
+    beginning gets any number."""
+    data = np.array(words, dtype=f"S{SHORT - 1}").view(np.uint8).reshape(len(words), SHORT - 1)
+    sizes, sign = np.fromiter(map(len, words), dtype=np.uint32, count=len(words)), np.zeros((len(words), 1), dtype=np.uint8)
+    whole = np.concatenate([sign + ord("="), data], axis=1)
+    begun = np.concatenate([sign + ord("^"), data[:, : max(BEGINNINGS)]], axis=1)
+    return np.stack([_xxh32(whole, sizes + np.uint32(1)), *(_xxh32(begun[:, : k + 1], np.full(len(words), k + 1, dtype=np.uint32)) for k in BEGINNINGS)], axis=1)
+
+
+def _xxh32(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH32 (seed 0) of the first ``sizes`` bytes of each row, at most 15."""
+    one, two, three, four, five = (np.uint32(p) for p in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    turn = lambda h, n: (h << np.uint32(n)) | (h >> np.uint32(32 - n))
+    h, width = sizes + five, data.shape[1]
+    for at in range(0, width - 3, 4):
+        word = np.ascontiguousarray(data[:, at : at + 4]).view("<u4")[:, 0]
+        h = np.where(sizes >= at + 4, turn(h + word * three, 17) * four, h)
+    for at in range(width):
+        tail = (at < sizes) & (at >= sizes & np.uint32(0xFFFFFFFC))
+        if tail.any():
+            h = np.where(tail, turn(h + data[:, at].astype(np.uint32) * five, 11) * one, h)
+    h = (h ^ (h >> np.uint32(15))) * two
+    h = (h ^ (h >> np.uint32(13))) * three
+    return h ^ (h >> np.uint32(16))
+
+
+def buckets(word: str) -> list[int]:
+    """Places of one word's vectors."""
+    return buckets_of([word])[0].tolist()
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The lower-cased words; texts within Latin-1 are cut by a table, which is several times as fast."""
+    low = text.lower() if text else ""
+    try:
+        return low.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
+
+
+class Places(dict):
+    """Each word's place in the order in which words were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+    def of(self, words: Sequence[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 @dataclass
@@ -122,7 +187,7 @@ class Net:
         used[0] = False
         self.vectors[used] = rng.normal(0, 0.05, (int(used.sum()), DIM))
         self.vectors[used, 0] = np.clip(np.log(shares[1] / shares[0]), -4, 4)[used] / PARTS
-        self.used = used[:, None].astype(np.float32)
+        self.unused = np.flatnonzero(~used)  # these stay zero
         self.filters = {w: rng.normal(0, 0.2, (w, DIM, n)).astype(np.float32) for w, n in WIDTHS.items()}
         for filters in self.filters.values():
             filters[:, 0, 0] += 1.0  # one filter of each width begins as the sum of its words' log ratios
@@ -151,7 +216,7 @@ class Net:
         and no value where a text is shorter. ``x`` has the distinct words' vectors."""
         values = np.full((len(begin), FILTERS, TOP), -np.inf, dtype=np.float32)
         places = np.full((len(begin), FILTERS, TOP), -1, dtype=np.int64)
-        made = convolved(self._projected(x), at)
+        made = convolved_by_column(self._projection().T @ x.T, at)
         for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
             for j, (best, found) in enumerate(largest(made[:, a:b])):
                 values[k, :, j], places[k, :, j] = found, best + a
@@ -177,20 +242,20 @@ class Net:
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         order = rng.permutation(len(examples))
         for t, group in enumerate(_by_words([examples[i] for i in order], BATCH), 1):
+            scale = np.sqrt(0.01 / (1 - 0.99**t))  # of the second moments, whose factor 0.01 is left out
+            least, rate = np.float32(1e-6 / scale), np.float32(0.01 * 0.1 / (1 - 0.9**t) / scale)  # as 0.1 of the first
             for p, g, m, v in zip(params, self._gradients(group, self.weight), first, second):
                 m *= np.float32(0.9)
-                v *= np.float32(0.99)
-                m += np.float32(0.1) * g
+                m += g
                 g *= g
-                g *= np.float32(0.01)
+                v *= np.float32(0.99)
                 v += g
-                np.multiply(v, np.float32(1 / (1 - 0.99**t)), out=g)
-                np.sqrt(g, out=g)
-                g += np.float32(1e-6)
+                np.sqrt(v, out=g)
+                g += least
                 np.divide(m, g, out=g)
-                g *= np.float32(0.01 / (1 - 0.9**t))
+                g *= rate
                 p -= g
-            self.vectors *= self.used * np.float32(1 - 1e-4)
+            self.vectors *= np.float32(1 - 1e-4)
 
     def sums(self, examples: list[Example]) -> np.ndarray:
         """The parameters, each times the number of examples behind it, and these numbers: vectors
@@ -222,25 +287,20 @@ class Net:
         d_out = np.tensordot(d_logit, active, axes=(0, 0))
         d_pool = d_logit[:, None, None] * self.out[None] * (active > 0)
         d_bias = d_pool.sum(axis=(0, 2))
-        d_filters, number, places_of, shares_of = [], 0, [], []
-        for w, filters in self.filters.items():
-            own = slice(number, number + WIDTHS[w])
-            place, d = places[:, own].transpose(1, 0, 2).reshape(WIDTHS[w], -1), d_pool[:, own].transpose(1, 0, 2).reshape(WIDTHS[w], -1)
-            f, live = np.nonzero(d)  # by filter
-            d, place = d[f, live, None], place[f, live]
-            d_f = np.zeros_like(filters)
-            for j in range(w):
-                here = at[place + j]
-                d_f[j, :, :] = added_up(f, d * x[here], WIDTHS[w]).T
-                places_of.append(here)
-                shares_of.append(d * filters[j].T[f])
-            d_filters.append(d_f)
-            number += WIDTHS[w]
-        dx = added_up(np.concatenate(places_of), np.concatenate(shares_of), len(x))
-        dx[0] = 0
-        moved = np.flatnonzero(dx.any(axis=1))
-        d_vectors = added_up(parts[moved].T.reshape(-1), np.tile(dx[moved], (PARTS, 1)), BUCKETS)
-        d_vectors *= self.used
+        text, f, k = np.nonzero(d_pool)
+        d, place, projection = d_pool[text, f, k], places[text, f, k], self._projection()
+        # A value at a place is the sum over a filter's words; each takes the value's share.
+        own = [np.flatnonzero(WIDTH[f] > j) for j in range(max(WIDTHS))]
+        here = np.concatenate([at[place[o] + j] for j, o in enumerate(own)])
+        column = np.concatenate([(COLUMN[f] + j * COUNT[f])[o] for j, o in enumerate(own)])
+        d = np.concatenate([d[o] for o in own])[:, None]
+        d_projection = added_up(column, d * x.take(here, axis=0), projection.shape[1]).T
+        words, shares = sums_of(here, d * projection.T.take(column, axis=0), len(x))
+        words, shares = (words[1:], shares[1:]) if len(words) and not words[0] else (words, shares)  # the first row is no word
+        d_vectors = added_up(parts.take(words, axis=0).T.reshape(-1), shares, BUCKETS)
+        d_vectors[self.unused] = 0
+        limits = np.cumsum([w * n for w, n in WIDTHS.items()])[:-1]
+        d_filters = [np.stack(np.split(g, w, axis=1)) for w, g in zip(WIDTHS, np.split(d_projection, limits, axis=1))]
         return [d_vectors, *d_filters, d_bias.astype(np.float32), d_out.astype(np.float32), np.array([d_logit.sum()], dtype=np.float32)]
 
     def words(self, parts: np.ndarray) -> np.ndarray:
@@ -250,22 +310,34 @@ class Net:
             found += self.vectors.take(parts[:, k], axis=0)
         return found
 
+    def _projection(self) -> np.ndarray:
+        """(DIM, columns): the filters of each width side by side, one place in them after the other."""
+        return np.concatenate([f for filters in self.filters.values() for f in filters], axis=1)
+
     def _projected(self, x: np.ndarray) -> np.ndarray:
-        return x @ np.concatenate([f for filters in self.filters.values() for f in filters], axis=1)
+        return x @ self._projection()
 
     def projections(self, parts: np.ndarray) -> np.ndarray:
         """What each word adds to each filter, by its place in the filter."""
         return self._projected(self.words(parts))
 
 
+def sums_of(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places below ``size`` that occur, and the sum of each one's rows. Rows are begun again where
+    there are fewer than places."""
+    if not len(at):
+        return at, rows
+    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")  # short keys sort by digits
+    at = at.take(order)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at.take(first), np.add.reduceat(rows.take(order % len(rows), axis=0), first, axis=0)
+
+
 def added_up(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """The sums of the rows for each of ``size`` places."""
     total = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    if len(at):
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        total[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    places, sums = sums_of(at, rows, size)
+    total[places] = sums
     return total
 
 
@@ -286,6 +358,21 @@ def convolved(added: np.ndarray, at: np.ndarray) -> np.ndarray:
     return made
 
 
+def convolved_by_column(columns: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same from columns of what each word adds; faster where words are few, so that a column
+    stays in the cache."""
+    n = max(len(at) - max(WIDTHS) + 1, 0)
+    made = np.empty((FILTERS, n), dtype=np.float32)
+    column = first = 0
+    for w, count in WIDTHS.items():
+        total = made[first : first + count]
+        np.take(columns[column : column + count], at[:n], axis=1, out=total, mode="clip")
+        for j in range(1, w):
+            total += columns[column + j * count : column + (j + 1) * count].take(at[j : n + j], axis=1, mode="clip")
+        column, first = column + w * count, first + count
+    return made
+
+
 def largest(made: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, values) of each row's TOP largest values, largest first; they are struck out."""
     rows = np.arange(len(made))
@@ -403,7 +490,7 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, none = {"": 0}, np.zeros((1, PARTS), dtype=np.int64)
+        self.known, none = Places({"": 0}), np.zeros((1, PARTS), dtype=np.int64)
         self.added, self.logs = self.model.net.projections(none), self.model.languages.logs[none[:, 0]]
 
     def _keep(self, name: str, rows: np.ndarray, at: int) -> None:
@@ -414,22 +501,23 @@ class Scorer:
             setattr(self, name, held)
         held[at : at + len(rows)] = rows
 
-    def _learn(self, words: list[str]) -> None:
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the words stand among those remembered; new ones are added."""
         if len(self.known) > CACHE:
             self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        before = len(self.known)
+        at, new = self.known.of(words), len(self.known) - before
         if new:
-            parts, at = np.array([buckets(w) for w in new], dtype=np.int64), len(self.known)
-            self.known.update(zip(new, range(at, at + len(new))))
-            self._keep("added", self.model.net.projections(parts), at)
-            self._keep("logs", self.model.languages.logs[parts[:, 0]], at)
+            parts = buckets_of(list(islice(reversed(self.known), new))[::-1])
+            self._keep("added", self.model.net.projections(parts), before)
+            self._keep("logs", self.model.languages.logs[parts[:, 0]], before)
+        return at
 
     def __call__(self, texts: list[list[str]]) -> np.ndarray:
         """Scores of the words of some texts."""
         net, gap = self.model.net, max(WIDTHS) - 1
         flat = [w for words in texts for w in (*words, *[""] * gap)]
-        self._learn(flat)
-        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        at = self._places(flat)
         sizes = np.array([len(words) for words in texts])
         begin = np.cumsum(sizes + gap) - sizes - gap
         pooled = np.full((len(texts), FILTERS, TOP), -np.inf, dtype=np.float32)
@@ -458,21 +546,30 @@ def _hashed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         hashed: dict[str, bytes] = {}
-        for batch in batches:
-            parts, at, copies = [], [], []
-            for h, tie, text in zip(batch.column("h").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
-                words = words_of(text.as_py())
-                known = {w: n for n, w in enumerate(dict.fromkeys(words))}
-                if len(hashed) > CACHE:
-                    hashed.clear()
-                for w in known:
-                    if w not in hashed:
-                        hashed[w] = np.array(buckets(w), dtype="<u2").tobytes()
-                parts.append(b"".join(map(hashed.__getitem__, known)))
-                at.append(np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words)).tobytes())
+
+        def of(batch: pa.RecordBatch, held: list[tuple[np.ndarray, Places]]) -> pa.RecordBatch:
+            if len(hashed) > CACHE:
+                hashed.clear()
+            if new := [w for w in dict.fromkeys(chain.from_iterable(known for _, known in held)) if w not in hashed]:
+                made = buckets_of(new).astype("<u2").tobytes()
+                hashed.update((w, made[n : n + 2 * PARTS]) for w, n in zip(new, range(0, len(made), 2 * PARTS)))
+            copies = []
+            for h, tie in zip(batch.column("h").to_pylist(), batch.column("tie").to_pylist()):
                 copies.append(seen[h, tie])
                 seen[h, tie] += 1
-            yield pa.record_batch([*(batch.column(c) for c in ("toxic", "lang", "h", "tie")), pa.array(copies, pa.int64()), pa.array(parts, pa.binary()), pa.array(at, pa.binary())], names=["toxic", "lang", "h", "tie", "copy", "parts", "at"])
+            parts = pa.array([b"".join(map(hashed.__getitem__, known)) for _, known in held], pa.binary())
+            at = pa.array([places.astype("<u4").tobytes() for places, _ in held], pa.binary())
+            return pa.record_batch([*(batch.column(c) for c in ("toxic", "lang", "h", "tie")), pa.array(copies, pa.int64()), parts, at], names=["toxic", "lang", "h", "tie", "copy", "parts", "at"])
+
+        for batch in batches:
+            held, first, count = [], 0, 0
+            for n, text in enumerate(batch.column("text")):
+                words, known = words_of(text.as_py()), Places()
+                held.append((known.of(words), known))
+                count += len(words)
+                if count >= TOGETHER or n + 1 == batch.num_rows:
+                    yield of(batch.slice(first, n + 1 - first), held)
+                    held, first, count = [], n + 1, 0
 
     return rows.mapInArrow(run, "toxic int, lang string, h long, tie long, copy long, parts binary, at binary")
 
@@ -504,12 +601,29 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int, most: int = MOST
     return made.withColumn("_before", before).where(F.col("_before") < most / 2).drop("_before")
 
 
+def near_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` without most rows that have no label: those whose id's hash no labelled id has, by a
+    bitmap of 2^FILTER_BITS bits, a size that does not depend on the labels. It spares shuffling their
+    texts; what passes is joined exactly."""
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << FILTER_BITS)) + 1
+        return rows.withColumns({"_block": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+
+    # Ids are shuffled, not bitmaps.
+    bits = hashed(known).select("_block", "_bit").repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_bit DIV 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    rows, held = hashed(docs), saved(bits.withColumnRenamed("_block", "_of"), "toxic-bitmap")
+    met = (F.col("_block") == F.col("_of")) & (F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(held), met, "left_semi").drop("_block", "_bit")
+
+
 def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(shard, toxic, lang, fold, parts, at): the hashed words of all labelled rows, as a table whose
     files are shards in the order of hashes."""
     known = saved(labelled(labels), "toxic-known")
     shards = max(1, -(-known.count() // SHARD))
-    rows = spread_join(_texts(docs).where(~_held_out()), known, "doc_id", "toxic", "inner").select("toxic", "lang", *_keys(), "text")
+    rows = spread_join(near_labelled(_texts(docs).where(~_held_out()), known), known, "doc_id", "toxic", "inner").select("toxic", "lang", *_keys(), "text")
     dealt = _hashed(rows).withColumn("shard", F.pmod(F.xxhash64("tie", "copy", "h"), F.lit(shards)).cast("int"))
     dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "tie", "copy")
     return saved(dealt.select("shard", "toxic", "lang", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "parts", "at"), "toxic-examples")

@@ -210,3 +210,38 @@ def test_counts_rounds_and_thresholds_are_of_all_rows(spark, monkeypatch):
     exact = tox.calibrated(logits, toxic, languages.of_examples(examples), len(languages.names), ones, ones)
     counted = tox.calibrated(found[:, 2] / tox.GRID, found[:, 1], found[:, 0], len(languages.names), found[:, 3], found[:, 3])
     assert np.abs(exact - counted).max() <= 2 / tox.GRID
+
+
+def test_words_and_hashes_equal_one_by_one():
+    import re
+
+    import xxhash
+
+    rng = random.Random(4)
+    letters = "abcdefghij0123456789" * 5 + "éß²日"
+    words = ["a", "abc", "straße", "x" * 14, "x" * 15, "y" * 300] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 18))) for _ in range(2_000)]
+    for word, found in zip(words, tox.buckets_of(words).tolist()):
+        parts = ["=" + word, *("^" + word[:k] for k in tox.BEGINNINGS if k <= len(word))]
+        want = [xxhash.xxh32_intdigest(p) % (tox.BUCKETS - 1) + 1 for p in parts]
+        assert found == want + [0] * (tox.PARTS - len(want))
+    for text in ["Hällo, wörld_x ² ½ª\xa0ab\x85c", "ẞ İstanbul Straße", "日本 a-b", "\x1ca\x1db"] + ["".join(chr(rng.randrange(300)) for _ in range(40)) for _ in range(500)]:
+        assert tox.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+
+
+def test_few_texts_without_label_are_shuffled(spark):
+    """Of 3,000 texts 300 have a label; the others do not meet the join, and no labelled one is lost."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "'en' AS lang", "CONCAT('text ', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, 'en' AS lang, 'x' AS text"))
+    known = spark.range(0, 3_000, 10).selectExpr("id AS doc_id", "0 AS toxic")
+    found = [r.doc_id for r in tox.near_labelled(docs, known).collect()]
+    assert len(found) == len(set(found)) and set(range(0, 3_000, 10)) <= set(found) and len(found) < 320
+
+
+def test_training_by_columns_equals_windows():
+    rng = np.random.default_rng(2)
+    net = tox.Net([example("stone river walks " * 5, 0), example("grobla zukat", 1)], 3)
+    x, at = rng.normal(size=(40, tox.DIM)).astype(np.float32), rng.integers(0, 40, 500)
+    a, b = tox.convolved(net._projected(x), at), tox.convolved_by_column(net._projection().T @ x.T, at)
+    assert a.shape == b.shape and np.allclose(a, b, atol=1e-5)
+    places, rows = np.array([3, 70_000, 3, 1]), rng.normal(size=(4, 2)).astype(np.float32)
+    for size in (70_001, 1 << 20):
+        assert np.allclose(tox.added_up(places, rows, size)[[1, 3, 70_000]], [rows[3], rows[0] + rows[2], rows[1]])
