@@ -9,19 +9,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, horizon_h: int | None = None, keys: Sequence[str] = ("provider", "message_id")) -> DataFrame:
+def latest(df: DataFrame, horizon_h: int | None = None, keys: Sequence[str] = ("provider", "message_id"), partitions: int | None = None) -> DataFrame:
     """One event per message: within a file the last line wins, across files the latest
     ingest, then the latest time, then the greater file name.
 
     Rows are shuffled once, by message; the last line of each file and then the best file are
-    found by sorting there, which spills. With ``horizon_h`` an event more than that many hours
+    found by sorting there, which spills; ``partitions`` is for rows known to be too many for the
+    session's number of shuffle partitions. With ``horizon_h`` an event more than that many hours
     after the one before it starts a new row, as if the id had been forgotten meanwhile."""
     if horizon_h is not None:
         order = Window.partitionBy(*keys).orderBy("ts_ms", "ingest_seq", "line_no")
         new = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) > horizon_h * 3_600_000, F.lit(True))
         runs = df.withColumn("_new", new.cast("int"))
-        return latest(runs.withColumn("_run", F.sum("_new").over(order)), None, (*keys, "_run")).drop("_new", "_run")
-    dealt = df.repartition(*keys)
+        return latest(runs.withColumn("_run", F.sum("_new").over(order)), None, (*keys, "_run"), partitions).drop("_new", "_run")
+    # By the message alone: a provider that is the same for all rows is a constant to Spark, which
+    # would shuffle again for each window. The windows' keys have the message among them.
+    by = [k for k in keys if k != "provider"] or keys
+    dealt = df.repartition(partitions, *by) if partitions else df.repartition(*by)
     in_file = Window.partitionBy(*keys, "source_file").orderBy(F.desc("ingest_seq"), F.desc("line_no"))
     last = dealt.withColumn("_n", F.row_number().over(in_file)).where("_n = 1")
     best = Window.partitionBy(*keys).orderBy(F.desc("ingest_seq"), F.desc("ts_ms"), F.desc("source_file"))

@@ -21,6 +21,8 @@ from tallyforge.sources.logs import CONTEXT, PROVIDERS, ProviderSpec, codex_ends
 from tallyforge.sources.tail import SPLIT, Manifest, file_name, read_manifest, survey, tail, write_manifest, write_plan
 
 PARTITIONS = ("provider", "event_date")
+#: Bytes of logs, and of a table's files, whose events are sorted in one task.
+LOG_BYTES, TABLE_BYTES = 32 << 20, 4 << 20
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -41,10 +43,24 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(USAGE_EVENTS).parquet(path)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    """The size of all files below a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
+
+
+def _tasks(spark: SparkSession, log_bytes: int, table_bytes: int = 0) -> int | None:
+    """Partitions for the events of so many bytes, if the session's shuffles have fewer: a task's
+    events then do not grow with the logs."""
+    wanted = -(-log_bytes // LOG_BYTES) + -(-table_bytes // TABLE_BYTES)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def rebuild(spark: SparkSession, roots: Mapping[str, str], path: str, specs: Mapping[str, ProviderSpec] = PROVIDERS) -> DataFrame:
     """Read all logs, keep the latest version of each message, write the table; returns the
     summary by model, of the table as written."""
-    write_events(latest(read_logs(spark, roots, specs)), path)
+    write_events(latest(read_logs(spark, roots, specs), partitions=_tasks(spark, sum(_bytes(spark, root) for root in roots.values()))), path)
     return usage(read_events(spark, path))
 
 
@@ -103,7 +119,7 @@ def _update_rollup(spark: SparkSession, path: str, deltas: DataFrame, staged: st
         remove(spark, f"{_rollup_path(path)}/event_date={day}")
 
 
-def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None = None) -> int:
+def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None = None, log_bytes: int = 0) -> int:
     """Upsert a batch of parsed events into the table; returns how many rows were new. A rollup that
     is kept beside the table (``keep_rollup``) gets the difference: new rows in, replaced versions
     out, in the hours that changed.
@@ -114,19 +130,20 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     to change later. Only the days that new rows or the rows they replace fall on are read whole
     and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
     be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
-    the driver, a few bytes for each day."""
+    the driver, a few bytes for each day. ``log_bytes``: the size of the logs that the batch is read
+    from, by which it is dealt to tasks."""
     staged = f"{path.rstrip('/')}-staging/{uuid.uuid4().hex}"
     try:
-        return _merge(spark, batch, path, horizon_days, staged)
+        return _merge(spark, batch, path, horizon_days, staged, log_bytes)
     finally:
         remove(spark, staged)
 
 
-def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None, staged: str) -> int:
+def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int | None, staged: str, log_bytes: int) -> int:
     stored = read_events(spark, path)
     # Versions that a later line of the batch replaces are dropped first: they are not in
     # the table, and would count as new each time their file is parsed again.
-    latest(batch).write.mode("overwrite").parquet(f"{staged}/batch")
+    latest(batch, partitions=_tasks(spark, log_bytes)).write.mode("overwrite").parquet(f"{staged}/batch")
     batch = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/batch")
     own = [tuple(r) for r in batch.select(*PARTITIONS).distinct().collect()]
     if not own:
@@ -143,7 +160,7 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     ids = fresh.select("provider", "message_id").distinct()
     replaced = near.select(*PARTITIONS, "message_id").join(ids, ["provider", "message_id"], "left_semi")
     days = [tuple(r) for r in fresh.select(*PARTITIONS).unionByName(replaced.select(*PARTITIONS)).distinct().collect()]
-    merged = latest(stored.where(_days_of(days)).unionByName(fresh))
+    merged = latest(stored.where(_days_of(days)).unionByName(fresh), partitions=_tasks(spark, 0, _bytes(spark, path) + _bytes(spark, f"{staged}/fresh")))
     merged.write.mode("overwrite").parquet(f"{staged}/merged")
     merged = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/merged")
     with_rollup = _exists(spark, _rollup_path(path))
@@ -165,7 +182,7 @@ def ingest_changed(
     ``modifiedAfter``). A changed file is parsed whole and its known events are left out,
     so appended, compacted and rewritten files need no special case and a repeat is harmless."""
     batches = [read_provider(spark, root, specs[name], modified_after=since) for name, root in roots.items()]
-    return ingest(spark, reduce(DataFrame.unionByName, batches), path, horizon_days)
+    return ingest(spark, reduce(DataFrame.unionByName, batches), path, horizon_days, sum(_bytes(spark, root) for root in roots.values()))
 
 
 def _offsets(path: str, name: str) -> str:
@@ -183,13 +200,14 @@ def ingest_tail(
     events are stored: a failed run is repeated from where the last one ended, and events that it
     had stored are left out. Lines that take context from lines before them get what the last
     reading of their file left. The table is made if it does not exist."""
-    batches, manifests = [], {}
+    batches, manifests, size = [], {}, 0
     for name, root in roots.items():
         spec = specs[name]
         known = read_manifest(f"{_offsets(path, name)}.jsonl")
         marks, ranges = survey(root, spec.file_pattern, known.marks)
         manifest = Manifest(marks, {r.path: r.end - r.start for r in ranges}, {p: c for p, c in known.context.items() if p in marks})
         manifests[name] = manifest
+        size += sum(r.end - r.start for r in ranges)
         if not ranges:
             continue
         lines = tail(spark, root, spec.file_pattern, spec.needles, write_plan(f"{_offsets(path, name)}.plan", ranges), split_bytes)
@@ -208,9 +226,9 @@ def ingest_tail(
     if batches:
         batch = reduce(DataFrame.unionByName, batches)
         if _exists(spark, path):
-            count = ingest(spark, batch, path, horizon_days)
+            count = ingest(spark, batch, path, horizon_days, size)
         else:
-            write_events(latest(batch), path)
+            write_events(latest(batch, partitions=_tasks(spark, size)), path)
             count = read_events(spark, path).count()
     for name, manifest in manifests.items():
         write_manifest(f"{_offsets(path, name)}.jsonl", manifest)

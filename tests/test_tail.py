@@ -391,3 +391,19 @@ def test_small_splits_share_tasks(spark, tmp_path):
     found = [(r.split, r.line_no, r.value) for r in tail.tail(spark, str(tmp_path), PATTERN, split_bytes=100).collect()]
     assert sorted(found) == [(i * 7 // 100 * 100, i * 7, str(100_000 + i)) for i in range(30_000)]
     assert all(p.stop - p.start <= tail.SPLIT for p in tail.splits([tail.Range("a", 0, 100 << 30, 0)], 1 << 16))
+
+
+def test_events_of_large_logs_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Finding the latest versions takes one shuffle, of as many tasks as the logs' size needs."""
+    monkeypatch.setattr(ingest, "LOG_BYTES", 1_000)
+    where, seen = tmp_path / "logs" / "projects" / "p" / f"{A}.jsonl", []
+    where.parent.mkdir(parents=True)
+    line = lambda n: json.dumps({"type": "assistant", "timestamp": f"2024-01-0{1 + n % 3}T00:00:00.{n % 1000:03}Z", "message": {"id": f"m{n % 150}", "model": "m", "usage": {"input_tokens": n}}})
+    where.write_text("".join(line(n) + "\n" for n in range(200)))
+    plain = ingest.latest
+    monkeypatch.setattr(ingest, "latest", lambda df, **given: seen.append(plain(df, **given)) or seen[-1])
+    ingest.rebuild(spark, {"claude_code": str(tmp_path / "logs")}, str(tmp_path / "table"))
+    assert seen[0].rdd.getNumPartitions() == -(-where.stat().st_size // 1_000) > 20
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = {r.message_id: r.input_tokens for r in ingest.read_events(spark, str(tmp_path / "table")).collect()}
+    assert found == {f"m{n % 150}": n for n in range(200)}
