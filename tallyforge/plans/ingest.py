@@ -127,8 +127,9 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     An event that was stored before has the batch's time, so it is looked for on the batch's days
     alone. Earlier versions of the batch's messages may lie on any day: their keys alone are read,
     of all days, or of the days within ``horizon_days`` of the batch's, if messages are known not
-    to change later. Only the days that new rows or the rows they replace fall on are read whole
-    and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
+    to change later. A batch that replaces nothing is added to its days as further files, so what it
+    costs does not grow with the table. Otherwise the days that new rows or the rows they replace fall
+    on are read whole and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
     be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
     the driver, a few bytes for each day. ``log_bytes``: the size of the logs that the batch is read
     from, by which it is dealt to tasks."""
@@ -159,11 +160,19 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
         near = stored.where(F.col("event_date").between(min(dates) - reach, max(dates) + reach))
     ids = fresh.select("provider", "message_id").distinct()
     replaced = near.select(*PARTITIONS, "message_id").join(ids, ["provider", "message_id"], "left_semi")
-    days = [tuple(r) for r in fresh.select(*PARTITIONS).unionByName(replaced.select(*PARTITIONS)).distinct().collect()]
+    lost = {tuple(r) for r in replaced.select(*PARTITIONS).distinct().collect()}
+    with_rollup = _exists(spark, _rollup_path(path))
+    if not lost:  # nothing to replace: the new rows go beside the others
+        if with_rollup:
+            rollup_deltas(fresh, fresh.where("false")).write.mode("overwrite").parquet(f"{staged}/deltas")
+        write_events(fresh, path, "append")
+        if with_rollup:
+            _update_rollup(spark, path, spark.read.parquet(f"{staged}/deltas"), staged)
+        return count
+    days = sorted(lost | {tuple(r) for r in fresh.select(*PARTITIONS).distinct().collect()})
     merged = latest(stored.where(_days_of(days)).unionByName(fresh), partitions=_tasks(spark, 0, _bytes(spark, path) + _bytes(spark, f"{staged}/fresh")))
     merged.write.mode("overwrite").parquet(f"{staged}/merged")
     merged = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/merged")
-    with_rollup = _exists(spark, _rollup_path(path))
     if with_rollup:  # while the table still has the replaced versions
         rollup_deltas(merged, stored.where(_days_of(days))).write.mode("overwrite").parquet(f"{staged}/deltas")
     _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyarrow import fs
@@ -403,7 +404,30 @@ def test_events_of_large_logs_are_dealt_by_size(spark, tmp_path, monkeypatch):
     plain = ingest.latest
     monkeypatch.setattr(ingest, "latest", lambda df, **given: seen.append(plain(df, **given)) or seen[-1])
     ingest.rebuild(spark, {"claude_code": str(tmp_path / "logs")}, str(tmp_path / "table"))
-    assert seen[0].rdd.getNumPartitions() == -(-where.stat().st_size // 1_000) > 20
-    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plan, tasks = seen[0]._jdf.queryExecution().executedPlan().toString(), -(-where.stat().st_size // 1_000)
+    assert plan.count("Exchange hashpartitioning") == 1 and tasks > 20
+    assert re.search(r"Exchange hashpartitioning\(message_id#\d+, (\d+)\)", plan).group(1) == str(tasks)
     found = {r.message_id: r.input_tokens for r in ingest.read_events(spark, str(tmp_path / "table")).collect()}
     assert found == {f"m{n % 150}": n for n in range(200)}
+
+
+def test_batches_that_replace_nothing_are_added(spark, tmp_path):
+    """Files of the table stay as they are; a batch with a later version rewrites its day."""
+    root, table = tmp_path / "logs", tmp_path / "table"
+    f = root / "projects" / "p" / f"{A}.jsonl"
+    run = lambda: ingest.ingest_tail(spark, {"claude_code": str(root)}, str(table))
+    files = lambda: {p: p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+    put(f, claude("m1", 1) + "\n")
+    assert run() == 1
+    ingest.keep_rollup(spark, str(table))
+    first = files()
+    put(f, claude("m2", 2) + "\n" + claude("m3", 3, "2026-03-09T12:00:00Z") + "\n", "a")
+    assert run() == 2
+    second = files()
+    assert first.items() < second.items() and len(second) == 3
+    put(f, claude("m1", 9, "2026-03-08T23:00:00Z") + "\n", "a")
+    assert run() == 1 and not first.keys() & files().keys()
+    rows = sorted((r.message_id, r.input_tokens) for r in ingest.read_events(spark, str(table)).collect())
+    assert rows == [("m1", 9), ("m2", 2), ("m3", 3)]
+    kept = ingest.read_rollup(spark, str(table)).agg(F.sum("event_count"), F.sum("input_tokens")).first()
+    assert tuple(kept) == (3, 14)
