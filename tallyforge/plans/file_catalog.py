@@ -68,9 +68,10 @@ def in_ranges(u: DataFrame, file: Column) -> DataFrame:
     return u.withColumn("_file", file).repartitionByRange(tasks, "_file", "line_no").drop("_file")
 
 
-def write_logs(numbered: DataFrame, root: str, codex: bool = False) -> str:
+def write_logs(numbered: DataFrame, root: str, codex: bool = False, append: bool = False) -> str:
     """Write lines (value, file, order), dealt by ``in_ranges``, as log files below ``root``, one for
-    each file number, each in order, and give them a provider's names; returns ``root``."""
+    each file number, each in order, and give them a provider's names; returns ``root``. With ``append``
+    the lines go behind those that the files have."""
     spark, made = numbered.sparkSession, f"{root}/made"
     numbered.sortWithinPartitions("file", "order", "value").select("value", "file").write.partitionBy("file").text(made)
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -81,22 +82,22 @@ def write_logs(numbered: DataFrame, root: str, codex: bool = False) -> str:
         parts.setdefault(f"{root}/{_place(number, codex)}", []).append((found.getPath().toString(), found.getLen()))
     for place, own in parts.items():
         parts[place] = sorted(own, key=lambda part: part[0].rsplit("/", 1)[1])  # tasks are numbered in the order of ranges
-    join_files(spark, root, parts)
+    join_files(spark, root, parts, **({"append": True} if append else {}))
     files.delete(path(made), True)
     return root
 
 
-def claude_logs(u: DataFrame, root: str) -> str:
+def claude_logs(u: DataFrame, root: str, append: bool = False) -> str:
     rows = catalog.claude_lines(in_ranges(u, _file_number()).withColumn("project", _file_number().cast("string")))
     file = F.regexp_extract("source_file", "/projects/([0-9]+)/", 1).cast("int")
-    return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root)
+    return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root, append=append)
 
 
-def codex_logs(u: DataFrame, root: str) -> str:
+def codex_logs(u: DataFrame, root: str, append: bool = False) -> str:
     """Lines of all sessions of a file in the order of events; each event names its session."""
     rows = catalog.codex_lines(in_ranges(u, _file_number()))
     file = F.regexp_extract("source_file", "rollout-s([0-9]+)", 1).cast("int") % FILES
-    return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root, codex=True)
+    return write_logs(rows.select("value", file.alias("file"), F.col("line_no").alias("order")), root, codex=True, append=append)
 
 
 _COLUMNS = ["provider", "message_id", "ts_ms", "model", "session_id", "project", *COUNTERS]
@@ -186,12 +187,14 @@ def retained_table(spark, sf_dir):
     return ingest.read_events(spark, path).select("provider", "message_id", "ts_ms")
 
 
-def _grown(u: DataFrame, root: str, write: Callable[[DataFrame, str], str], part: int, parts: int) -> str:
+def _grown(u: DataFrame, root: str, write: Callable[..., str], part: int, parts: int) -> str:
     """The logs of the first of some parts of the events, in the order of events: each later part
     leaves the lines of the files as they were and adds to them."""
-    number = F.col("message_id").cast("long")
+    number = F.col("line_no")  # an event's number, as the scan has it: parts of the table that hold no such events are passed over
     last = u.agg(F.max(number)).first()[0]
-    return write(u.where(number <= last * part / parts), root)
+    if part == 1:
+        return write(u.where(number <= last / parts), root)
+    return write(u.where((number > last * (part - 1) / parts) & (number <= last * part / parts)), root, append=True)
 
 
 @registered(f"{_CLAUDE_ROWS.replace('input_tokens,', 'input_tokens + CASE WHEN event_id % 6 = 0 THEN 5 ELSE 0 END AS input_tokens,', 1)} FROM u")

@@ -194,33 +194,38 @@ def write_report(parts: DataFrame, path: str) -> None:
     parts.orderBy("section", "provider", "part", "at").select("value").write.text(path)
 
 
-def join_files(spark: SparkSession, root: str, parts: Mapping[str, Sequence[tuple[str, int]]]) -> None:
-    """Make files below ``root`` of parts (name, bytes) in their order. In a local or mounted folder
-    each part is copied to its place by a task of its own; in other stores, where a file is written
-    from its start to its end, each file is a task. Either way a block of bytes is held at a time."""
+def join_files(spark: SparkSession, root: str, parts: Mapping[str, Sequence[tuple[str, int]]], append: bool = False) -> None:
+    """Make files below ``root`` of parts (name, bytes) in their order, or ``append`` them to the files.
+    In a local or mounted folder each part is copied to its place by a task of its own; in other stores, where a file is written
+    from its start to its end, each file is a task (its earlier bytes come first, and the new file takes
+    its place when it is whole). Either way a block of bytes is held at a time."""
     system, _, _ = opened(root)
     local, jobs = isinstance(system, fs.LocalFileSystem), []
     for target, own in parts.items():
         at = opened(target)[1]
         system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        before = system.get_file_info(at).size or 0 if append else 0
         if not local:
-            jobs.append((target, 0, [name for name, _ in own]))
+            jobs.append((target, before, [*([target] if before else []), *[name for name, _ in own]]))
             continue
-        with open(at, "wb"):  # an earlier file of this name ends here
+        with open(at, "ab" if append else "wb"):  # else an earlier file of this name ends here
             pass
-        starts = accumulate([size for _, size in own], initial=0)
+        starts = accumulate([size for _, size in own], initial=before)
         jobs += [(target, start, [name]) for (name, _), start in zip(own, starts)]
 
     def join(job: tuple[str, int, list[str]]) -> None:
         target, start, names = job
         system, at, _ = opened(target)
-        with open(at, "r+b") if local else system.open_output_stream(at) as out:
-            if start:
+        new = at if local or not start else f"{at}.new"
+        with open(at, "r+b") if local else system.open_output_stream(new) as out:
+            if local and start:
                 out.seek(start)
             for name in names:
                 with system.open_input_stream(opened(name)[1]) as file:
                     while block := file.read(BLOCK):
                         out.write(block)
+        if new != at:
+            system.move(new, at)
 
     if jobs:
         spark.sparkContext.parallelize(jobs, len(jobs)).foreach(join)

@@ -24,9 +24,12 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -163,59 +166,76 @@ def splits(ranges: Sequence[Range], size: int) -> list[Split]:
     ]
 
 
-def lines_of(file: pa.NativeFile, part: Split) -> Iterator[tuple[int, bytes]]:
-    """(place, line) of the lines that start within a split."""
+def blocks_of(file: pa.NativeFile, part: Split) -> Iterator[tuple[int, bytes]]:
+    """(place, whole lines) of the lines that start within a split, a block of bytes at a time; the
+    last line of a range may lack its line end."""
     at = part.start if part.first else part.start - 1
     rest, skipping = b"", not part.first
     file.seek(at)
-    while at < part.stop or rest or skipping:
+    while at < part.stop:
         block = file.read(min(BLOCK, part.end - at - len(rest)))
         data = rest + block
-        pieces = data.split(b"\n")
-        rest = pieces.pop()
-        for piece in pieces:
-            if skipping:
-                skipping = False
-            elif at < part.stop:
-                yield at, piece
-            else:
+        if skipping:  # the line before, which belongs to the split that it starts in
+            cut = data.find(b"\n") + 1
+            at += cut or len(data)
+            if not cut:
+                if not block:
+                    return
+                continue
+            data, skipping = data[cut:], False
+            if at >= part.stop:
                 return
-            at += len(piece) + 1
-        if not skipping and at >= part.stop:
-            return
+        cut = data.rfind(b"\n") + 1 if block else len(data)
+        whole, rest = data[:cut], data[cut:]
+        if at + len(whole) > part.stop:
+            whole = whole[: whole.find(b"\n", part.stop - 1 - at) + 1 or len(whole)]
+        if whole:
+            yield at, whole
         if not block:
-            if rest and not skipping:
-                yield at, rest
             return
+        at += len(whole)
+
+
+def lines_of(file: pa.NativeFile, part: Split) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that start within a split."""
+    for at, data in blocks_of(file, part):
+        for line in data.removesuffix(b"\n").split(b"\n"):
+            yield at, line
+            at += len(line) + 1
+
+
+def _values(lines: pa.Array, data: bytes) -> pa.Array:
+    """Lines as text: without carriage returns at their ends, bytes that are no UTF-8 replaced."""
+    if b"\r" not in data:
+        try:
+            return lines.cast(pa.string())
+        except pa.ArrowInvalid:
+            pass
+    return pa.array([line.rstrip(b"\r").decode("utf-8", "replace") for line in lines.to_pylist()], pa.string())
 
 
 def read_split(part: Split, root: str, needles: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """Lines of a split that hold one of the needles (all, if there are none), as rows."""
+    """Lines of a split that hold one of the needles (all, if there are none), as rows. Arrow cuts a
+    block into lines and looks for the needles."""
     system, _, prefix = opened(root)
-    wanted = [n.encode() for n in needles]
     name = prefix + quote(part.path, safe="/:=@!$&'()*+,;~")
-    values: list[str] = []
-    places: list[int] = []
-
-    def rows() -> pa.RecordBatch:
-        n = len(values)
-        columns = [
-            pa.array(values, pa.string()), pa.array([name] * n, pa.string()), pa.array([p - (p - part.start) % part.step for p in places], pa.int64()), pa.array(places, pa.int64()),
-            pa.array([part.modified_ms * 1000] * n, pa.int64()).cast(pa.timestamp("us", tz="UTC")), pa.array([part.modified_ms] * n, pa.int64()),
-        ]
-        return pa.record_batch(columns, names=["value", "source_file", "split", "line_no", "modified", "ingest_seq"])
-
     with system.open_input_file(part.path) as file:
-        for place, line in lines_of(file, part):
-            if line and (not wanted or any(n in line for n in wanted)):
-                values.append(line.rstrip(b"\r").decode("utf-8", "replace"))
-                places.append(place)
-                if len(values) == ROWS:
-                    yield rows()
-                    values.clear()
-                    places.clear()
-    if values:
-        yield rows()
+        for at, data in blocks_of(file, part):
+            lines = pc.split_pattern(pa.array([data.removesuffix(b"\n")], pa.binary()), "\n").flatten()
+            sizes = pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+            places = at + np.cumsum(sizes + 1) - sizes - 1
+            wanted = sizes > 0
+            if needles:
+                wanted &= reduce(np.logical_or, [pc.match_substring(lines, n).to_numpy(zero_copy_only=False) for n in needles])
+            values, places = _values(lines.filter(pa.array(wanted)), data), places[wanted]
+            for k in range(0, len(places), ROWS):
+                own = places[k : k + ROWS]
+                n = len(own)
+                columns = [
+                    values.slice(k, n), pa.repeat(pa.scalar(name), n), pa.array(own - (own - part.start) % part.step), pa.array(own),
+                    pa.repeat(pa.scalar(part.modified_ms * 1000, pa.int64()), n).cast(pa.timestamp("us", tz="UTC")), pa.repeat(pa.scalar(part.modified_ms, pa.int64()), n),
+                ]
+                yield pa.record_batch(columns, names=["value", "source_file", "split", "line_no", "modified", "ingest_seq"])
 
 
 class LogTail(DataSource):

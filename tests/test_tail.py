@@ -431,3 +431,49 @@ def test_batches_that_replace_nothing_are_added(spark, tmp_path):
     assert rows == [("m1", 9), ("m2", 2), ("m3", 3)]
     kept = ingest.read_rollup(spark, str(table)).agg(F.sum("event_count"), F.sum("input_tokens")).first()
     assert tuple(kept) == (3, 14)
+
+
+def test_growing_logs_are_written_once(spark, data, tmp_path):
+    from tallyforge.plans import file_catalog as C
+
+    u, seen = C._events(spark, data), []
+
+    def write(rows, root, append=False):
+        seen.append(rows.count())
+        return C.claude_logs(rows, root, append)
+
+    for part in (1, 2, 3):
+        C._grown(u, str(tmp_path / "grown"), write, part, 3)
+    assert sum(seen) == u.count() and min(seen) > 0
+    C.claude_logs(u, str(tmp_path / "whole"))
+    whole = {p.relative_to(tmp_path / "whole"): p.read_bytes() for p in (tmp_path / "whole").rglob("*.jsonl")}
+    assert whole == {p.relative_to(tmp_path / "grown"): p.read_bytes() for p in (tmp_path / "grown").rglob("*.jsonl")}
+
+
+def test_joined_files_grow_in_stores_that_write_whole_files(spark, tmp_path, monkeypatch):
+    from tallyforge import sinks
+
+    monkeypatch.setattr(sinks.fs, "LocalFileSystem", type("Other", (), {}))  # the root counts as another store
+    monkeypatch.setattr(sinks, "opened", lambda path: (fs.SubTreeFileSystem("/", fs.FileSystem.from_uri("file:///")[0]), path, "file://"))
+    runs = []
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda jobs, n: type("Jobs", (), {"foreach": lambda self, f: runs.extend(map(f, jobs))})())
+    for n in (1, 2):
+        (tmp_path / f"part{n}").write_text(f"{n}\n")
+        sinks.join_files(spark, str(tmp_path), {f"{tmp_path}/a/b.jsonl": [(f"{tmp_path}/part{n}", 2)]}, append=True)
+    assert (tmp_path / "a/b.jsonl").read_text() == "1\n2\n" and len(runs) == 2
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["b.jsonl"]
+
+
+def test_blocks_are_cut_into_the_lines_that_a_line_at_a_time_gives(tmp_path, monkeypatch):
+    draw, path = random.Random(5), tmp_path / "a.jsonl"
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(tail, "BLOCK", block)
+        for _ in range(40):
+            text = b"".join(draw.choice([b"a", b"\n", b"\n", b"\r", b"\xff", "é".encode(), b"needle"]) for _ in range(draw.randrange(1, 40)))
+            path.write_bytes(text)
+            starts = [0, *[n + 1 for n, c in enumerate(text) if c == 10]]
+            for needles in ((), ("needle", "a\r")):
+                want = [(at, line.rstrip(b"\r").decode("utf-8", "replace")) for at, line in zip(starts, text.split(b"\n")) if line and (not needles or any(n.encode() in line for n in needles))]
+                parts = tail.splits([tail.Range(str(path), 0, len(text), 7)], draw.choice([1, 5, 100]))
+                rows = [r for p in parts for b in tail.read_split(p, str(tmp_path), needles) for r in b.to_pylist()]
+                assert [(r["line_no"], r["value"]) for r in rows] == want
