@@ -76,6 +76,30 @@ def _partition_path(path: str, provider: str, day: date) -> str:
     return f"{path.rstrip('/')}/provider={provider}/event_date={day}"
 
 
+def _replace_days(spark: SparkSession, staged: str, path: str, days: list) -> None:
+    """Put the folders of days of a table that was written aside in the places of the table's own; of
+    ``days``, one that has none there loses its folder. Folders are renamed, so no row is written again;
+    an old one is moved aside first, and back if the new one cannot take its place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files, written = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), set()
+    for found in files.globStatus(at(f"{staged}/{PARTITIONS[0]}=*/{PARTITIONS[1]}=*")):
+        new = found.getPath()
+        provider, name = new.getParent().getName(), new.getName()
+        own, aside = at(f"{path.rstrip('/')}/{provider}/{name}"), at(f"{staged}/replaced/{provider}/{name}")
+        written.add(own.toString())
+        files.mkdirs(own.getParent())
+        files.mkdirs(aside.getParent())
+        had = files.exists(own)
+        if had and not files.rename(own, aside) or not files.rename(new, own):
+            if had and not files.exists(own):
+                files.rename(aside, own)
+            raise OSError(f"{new.toString()} cannot take the place of {own.toString()}")
+    for provider, day in days:
+        if at(_partition_path(path, provider, day)).toString() not in written:
+            remove(spark, _partition_path(path, provider, day))
+    spark.catalog.refreshByPath(path)
+
+
 ROLLUP = f"hour_ms long, provider string, model string, {', '.join(f'{c} long' for c in COUNTERS)}, event_count long, event_date date"
 
 
@@ -129,8 +153,8 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
     of all days, or of the days within ``horizon_days`` of the batch's, if messages are known not
     to change later. A batch that replaces nothing is added to its days as further files, so what it
     costs does not grow with the table. Otherwise the days that new rows or the rows they replace fall
-    on are read whole and rewritten, by dynamic partition overwrite from a copy made first, so a failed write can
-    be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
+    on are read whole and written aside as a table of the same form, and once all are whole their folders take the
+    places of the table's, so a failed write can be repeated; a day that loses its last row loses its folder. Lists of days are gathered at
     the driver, a few bytes for each day. ``log_bytes``: the size of the logs that the batch is read
     from, by which it is dealt to tasks."""
     staged = f"{path.rstrip('/')}-staging/{uuid.uuid4().hex}"
@@ -171,14 +195,10 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, horizon_days: int |
         return count
     days = sorted(lost | {tuple(r) for r in fresh.select(*PARTITIONS).distinct().collect()})
     merged = latest(stored.where(_days_of(days)).unionByName(fresh), partitions=_tasks(spark, 0, _bytes(spark, path) + _bytes(spark, f"{staged}/fresh")))
-    merged.write.mode("overwrite").parquet(f"{staged}/merged")
-    merged = spark.read.schema(USAGE_EVENTS).parquet(f"{staged}/merged")
+    write_events(merged, f"{staged}/merged")
     if with_rollup:  # while the table still has the replaced versions
-        rollup_deltas(merged, stored.where(_days_of(days))).write.mode("overwrite").parquet(f"{staged}/deltas")
-    _ordered(merged).write.mode("overwrite").partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").parquet(path)
-    left = {tuple(r) for r in merged.select(*PARTITIONS).distinct().collect()}
-    for provider, day in set(days) - left:
-        remove(spark, _partition_path(path, provider, day))
+        rollup_deltas(read_events(spark, f"{staged}/merged"), stored.where(_days_of(days))).write.mode("overwrite").parquet(f"{staged}/deltas")
+    _replace_days(spark, f"{staged}/merged", path, days)
     if with_rollup:
         _update_rollup(spark, path, spark.read.parquet(f"{staged}/deltas"), staged)
     return count

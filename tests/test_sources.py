@@ -355,3 +355,12 @@ def test_a_busy_day_makes_more_files(spark, data, tmp_path):
     days = sorted(d.name for d in (tmp_path / "t").glob("provider=codex/event_date=*"))
     busy_files, *quiet_files = (len(list((tmp_path / "t" / "provider=codex" / d).glob("*.parquet"))) for d in days)
     assert busy_files >= 3 and len(quiet_files) == 6 and quiet_files.count(1) >= 4  # a day may share the busy one's part
+
+
+def test_times_and_counters_are_worked_out_once(spark):
+    """Not once for the filter by them and once for their values."""
+    names = {"value": "string", "source_file": "string", "split": "long", "line_no": "long", "ingest_seq": "long"}
+    lines = spark.range(9).select(*[F.col("id").cast(kind).alias(name) for name, kind in names.items()])
+    for events in (logs.parse_claude(lines), logs.codex_rows(logs.codex_marked(lines))):
+        plan = events._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == 5

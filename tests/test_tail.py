@@ -477,3 +477,29 @@ def test_blocks_are_cut_into_the_lines_that_a_line_at_a_time_gives(tmp_path, mon
                 parts = tail.splits([tail.Range(str(path), 0, len(text), 7)], draw.choice([1, 5, 100]))
                 rows = [r for p in parts for b in tail.read_split(p, str(tmp_path), needles) for r in b.to_pylist()]
                 assert [(r["line_no"], r["value"]) for r in rows] == want
+
+
+def test_replaced_days_are_renamed(spark, tmp_path):
+    from tallyforge.schema import USAGE_EVENTS, complete
+
+    def events(day, n, provider="a:b"):
+        row = spark.range(1).select(
+            F.lit(provider).alias("provider"), F.lit(f"m{day}").alias("message_id"), F.lit(1_700_000_000_000 + day * 86_400_000).alias("ts_ms"), F.lit("m").alias("model"),
+            F.lit("s").alias("session_id"), F.lit("p").alias("project"), F.lit("/f").alias("source_file"),
+            *[F.lit(n).alias(c) for c in logs.COUNTERS], F.lit(n).alias("line_no"), F.lit(n).alias("ingest_seq"),
+        )
+        return complete(row).select(USAGE_EVENTS.names)
+
+    path, staged = str(tmp_path / "table"), str(tmp_path / "staged")
+    ingest.write_events(events(0, 1).unionByName(events(1, 1)).unionByName(events(2, 1, "c")), path)
+    ingest.write_events(events(1, 5), staged)
+    files = {p.name for p in (tmp_path / "staged").rglob("part-*.parquet")}
+    gone = [(r.provider, r.event_date) for r in ingest.read_events(spark, path).where("provider = 'c'").collect()]
+    ingest._replace_days(spark, staged, path, gone)
+    got = ingest.read_events(spark, path)
+    assert sorted((r.message_id, r.provider, r.input_tokens) for r in got.collect()) == [("m0", "a:b", 1), ("m1", "a:b", 5)]
+    assert files < {p.name for p in (tmp_path / "table").rglob("part-*.parquet")}
+    # The whole way: a later version replaces the earlier one, and its day's other files go.
+    later = events(1, 9).withColumn("event_key", F.lit("later"))
+    assert ingest.ingest(spark, later, path) == 1
+    assert sorted((r.message_id, r.input_tokens) for r in ingest.read_events(spark, path).collect()) == [("m0", 1), ("m1", 9)]
